@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import license_scan, mixing, quality_rules
+from loomgraph.llm import license_scan, mixing, quality_rules, token_counts, token_files
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; all workers have the package installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
@@ -19,13 +32,19 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("copies")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(documents(spark, sf_dir)).drop("failed_rule")
 
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
     "op6_license_scan": op6_license_scan,
     "op7_source_mixing": op7_source_mixing,
+    "op8_token_files": op8_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
 
