@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import license_scan, mixing, quality_rules, token_counts, token_files
+from loomgraph.llm import license_scan, mixing, quality_rules, token_counts, token_files, word_codec
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,6 +36,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_codec.digests(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(documents(spark, sf_dir)).drop("failed_rule")
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_files": op8_token_files,
+    "op9_bpe_codec": op9_bpe_codec,
     "op10_quality_rules": op10_quality_rules,
 }
 
