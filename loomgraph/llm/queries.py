@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import license_scan, mixing, quality_rules, token_counts, token_files, word_codec
+from loomgraph.llm import language_id, license_scan, mixing, quality_rules, token_counts, token_files, word_codec
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_files": op8_token_files,
