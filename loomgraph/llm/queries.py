@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import language_id, license_scan, mixing, quality_rules, token_counts, token_files, word_codec
+from loomgraph.llm import language_id, license_scan, line_quality, mixing, quality_rules, token_counts, token_files, word_codec
 
 
 def tokenizer_file(name: str) -> str:
@@ -18,6 +18,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_quality": op1_line_quality,
     "op3_token_counts": op3_token_counts,
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
