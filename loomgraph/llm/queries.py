@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import language_id, license_scan, line_quality, mixing, quality_rules, token_counts, token_files, word_codec
+from loomgraph.llm import language_id, license_scan, line_quality, mixing, near_duplicates, quality_rules, token_counts, token_files, word_codec
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,6 +26,11 @@ def op1_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.duplicates(documents(spark, sf_dir), k=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_quality": op1_line_quality,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_token_counts": op3_token_counts,
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
@@ -68,6 +74,20 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS g FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+r AS (SELECT doc_id AS v, doc_id AS low FROM documents UNION SELECT l.y, r.low FROM r JOIN l ON l.x = r.v WHERE r.low < l.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d JOIN (SELECT v, min(low) AS component_id FROM r GROUP BY v) c ON c.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op10_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
