@@ -43,7 +43,7 @@ class PreTokens:
         return self.pattern.findall(text)
 
     def of(self, text: str) -> list[str | None]:
-        if self.cut is None or not any(s in text for s in self.specials):
+        if self.cut is None or self.cut.search(text) is None:
             return self._plain(text)
         out: list[str | None] = []
         for i, part in enumerate(self.cut.split(text)):
@@ -55,4 +55,4 @@ class PreTokens:
 
     def alone(self, piece: str) -> bool:
         """Whether a piece that follows a space can be cut without its neighbours."""
-        return bool(piece) and not piece[0].isspace() and not any(s in piece for s in self.specials)
+        return bool(piece) and not piece[0].isspace() and (self.cut is None or self.cut.search(piece) is None)

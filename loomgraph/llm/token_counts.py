@@ -62,8 +62,7 @@ def _gather(path: str, pattern: str):
                 if not text:
                     continue
                 first, *rest = text.split(" ")
-                fresh = set(rest).difference(pieces)
-                if any(not pre.alone(p) for p in fresh):
+                if any(p not in pieces and not pre.alone(p) for p in set(rest)):
                     whole.update(x for x in pre.of(text) if x is not None)
                 else:
                     pieces.update(rest)

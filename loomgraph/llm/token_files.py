@@ -59,7 +59,7 @@ class ChunkEncoder:
         if len(self.known) + len(fresh) > self.known.most:
             self.known.clear()
             self.apart.clear()
-        fresh = fresh.difference(self.known).difference(self.apart)
+        fresh = {p for p in fresh if p not in self.known and p not in self.apart}
         # A space before a visible character begins a pre-token; other pieces depend on their neighbours.
         odd = {p for p in fresh if not p or p[0].isspace() or any(s in p for s in self.specials)}
         self.apart |= odd
