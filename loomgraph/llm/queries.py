@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import language_id, license_scan, line_quality, mixing, near_duplicates, quality_rules, token_counts, token_files, word_codec
+from loomgraph.llm import language_id, license_scan, line_quality, mixing, near_duplicates, quality_rules, token_counts, token_files, topk_search, word_codec
 
 
 def tokenizer_file(name: str) -> str:
@@ -37,6 +38,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
 
 
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -65,6 +71,7 @@ QUERIES = {
     "op1_line_quality": op1_line_quality,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_token_counts": op3_token_counts,
+    "op4_topk_search": op4_topk_search,
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
     "op7_source_mixing": op7_source_mixing,
@@ -88,6 +95,17 @@ l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id AS v, doc_id AS low FROM documents UNION SELECT l.y, r.low FROM r JOIN l ON l.x = r.v WHERE r.low < l.y)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM documents d JOIN (SELECT v, min(low) AS component_id FROM r GROUP BY v) c ON c.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op4_topk_search": """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+s AS (
+  SELECT q.row AS q_row, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5""",
     "op10_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
