@@ -86,7 +86,7 @@ def _meet(units: Column, level: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """One row per document: size, source_size, target, copies and taken words."""
+    """One row per document: doc_id, source, size, source_size, target, copies and taken words."""
     counted = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     # Equal rows are numbered by counting them first, so that no task gathers them.
     numbered = counted.groupBy("doc_id", "source", "size").count().select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("nth"))
@@ -137,8 +137,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         open_units = folded.where("met.carry >= 0").select("source", carry["id"].alias("id"), F.col("met.p").alias("p"), carry["size"].alias("size"), carry["key"].alias("key"))
 
     decided = blocks.join(winners.withColumn("up", F.lit(True)), "id", "left")
-    each = decided.select("source_size", "target", "whole", "met", F.coalesce("up", F.lit(False)).alias("up"), F.posexplode("units").alias("i", "unit"))
+    each = decided.select("source", "source_size", "target", "whole", "met", F.coalesce("up", F.lit(False)).alias("up"), F.posexplode("units").alias("i", "unit"))
     chosen = F.array_contains("met.won", F.col("i")) | (F.col("up") & (F.col("i") == F.col("met.carry")))
     copies = F.col("whole") + chosen.cast("int")
     size = F.col("unit.size")
-    return each.select(F.col("unit.doc_id").alias("doc_id"), size.alias("size"), "source_size", "target", copies.alias("copies"), (copies * size).cast("long").alias("taken"))
+    return each.select(F.col("unit.doc_id").alias("doc_id"), "source", size.alias("size"), "source_size", "target", copies.alias("copies"), (copies * size).cast("long").alias("taken"))
+
+
+def repeat(docs: DataFrame, **how) -> DataFrame:
+    """Rows of ``docs``, all columns, as often as the mix takes them.
+
+    Copies are matched by doc_id, source and size; of rows that agree in all
+    three, each gets a share of their copies in order of a hash of its text.
+    """
+    names = docs.columns
+    size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].alias("_id"), docs["source"].alias("_source"), size.alias("_size"), F.xxhash64(docs["text"]).alias("_hash"))
+    mixed = mix(docs, **how)
+    same = Window.partitionBy("doc_id", "source", "size")
+    taken = mixed.withColumn("nth", F.row_number().over(same.orderBy(F.col("copies").desc()))).select("doc_id", "source", "size", "nth", "copies").where("copies > 0")
+    rows = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_hash")))
+    on = F.col("_id").eqNullSafe(taken["doc_id"]) & F.col("_source").eqNullSafe(taken["source"]) & (F.col("_size") == taken["size"]) & (F.col("_nth") == taken["nth"])
+    joined = rows.join(taken, on).select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+    return joined.select("_row.*")

@@ -192,8 +192,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return wide.mapInArrow(_verify(k, percent), "a long, b long")
 
 
-def duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class and component_id of each row of ``docs``.
+def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of ``docs``; ``more`` may name class and hash (of the text).
 
     Two rows are linked if ``100 * intersection >= percent * union`` of their
     sets of ``k``-word shingles; ``component_id`` is the smallest doc_id that
@@ -248,13 +248,30 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         & (bound * (100 + percent) >= (x("n") + y("n")) * percent),
     ).select(x("class").alias("a"), y("class").alias("b"), F.least(x("matches"), y("matches")).alias("need"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("got"), F.min("need").alias("need")).where("got >= need")
-    more = stored(_linked(pairs, texts, k, percent), "links")
-    links = links.union(more)
+    others = stored(_linked(pairs, texts, k, percent), "links")
+    links = links.union(others)
     parts = connected_components(links)
 
     lowest = parts.join(classes, parts["node"] == classes["class"]).groupBy("root").agg(F.min("low").alias("component_id"))
     named = parts.join(lowest, "root").select(F.col("node").alias("class"), "component_id")
     whole = classes.join(named, "class", "left").select(F.col("class").alias("own"), F.coalesce("component_id", "low").alias("component_id"))
+    shown = ("doc_id", "n_shingles", "component_id", *more)
     full = rows.where("n_shingles > 0")
-    full = full.join(whole, full["class"] == whole["own"]).select("doc_id", "n_shingles", "class", "component_id")
-    return full.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id")))
+    full = full.join(whole, full["class"] == whole["own"]).select(*shown)
+    return full.union(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*shown))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Of each component one row of ``docs``, all columns: one with its smallest doc_id, by the hash of its text.
+
+    Rows with an empty set stay. Rows are found again by doc_id and text hash, of
+    which ``dropDuplicates`` leaves one.
+    """
+    names = docs.columns
+    found = duplicates(docs.select("doc_id", "text"), k, percent, "hash")
+    full = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "hash")).alias("one")).select("one.*")
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_hash"), docs["text"].alias("_text"))
+    same = (F.col("_hash") == full["hash"]) & F.col("_id").eqNullSafe(full["doc_id"])
+    kept = keyed.join(full, same).dropDuplicates(["_id", "_hash"]).select("_row.*")
+    blank = keyed.where(~F.coalesce(F.col("_text").rlike(r"[^ \t-\r]"), F.lit(False))).select("_row.*")
+    return kept.union(blank)

@@ -52,7 +52,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).drop("copies")
+    return mixing.mix(documents(spark, sf_dir)).drop("copies", "source")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
