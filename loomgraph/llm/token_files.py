@@ -80,7 +80,7 @@ def _encode(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomgraph.llm.batches import sliced
 
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, ChunkEncoder(path))
+        encoder = _ENCODERS[path] if path in _ENCODERS else _ENCODERS.setdefault(path, ChunkEncoder(path))
         end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in sliced(batches):

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from loomgraph.llm.batches import Bounded, bounded_batches
 
-#: Pieces that a worker keeps, some 150 MB at most.
-HELD = 300_000
+#: Pieces that a worker keeps from task to task, some 200 MB at most.
+HELD = 500_000
 
 
 class WordCodec:
@@ -90,22 +90,31 @@ def _byte_characters() -> list[str]:
     return out
 
 
-def _code(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from loomgraph.llm.batches import sliced
+class _Pieces(Bounded):
+    """Ids of each piece as bytes, each id after a space; ``tokens`` has its tokens likewise."""
 
-        codec = WordCodec(path)
+    def __init__(self, path: str):
+        super().__init__(HELD)
+        self.codec = WordCodec(path)
+        self.tokens: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.codec.encode(piece)
+        self.tokens[piece] = "".join([" " + self.codec.strings[i] for i in ids]).encode()
+        made = self[piece] = "".join([f" {i}" for i in ids]).encode()
+        return made
 
-        class Texts(Bounded):
-            """Each piece's ids and tokens as bytes, each after a space."""
 
-            def __missing__(self, piece: str) -> bytes:
-                ids = codec.encode(piece)
-                tokens[piece] = "".join([" " + codec.strings[i] for i in ids]).encode()
-                made = self[piece] = "".join([f" {i}" for i in ids]).encode()
-                return made
+#: A worker process runs many tasks; what it has coded outlives them.
+_KNOWN: dict[str, _Pieces] = {}
+
+
+def _code(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from loomgraph.llm.batches import sliced
 
-        ids_of, tokens = Texts(HELD), {}
+        ids_of = _KNOWN[path] if path in _KNOWN else _KNOWN.setdefault(path, _Pieces(path))
+        tokens = ids_of.tokens
         for batch in sliced(batches):
             if len(ids_of) > HELD:
                 ids_of.clear()
