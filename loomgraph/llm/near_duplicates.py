@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.batches import bounded_batches
@@ -44,6 +44,12 @@ BLOCKS = 64
 MOST_MATCHES = 4
 #: Cost of comparing one shingle of a candidate, in rows scanned.
 VERIFY = 0.02
+#: Other sets that any shingle is expected in, beside those that the table shows.
+CHANCE = 0.1
+#: Of the sets that share so many shingles with another by chance, the part that shares one more.
+DECAY = 0.25
+#: Classes whose keys are broadcast to fetch their texts (some 20 MB); more are fetched by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _sets(texts: pa.Array, k: int):
@@ -129,10 +135,10 @@ def prefix(values: np.ndarray, table: np.ndarray, noise: float, percent: int) ->
     longest = n - need + most
     key = (count.astype(np.uint64) << np.uint64(32)) | (values & np.uint64(0xFFFFFFFF))
     order = np.argsort(key, kind="stable")[:longest]  # values are sorted, so equal keys keep one order everywhere
-    others = np.cumsum(np.maximum(count[order] - noise, 0.0))
+    others = np.cumsum(np.maximum(count[order] - noise, 0.0) + CHANCE)
     sizes = n - need + np.arange(1, most + 1)
     scanned = others[sizes - 1]
-    cost = scanned + scanned / np.arange(1, most + 1) * n * VERIFY + sizes
+    cost = sizes + scanned + scanned * DECAY ** np.arange(most) * n * VERIFY
     matches = int(np.argmin(cost)) + 1
     return values[order[: n - need + matches]], matches
 
@@ -209,35 +215,44 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> Da
     classes = stored(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("low"), F.min(F.struct("hash", "doc_id")).alias("sample")), "class-table")
 
     postings = stored(docs.select("text").mapInArrow(_postings(k, percent, shared), "token long, class long, facts long"), "postings")
+    # Most shingles of prefixes stand in one set; a count finds the others before anything else is moved.
+    often = postings.groupBy("token").count().where("count > 1").select("token")
     facts = F.col("facts")
-    hub = F.min(F.struct(facts.bitwiseAND((1 << 35) - 8).alias("place"), F.col("class").alias("class"), F.shiftright("facts", 35).alias("n")))
-    lists = postings.groupBy("token").agg(F.min("class").alias("one"), F.max("class").alias("two"), hub.alias("hub")).where("one < two")
-    shown = postings.join(lists.select("token", "hub"), "token").dropDuplicates(["token", "class"])
+    shared_tokens = postings.join(often, "token", "left_semi").dropDuplicates(["token", "class"])
     shown = stored(
-        shown.select(
-            "token", "class", F.shiftright("facts", 35).alias("n"), F.shiftright(facts.bitwiseAND((1 << 35) - 1), 3).alias("place"), facts.bitwiseAND(7).alias("matches"), F.col("hub.class").alias("hub"), F.col("hub.n").alias("hub_n")
-        ),
+        shared_tokens.select("token", "class", F.shiftright(facts, 35).alias("n"), F.shiftright(facts.bitwiseAND((1 << 35) - 1), 3).alias("place"), facts.bitwiseAND(7).alias("matches")),
         "shared-postings",
     )
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    wanted = shown.select("class").distinct().join(classes, "class").select("class", "sample.hash", "sample.doc_id")
-    texts = hashed.join(wanted, (hashed["hash"] == wanted["hash"]) & hashed["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
-    texts = stored(texts, "texts")
 
-    stars = shown.where((F.col("class") != F.col("hub")) & near(F.col("n"), F.col("hub_n"))).groupBy("class", "hub").count()
-    best = stars.groupBy("class").agg(F.max(F.struct("count", "hub"))["hub"].alias("b")).select(F.col("class").alias("a"), "b")
-    links = stored(_linked(best, texts, k, percent), "links")
+    def reach(nx: Column, px: Column, ny: Column, py: Column) -> Column:
+        """Whether sets that share a shingle at these places can still overlap enough."""
+        return (F.least(px, py) + F.least(nx - px, ny - py)) * (100 + percent) >= (nx + ny) * percent
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs.select("a", "b"), "pairs")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("class", "sample.hash", "sample.doc_id")
+        wanted = stored(wanted, "wanted")
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        texts = hashed.join(wanted, (hashed["hash"] == wanted["hash"]) & hashed["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
+        return stored(_linked(pairs, stored(texts, "texts"), k, percent), "links")
+
+    hubs = shown.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("place", "class", "n", "matches")).alias("hub")).where("sets > 1").select(F.col("token").alias("t"), "hub")
+    beside = shown.join(hubs, shown["token"] == hubs["t"]).where((F.col("class") != F.col("hub.class")) & near(F.col("n"), F.col("hub.n")) & reach(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
+    stars = beside.groupBy("class", F.col("hub.class").alias("hub")).agg(F.count("*").alias("got"), F.min(F.least("matches", "hub.matches")).alias("need")).where("got >= need")
+    best = stars.groupBy("class").agg(F.max(F.struct("got", "hub"))["hub"].alias("b")).select(F.col("class").alias("a"), "b")
+    links = linked(best)
     parts = connected_components(links)
 
     placed = shown.join(parts, shown["class"] == parts["node"], "left").select(shown["*"], F.coalesce("root", "class").alias("part"))
-    placed = stored(placed.drop("hub", "hub_n").withColumn("band", F.floor(F.log("n") / -math.log(percent / 100 - 0.01)).cast("int")), "placed")
+    placed = stored(placed.withColumn("band", F.floor(F.log("n") / -math.log(percent / 100 - 0.01)).cast("int")), "placed")
     counts = placed.groupBy("token", "part").count()
     major = counts.groupBy("token").agg(F.max(F.struct("count", "part"))["part"].alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     marked = placed.join(major, "token")
     minor = marked.where("part <> major").withColumn("to", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).alias("x")
     every = marked.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    bound = F.least(x("place"), y("place")) + F.least(x("n") - x("place"), y("n") - y("place"))
     pairs = minor.join(
         every,
         (x("token") == y("token"))
@@ -245,11 +260,10 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> Da
         & (x("part") != y("part"))
         & ((y("part") == y("major")) | (x("class") < y("class")))
         & near(x("n"), y("n"))
-        & (bound * (100 + percent) >= (x("n") + y("n")) * percent),
+        & reach(x("n"), x("place"), y("n"), y("place")),
     ).select(x("class").alias("a"), y("class").alias("b"), F.least(x("matches"), y("matches")).alias("need"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("got"), F.min("need").alias("need")).where("got >= need")
-    others = stored(_linked(pairs, texts, k, percent), "links")
-    links = links.union(others)
+    links = links.union(linked(pairs))
     parts = connected_components(links)
 
     lowest = parts.join(classes, parts["node"] == classes["class"]).groupBy("root").agg(F.min("low").alias("component_id"))
