@@ -147,16 +147,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def repeat(docs: DataFrame, **how) -> DataFrame:
     """Rows of ``docs``, all columns, as often as the mix takes them.
 
-    Copies are matched by doc_id, source and size; of rows that agree in all
-    three, each gets a share of their copies in order of a hash of its text.
+    Copies are matched by doc_id, source and size; rows that agree in all three
+    get their copies in order of a hash of their texts.
     """
     names = docs.columns
     size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
     keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].alias("_id"), docs["source"].alias("_source"), size.alias("_size"), F.xxhash64(docs["text"]).alias("_hash"))
-    mixed = mix(docs, **how)
-    same = Window.partitionBy("doc_id", "source", "size")
-    taken = mixed.withColumn("nth", F.row_number().over(same.orderBy(F.col("copies").desc()))).select("doc_id", "source", "size", "nth", "copies").where("copies > 0")
-    rows = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_hash")))
-    on = F.col("_id").eqNullSafe(taken["doc_id"]) & F.col("_source").eqNullSafe(taken["source"]) & (F.col("_size") == taken["size"]) & (F.col("_nth") == taken["nth"])
-    joined = rows.join(taken, on).select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    return joined.select("_row.*")
+    mixed = stored(mix(docs, **how).select("doc_id", "source", "size", "copies"), "mixed")
+    key = ["doc_id", "source", "size"]
+    counted = mixed.groupBy(*key).agg(F.count("*").alias("rows"), F.max("copies").alias("copies"))
+    on = lambda df: F.col("_id").eqNullSafe(df["doc_id"]) & F.col("_source").eqNullSafe(df["source"]) & (F.col("_size") == df["size"])
+    again = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
+    alone = counted.where("rows = 1 and copies > 0")
+    taken = keyed.join(alone, on(alone)).select("_row", again).select("_row.*")
+    several = stored(counted.where("rows > 1").select(*key), "several")
+    if not several.limit(1).count():
+        return taken
+    same = Window.partitionBy(*key).orderBy(F.col("copies").desc())
+    parts = mixed.join(several.withColumnsRenamed({c: f"s_{c}" for c in key}), mixed["doc_id"].eqNullSafe(F.col("s_doc_id")) & mixed["source"].eqNullSafe(F.col("s_source")) & (mixed["size"] == F.col("s_size")))
+    parts = parts.select(*key, "copies", F.row_number().over(same).alias("nth")).where("copies > 0")
+    rows = keyed.join(several, on(several), "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_hash")))
+    return taken.union(rows.join(parts, on(parts) & (F.col("_nth") == parts["nth"])).select("_row", again).select("_row.*"))

@@ -199,7 +199,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 
 def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``docs``; ``more`` may name class and hash (of the text).
+    """doc_id, n_shingles and component_id of each row of ``docs``; ``more`` may name class,
+    group (a key of the component) and hash (of the text).
 
     Two rows are linked if ``100 * intersection >= percent * union`` of their
     sets of ``k``-word shingles; ``component_id`` is the smallest doc_id that
@@ -267,25 +268,33 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> Da
     parts = connected_components(links)
 
     lowest = parts.join(classes, parts["node"] == classes["class"]).groupBy("root").agg(F.min("low").alias("component_id"))
-    named = parts.join(lowest, "root").select(F.col("node").alias("class"), "component_id")
-    whole = classes.join(named, "class", "left").select(F.col("class").alias("own"), F.coalesce("component_id", "low").alias("component_id"))
+    named = parts.join(lowest, "root").select(F.col("node").alias("class"), "root", "component_id")
+    whole = classes.join(named, "class", "left").select(F.col("class").alias("own"), F.coalesce("root", "class").alias("group"), F.coalesce("component_id", "low").alias("component_id"))
     shown = ("doc_id", "n_shingles", "component_id", *more)
     full = rows.where("n_shingles > 0")
     full = full.join(whole, full["class"] == whole["own"]).select(*shown)
-    return full.union(rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).select(*shown))
+    empty = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("group", F.lit(None).cast("long"))
+    return full.union(empty.select(*shown))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Of each component one row of ``docs``, all columns: one with its smallest doc_id, by the hash of its text.
+    """Of each component one row of ``docs``, all columns: that of its smallest (doc_id, hash of the text).
 
-    Rows with an empty set stay. Rows are found again by doc_id and text hash, of
-    which ``dropDuplicates`` leaves one.
+    Rows with an empty set stay. The rows to drop, by doc_id and hash, are joined
+    to ``docs``; of rows that agree in both with the one that stays, one stays.
     """
     names = docs.columns
-    found = duplicates(docs.select("doc_id", "text"), k, percent, "hash")
-    full = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "hash")).alias("one")).select("one.*")
-    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_hash"), docs["text"].alias("_text"))
-    same = (F.col("_hash") == full["hash"]) & F.col("_id").eqNullSafe(full["doc_id"])
-    kept = keyed.join(full, same).dropDuplicates(["_id", "_hash"]).select("_row.*")
-    blank = keyed.where(~F.coalesce(F.col("_text").rlike(r"[^ \t-\r]"), F.lit(False))).select("_row.*")
-    return kept.union(blank)
+    found = duplicates(docs.select("doc_id", "text"), k, percent, "group", "hash").where("n_shingles > 0")
+    keys = stored(found.groupBy("group", "doc_id", "hash").count(), "keys")
+    one = keys.groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("one"))
+    marked = keys.join(one, "group").withColumn("stays", F.struct("doc_id", "hash").eqNullSafe(F.col("one")))
+    drop = stored(marked.where("not stays or count > 1").select("doc_id", "hash", "stays"), "drop")
+    small = drop.count() <= BROADCAST_ROWS
+    near = lambda df: F.broadcast(df) if small else df
+    keyed = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_hash"))
+    on = lambda df: (F.col("_hash") == df["hash"]) & F.col("_id").eqNullSafe(df["doc_id"])
+    repeated = drop.where("stays")
+    kept = keyed.join(near(drop), on(drop), "left_anti").select("_row.*")
+    if not repeated.limit(1).count():
+        return kept
+    return kept.union(keyed.join(near(repeated), on(repeated), "left_semi").dropDuplicates(["_id", "_hash"]).select("_row.*"))

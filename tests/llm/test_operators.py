@@ -133,6 +133,35 @@ def test_near_duplicates_in_large_families(spark, percent):
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: low[group[i]] for i in range(len(rows))}
 
 
+def test_one_of_each_group_stays(spark, sf, docs):
+    from loomgraph.llm.near_duplicates import keep_one
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = keep_one(d)
+    assert kept.columns == d.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    shingles = {}
+    for i, text, *_ in docs:
+        w = WORD.findall(lower(text or ""))
+        shingles[(i, text)] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())
+    keys = list(shingles)
+    group = {key: key for key in keys}
+    for a in keys:
+        for b in keys:
+            x, y = shingles[a], shingles[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = {key: new if g == old else g for key, g in group.items()}
+    by_group = {}
+    for key in keys:
+        by_group.setdefault(group[key] if shingles[key] else ("blank", key), []).append(key)
+    for members in by_group.values():
+        if shingles[members[0]]:
+            assert sum(got[m] for m in members) == 1
+        else:
+            assert got[members[0]] == sum(1 for i, t, *_ in docs if (i, t) == members[0])
+
+
 def library(name):
     from tokenizers import Tokenizer
 
@@ -280,6 +309,21 @@ def test_mixing_comes_near_its_targets(spark):
         assert abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.01
 
 
+def test_rows_are_repeated_as_the_mix_takes_them(spark, sf):
+    from loomgraph.llm import mixing
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    taken = mixing.repeat(d)
+    assert taken.columns == d.columns
+    size = lambda t: len(WORD.findall(t or ""))
+    got, want = Counter(), Counter()
+    for r in taken.collect():
+        got[(r.doc_id, r.source, size(r.text))] += 1
+    for r in mixing.mix(d).collect():
+        want[(r.doc_id, r.source, r["size"])] += r.copies
+    assert got == +want
+
+
 def test_codec(spark, sf, docs):
     t = library("word_bpe_49k.json")
     t.no_truncation()
