@@ -4,7 +4,7 @@
    by a distributed count.
 2. The tokenizer counts the pieces of each distinct pre-token once.
 3. Per-document pre-token frequencies are joined to these counts and summed.
-   The most frequent pre-tokens, a fixed number, are joined by broadcast in the
+   The most frequent pre-tokens, a fixed number at most, are joined by broadcast in the
    pass over the texts; all others are joined by a shuffle.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings
@@ -166,7 +166,15 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, he
     texts = docs.select("text")
     distinct = texts.mapInArrow(_gather(path, pattern), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
     pieces = stored(distinct.mapInArrow(_count_pieces(path), "pretoken string, n long, pieces long"), "pieces")
-    top = pieces.orderBy(F.col("n").desc(), "pretoken").limit(head).select("pretoken", "pieces").collect()
+    # Classes of frequency, from the highest down, as long as all their pre-tokens fit into the head.
+    level = F.floor(F.log2("n") * 8).cast("int")
+    room, lowest = head, None
+    for r in sorted(pieces.groupBy(level.alias("level")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        lowest = r["level"]
+    top = [] if lowest is None else pieces.where(level >= lowest).select("pretoken", "pieces").collect()
     shared = spark.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in top})
     made = docs.select("doc_id", "text").mapInArrow(_join_head(path, pattern, shared), "row long, doc_id long, n_bytes long, sure long, pretoken string, freq long")
     made = stored(made, "token-counts")
