@@ -37,6 +37,8 @@ SIZES = (2, 3, 4)
 PER_LANGUAGE = 400
 CENTROIDS = 4
 LONGEST = 100_000
+#: Up to so many languages their counts are broadcast (some 4 MB); more are joined by a shuffle.
+MOST_LANGUAGES = 100_000
 #: Bytes of one text that are turned over at once.
 PART = 4 << 20
 #: A text is rejected if its cosine is below this share of its language's usual one.
@@ -126,11 +128,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS) -
     bounded_batches(spark)
     usable = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     # A threshold on the hash leaves somewhat more than the wanted number of each language; a count settles it.
-    sizes = usable.groupBy("lang").count()
+    sizes = stored(usable.groupBy("lang").count(), "languages")
+    few = sizes.count() <= MOST_LANGUAGES
     share = F.least(F.lit(1.0), F.lit(per_language * 2.0) / F.col("count"))
     near = F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)
     short = F.when(F.octet_length("text") <= LONGEST, F.col("text"))
-    picked = usable.withColumn("text", short).where("text is not null").join(sizes, "lang").where(near)
+    picked = usable.withColumn("text", short).where("text is not null").join(F.broadcast(sizes) if few else sizes, "lang").where(near)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = stored(picked.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "text"), "language-sample")
     parts = sample.select("text").mapInArrow(_document_frequency, "n long, df array<long>")
