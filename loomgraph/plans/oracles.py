@@ -132,6 +132,9 @@ SELECT row, 0::INTEGER AS k, x AS s FROM z UNION ALL SELECT row, 1::INTEGER, y F
   p AS (SELECT i, j, CASE WHEN sum(e) OVER (PARTITION BY i) <= 0 THEN 65536 // count(*) OVER (PARTITION BY i) ELSE (e * 65536) // (sum(e) OVER (PARTITION BY i))::BIGINT END AS p FROM e),
   t AS (SELECT p.i, q.k AS d, p.j // 64 AS t, sum(p.p * q.v)::BIGINT AS acc FROM p JOIN q ON q.i = p.j GROUP BY ALL)
 SELECT i, d, sum(floor(acc / 65536.0)::BIGINT)::BIGINT AS o FROM t GROUP BY i, d""",
+    "attention_float": f"""WITH {QUANT.replace('* 127', '* 4')}, s AS (SELECT a.i, b.i AS j, sum(a.v * b.v)::DOUBLE / 8 AS s FROM q a JOIN q b ON a.k = b.k WHERE b.i <= a.i GROUP BY a.i, b.i),
+  e AS (SELECT i, j, exp(s - max(s) OVER (PARTITION BY i)) AS e FROM s), p AS (SELECT i, j, e / sum(e) OVER (PARTITION BY i) AS p FROM e)
+SELECT p.i, q.k AS d, round(sum(p.p * q.v) * 1e6)::BIGINT AS o_e6 FROM p JOIN q ON q.i = p.j GROUP BY p.i, q.k""",
     "stream_copy": f"SELECT l_orderkey, l_linenumber, a, b, a AS c FROM ({VECTORS})",
     "stream_scale": f"SELECT l_orderkey, l_linenumber, a, 3.0::DOUBLE * c AS b, c FROM ({VECTORS})",
     "stream_add": f"SELECT l_orderkey, l_linenumber, a, b, a + b AS c FROM ({VECTORS})",

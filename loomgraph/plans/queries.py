@@ -254,6 +254,14 @@ def attention_q16(spark, sf):
     return linalg.apply_probs_q16(probs, e.select(F.col("i").alias("j"), F.col("k").alias("d"), "v"), tile=64)
 
 
+@query
+def attention_float(spark, sf):
+    e = d.quantised(spark, sf, 4).select("i", F.col("k").alias("d"), F.col("v").cast("double").alias("v"))
+    k = e.withColumnRenamed("i", "j")
+    _, out = linalg.attention(e, k, k, dim=64)
+    return out.select("i", "d", F.round(F.col("o") * 1e6).cast("long").alias("o_e6"))
+
+
 def _vectors(spark, sf):
     items = d.table(spark, sf, "lineitem")
     return items.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"), F.col("l_discount").alias("c"))
