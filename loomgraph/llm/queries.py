@@ -56,7 +56,9 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
+    import public_tokenizers
+
+    return token_files.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

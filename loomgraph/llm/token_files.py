@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,60 +28,83 @@ from loomgraph.llm.batches import Bounded, bounded_batches
 from loomgraph.plans.scratch import new_path
 
 SCHEMA = "doc_id long, part int, part_start long, n_ids int, ids array<int>"
-#: Pieces whose ids a worker keeps from task to task, some 160 MB at most.
-HELD = 800_000
-#: Bytes of text for one output file, about.
-FILE_BYTES = 64 << 20
+#: Pieces and pre-tokens whose ids a worker keeps from task to task, some 200 MB at most.
+HELD = 400_000
+HELD_PRETOKENS = 600_000
 
 
 class ChunkEncoder:
-    """Encodes texts by the library, each distinct piece between single spaces once."""
+    """Encodes texts by the library, each distinct pre-token once.
 
-    def __init__(self, path: str, specials: list[str] | None = None):
+    Texts are cut at single spaces; the ids of a piece follow from those of its
+    pre-tokens and are kept as well. A piece that depends on its neighbours is
+    kept as ``None``, and its text is encoded as a whole.
+    """
+
+    def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from loomgraph.llm.pretokens import PreTokens
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.pre = PreTokens(path, pattern)
+        self.tokenizer = self.pre.tokenizer
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if specials is None else specials
-        self.known = Bounded(HELD)
-        self.apart: set[str] = set()
+        self.pieces = Bounded(HELD)
+        self.pretokens = Bounded(HELD_PRETOKENS)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("i", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, fresh: set[str]) -> None:
+        pre, pieces, known = self.pre, self.pieces, self.pretokens
+        cut = {}
+        for p in fresh:
+            if pre.alone(p):
+                cut[p] = pre.of(" " + p)
+            else:
+                pieces[p] = None
+        new = {x for found in cut.values() for x in found if x not in known}
+        if len(known) + len(new) > known.most:
+            known.clear()
+            new = {x for found in cut.values() for x in found}
+        new = list(new)
+        known.update(zip(new, self._ids(new), strict=True))
+        for p, found in cut.items():
+            pieces[p] = known[found[0]] if len(found) == 1 else b"".join([known[x] for x in found])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         cut = [(t or "").split(" ") for t in texts]
-        fresh: set[str] = set()
-        for pieces in cut:
-            fresh.update(pieces[1:])
-        if len(self.known) + len(fresh) > self.known.most:
-            self.known.clear()
-            self.apart.clear()
-        fresh = {p for p in fresh if p not in self.known and p not in self.apart}
-        # A space before a visible character begins a pre-token; other pieces depend on their neighbours.
-        odd = {p for p in fresh if not p or p[0].isspace() or any(s in p for s in self.specials)}
-        self.apart |= odd
-        new = list(fresh - odd)
-        self.known.update(zip(new, self._ids([" " + p for p in new]), strict=True))
-        whole = [i for i, pieces in enumerate(cut) if self.apart and not self.apart.isdisjoint(pieces[1:])]
-        alone = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
-        firsts = self._ids([pieces[0] for pieces in cut])
-        get = self.known.__getitem__
-        return [alone[i] if i in alone else firsts[i] + b"".join(map(get, pieces[1:])) for i, pieces in enumerate(cut)]
+        firsts = self._ids([pieces.pop(0) for pieces in cut])
+        known = self.pieces
+        get = known.__getitem__
+        out = []
+        for i, pieces in enumerate(cut):
+            try:
+                try:
+                    ids = b"".join(map(get, pieces))
+                except KeyError:
+                    fresh = {p for p in pieces if p not in known}
+                    if len(known) + len(fresh) > known.most:
+                        known.clear()
+                        fresh = set(pieces)
+                    self._learn(fresh)
+                    ids = b"".join(map(get, pieces))
+                out.append(firsts[i] + ids)
+            except TypeError:  # a piece that depends on its neighbours
+                out.append(self._ids([texts[i]])[0])
+        return out
 
 
 #: A worker process runs many tasks; its encoders outlive them.
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def _encode(path: str, end_id: int | None):
+def _encode(path: str, pattern: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomgraph.llm.batches import sliced
 
-        encoder = _ENCODERS[path] if path in _ENCODERS else _ENCODERS.setdefault(path, ChunkEncoder(path))
+        encoder = _ENCODERS[path] if path in _ENCODERS else _ENCODERS.setdefault(path, ChunkEncoder(path, pattern))
         end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in sliced(batches):
@@ -97,14 +121,14 @@ def _encode(path: str, end_id: int | None):
     return run
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, partitions: int | None = None) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int | None = None, partitions: int | None = None) -> None:
     """Write the ids of all texts to ORC files at ``path``, files and rows in doc_id order."""
     spark = docs.sparkSession
     bounded_batches(spark)
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
     dealt = keyed.repartitionByRange(partitions, "doc_id", "_tie") if partitions else keyed.repartitionByRange("doc_id", "_tie")
     ordered = dealt.sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    made = ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
+    made = ordered.mapInArrow(_encode(tokenizer, pattern, end_id), SCHEMA)
     made.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "10000").orc(path)
 
 
@@ -134,9 +158,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return read_ids(spark, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int | None = None) -> DataFrame:
     """Write the ids of ``docs`` to a new folder of the shared one and digest what the files hold."""
     spark = docs.sparkSession
     path = new_path(spark, "token-ids")
-    write_ids(docs, path, tokenizer, end_id)
+    write_ids(docs, path, tokenizer, pattern, end_id)
     return digests(spark, path)
