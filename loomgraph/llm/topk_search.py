@@ -62,42 +62,31 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 def build_tree(ids: np.ndarray, rows: np.ndarray, v: np.ndarray, leaf: int = LEAF_ROWS) -> dict[str, np.ndarray]:
     """A KD-tree: rows in leaf order and, for each node, its range, children, box and smallest id."""
     order = np.arange(len(v))
-    begin, end, left, low, high, least = [], [], [], [], [], []
-    todo = [(0, len(v), -1)]
+    begin, end, split, low, high, least = [], [], [], [], [], []
+    todo = [(0, len(v))]
     while todo:
-        a, b, above = todo.pop()
-        here = len(begin)
-        if above >= 0:
-            left[above] = here if left[above] < 0 else left[above]
-        part = v[order[a:b]]
-        lo, hi = part.min(0), part.max(0)
+        a, b = todo.pop()
+        own = order[a:b]
+        lo, hi = v[own].min(0), v[own].max(0)
         begin.append(a)
         end.append(b)
-        left.append(-1)
         low.append(lo)
         high.append(hi)
-        least.append(ids[order[a:b]].min())
-        if b - a > leaf and v.shape[1]:
+        least.append(ids[own].min())
+        split.append(b - a > leaf and v.shape[1] > 0)
+        if split[-1]:
+            m = (b - a) // 2
             side = int(np.argmax(hi.astype(np.float64) - lo))
             if hi[side] > lo[side]:
-                m = (b - a) // 2
-                order[a:b] = order[a:b][np.argpartition(part[:, side], m, kind="introselect")]
-                todo += [(a + m, b, -1), (a, a + m, here)]
-                continue
-            # All rows are equal: a chain of leaves, so that no leaf grows with them.
-            m = (b - a) // 2
-            order[a:b] = order[a:b][np.argsort(ids[order[a:b]], kind="stable")]
-            todo += [(a + m, b, -1), (a, a + m, here)]
-    tree = {"begin": begin, "end": end, "low": low, "high": high, "least": least}
-    out = {k: np.array(x) for k, x in tree.items()}
-    # Nodes are in pre-order: the first child follows its parent, the second one starts where the first ends.
-    first = np.array(left)
-    second = np.full(len(first), -1)
-    at = {(int(a), int(b)): i for i, (a, b) in enumerate(zip(begin, end, strict=True))}
-    for i, f in enumerate(first):
-        if f >= 0:
-            second[i] = at[(int(out["end"][f]), int(out["end"][i]))]
-    return out | {"first": first, "second": second, "ids": ids[order], "rows": rows[order], "v": v[order]}
+                order[a:b] = own[np.argpartition(v[own, side], m, kind="introselect")]
+            else:  # equal rows: by id, so that small ids stand together
+                order[a:b] = own[np.argsort(ids[own], kind="stable")]
+            todo += [(a + m, b), (a, a + m)]  # the first half comes next: nodes are in pre-order
+    at = {(a, b): i for i, (a, b) in enumerate(zip(begin, end, strict=True))}
+    first = np.array([i + 1 if s else -1 for i, s in enumerate(split)])
+    second = np.array([at[(end[i + 1], end[i])] if s else -1 for i, s in enumerate(split)])
+    boxes = {"begin": begin, "end": end, "low": low, "high": high, "least": least}
+    return {k: np.array(x) for k, x in boxes.items()} | {"first": first, "second": second, "ids": ids[order], "rows": rows[order], "v": v[order]}
 
 
 def _products(q: np.ndarray, v: np.ndarray):
@@ -116,7 +105,11 @@ def search(tree: dict[str, np.ndarray], q: np.ndarray, q_rows: np.ndarray, k: in
     v, q, low, high = pad(v), pad(q), pad(tree["low"]), pad(tree["high"])
     kind, dot = _products(q, v)
     plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-    kth, kth_id = kth.astype(kind), kth_id.copy()
+    if kind is object:
+        kth = np.array([int(x) for x in kth], object)
+    else:  # no score of this kind is as low as -2**62
+        kth = np.maximum(kth, -(2.0**62)).astype(kind)
+    kth_id = kth_id.copy()
     least = tree["least"]
     best_q, best_s, best_i = np.empty(0, np.int64), np.empty(0, kind), np.empty(0, np.int64)
 
@@ -177,7 +170,7 @@ def _block(table: pa.Table) -> pa.Table:
 
 
 RESULT = "query_row long, query_id long, vec_id long, score long, block long, shard long, kth binary"
-_NONE = -(2.0**80)
+_NONE = -(2.0**200)
 
 
 def _run(k: int):
@@ -195,7 +188,7 @@ def _run(k: int):
                 qs, s, ids, kth, kth_id = search(tree, q["q"], q["rows"], k, kth, kth_id)
                 big = np.iinfo(np.int64)
                 s = np.array([min(max(int(x), big.min), big.max) for x in s], np.int64)
-                state = _pack(kth=kth.astype(np.float64), kth_id=kth_id) if kth.dtype != object else None
+                state = _pack(kth=kth.astype(np.float64), kth_id=kth_id) if kth.dtype == np.float64 else None  # exact as doubles
                 n = len(qs)
                 put = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(1, kind)])
                 yield pa.RecordBatch.from_arrays(
