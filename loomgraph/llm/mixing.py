@@ -158,7 +158,7 @@ def repeat(docs: DataFrame, **how) -> DataFrame:
     counted = mixed.groupBy(*key).agg(F.count("*").alias("rows"), F.max("copies").alias("copies"))
     on = lambda df: F.col("_id").eqNullSafe(df["doc_id"]) & F.col("_source").eqNullSafe(df["source"]) & (F.col("_size") == df["size"])
     again = F.explode(F.array_repeat(F.lit(1), F.col("copies")))
-    alone = counted.where("rows = 1 and copies > 0")
+    alone = counted.where("rows = 1 and copies > 0").hint("merge")  # grows with the documents: one plan at every size
     taken = keyed.join(alone, on(alone)).select("_row", again).select("_row.*")
     several = stored(counted.where("rows > 1").select(*key), "several")
     if not several.limit(1).count():
