@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.batches import bounded_batches
@@ -48,6 +48,8 @@ VERIFY = 0.02
 CHANCE = 0.1
 #: Of the sets that share so many shingles with another by chance, the part that shares one more.
 DECAY = 0.25
+#: Rounds in which sets are compared with hubs before all pairs between components are.
+HUB_ROUNDS = 3
 #: Classes whose keys are broadcast to fetch their texts (some 20 MB); more are fetched by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -220,15 +222,16 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> Da
     often = postings.groupBy("token").count().where("count > 1").select("token")
     facts = F.col("facts")
     shared_tokens = postings.join(often, "token", "left_semi").dropDuplicates(["token", "class"])
-    shown = stored(
-        shared_tokens.select("token", "class", F.shiftright(facts, 35).alias("n"), F.shiftright(facts.bitwiseAND((1 << 35) - 1), 3).alias("place"), facts.bitwiseAND(7).alias("matches")),
-        "shared-postings",
-    )
+    parted = shared_tokens.select("token", "class", F.shiftright(facts, 35).alias("n"), F.shiftright(facts.bitwiseAND((1 << 35) - 1), 3).alias("place"), facts.bitwiseAND(7).alias("matches"))
+    # How many of the shingles before one, in its set's prefix, stand in another prefix as well.
+    shown = stored(parted.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("place")) - 1), "shared-postings")
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
-    def reach(nx: Column, px: Column, ny: Column, py: Column) -> Column:
-        """Whether sets that share a shingle at these places can still overlap enough."""
-        return (F.least(px, py) + F.least(nx - px, ny - py)) * (100 + percent) >= (nx + ny) * percent
+    def reach(x, y) -> Column:
+        """Whether sets that share a shingle can still overlap enough: a shared shingle before it is in both prefixes."""
+        before = F.least(x("rank"), y("rank"))
+        after = F.least(x("n") - x("place"), y("n") - y("place"))
+        return (before + after) * (100 + percent) >= (x("n") + y("n")) * percent
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.select("a", "b"), "pairs")
@@ -239,12 +242,27 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> Da
         texts = hashed.join(wanted, (hashed["hash"] == wanted["hash"]) & hashed["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
         return stored(_linked(pairs, stored(texts, "texts"), k, percent), "links")
 
-    hubs = shown.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("place", "class", "n", "matches")).alias("hub")).where("sets > 1").select(F.col("token").alias("t"), "hub")
-    beside = shown.join(hubs, shown["token"] == hubs["t"]).where((F.col("class") != F.col("hub.class")) & near(F.col("n"), F.col("hub.n")) & reach(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
+    hubs = shown.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("place", "class", "n", "matches", "rank")).alias("hub")).where("sets > 1").select(F.col("token").alias("t"), "hub")
+    beside = shown.join(hubs, shown["token"] == hubs["t"]).where((F.col("class") != F.col("hub.class")) & near(F.col("n"), F.col("hub.n")) & reach(F.col, lambda c: F.col(f"hub.{c}")))
     stars = beside.groupBy("class", F.col("hub.class").alias("hub")).agg(F.count("*").alias("got"), F.min(F.least("matches", "hub.matches")).alias("need")).where("got >= need")
-    best = stars.groupBy("class").agg(F.max(F.struct("got", "hub"))["hub"].alias("b")).select(F.col("class").alias("a"), "b")
-    links = linked(best)
-    parts = connected_components(links)
+    stars = stored(stars.select("class", "hub", "got"), "stars")
+    links = tested = parts = None
+    for _ in range(HUB_ROUNDS):
+        # Each set tries, of the hubs it has not tried, the one in another component with which it shares most.
+        rest = stars
+        if parts is not None:
+            side = lambda c: parts.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+            rest = rest.join(tested, (rest["class"] == tested["a"]) & (rest["hub"] == tested["b"]), "left_anti")
+            rest = rest.join(side("x"), F.col("class") == F.col("x_node"), "left").join(side("y"), F.col("hub") == F.col("y_node"), "left")
+            rest = rest.where(F.coalesce("x_root", "class") != F.coalesce("y_root", "hub"))
+        best = rest.groupBy("class").agg(F.max(F.struct("got", "hub"))["hub"].alias("b")).select(F.col("class").alias("a"), "b")
+        best = stored(best, "hub-pairs")
+        found = linked(best)
+        links = found if links is None else links.union(found)
+        tested = best if tested is None else tested.union(best)
+        parts = connected_components(links)
+        if not found.limit(1).count():
+            break
 
     placed = shown.join(parts, shown["class"] == parts["node"], "left").select(shown["*"], F.coalesce("root", "class").alias("part"))
     placed = stored(placed.withColumn("band", F.floor(F.log("n") / -math.log(percent / 100 - 0.01)).cast("int")), "placed")
@@ -261,7 +279,7 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> Da
         & (x("part") != y("part"))
         & ((y("part") == y("major")) | (x("class") < y("class")))
         & near(x("n"), y("n"))
-        & reach(x("n"), x("place"), y("n"), y("place")),
+        & reach(x, y),
     ).select(x("class").alias("a"), y("class").alias("b"), F.least(x("matches"), y("matches")).alias("need"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("got"), F.min("need").alias("need")).where("got >= need")
     links = links.union(linked(pairs))
