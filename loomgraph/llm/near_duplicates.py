@@ -280,7 +280,9 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> Da
         & ((y("part") == y("major")) | (x("class") < y("class")))
         & near(x("n"), y("n"))
         & reach(x, y),
-    ).select(x("class").alias("a"), y("class").alias("b"), F.least(x("matches"), y("matches")).alias("need"))
+    )
+    # Which side is minor may differ between the shingles of one pair, so it is named in one order.
+    pairs = pairs.select(F.least(x("class"), y("class")).alias("a"), F.greatest(x("class"), y("class")).alias("b"), F.least(x("matches"), y("matches")).alias("need"))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("got"), F.min("need").alias("need")).where("got >= need")
     links = links.union(linked(pairs))
     parts = connected_components(links)

@@ -133,6 +133,20 @@ def test_near_duplicates_in_large_families(spark, percent):
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: low[group[i]] for i in range(len(rows))}
 
 
+def test_links_found_by_shingles_of_either_family(spark):
+    """Two families joined by one borderline pair whose two shared prefix shingles stand mostly in one family each."""
+    from loomgraph.llm.near_duplicates import duplicates
+
+    rows = []
+    for g in range(8):
+        first, second = f"f{g}", f"s{g}"
+        rare, common = [f"r{g}x{i}" for i in range(20)], [f"c{g}x{i}" for i in range(78)]
+        for w in (rare + [first, second] + common, rare + [first] + common, [first, second] + common, [second] + common):
+            rows.append((len(rows), " ".join(w)))
+    found = duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i // 4 * 4 for i in range(len(rows))}
+
+
 def test_one_of_each_group_stays(spark, sf, docs):
     from loomgraph.llm.near_duplicates import keep_one
 
