@@ -8,8 +8,8 @@ gets the language of the nearest centroid; one that is further away than a
 language's own learning documents lie is marked as rejected.
 
 The sample is bounded by ``PER_LANGUAGE`` documents of each language, those with
-the smallest hashes of their doc_ids, of at most ``LONGEST`` bytes; inverse
-document frequencies are part of the fit.
+the smallest hashes, of any length; their counts, which have a fixed size, are
+moved instead of their texts. Inverse document frequencies are part of the fit.
 
 Defined results: a null or empty text, or one without a letter, is ``und`` with
 score 0; if nothing can be learned, all are ``und``; rows are judged one by
@@ -18,6 +18,7 @@ one; other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +37,6 @@ DIMS = 8192
 SIZES = (2, 3, 4)
 PER_LANGUAGE = 400
 CENTROIDS = 4
-LONGEST = 100_000
 #: Up to so many languages their counts are broadcast (some 4 MB); more are joined by a shuffle.
 MOST_LANGUAGES = 100_000
 #: Bytes of one text that are turned over at once.
@@ -112,12 +112,25 @@ def _cluster(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
     return centers[used], np.array([cosines[own == j, j].mean() for j in used], np.float32)
 
 
-def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from loomgraph.llm.batches import sliced
 
+    for small in sliced(batches, limit=1 << 20):
+        for a in range(0, small.num_rows, 100):
+            batch = small.slice(a, 100)
+            packed = [zlib.compress(row.tobytes(), 1) for row in counts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["lang", "h", "counts"])
+
+
+def _unpacked(packed: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(zlib.decompress(x), np.int64) for x in packed.to_pylist()])
+
+
+def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(DIMS, np.int64), 0
-    for batch in sliced(batches, limit=1 << 20):
-        total += (counts(batch.column(0)) > 0).sum(0)
+    for batch in batches:
+        for a in range(0, batch.num_rows, 100):
+            total += (_unpacked(batch.column(0).slice(a, 100)) > 0).sum(0)
         n += batch.num_rows
     yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.int64()))], names=["n", "df"])
 
@@ -132,11 +145,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS) -
     few = sizes.count() <= MOST_LANGUAGES
     share = F.least(F.lit(1.0), F.lit(per_language * 2.0) / F.col("count"))
     near = F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)
-    short = F.when(F.octet_length("text") <= LONGEST, F.col("text"))
-    picked = usable.withColumn("text", short).where("text is not null").join(F.broadcast(sizes) if few else sizes, "lang").where(near)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = stored(picked.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "text"), "language-sample")
-    parts = sample.select("text").mapInArrow(_document_frequency, "n long, df array<long>")
+    picked = usable.join(F.broadcast(sizes) if few else sizes, "lang").where(near).select("text", "lang", "h")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "counts"))
+    counted = picked.mapInArrow(_counted, "lang string, h long, counts binary")
+    sample = stored(counted.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "counts"), "language-sample")
+    parts = sample.select("counts").mapInArrow(_document_frequency, "n long, df array<long>")
     totals = parts.select("n", F.posexplode("df").alias("i", "df")).groupBy("i").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).collect()
     if not totals or totals[0]["n"] == 0:
         return None
@@ -146,8 +159,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, k: int = CENTROIDS) -
     shared = spark.sparkContext.broadcast(idf)
 
     def cluster(table: pa.Table) -> pa.Table:
-        texts = table.column("text").combine_chunks()
-        v = np.concatenate([vectors(counts(texts.slice(a, 100)), shared.value) for a in range(0, len(texts), 100)])
+        packed = table.column("counts").combine_chunks()
+        v = np.concatenate([vectors(_unpacked(packed.slice(a, 100)), shared.value) for a in range(0, len(packed), 100)])
         centers, usual = _cluster(v, k)
         return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * len(centers), pa.string()), "usual": pa.array(usual.astype(np.float64)), "center": pa.array(list(centers.astype(np.float32)), pa.list_(pa.float32()))})
 

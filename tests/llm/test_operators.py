@@ -261,6 +261,18 @@ def test_languages_held_out_accuracy(spark):
     assert joined.where("lang = lang_pred").count() >= 0.97 * joined.count()
 
 
+def test_languages_learn_from_long_texts(spark):
+    """A language whose documents are nearly all long is learned like the others."""
+    from loomgraph.llm.language_id import fit, predict
+
+    long, short = "der hund und die katze schlafen nicht ", "the dog and the cat are sleeping now "
+    rows = [(i, long * 3000, "de") for i in range(4)] + [(10 + i, short * 5, "en") for i in range(20)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {"de", "en"}
+    asked = spark.createDataFrame([(1, long), (2, short)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in predict(asked, model).collect()} == {1: "de", 2: "en"}
+
+
 def test_quality_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     found = run(spark, "op1_line_quality", folder)
