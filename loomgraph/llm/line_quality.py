@@ -10,8 +10,10 @@ document. The marginals of a document's lines, weighted by length, and a
 logistic curve fitted on the learning documents give its score.
 
 The field is fitted on a bounded sample: the ``TRAIN_DOCS`` labelled documents
-with the smallest hashes of their ids, of at most ``TRAIN_LINES`` lines each.
-All lines of all documents are scored.
+with the smallest hashes of their ids, of each the ``ROWS_PER_DOC`` distinct texts
+with the smallest hashes, and of a longer text ``TRAIN_LINES`` lines in ``WINDOWS``
+windows, one at a hashed place of each equal part of the text. All lines of all
+documents are scored.
 
 Defined results: a null or empty text has one empty line and is scored by it;
 without learnable labels of both kinds, the share of good labels (or 0.5) is
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.batches import bounded_batches
@@ -35,6 +37,8 @@ from loomgraph.llm.folds import held_out
 
 TRAIN_DOCS = 4000
 TRAIN_LINES = 100
+WINDOWS = 4
+ROWS_PER_DOC = 2
 ROUNDS = 120
 #: Bytes of lines whose statistics are made at once.
 PART = 2 << 20
@@ -237,23 +241,24 @@ def _ascend(z: np.ndarray, y: np.ndarray, bounds: np.ndarray, w: np.ndarray, tra
     return theta[:-4], theta[-4:].reshape(2, 2)
 
 
-def train(x: np.ndarray, length: np.ndarray, bounds: np.ndarray, quality: np.ndarray, rounds: int = ROUNDS) -> Field:
-    """Fit a field to documents' lines and quality labels (1 good, 0 bad)."""
+def train(x: np.ndarray, length: np.ndarray, bounds: np.ndarray, quality: np.ndarray, rounds: int = ROUNDS, chains: np.ndarray | None = None) -> Field:
+    """Fit a field to documents' lines and quality labels (1 good, 0 bad); ``chains`` bounds the runs of lines that follow one another."""
+    chains = bounds if chains is None else chains
     prior = float(quality.mean()) if len(quality) else 0.5
     if len(quality) == 0 or quality.min() == quality.max():
         return Field(prior)
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = np.clip((x - mean) / scale, -6, 6).astype(np.float64)
     y = np.repeat(quality, np.diff(bounds)).astype(np.int64)
-    w, trans = _ascend(z, y, bounds, np.zeros(z.shape[1] + 1), np.zeros((2, 2)), rounds)
+    w, trans = _ascend(z, y, chains, np.zeros(z.shape[1] + 1), np.zeros((2, 2)), rounds)
     # Lines of bad documents that look good are good, if the document keeps a bad one.
     alone = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
     lowest = np.minimum.reduceat(alone, bounds[:-1])
     flips = (y == 0) & (alone > 0.5) & (alone > np.repeat(lowest, np.diff(bounds)))
     y = np.where(flips, 1, y)
-    w, trans = _ascend(z, y, bounds, w, trans, rounds)
+    w, trans = _ascend(z, y, chains, w, trans, rounds)
     field = Field(prior, mean, scale, w, trans)
-    share = _logit(share_good(field.lines(x, bounds), length, bounds))
+    share = _logit(share_good(field.lines(x, chains), length, bounds))
     a, b = 1.0, 0.0
     for _ in range(60):  # Newton steps for the logistic curve
         p = 1 / (1 + np.exp(-np.clip(a * share + b, -50, 50)))
@@ -266,19 +271,43 @@ def train(x: np.ndarray, length: np.ndarray, bounds: np.ndarray, quality: np.nda
     return field
 
 
+def _windows(n: int, seed: int) -> np.ndarray:
+    """The lines of a text of ``n`` that are learned: all, or a window at a hashed place of each equal part."""
+    if n <= TRAIN_LINES:
+        return np.arange(n)
+    rng, size = np.random.default_rng(seed), TRAIN_LINES // WINDOWS
+    parts = [(n * i // WINDOWS, n * (i + 1) // WINDOWS) for i in range(WINDOWS)]
+    return np.concatenate([np.arange(size) + rng.integers(a, b - size + 1) for a, b in parts])
+
+
 def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from loomgraph.llm.batches import sliced
 
+    seen: dict[int, list[int]] = {}  # of each document, the smallest hashes of its texts so far
     for batch in sliced(batches, limit=1 << 20):
+        keep = []
+        for d, (i, h) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            least = seen.setdefault(i, [])
+            if h not in least and (len(least) < ROWS_PER_DOC or h < least[-1]):
+                seen[i] = sorted([*least, h])[:ROWS_PER_DOC]
+                keep.append(d)
+        if not keep:
+            continue
+        batch = batch.take(pa.array(keep, pa.int64()))
         x, length, bounds = features(batch.column(0))
-        keep = [d for d in range(batch.num_rows) if bounds[d + 1] - bounds[d] <= TRAIN_LINES]
+        hashes = batch.column(3).to_pylist()
+        lines = [bounds[d] + _windows(int(bounds[d + 1] - bounds[d]), hashes[d] % (1 << 63)) for d in range(batch.num_rows)]
+        chain = [TRAIN_LINES // WINDOWS if bounds[d + 1] - bounds[d] > TRAIN_LINES else len(at) for d, at in enumerate(lines)]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(1).take(pa.array(keep, pa.int64())),
-                pa.array([x[bounds[d] : bounds[d + 1]].tobytes() for d in keep], pa.binary()),
-                pa.array([length[bounds[d] : bounds[d + 1]].tobytes() for d in keep], pa.binary()),
+                batch.column(2),
+                batch.column(3),
+                batch.column(1),
+                pa.array(chain, pa.int32()),
+                pa.array([x[at].tobytes() for at in lines], pa.binary()),
+                pa.array([length[at].tobytes() for at in lines], pa.binary()),
             ],
-            names=["quality", "x", "length"],
+            names=["doc_id", "h", "quality", "chain", "x", "length"],
         )
 
 
@@ -291,16 +320,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Fie
     share = min(1.0, 1.5 * train_docs / max(1, known.count()))  # no task then sorts or sends more than it must
     chosen = known.where(place < int(share * (1 << 30))).orderBy(place, "doc_id").limit(train_docs)
     chosen = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, quality int")
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    got = picked.mapInArrow(_collect_features, "quality int, x binary, length binary").collect()
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality", "doc_id", F.xxhash64("text").alias("h"))
+    made = picked.mapInArrow(_collect_features, "doc_id long, h long, quality int, chain int, x binary, length binary")
+    # Tasks send few rows of a repeated doc_id; of equal texts from several tasks one counts.
+    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("h"))
+    got = made.dropDuplicates(["doc_id", "h"]).withColumn("r", rank).where(F.col("r") <= ROWS_PER_DOC).select("quality", "chain", "x", "length").collect()
     got.sort(key=lambda r: (bytes(r["x"]), r["quality"]))  # in the same order on every run
-    got = got[: 2 * train_docs]
     if not got:
         return Field(0.5)
     length = [np.frombuffer(r["length"], np.float64) for r in got]
     x = np.concatenate([np.frombuffer(r["x"], np.float32) for r in got]).reshape(-1, 3 * (OWN + 1) + 2)
     bounds = np.concatenate([[0], np.cumsum([len(v) for v in length])])
-    return train(x, np.concatenate(length), bounds, np.array([r["quality"] for r in got]))
+    steps = np.concatenate([np.full(len(v) // r["chain"], r["chain"]) for r, v in zip(got, length, strict=True)])
+    chains = np.concatenate([[0], np.cumsum(steps)])
+    return train(x, np.concatenate(length), bounds, np.array([r["quality"] for r in got]), chains=chains)
 
 
 def _score(shared):

@@ -66,6 +66,17 @@ def test_quality_scores(spark, sf, docs):
     assert all(by_id[i].predicted == 0 for i in (16, 17)) and all(by_id[i].predicted == 1 for i in range(34, 50))
 
 
+def test_quality_is_learned_from_long_documents(spark):
+    from loomgraph.llm.line_quality import fit, score
+
+    text = lambda i, n: "\n".join(("BUY $$$ NOW!! ***" if i % 2 else "a calm line of plain words follows here") + f" {j}" for j in range(n))
+    docs = spark.createDataFrame([(i, text(i, 150 + i)) for i in range(20)] + [(2, text(2, 10 + j)) for j in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(20)], "doc_id long, quality int")
+    field = fit(docs, labels)
+    assert abs(field.prior - 11 / 21) < 1e-9  # two of the texts under the repeated doc_id
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in score(docs, field).collect())
+
+
 def test_marginals_against_enumeration():
     from itertools import product
 
