@@ -30,13 +30,54 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(a, b - a)
 
 
-class Bounded(dict):
-    """A cache that starts anew when full."""
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts hold about ``limit`` bytes, small ones put together."""
+    held, size = [], 0
+    for batch in sliced(batches, column, limit):
+        more = batch.column(batch.schema.get_field_index(column)).nbytes
+        if held and size + more > limit:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
+class Recent:
+    """A cache in two generations: what is not asked for while a generation fills is forgotten.
+
+    It holds at most ``2 * most`` entries; keys longer than ``LONGEST`` characters
+    are never kept, so its bytes are bounded as well.
+    """
+
+    LONGEST = 64
 
     def __init__(self, most: int):
-        super().__init__()
         self.most = most
+        self.now: dict = {}
+        self.before: dict = {}
 
-    def room(self, n: int) -> None:
-        if len(self) + n > self.most:
-            self.clear()
+    def all_of(self, keys: list, make) -> list:
+        """The values of distinct ``keys``; ``make`` gives those of a list of unknown keys as a dict."""
+        if len(self.now) >= self.most:
+            self.before, self.now = self.now, {}
+        now, before = self.now, self.before
+        found = list(map(now.get, keys))
+        fresh = []
+        for j, x in enumerate(found):
+            if x is None:
+                key = keys[j]
+                x = found[j] = before.get(key)
+                if x is None:
+                    fresh.append(j)
+                elif len(now) < self.most:
+                    now[key] = x
+        if fresh:
+            made = make([keys[j] for j in fresh])
+            for j in fresh:
+                key = keys[j]
+                x = found[j] = made[key]
+                if len(key) <= self.LONGEST and len(now) < self.most:
+                    now[key] = x
+        return found

@@ -9,17 +9,45 @@ place; the first compatible one is stored, and back-pointers give the ids.
 
 In a vocabulary with an end-of-word mark, a word's last symbol carries the mark
 and is a symbol of its own.
+
+Memory: some 100 MB for the tables of 50,000 tokens, 20 MB for pair tests at
+most, and some 20 bytes for each byte of the word in hand.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 
 import ahocorasick
 
 _NEVER = 1 << 60
 #: Moves a character that carries the end-of-word mark out of the way of all others.
 _MARKED = 0x100000
+#: Pair tests that are kept.
+PAIRS = 150_000
+
+
+def _visible_bytes() -> list[str]:
+    """The visible character of each byte in byte-level vocabularies: itself, or the next free one from 256 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, free = [], 256
+    for b in range(256):
+        if b in visible:
+            out.append(chr(b))
+        else:
+            out.append(chr(free))
+            free += 1
+    return out
+
+
+_VISIBLE = _visible_bytes()
+_VISIBLE_TABLE = dict(enumerate(_VISIBLE))
+
+
+def visible(word: str) -> str:
+    """A word in the characters of byte-level vocabularies."""
+    return word if word.isascii() and word.isprintable() and " " not in word else word.encode().decode("latin-1").translate(_VISIBLE_TABLE)
 
 
 class PrefixBpe:
@@ -40,8 +68,9 @@ class PrefixBpe:
         self._whole: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for text, token in self.vocab.items():
-            symbols = self._symbols(text)
-            self.automaton.add_word(symbols, (token, len(symbols)))
+            if self.whole(token):  # others stand in no encoding
+                symbols = self._symbols(text)
+                self.automaton.add_word(symbols, (token, len(symbols)))
         self.automaton.make_automaton()
 
     def _symbols(self, text: str) -> str:
@@ -88,34 +117,41 @@ class PrefixBpe:
         key = a << 32 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) >= PAIRS:
                 self._fits.clear()
             known = self._fits[key] = self._first_crossing(a, b) == _NEVER
         return known
 
-    def encode(self, word: str) -> list[int]:
-        """Ids of one pre-token, given as the characters of the vocabulary."""
+    def encode(self, word: str) -> list[int] | array:
+        """Ids of one pre-token, given as the characters of the vocabulary; an array if it is long."""
         if not word:
             return []
         symbols = word[:-1] + chr(ord(word[-1]) + _MARKED) if self.mark else word
         n = len(symbols)
-        last = [-1] * (n + 1)
-        size = [0] * (n + 1)
+        kind = list if n < 1000 else (lambda x: array("i", x))  # lists are faster, arrays smaller
+        last, size = kind([-1]) * (n + 1), kind([0]) * (n + 1)
+        known = self._fits.get
         for end, (token, length) in self.automaton.iter(symbols):
             end += 1
             if last[end] >= 0:
                 continue
             start = end - length
-            before = last[start]
-            if (start == 0 or (before >= 0 and self.fits(before, token))) and self.whole(token):
-                last[end], size[end] = token, length
-        out = []
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                fits = known(before << 32 | token)
+                if not (self.fits(before, token) if fits is None else fits):
+                    continue
+            last[end], size[end] = token, length
+        out = kind([])
         while n:
             if last[n] < 0:
                 raise ValueError("the vocabulary lacks a symbol of the text")
             out.append(last[n])
             n -= size[n]
-        return out[::-1]
+        out.reverse()
+        return out
 
 
 def load(path: str) -> PrefixBpe:

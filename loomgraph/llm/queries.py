@@ -33,9 +33,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=1024)
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
 def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +54,7 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return token_files.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2)
+    return token_files.round_trip(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2)
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

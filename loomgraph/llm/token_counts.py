@@ -1,7 +1,7 @@
 """Token counts without token ids per document.
 
 1. The distinct pre-tokens of all texts, with their frequencies, are gathered
-   by a distributed count.
+   batch by batch, then by a distributed count.
 2. The tokenizer counts the pieces of each distinct pre-token once.
 3. Per-document pre-token frequencies are joined to these counts and summed.
    The most frequent pre-tokens, a fixed number at most, are joined by broadcast in the
@@ -16,60 +16,32 @@ are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.batches import Bounded, bounded_batches
+from loomgraph.llm.batches import bounded_batches, gathered
 from loomgraph.plans.scratch import stored
 
 #: Pre-tokens joined by broadcast: at most some 20 MB on each worker, whatever the input.
 HEAD = 1 << 18
-#: Distinct pieces that a worker holds before it passes its counts on.
-HELD = 300_000
+BATCH = 8 << 20
 
 
-
-
-def _gather(path: str, pattern: str):
+def _gather(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomgraph.llm.pretokens import PreTokens
 
-        pre = PreTokens(path, pattern)
-        pieces: Counter = Counter()
-        whole: Counter = Counter()
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            total = Counter(whole)
-            for piece, n in pieces.items():
-                for x in pre.of(" " + piece):
-                    if x is not None:
-                        total[x] += n
-            pieces.clear()
-            whole.clear()
-            if total:
-                keys = list(total)
-                for a in range(0, len(keys), 50_000):
-                    part = keys[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[k] for k in part], pa.int64())], names=["pretoken", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                first, *rest = text.split(" ")
-                if any(p not in pieces and not pre.alone(p) for p in set(rest)):
-                    whole.update(x for x in pre.of(text) if x is not None)
-                else:
-                    pieces.update(rest)
-                    whole.update(x for x in pre.of(first) if x is not None)
-            if len(pieces) + len(whole) > HELD:
-                yield from flush()
-        yield from flush()
+        pre = PreTokens(path)
+        for batch in gathered(batches, limit=BATCH):
+            cut = pre.cut(batch.column(0))
+            n = np.bincount(cut.index, minlength=len(cut.words))
+            yield pa.RecordBatch.from_arrays([pa.array(cut.words, pa.string()), pa.array(n, pa.int64())], names=["pretoken", "n"])
 
     return run
 
@@ -77,94 +49,60 @@ def _gather(path: str, pattern: str):
 def _count_pieces(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from loomgraph.llm.pretokens import Ids, PreTokens
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+        ids = Ids(PreTokens(path))
         for batch in batches:
-            found = tokenizer.encode_batch_fast(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64())], names=["pretoken", "n", "pieces"])
+            words = batch.column(0).to_numpy(zero_copy_only=False).tolist()
+            found = ids.of(words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(found[w]) // 4 for w in words], pa.int64())], names=["pretoken", "n", "pieces"])
 
     return run
 
 
-def _join_head(path: str, pattern: str, head):
+ROWS = "row long, doc_id long, n_bytes long, sure long, pretoken string, freq long"
+
+
+def _join_head(path: str, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomgraph.llm.pretokens import PreTokens
 
-        pre = PreTokens(path, pattern)
-        counts = head.value
+        pre, counts = PreTokens(path), head.value
         row = TaskContext.get().partitionId() << 40
-        tail_of: dict[str, tuple[str, ...]] = {}
-
-        def split(found: list) -> tuple[int, tuple[str, ...]]:
-            sure, rest = 0, []
-            for x in found:
-                n = 1 if x is None else counts.get(x)
-                if n is None:
-                    rest.append(x)
-                else:
-                    sure += n
-            return sure, tuple(rest)
-
-        class Pieces(Bounded):
-            def __missing__(self, piece: str) -> int:
-                if not pre.alone(piece):
-                    return 1 << 60  # cut the text as a whole
-                sure, rest = split(pre.of(" " + piece))
-                if rest:
-                    tail_of[piece] = rest
-                self[piece] = sure
-                return sure
-
-        known = Pieces(HELD)
-        for batch in batches:
-            if len(known) > HELD:
-                known.clear()
-                tail_of.clear()
-            rows, ids, sizes, sure, tails, freqs = [], [], [], [], [], []
-
-            def put(i, size, n, tail, freq, row):
-                rows.append(row)
-                ids.append(i)
-                sizes.append(size)
-                sure.append(n)
-                tails.append(tail)
-                freqs.append(freq)
-
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
-                row += 1
-                first, *rest = text.split(" ")
-                n = sum(map(known.__getitem__, rest))
-                if n >= 1 << 60:
-                    n, tail = split(pre.of(text))
-                    tail = Counter(tail)
-                else:
-                    begun, tail_first = split(pre.of(first))
-                    n += begun
-                    tail = Counter(tail_first)
-                    if tail_of:
-                        for p in filter(tail_of.__contains__, rest):
-                            tail.update(tail_of[p])
-                put(i, len(text.encode()), n, None, None, row)
-                for t, k in tail.items():
-                    put(None, None, None, t, k, row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, y) for x, y in ((rows, pa.int64()), (ids, pa.int64()), (sizes, pa.int64()), (sure, pa.int64()), (tails, pa.string()), (freqs, pa.int64()))],
-                names=["row", "doc_id", "n_bytes", "sure", "pretoken", "freq"],
-            )
+        for batch in gathered(batches, limit=BATCH):
+            n = batch.num_rows
+            cut = pre.cut(batch.column(1))
+            known = np.array([counts.get(w, -1) for w in cut.words], np.int64)
+            each = known[cut.index]
+            sure = np.diff(np.concatenate([[0], np.cumsum(np.maximum(each, 0))])[cut.bounds])
+            rows = np.arange(row, row + n)
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            yield _rows(rows, batch.column(0), sizes, pa.array(sure), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()))
+            # Pre-tokens outside the head, with their frequency in each document.
+            rare = np.flatnonzero(each < 0)
+            if len(rare):
+                of = np.searchsorted(cut.bounds, rare, "right") - 1
+                pairs, freq = np.unique(of.astype(np.int64) << 32 | cut.index[rare], return_counts=True)
+                words = pa.array(cut.words, pa.string()).take(pa.array(pairs & 0xFFFFFFFF))
+                for a in range(0, len(pairs), 50_000):
+                    part = slice(a, a + 50_000)
+                    none = pa.nulls(len(pairs[part]), pa.int64())
+                    yield _rows(row + (pairs[part] >> 32), none, none, none, words[part], pa.array(freq[part], pa.int64()))
+            row += n
 
     return run
 
 
-def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, head: int = HEAD) -> DataFrame:
+def _rows(rows: np.ndarray, *columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *columns], names=["row", "doc_id", "n_bytes", "sure", "pretoken", "freq"])
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row of ``docs``."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select("text")
-    distinct = texts.mapInArrow(_gather(path, pattern), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
+    distinct = texts.mapInArrow(_gather(path), "pretoken string, n long").groupBy("pretoken").agg(F.sum("n").alias("n"))
     pieces = stored(distinct.mapInArrow(_count_pieces(path), "pretoken string, n long, pieces long"), "pieces")
     # Classes of frequency, from the highest down, as long as all their pre-tokens fit into the head.
     level = F.floor(F.log2("n") * 8).cast("int")
@@ -176,7 +114,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, he
         lowest = r["level"]
     top = [] if lowest is None else pieces.where(level >= lowest).select("pretoken", "pieces").collect()
     shared = spark.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in top})
-    made = docs.select("doc_id", "text").mapInArrow(_join_head(path, pattern, shared), "row long, doc_id long, n_bytes long, sure long, pretoken string, freq long")
+    made = docs.select("doc_id", "text").mapInArrow(_join_head(path, shared), ROWS)
     made = stored(made, "token-counts")
     tail = made.where("pretoken is not null").select("row", "pretoken", "freq").join(pieces.select("pretoken", "pieces"), "pretoken")
     summed = tail.groupBy("row").agg(F.sum(F.col("freq") * F.col("pieces")).alias("rest"))

@@ -7,7 +7,7 @@ stripes in parallel.
 
 Defined results: a null or empty text has the end id alone; null doc_ids come
 first; rows with equal doc_ids are ordered by a hash of their texts, equal rows
-are interchangeable; other columns are not read; an empty table gives an empty
+are interchangeable and may fall into several files; other columns are not read; an empty table gives an empty
 result.
 """
 
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,111 +23,72 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.batches import Bounded, bounded_batches
+from loomgraph.llm.batches import Recent, bounded_batches, gathered
+from loomgraph.llm.word_codec import joined
 from loomgraph.plans.scratch import new_path
 
 SCHEMA = "doc_id long, part int, part_start long, n_ids int, ids array<int>"
-#: Pieces and pre-tokens whose ids a worker keeps from task to task, some 200 MB at most.
-HELD = 400_000
-HELD_PRETOKENS = 600_000
+#: Pre-tokens in one generation of those whose ids a worker keeps, 200 MB in both at most.
+HELD = 300_000
+BATCH = 8 << 20
 
 
-class ChunkEncoder:
-    """Encodes texts by the library, each distinct pre-token once.
+class Encoder:
+    """Encodes batches of texts by the library, each distinct pre-token of a batch once."""
 
-    Texts are cut at single spaces; the ids of a piece follow from those of its
-    pre-tokens and are kept as well. A piece that depends on its neighbours is
-    kept as ``None``, and its text is encoded as a whole.
-    """
-
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from loomgraph.llm.pretokens import PreTokens
-
-        self.pre = PreTokens(path, pattern)
-        self.tokenizer = self.pre.tokenizer
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.pieces = Bounded(HELD)
-        self.pretokens = Bounded(HELD_PRETOKENS)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("i", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, fresh: set[str]) -> None:
-        pre, pieces, known = self.pre, self.pieces, self.pretokens
-        cut = {}
-        for p in fresh:
-            if pre.alone(p):
-                cut[p] = pre.of(" " + p)
-            else:
-                pieces[p] = None
-        new = {x for found in cut.values() for x in found if x not in known}
-        if len(known) + len(new) > known.most:
-            known.clear()
-            new = {x for found in cut.values() for x in found}
-        new = list(new)
-        known.update(zip(new, self._ids(new), strict=True))
-        for p, found in cut.items():
-            pieces[p] = known[found[0]] if len(found) == 1 else b"".join([known[x] for x in found])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [(t or "").split(" ") for t in texts]
-        firsts = self._ids([pieces.pop(0) for pieces in cut])
-        known = self.pieces
-        get = known.__getitem__
-        out = []
-        for i, pieces in enumerate(cut):
-            try:
-                try:
-                    ids = b"".join(map(get, pieces))
-                except KeyError:
-                    fresh = {p for p in pieces if p not in known}
-                    if len(known) + len(fresh) > known.most:
-                        known.clear()
-                        fresh = set(pieces)
-                    self._learn(fresh)
-                    ids = b"".join(map(get, pieces))
-                out.append(firsts[i] + ids)
-            except TypeError:  # a piece that depends on its neighbours
-                out.append(self._ids([texts[i]])[0])
-        return out
+        from loomgraph.llm.pretokens import Ids, PreTokens
+
+        self.pre = PreTokens(path)
+        if self.pre.words:
+            raise ValueError("only byte-level BPE files are supported")
+        self.ids = Ids(self.pre)
+        self.known = Recent(HELD)
+
+    def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their bounds; ``end_id`` closes each text."""
+        cut = self.pre.cut(texts)
+        values = self.known.all_of(cut.words, self.ids.of)
+        index, bounds = cut.index, cut.bounds
+        if end_id is not None:
+            index = np.insert(index, bounds[1:], len(values))
+            values = [*values, np.array([end_id], "<i4").tobytes()]
+            bounds = bounds + np.arange(len(bounds))
+        return joined(values, index, bounds)
 
 
 #: A worker process runs many tasks; its encoders outlive them.
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def _encode(path: str, pattern: str, end_id: int | None):
+def _encode(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from loomgraph.llm.batches import sliced
-
-        encoder = _ENCODERS[path] if path in _ENCODERS else _ENCODERS.setdefault(path, ChunkEncoder(path, pattern))
-        end = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
+        encoder = _ENCODERS[path] if path in _ENCODERS else _ENCODERS.setdefault(path, Encoder(path))
         part, at = TaskContext.get().partitionId(), 0
-        for batch in sliced(batches):
-            made = [x + end for x in encoder.encode(batch.column(1).to_pylist())]
-            sizes = np.array([len(x) // 4 for x in made], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(made), "<i4")))
+        for batch in gathered(batches, limit=BATCH):
+            n = batch.num_rows
+            values, bounds = encoder.encode(batch.column(1), end_id)
+            ids = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(values)).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(made), part, np.int32)), pa.array(at + offsets[:-1]), pa.array(sizes.astype(np.int32)), ids],
+                [batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(at + bounds[:-1]), pa.array(np.diff(bounds).astype(np.int32)), ids],
                 names=["doc_id", "part", "part_start", "n_ids", "ids"],
             )
-            at += int(offsets[-1])
+            at += int(bounds[-1])
 
     return run
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int | None = None, partitions: int | None = None) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, partitions: int | None = None) -> None:
     """Write the ids of all texts to ORC files at ``path``, files and rows in doc_id order."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
-    dealt = keyed.repartitionByRange(partitions, "doc_id", "_tie") if partitions else keyed.repartitionByRange("doc_id", "_tie")
-    ordered = dealt.sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
-    made = ordered.mapInArrow(_encode(tokenizer, pattern, end_id), SCHEMA)
+    # Equal rows are dealt by their place, so that no file gets more than its share of them.
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"), F.monotonically_increasing_id().alias("_place"))
+    by = ("doc_id", "_tie", "_place")
+    dealt = keyed.repartitionByRange(partitions, *by) if partitions else keyed.repartitionByRange(*by)
+    ordered = dealt.sortWithinPartitions(*by).select("doc_id", "text")
+    made = ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA)
     made.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "10000").orc(path)
 
 
@@ -158,9 +118,9 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return read_ids(spark, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, pattern: str, end_id: int | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
     """Write the ids of ``docs`` to a new folder of the shared one and digest what the files hold."""
     spark = docs.sparkSession
     path = new_path(spark, "token-ids")
-    write_ids(docs, path, tokenizer, pattern, end_id)
+    write_ids(docs, path, tokenizer, end_id)
     return digests(spark, path)

@@ -1,8 +1,13 @@
 """Encoding and decoding of texts with a word-level BPE file (lower case, word ends marked).
 
-Texts are cut at single spaces; each distinct piece is normalised, cut into
-words and encoded once per worker by ``PrefixBpe``, then kept. No token spans
-white space in such a file, so pieces do not depend on each other.
+A batch is cut into words by ``pretokens``; each distinct word of it is encoded
+once by ``PrefixBpe``, or taken from the words that the worker has kept. The ids
+and the decoded text of a document are then gathered by number. No token spans
+white space or two words in such a file, so words do not depend on each other.
+
+Memory of a worker: ``prefix_bpe``'s tables, ``2 * HELD`` kept words of 64
+characters at most (some 80 MB), and some twenty times a batch of ``BATCH``
+bytes; a longer single text is a batch of its own.
 
 Defined results: a null or empty text has no ids and decodes to the empty
 string; special strings inside texts become their ids, as the library has it by
@@ -13,124 +18,96 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import json
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.batches import Bounded, bounded_batches
+from loomgraph.llm.batches import Recent, bounded_batches, gathered
 
-#: Pieces that a worker keeps from task to task, some 200 MB at most.
-HELD = 500_000
+#: Words in one generation of those that a worker keeps from task to task.
+HELD = 200_000
+BATCH = 8 << 20
 
 
 class WordCodec:
     def __init__(self, path: str):
-        import regex
-        from tokenizers import Tokenizer
-
         from loomgraph.llm.prefix_bpe import PrefixBpe
+        from loomgraph.llm.pretokens import PreTokens
 
-        with open(path, encoding="utf-8") as f:
-            text = f.read()
-        spec = json.loads(text)
-        split, byte_level = spec["pre_tokenizer"]["pretokenizers"]
-        if not (split["type"] == "Split" and split["invert"] and split["behavior"] == "Removed" and byte_level["type"] == "ByteLevel" and not byte_level["use_regex"]):
-            raise ValueError("only word-level BPE files that drop white space are supported")
-        if spec.get("decoder") is not None:
-            raise ValueError("only files without a decoder are supported")
-        self.tokenizer = Tokenizer.from_str(text)
-        self.bpe = PrefixBpe(spec["model"])
-        self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.beyond_latin = regex.compile("[^\\x00-\\u02ff]")
-        self.of_byte = _byte_characters()
-        self.words: Bounded = Bounded(HELD)
+        self.pre = PreTokens(path)
+        if not self.pre.words or self.pre.spec.get("decoder") is not None:
+            raise ValueError("only word-level BPE files without a decoder are supported")
+        self.bpe = PrefixBpe(self.pre.spec["model"])
+        self.special = self.pre.special
         self.strings = self.bpe.strings | {i: s for s, i in self.special.items()}
+        every = range(max(self.strings) + 1)
+        self.numbers = pa.array([f" {i}" for i in every], pa.large_string())
+        self.tokens = pa.array([f" {self.strings.get(i, '')}" for i in every], pa.large_string())
+        self.known = Recent(HELD)
+
+    def _word(self, word: str) -> list[int]:
+        from loomgraph.llm.prefix_bpe import visible
+
+        if word in self.special:
+            return [self.special[word]]
+        return self.bpe.encode(visible(self.pre.bare(word)))
 
-    def _words(self, text: str) -> list[str]:
-        """Words of one text without special strings, in the vocabulary's characters."""
-        if self.beyond_latin.search(text):
-            return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
-        table = self.of_byte
-        return ["".join([table[b] for b in w.encode()]) if not (w.isascii() and w.isprintable()) else w for w in self.pattern.findall(text.lower())]
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text, as the library gives them without added special tokens."""
-        out: list[int] = []
-        for i, part in enumerate(self.cut.split(text)):
-            if i % 2:
-                out.append(self.special[part])
-            elif part:
-                for word in self._words(part):
-                    ids = self.words.get(word)
-                    if ids is None:
-                        self.words.room(1)
-                        ids = self.words[word] = self.bpe.encode(word)
-                    out += ids
-        return out
+    def _make(self, words: list[str]) -> dict[str, bytes]:
+        return {w: array("i", self._word(w)).tobytes() for w in words}
+
+    def encode(self, texts: pa.Array) -> pa.LargeListArray:
+        """Ids of each text, as the library gives them without added special tokens."""
+        cut = self.pre.cut(texts)
+        ids, bounds = joined(self.known.all_of(cut.words, self._make), cut.index, cut.bounds)
+        return pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(ids))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: their tokens joined by spaces, as the library gives it for a file without a decoder."""
         return " ".join([self.strings[i] for i in ids])
 
+    def written(self, ids: pa.LargeListArray) -> tuple[list[memoryview], list[memoryview]]:
+        """The ids and the tokens of each list, written out with a space between two."""
+        index, bounds = ids.values, ids.offsets.to_numpy()
+        return tuple(_spelled(table.take(index), bounds) for table in (self.numbers, self.tokens))
 
-def _byte_characters() -> list[str]:
-    """The visible character of each byte in byte-level vocabularies: itself, or the next free one from 256 on."""
-    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    out, free = [], 256
-    for b in range(256):
-        if b in visible:
-            out.append(chr(b))
-        else:
-            out.append(chr(free))
-            free += 1
-    return out
 
+def joined(values: list[bytes], index: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit ids of the words that ``index`` names, one after another, and their bounds per text."""
+    taken = pa.array(values, pa.large_binary()).take(pa.array(index))
+    if not len(taken):
+        return np.empty(0, np.int32), np.zeros(len(bounds), np.int64)
+    _, offsets, data = taken.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(taken) + 1)
+    return np.frombuffer(data, "<i4", int(ends[-1]) // 4), ends[bounds] // 4
 
-class _Pieces(Bounded):
-    """Ids of each piece as bytes, each id after a space; ``tokens`` has its tokens likewise."""
 
-    def __init__(self, path: str):
-        super().__init__(HELD)
-        self.codec = WordCodec(path)
-        self.tokens: dict[str, bytes] = {}
+def _spelled(taken: pa.Array, bounds: np.ndarray) -> list[memoryview]:
+    if not len(taken):
+        return [memoryview(b"")] * (len(bounds) - 1)
+    _, offsets, data = taken.buffers()
+    at = np.frombuffer(offsets, np.int64, len(taken) + 1)[bounds].tolist()
+    view = memoryview(data)
+    return [view[a + 1 : b] if b > a else view[:0] for a, b in zip(at, at[1:], strict=False)]
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.codec.encode(piece)
-        self.tokens[piece] = "".join([" " + self.codec.strings[i] for i in ids]).encode()
-        made = self[piece] = "".join([f" {i}" for i in ids]).encode()
-        return made
 
+#: A worker process runs many tasks; its codec outlives them.
+_KNOWN: dict[str, WordCodec] = {}
 
-#: A worker process runs many tasks; what it has coded outlives them.
-_KNOWN: dict[str, _Pieces] = {}
+
+def _codec(path: str) -> WordCodec:
+    return _KNOWN[path] if path in _KNOWN else _KNOWN.setdefault(path, WordCodec(path))
 
 
 def _code(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from loomgraph.llm.batches import sliced
-
-        ids_of = _KNOWN[path] if path in _KNOWN else _KNOWN.setdefault(path, _Pieces(path))
-        tokens = ids_of.tokens
-        for batch in sliced(batches):
-            if len(ids_of) > HELD:
-                ids_of.clear()
-                tokens.clear()
-            counts, id_hashes, text_hashes = [], [], []
-            for text in batch.column(1).to_pylist():
-                pieces = (text or "").replace("\n", " ").split(" ")
-                ids = b"".join(map(ids_of.__getitem__, pieces))[1:]
-                decoded = b"".join(map(tokens.__getitem__, pieces))[1:]
-                counts.append(ids.count(b" ") + 1 if ids else 0)
-                id_hashes.append(hashlib.sha256(ids).hexdigest())
-                text_hashes.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        codec = _codec(path)
+        for batch in gathered(batches, limit=BATCH):
+            ids = codec.encode(batch.column(1))
+            hashed = [pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()) for parts in codec.written(ids)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids.value_lengths(), *hashed], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -143,10 +120,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def _ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(path)
-        for batch in batches:
-            ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        codec = _codec(path)
+        for batch in gathered(batches, limit=BATCH):
+            yield pa.RecordBatch.from_arrays([batch.column(0), codec.encode(batch.column(1)).cast(pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
 
@@ -159,7 +135,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def _texts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = WordCodec(path)
+        codec = _codec(path)
         for batch in batches:
             texts = [codec.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

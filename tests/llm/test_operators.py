@@ -202,7 +202,7 @@ def test_token_counts(spark, sf, docs):
     assert table(run(spark, "op3_token_counts", sf)) == sorted(expected, key=repr)
     from loomgraph.llm.token_counts import count_tokens
 
-    small_head = count_tokens(spark.read.parquet(f"{sf}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, head=5)
+    small_head = count_tokens(spark.read.parquet(f"{sf}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), head=5)
     assert table(small_head) == sorted(expected, key=repr)
 
 
@@ -226,7 +226,7 @@ def test_token_files_have_an_index(spark, sf, tmp_path):
     from loomgraph.llm import token_files
 
     path = f"file://{tmp_path}/ids"
-    token_files.write_ids(spark.read.parquet(f"{sf}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2)
+    token_files.write_ids(spark.read.parquet(f"{sf}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
     parts = [p for p in (tmp_path / "ids").iterdir() if p.suffix == ".orc"]
     assert parts and all(orc.ORCFile(p).nstripes >= 1 for p in parts)
     assert token_files.read_ids(spark, path).where("doc_id = 7").count() == 1
