@@ -1,102 +1,122 @@
-"""Codec of global addresses: 64-bit patterns held in signed columns, decoded with unsigned shifts."""
+"""Codec of global addresses: 64-bit patterns held in signed columns.
+
+An address has one of seven forms, four for absolute addresses and three for
+those relative to the reader's place. A form is a set of flag bits, the place
+fields that it carries and the number of bits of its offset; encoding and
+decoding both follow from that table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.intmath import long
 
+TIERS = ("l1sp", "l2sp", "dram", "ctrl")
+# Places of the flag bits, absolute addresses first, and the offset bits of relative forms.
+ABSOLUTE, FAR_DRAM, FAR_L2SP, CONTROL = 63, 62, 61, 29
+NEAR_DRAM, NEAR_L2SP = 30, 29
+NEAR_DRAM_BITS, NEAR_BITS = 30, 29
+#: Place fields that each tier has.
+PLACES = {"dram": ("pxn",), "l2sp": ("pxn", "pod"), "ctrl": ("pxn", "pod", "core"), "l1sp": ("pxn", "pod", "core")}
 
-@dataclass(frozen=True)
-class Bits:
-    """Bits ``high`` to ``low`` of a word; empty if high < low."""
-
-    high: int
-    low: int
-
-    @property
-    def mask(self) -> int:
-        return (1 << max(0, self.high - self.low + 1)) - 1
 
-    def get(self, word: Column) -> Column:
-        if self.high < self.low:
-            return F.lit(0).cast("long")
-        return F.shiftrightunsigned(word, self.low).bitwiseAND(long(self.mask))
+@dataclass(frozen=True)
+class Form:
+    absolute: bool
+    tier: str
+    flags: tuple[int, ...]
+    offset_bits: int
 
-    def place(self, value: Column) -> Column:
-        """The value moved to its place in an empty word."""
-        if self.high < self.low:
-            return F.lit(0).cast("long")
-        return F.shiftleft(long(value).bitwiseAND(long(self.mask)), self.low)
 
-    def set(self, word: Column, value: Column) -> Column:
-        keep = ~(self.mask << self.low)
-        return word.bitwiseAND(long(keep)).bitwiseOR(self.place(value))
+def _either(parts: list[Column]) -> Column:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.bitwiseOR(x)
+    return out
 
 
-TIERS = ("l1sp", "l2sp", "dram", "ctrl")
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, so that plans stay small."""
+    return F.transform(F.array(value), use)[0]
 
 
 class Layout:
-    """Field places for a machine of so many nodes (pxn), pods a node and cores a pod."""
+    """Places of the fields for a machine of so many nodes (pxn), pods a node and cores a pod."""
 
     def __init__(self, pxns: int, pods: int, cores: int):
-        self.is_absolute = Bits(63, 63)
-        self.is_dram, self.is_l2sp, self.is_ctrl = Bits(62, 62), Bits(61, 61), Bits(29, 29)
-        widths = [(n - 1).bit_length() for n in (pxns, pods, cores)]
-        low = self.is_l2sp.low
-        self.pxn = Bits(low - 1, low - widths[0])
-        self.pod = Bits(self.pxn.low - 1, self.pxn.low - widths[1])
-        self.core = Bits(self.pod.low - 1, self.pod.low - widths[2])
-        self.dram_offset = Bits(self.pxn.low - 1, 0)
-        self.l2sp_offset = Bits(self.pod.low - 1, 0)
-        self.l1sp_offset = Bits(self.is_ctrl.low - 1, 0)
-        self.rel_is_dram, self.rel_is_l2sp = Bits(30, 30), Bits(29, 29)
-        self.rel_l1sp_offset, self.rel_l2sp_offset, self.rel_dram_offset = Bits(28, 0), Bits(28, 0), Bits(29, 0)
+        low, self.fields = FAR_L2SP, {}
+        for name, n in (("pxn", pxns), ("pod", pods), ("core", cores)):
+            width = (n - 1).bit_length()
+            low -= width
+            self.fields[name] = low, (1 << width) - 1
+        low_of = lambda name: self.fields[name][0]
+        self.forms = (
+            # Tested in this order: the first whose flags are all set is the form.
+            Form(True, "dram", (ABSOLUTE, FAR_DRAM), low_of("pxn")),
+            Form(True, "l2sp", (ABSOLUTE, FAR_L2SP), low_of("pod")),
+            Form(True, "ctrl", (ABSOLUTE, CONTROL), 0),
+            Form(True, "l1sp", (ABSOLUTE,), CONTROL),
+            Form(False, "dram", (NEAR_DRAM,), NEAR_DRAM_BITS),
+            Form(False, "l2sp", (NEAR_L2SP,), NEAR_BITS),
+            Form(False, "l1sp", (), NEAR_BITS),
+        )
+
+    @staticmethod
+    def _flags(form: Form) -> Column:
+        pattern = sum(1 << b for b in form.flags)
+        return long(pattern - (1 << 64) if pattern >> 63 else pattern)
 
     def decode(self, addr: Column, my_pxn=0, my_pod=0, my_core=0) -> Column:
         """struct(absolute, tier, pxn, pod, core, offset); fields that a tier has not are 0, relative ones are the reader's."""
-        absolute = self.is_absolute.get(addr) == 1
-        nothing = F.lit(0).cast("long")
-        tier = F.when(
-            absolute,
-            F.when(self.is_dram.get(addr) == 1, "dram").when(self.is_l2sp.get(addr) == 1, "l2sp").when(self.is_ctrl.get(addr) == 1, "ctrl").otherwise("l1sp"),
-        ).otherwise(F.when(self.rel_is_dram.get(addr) == 1, "dram").when(self.rel_is_l2sp.get(addr) == 1, "l2sp").otherwise("l1sp"))
-        has = lambda names, value: F.when(tier.isin(*names), value).otherwise(nothing)
-        pxn = F.when(absolute, self.pxn.get(addr)).otherwise(long(my_pxn))
-        pod = has(("l1sp", "l2sp", "ctrl"), F.when(absolute, self.pod.get(addr)).otherwise(long(my_pod)))
-        core = has(("l1sp", "ctrl"), F.when(absolute, self.core.get(addr)).otherwise(long(my_core)))
-        far = F.when(tier == "dram", self.dram_offset.get(addr)).when(tier == "l2sp", self.l2sp_offset.get(addr)).when(tier == "l1sp", self.l1sp_offset.get(addr)).otherwise(nothing)
-        near = F.when(tier == "dram", self.rel_dram_offset.get(addr)).when(tier == "l2sp", self.rel_l2sp_offset.get(addr)).otherwise(self.rel_l1sp_offset.get(addr))
-        offset = F.when(absolute, far).otherwise(near)
-        return F.struct(absolute.alias("absolute"), tier.alias("tier"), pxn.alias("pxn"), pod.alias("pod"), core.alias("core"), offset.alias("offset"))
+        mine = {"pxn": my_pxn, "pod": my_pod, "core": my_core}
+
+        def which(word: Column) -> Column:
+            chosen = None
+            for i, form in enumerate(self.forms):
+                hit = word.bitwiseAND(self._flags(form)) == self._flags(form)
+                chosen = F.when(hit, i) if chosen is None else chosen.when(hit, i)
+            return chosen
+
+        def parts(word: Column, i: Column) -> Column:
+            of_form = lambda value: F.get(F.array(*[F.lit(value(f)) for f in self.forms]), i)
+            absolute = of_form(lambda f: f.absolute)
+            place = []
+            for name, (low, mask) in self.fields.items():
+                here = F.when(absolute, F.shiftrightunsigned(word, low).bitwiseAND(long(mask))).otherwise(long(mine[name]))
+                place.append(F.when(of_form(lambda f: name in PLACES[f.tier]), here).otherwise(long(0)).alias(name))  # noqa: B023
+            offset = word.bitwiseAND(F.get(F.array(*[long((1 << f.offset_bits) - 1) for f in self.forms]), i))
+            return F.struct(absolute.alias("absolute"), of_form(lambda f: f.tier).alias("tier"), *place, offset.alias("offset"))
+
+        return _named(addr, lambda word: _named(which(word), lambda i: parts(word, i)))
 
     def encode(self, info: Column) -> Column:
-        """The address of such a struct."""
-        g = info.getField
-        join = lambda *parts: parts[0] if len(parts) == 1 else parts[0].bitwiseOR(join(*parts[1:]))
-        one = F.lit(1)
-        node = (self.is_absolute.place(one), self.pxn.place(g("pxn")))
-        place = (*node, self.pod.place(g("pod")))
-        core = (*place, self.core.place(g("core")))
-        far = (
-            F.when(g("tier") == "dram", join(*node, self.is_dram.place(one), self.dram_offset.place(g("offset"))))
-            .when(g("tier") == "l2sp", join(*place, self.is_l2sp.place(one), self.l2sp_offset.place(g("offset"))))
-            .when(g("tier") == "l1sp", join(*core, self.l1sp_offset.place(g("offset"))))
-            .otherwise(join(*core, self.is_ctrl.place(one)))
-        )
-        near = (
-            F.when(g("tier") == "dram", join(self.rel_is_dram.place(one), self.rel_dram_offset.place(g("offset"))))
-            .when(g("tier") == "l2sp", join(self.rel_is_l2sp.place(one), self.rel_l2sp_offset.place(g("offset"))))
-            .otherwise(self.rel_l1sp_offset.place(g("offset")))
-        )
-        return F.when(g("absolute"), far).otherwise(near)
+        """The address of such a struct; fields too wide for their bits lose the upper ones."""
+        get = info.getField
+        made = None
+        for form in self.forms:
+            parts = [self._flags(form), long(get("offset")).bitwiseAND(long((1 << form.offset_bits) - 1))]
+            if form.absolute:
+                for name in PLACES[form.tier]:
+                    low, mask = self.fields[name]
+                    parts.append(F.shiftleft(long(get(name)).bitwiseAND(long(mask)), low))
+            fits = get("absolute") == F.lit(form.absolute)
+            # The last form also takes what has no form of its own: a relative address of a control register.
+            if form is not self.forms[-1]:
+                fits = fits & (get("tier") == form.tier)
+            made = F.when(fits, _either(parts)) if made is None else made.when(fits, _either(parts))
+        return made
 
     def to_absolute(self, addr: Column, my_pxn=0, my_pod=0, my_core=0) -> Column:
-        return F.when(self.is_absolute.get(addr) == 1, addr).otherwise(self.encode(self.decode(addr, my_pxn, my_pod, my_core).withField("absolute", F.lit(True))))
+        def moved(word: Column) -> Column:
+            there = _named(self.decode(word, my_pxn, my_pod, my_core), lambda x: self.encode(x.withField("absolute", F.lit(True))))
+            return F.when(word < 0, word).otherwise(there)  # the sign bit is the flag of absolute addresses
+
+        return _named(addr, moved)
 
 
 def with_decoded(df: DataFrame, layout: Layout, addr: str = "addr") -> DataFrame:
@@ -104,7 +124,8 @@ def with_decoded(df: DataFrame, layout: Layout, addr: str = "addr") -> DataFrame
 
 
 def banks(interleave_size: int, interleave_step: int) -> int:
-    return 1 if interleave_size == 0 else interleave_step // interleave_size
+    """Memories among which blocks of ``interleave_size`` bytes are dealt in turn, one block of each in a step; one if not dealt."""
+    return interleave_step // interleave_size if interleave_size else 1
 
 
 def bank_of(addr: Column, interleave_size: int, n_banks: int) -> Column:
@@ -112,9 +133,17 @@ def bank_of(addr: Column, interleave_size: int, n_banks: int) -> Column:
 
 
 def bank_range(bank: int, memsize: int, interleave_size: int, interleave_step: int) -> tuple[int, int]:
-    """First and last offset of a bank among all banks' interleaved memory."""
-    n = banks(interleave_size, interleave_step)
-    return bank * interleave_size, memsize * n - (n - bank - 1) * interleave_size - 1
+    """First and last address of a bank of ``memsize`` bytes: those of its first and its last block."""
+    if not interleave_size:
+        return bank * memsize, (bank + 1) * memsize - 1
+    last_block = bank + banks(interleave_size, interleave_step) * (memsize // interleave_size - 1)
+    return bank * interleave_size, (last_block + 1) * interleave_size - 1
+
+
+def bank_ranges(spark: SparkSession, memsize: int, interleave_size: int, interleave_step: int) -> DataFrame:
+    """(bank, first, last) of every bank."""
+    rows = [(b, *bank_range(b, memsize, interleave_size, interleave_step)) for b in range(banks(interleave_size, interleave_step))]
+    return spark.createDataFrame(rows, "bank long, first long, last long")
 
 
 def core_xy(core: Column, width: int) -> tuple[Column, Column]:

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import symmetrize_both, symmetrize_simple
+from loomgraph.plans.scratch import cut
 
 
 def _oriented(edges: DataFrame) -> DataFrame:
     """Undirected edges from the end of lower (degree, id) to the other, so that no vertex has a large fan-out."""
-    simple = symmetrize_simple(edges)
+    simple = cut(symmetrize_simple(edges))
     degrees = symmetrize_both(simple).groupBy("src").agg(F.count("*").alias("d"))
     a = degrees.select(F.col("src").alias("a"), F.col("d").alias("da"))
     b = degrees.select(F.col("src").alias("b"), F.col("d").alias("db"))
@@ -21,10 +22,10 @@ def _oriented(edges: DataFrame) -> DataFrame:
 
 def _wedges(edges: DataFrame) -> DataFrame:
     """(x, y, z): a triangle's vertices, each triangle once, in no order."""
-    o = _oriented(edges)
+    o = cut(_oriented(edges))  # three joins read it
     first, second = o.select(F.col("src").alias("x"), F.col("dst").alias("y")), o.select(F.col("src").alias("x"), F.col("dst").alias("z"))
     pairs = first.join(second, "x").where("y < z")
-    closing = symmetrize_simple(edges).select(F.col("src").alias("y"), F.col("dst").alias("z"))
+    closing = o.select(F.least("src", "dst").alias("y"), F.greatest("src", "dst").alias("z"))
     return pairs.join(closing, ["y", "z"], "left_semi")
 
 
@@ -40,7 +41,7 @@ def count_triangles(edges: DataFrame) -> DataFrame:
 
 def count_by_intersection(edges: DataFrame) -> DataFrame:
     """Triangles by intersecting the ordered adjacency of both ends of each oriented edge."""
-    o = _oriented(edges)
+    o = cut(_oriented(edges))
     adj = o.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("adj"))
     a = adj.select(F.col("src").alias("a"), F.col("adj").alias("adj_a"))
     b = adj.select(F.col("src").alias("b"), F.col("adj").alias("adj_b"))

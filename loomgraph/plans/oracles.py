@@ -7,6 +7,12 @@ from loomgraph.plans.derived import opcode_names
 
 PAIRS = "pairs AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)"
 SIMPLE = PAIRS + ", simple AS (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM pairs WHERE src <> dst)"
+#: Edges from the end of lower (degree, id) up, made once, and pairs of them that begin at one vertex.
+RISING = PAIRS + """, simple AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM pairs WHERE src <> dst),
+degrees AS MATERIALIZED (SELECT v, count(*) AS n FROM (SELECT src AS v FROM simple UNION ALL SELECT dst FROM simple) GROUP BY v),
+rising AS MATERIALIZED (SELECT CASE WHEN (a.n, src) < (b.n, dst) THEN src ELSE dst END AS low, CASE WHEN (a.n, src) < (b.n, dst) THEN dst ELSE src END AS high
+  FROM simple JOIN degrees a ON a.v = src JOIN degrees b ON b.v = dst),
+wedges AS (SELECT p.low AS x, p.high AS y, q.high AS z FROM rising p JOIN rising q ON p.low = q.low AND p.high < q.high)"""
 BOTH = SIMPLE + ", both_ways AS (SELECT src, dst FROM simple UNION ALL SELECT dst, src FROM simple)"
 SUPPLY = "supply AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000000 AS dst FROM lineitem)"
 SUPPLY_BOTH = SUPPLY + ", ways AS (SELECT src, dst FROM supply UNION ALL SELECT dst, src FROM supply)"
@@ -87,6 +93,15 @@ SELECT a.id::BIGINT AS src, b.id::BIGINT AS dst FROM simple s JOIN g a ON a.src
 SELECT id AS src, ((r + dr) * 25 + c + dc)::BIGINT AS dst FROM c, m WHERE r + dr BETWEEN 0 AND 39 AND c + dc BETWEEN 0 AND 24""",
     "local_vertices": "SELECT p_partkey AS id, p_partkey >= 500 AND p_partkey < 1000 AS is_local FROM part",
     "matrix_market_round_trip": f"WITH {SUPPLY} SELECT src, dst - 1000000000 AS dst FROM supply",
+    "weighted_matrix_round_trip": "SELECT l_orderkey AS row, l_linenumber::BIGINT AS col, l_quantity::FLOAT::DOUBLE AS val FROM lineitem",
+    "coo_round_trip": "SELECT o_orderkey AS row, o_custkey AS col, 1.0::DOUBLE AS val FROM orders",
+    "features_round_trip": """WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS node, embedding FROM embeddings WHERE embedding IS NOT NULL)
+SELECT node, unnest(range(0, len(embedding))) AS k, unnest(embedding)::FLOAT::DOUBLE AS x FROM e""",
+    "vertex_records_round_trip": "SELECT c_custkey AS id, c_custkey % 7 AS edges, c_custkey * 3 AS start, c_nationkey::INTEGER AS type FROM customer",
+    "edge_image_round_trip": """SELECT n_nationkey::BIGINT AS src, n_regionkey::BIGINT AS dst, 1::INTEGER AS type, 2::INTEGER AS src_type, 3::INTEGER AS dst_type,
+  n_nationkey::BIGINT * 1099511627776 AS src_glbid, -n_regionkey::BIGINT AS dst_glbid FROM nation""",
+    "int8_matrix_round_trip": """WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, [n_nationkey, -n_nationkey, n_regionkey, 10 * n_regionkey - 20] AS vs FROM nation)
+SELECT i, unnest(range(0, 4)) AS j, unnest(vs)::BIGINT AS v FROM n""",
     "edge_list_round_trip": f"WITH {SUPPLY} SELECT src, dst FROM supply",
     "bfs_levels": f"WITH RECURSIVE {BOTH}, {_bfs('both_ways', ROOT)} SELECT dist, count(*) AS vertices FROM bfs GROUP BY dist",
     "bfs_push_distances": f"WITH RECURSIVE {SUPPLY_BOTH}, {_bfs('ways', SUPPLY_ROOT)} SELECT v, dist FROM bfs",
@@ -100,12 +115,14 @@ SELECT id AS src, ((r + dr) * 25 + c + dc)::BIGINT AS dst FROM c, m WHERE r + dr
 SELECT level, frontier, mf, mu, CASE WHEN rev THEN 'rev' ELSE 'fwd' END AS direction FROM s""",
     "bfs_grid_summary": "SELECT count(*) AS reached, max(r + c)::BIGINT AS max_dist, sum(r + c)::BIGINT AS sum_dist FROM (SELECT range AS r FROM range(12)), (SELECT range AS c FROM range(9))",
     "pagerank_5": f"WITH {BOTH}, {_ranks(5)} SELECT v, round(rank * 1e9)::BIGINT AS rank_e9 FROM r5",
-    "triangle_list": f"WITH {SIMPLE} SELECT a.src AS u, a.dst AS v, b.dst AS w FROM simple a JOIN simple b ON b.src = a.dst JOIN simple c ON c.src = a.src AND c.dst = b.dst",
+    "pagerank_change": f"WITH {BOTH}, {_ranks(6)} SELECT round(sum(abs(r6.rank - r5.rank)) * 1e9)::BIGINT AS l1_e9, round(sum(r6.rank) * 1e6)::BIGINT AS total_e6 FROM r6 JOIN r5 USING (v)",
+    "triangle_list": f"WITH {RISING} SELECT list_sort([x, y, z])[1] AS u, list_sort([x, y, z])[2] AS v, list_sort([x, y, z])[3] AS w FROM wedges JOIN simple c ON c.src = least(y, z) AND c.dst = greatest(y, z)",
     "triangle_count": f"WITH {SIMPLE} SELECT count(*) AS triangles FROM simple a JOIN simple b ON b.src = a.dst JOIN simple c ON c.src = a.src AND c.dst = b.dst",
     "triangle_intersection": f"WITH {SIMPLE} SELECT count(*) AS triangles FROM simple a JOIN simple b ON b.src = a.dst JOIN simple c ON c.src = a.src AND c.dst = b.dst",
     "triangle_multi": f"""WITH {PAIRS}, e AS (SELECT greatest(src, dst) AS n, least(src, dst) AS v, count(*) AS k FROM pairs WHERE src <> dst GROUP BY ALL)
 SELECT coalesce(sum(a.k * b.k * c.k), 0)::BIGINT AS triangles FROM e a JOIN e b ON b.n = a.v JOIN e c ON c.n = a.n AND c.v = b.v""",
-    "triangle_bipartite": "SELECT 0::BIGINT AS triangles",
+    "triangle_bipartite": f"""WITH {SUPPLY}, low AS MATERIALIZED (SELECT least(src, dst) AS src, greatest(src, dst) AS dst FROM supply)
+SELECT count(*) AS triangles FROM low a JOIN low b ON b.src = a.dst JOIN low c ON c.src = a.src AND c.dst = b.dst""",
     "components_refine": f"""WITH RECURSIVE {BOTH}, i AS (SELECT src, dst FROM both_ways JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE a.p_size = b.p_size),
   r(v, low) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT i.dst, r.low FROM r JOIN i ON i.src = r.v WHERE r.low < i.dst),
   m AS (SELECT v, min(low) AS low FROM r GROUP BY v)
@@ -114,9 +131,12 @@ SELECT v, (dense_rank() OVER (ORDER BY low) - 1)::BIGINT AS comm FROM m""",
     "ego_firstk": f"WITH {BOTH}, {_ego((5, 3, 2, 1))} SELECT root, level, src, dst FROM drawn",
     "ego_graph": f"""WITH {BOTH}, {_ego((2, 1))} SELECT root, src AS u, dst AS v FROM drawn UNION SELECT root, dst, src FROM drawn UNION SELECT root, src, src FROM drawn UNION SELECT root, dst, dst FROM drawn""",
     "ego_report": f"""WITH {BOTH}, {_ego((3, 2))}, n AS (SELECT DISTINCT root, src AS v FROM drawn UNION SELECT root, dst FROM drawn)
-SELECT (SELECT count(DISTINCT root) FROM drawn) AS roots, (SELECT count(*) FROM drawn) AS edges, (SELECT count(*) FROM n) AS vertices""",
+, r AS (SELECT (SELECT count(DISTINCT root) FROM drawn) AS roots, (SELECT count(*) FROM drawn) AS edges, (SELECT count(*) FROM n) AS vertices)
+SELECT *, round(edges::DOUBLE / roots * 1e6)::BIGINT AS avg_edges_e6, round(vertices::DOUBLE / roots * 1e6)::BIGINT AS avg_vertices_e6 FROM r""",
     "cache_hits": """WITH t AS (SELECT l_partkey % 512 AS slot, l_partkey = lag(l_partkey) OVER (PARTITION BY l_partkey % 512 ORDER BY l_orderkey * 8 + l_linenumber, l_partkey) AS hit FROM lineitem)
 SELECT slot, count(*) AS requests, coalesce(sum(hit::BIGINT), 0)::BIGINT AS hits FROM t GROUP BY slot""",
+    "cache_hit_rate": """WITH t AS (SELECT l_partkey = lag(l_partkey) OVER (PARTITION BY l_partkey % 512 ORDER BY l_orderkey * 8 + l_linenumber, l_partkey) AS hit FROM lineitem)
+SELECT count(*) FILTER (hit) AS hits, count(*) AS requests, round(hits * 100 / requests::DOUBLE * 1e6)::BIGINT AS percent_e6 FROM t""",
     "spmm": f"""WITH {BOTH}, s AS (SELECT b.src AS row, sum(p_size) AS x, count(*) AS y FROM both_ways b JOIN part ON p_partkey = b.dst GROUP BY b.src),
   z AS (SELECT p_partkey AS row, coalesce(x, 0)::BIGINT AS x, coalesce(y, 0)::BIGINT AS y FROM part LEFT JOIN s ON s.row = p_partkey)
 SELECT row, 0::INTEGER AS k, x AS s FROM z UNION ALL SELECT row, 1::INTEGER, y FROM z""",
@@ -168,6 +188,8 @@ SELECT s.SimTime, s.event_id AS stat_id, t.event_id AS tag_id FROM e s JOIN e t
 SELECT l_orderkey, l_linenumber, {SIGNED.format('w')} AS addr FROM a""",
     "addr_roundtrip": "SELECT count(*) AS n, count(*) AS same FROM lineitem",
     "bank_of": "SELECT l_partkey * 64 // 256 % 8 AS bank, count(*) AS n FROM lineitem GROUP BY ALL",
+    "bank_ranges": """WITH a AS (SELECT unnest(range(0, 8 * 1048576, 256)) AS start)
+SELECT start // 256 % 8 AS bank, min(start) AS first, max(start) + 255 AS last FROM a GROUP BY bank""",
     "core_xy": "SELECT s_suppkey, s_suppkey % 8 AS x, s_suppkey // 8 AS y, s_suppkey AS core FROM supplier",
     "tier_pivot": f"""WITH {ADDR}, {SEEN}, a AS (SELECT l_suppkey % 16 AS thread, (['load', 'store', 'atomic'])[(l_orderkey % 3 + 1)::INT] || '_' || CASE WHEN absolute AND pxn <> 0 THEN 'remote_pxn' ELSE place END AS c FROM seen WHERE place <> 'ctrl')
 SELECT thread, """ + ", ".join(f"count(*) FILTER (c = '{op}_{t}') AS {op}_{t}" for op in ("load", "store", "atomic") for t in ("l1sp", "l2sp", "dram", "remote_pxn")) + " FROM a GROUP BY thread",

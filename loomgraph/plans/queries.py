@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.intmath import mix32, splitmix32
 from loomgraph.operators import address, community, graph, irregular, linalg, rank, sampling, telemetry, traverse, triangles
 from loomgraph.plans import derived as d
-from loomgraph.plans.scratch import new_path
+from loomgraph.plans.scratch import new_path, stored
 from loomgraph.sources import graph_files, telemetry_files
 
 QUERIES = {}
@@ -94,36 +94,96 @@ def edge_list_round_trip(spark, sf):
     return graph_files.read_edges(spark, path).select("src", "dst")
 
 
+@query
+def weighted_matrix_round_trip(spark, sf):
+    entries = d.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").cast("long").alias("col"), F.col("l_quantity").cast("float").alias("val"))
+    path = new_path(spark, "matrix")
+    graph_files.write_matrix(entries, path, rows=10**9, cols=10**9)
+    return graph_files.read_matrix(spark, path).select("row", "col", F.col("val").cast("double").alias("val"))
+
+
+@query
+def coo_round_trip(spark, sf):
+    path = new_path(spark, "coo")
+    lines = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("at"), F.concat_ws(" ", "o_orderkey", "o_custkey").alias("value"))
+    graph_files.write_lines(lines, ["1000000000 1000000000 0"], path)
+    return graph_files.read_coo(spark, path).select("row", "col", F.col("val").cast("double").alias("val"))
+
+
+@query
+def features_round_trip(spark, sf):
+    path = new_path(spark, "features")
+    vectors = d.table(spark, sf, "embeddings").where("embedding is not null")
+    width = vectors.select(F.size("embedding").alias("k")).first()["k"]
+    graph_files.write_lines(vectors.select(F.col("vec_id").alias("at"), F.array_join(F.transform("embedding", lambda x: x.cast("string")), " ").alias("value")), [f"1000000000 {width}"], path)
+    found = graph_files.read_features(spark, path).select("node", F.posexplode("feat").alias("k", "x"))
+    return found.select("node", F.col("k").cast("long").alias("k"), F.col("x").cast("double").alias("x"))
+
+
+@query
+def vertex_records_round_trip(spark, sf):
+    path = new_path(spark, "vertices")
+    made = d.table(spark, sf, "customer").select(F.concat_ws(" ", "c_custkey", F.col("c_custkey") % 7, F.col("c_custkey") * 3, "c_nationkey").alias("value"))
+    made.write.text(path)
+    return graph_files.read_records(spark, path, graph_files.VERTEX)
+
+
+def _nations(spark, sf) -> list:
+    """The nations, whose number does not depend on the size of the tables."""
+    return d.table(spark, sf, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+
+
+@query
+def edge_image_round_trip(spark, sf):
+    path = new_path(spark, "image") + "/edges.bin"
+    rows = [(n, r, 1, 2, 3, n << 40, -r) for n, r in _nations(spark, sf)]
+    graph_files.write_bytes(path, graph_files.record_image(rows, graph_files.EDGE))
+    return graph_files.read_record_image(spark, path, graph_files.EDGE)
+
+
+@query
+def int8_matrix_round_trip(spark, sf):
+    path = new_path(spark, "int8") + "/matrix.bin"
+    values = [v for n, r in _nations(spark, sf) for v in (n, -n, r, 10 * r - 20)]
+    graph_files.write_bytes(path, bytes(v & 0xFF for v in values))
+    return graph_files.read_int8_matrix(spark, path, 4)
+
+
 # Algorithms
 
 
+def _stored_graph(spark, sf) -> DataFrame:
+    """The co-part graph in both directions, made once for all rounds of an algorithm."""
+    return stored(d.co_part_both(spark, sf), "graph")
+
+
 def _root(edges: DataFrame) -> int:
     return edges.agg(F.min("src")).first()[0]
 
 
 @query
 def bfs_levels(spark, sf):
-    edges = d.co_part_both(spark, sf)
+    edges = _stored_graph(spark, sf)
     found = traverse.bfs(edges, _root(edges)).distances
     return found.groupBy("dist").agg(F.count("*").alias("vertices"))
 
 
 @query
 def bfs_push_distances(spark, sf):
-    edges = d.supply(spark, sf)
+    edges = stored(d.supply(spark, sf), "graph")
     both = graph.symmetrize_both(edges)
     return traverse.bfs(both, _root(edges), "push").distances
 
 
 @query
 def bfs_pull_distances(spark, sf):
-    edges = d.supply(spark, sf)
+    edges = stored(d.supply(spark, sf), "graph")
     return traverse.bfs(graph.symmetrize_both(edges), _root(edges), "pull").distances
 
 
 @query
 def bfs_direction_stats(spark, sf):
-    edges = d.co_part_both(spark, sf)
+    edges = _stored_graph(spark, sf)
     return traverse.bfs(edges, _root(edges)).levels
 
 
@@ -134,10 +194,18 @@ def bfs_grid_summary(spark, sf):
 
 @query
 def pagerank_5(spark, sf):
-    ranks = rank.pagerank(d.co_part_both(spark, sf), iterations=5)
+    ranks = rank.pagerank(_stored_graph(spark, sf), iterations=5)
     return ranks.select("v", F.round(F.col("rank") * 1e9).cast("long").alias("rank_e9"))
 
 
+@query
+def pagerank_change(spark, sf):
+    """How much the sixth round moves ranks, and their sum."""
+    edges = _stored_graph(spark, sf)
+    found = rank.l1_change(rank.pagerank(edges, iterations=5), rank.pagerank(edges, iterations=6))
+    return found.select(F.round(F.col("l1") * 1e9).cast("long").alias("l1_e9"), F.round(F.col("total") * 1e6).cast("long").alias("total_e6"))
+
+
 @query
 def triangle_list(spark, sf):
     return triangles.list_triangles(d.co_part(spark, sf))
@@ -166,7 +234,7 @@ def triangle_bipartite(spark, sf):
 @query
 def components_refine(spark, sf):
     parts = d.table(spark, sf, "part").select(F.col("p_partkey").alias("v"), F.col("p_size").cast("long").alias("comm"))
-    return community.refine(d.co_part(spark, sf), parts)
+    return community.refine(stored(d.co_part(spark, sf), "graph"), parts)
 
 
 @query
@@ -187,27 +255,28 @@ def partition_members(spark, sf):
 
 @query
 def ego_firstk(spark, sf):
-    edges = d.co_part_both(spark, sf)
+    edges = _stored_graph(spark, sf)
     return sampling.first_k(edges, edges.select(F.col("src").alias("v")).distinct())
 
 
 @query
 def ego_graph(spark, sf):
-    edges = d.co_part_both(spark, sf)
+    edges = _stored_graph(spark, sf)
     return sampling.ego_graph(sampling.first_k(edges, edges.select(F.col("src").alias("v")).distinct(), (2, 1)))
 
 
 @query
 def ego_random(spark, sf):
-    edges = d.co_part_both(spark, sf)
+    edges = _stored_graph(spark, sf)
     return sampling.random_k(edges, edges.select(F.col("src").alias("v")).distinct(), (2, 2))
 
 
 @query
 def ego_report(spark, sf):
-    edges = d.co_part_both(spark, sf)
+    edges = _stored_graph(spark, sf)
     sample = sampling.first_k(edges, edges.select(F.col("src").alias("v")).distinct(), (3, 2))
-    return sampling.sample_report(sample).select("roots", "edges", "vertices")
+    rounded = [F.round(F.col(c) * 1e6).cast("long").alias(f"{c}_e6") for c in ("avg_edges", "avg_vertices")]
+    return sampling.sample_report(sample).select("roots", "edges", "vertices", *rounded)
 
 
 @query
@@ -216,6 +285,12 @@ def cache_hits(spark, sf):
     return sampling.cache_hits(requests, 512)
 
 
+@query
+def cache_hit_rate(spark, sf):
+    found = sampling.hit_rate(cache_hits(spark, sf))
+    return found.select("hits", "requests", F.round(F.col("percent") * 1e6).cast("long").alias("percent_e6"))
+
+
 # Linear algebra
 
 
@@ -427,6 +502,11 @@ def bank_of(spark, sf):
     return items.withColumn("bank", address.bank_of(F.col("addr"), 256, 8)).groupBy("bank").agg(F.count("*").alias("n"))
 
 
+@query
+def bank_ranges(spark, sf):
+    return address.bank_ranges(spark, memsize=1 << 20, interleave_size=256, interleave_step=2048)
+
+
 @query
 def core_xy(spark, sf):
     x, y = address.core_xy(F.col("s_suppkey"), 8)

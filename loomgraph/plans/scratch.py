@@ -4,21 +4,52 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this process wrote and has not removed.
+_WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one, for local sessions that name none."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one, for local sessions that name none.
+
+    On a cluster the folder must be named, for executors do not see the driver's own folders.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear() -> list[str]:
+    """Remove the folders that ``new_path`` gave to this process, once their rows are no longer wanted; the paths removed.
+
+    Works on the file systems that Arrow opens by their URI. Checkpoints go with
+    their DataFrames if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    from pyarrow import fs
+
+    gone = []
+    for path in list(_WRITTEN):
+        place, inside = fs.FileSystem.from_uri(path if urlsplit(path).scheme else f"file://{path}")
+        if place.get_file_info(inside).type != fs.FileType.NotFound:
+            place.delete_dir(inside)
+            gone.append(path)
+        _WRITTEN.remove(path)
+    return gone
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:

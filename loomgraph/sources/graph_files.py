@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +46,13 @@ def read_graph(spark: SparkSession, path: str) -> DataFrame:
     return read_matrix(spark, path).select(F.col("row").alias("src"), F.col("col").alias("dst"))
 
 
+def write_lines(lines: DataFrame, header: list[str], path: str) -> None:
+    """Write ``header`` and then the lines (at, value) in order of ``at``, as one folder of parts in order."""
+    head = lines.sparkSession.createDataFrame([(0, i, h) for i, h in enumerate(header)], "o int, at long, value string")
+    every = head.union(lines.select(F.lit(1).alias("o"), F.col("at").cast("long").alias("at"), "value"))
+    every.repartitionByRange("o", "at").sortWithinPartitions("o", "at").select("value").write.text(path)
+
+
 def write_matrix(matrix: DataFrame, path: str, rows: int, cols: int, field: str = "real") -> None:
     """Write (row, col, val) as Matrix-Market text: header and entries, ids from 1, as one folder of parts in order."""
     spark = matrix.sparkSession
@@ -102,35 +107,70 @@ def read_records(spark: SparkSession, path: str, fields: tuple) -> DataFrame:
     return spark.read.schema(schema).option("sep", " ").csv(path)
 
 
-def read_record_image(spark: SparkSession, path: str, fields: tuple) -> DataFrame:
-    """Records of a binary image: a 64-bit count, then little-endian structs with C alignment."""
-    codes = {"long": ("q", 8), "int": ("i", 4)}
-    layout = "<"
-    at = 0
-    for _, kind in fields:
-        code, size = codes[kind]
-        layout += "x" * (-at % size) + code
-        at += -at % size + size
-    layout += "x" * (-at % 8)
-    names = [n for n, _ in fields]
+def _record_type(fields: tuple):
+    """The numpy type of a record: little-endian, with C alignment."""
+    import numpy as np
+
+    kinds = {"long": "<i8", "int": "<i4"}
+    return np.dtype([(n, kinds[t]) for n, t in fields], align=True)
+
+
+def read_record_image(spark: SparkSession, path: str, fields: tuple, rows: int = 100_000) -> DataFrame:
+    """Records of a binary image: a 64-bit count, then little-endian structs with C alignment.
+
+    An image is one row of Spark's binary source, so it may hold 2 GB at most.
+    """
     schema = ", ".join(f"{n} {t}" for n, t in fields)
 
     def run(batches):
-        import pandas as pd
+        import numpy as np
+        import pyarrow as pa
+
+        kind = _record_type(fields)
+        for batch in batches:
+            for content in batch.column(0):
+                data = content.as_buffer()
+                n = int(np.frombuffer(data, "<i8", 1)[0]) if data.size >= 8 else 0
+                records = np.frombuffer(data, kind, n, 8)
+                for at in range(0, n, rows):
+                    part = records[at : at + rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[name])) for name, _ in fields], names=[name for name, _ in fields])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
 
-        for pdf in batches:
-            for content in pdf["content"]:
-                (n,) = struct.unpack_from("<q", content)
-                rows = [struct.unpack_from(layout, content, 8 + i * struct.calcsize(layout)) for i in range(n)]
-                yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+def record_image(rows: list[tuple], fields: tuple) -> bytes:
+    """The image of a small number of records."""
+    import numpy as np
+
+    return len(rows).to_bytes(8, "little") + np.array(rows, _record_type(fields)).tobytes()
 
 
 def read_int8_matrix(spark: SparkSession, path: str, cols: int) -> DataFrame:
-    """(i, j, v) of a raw row-major int8 file."""
-    hexed = spark.read.format("binaryFile").load(path).select(F.hex("content").alias("h"), F.col("length").alias("len"))
-    at = hexed.select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("at"))
-    byte = F.conv(F.substring("h", (F.col("at") * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    signed = F.when(byte > 127, byte - 256).otherwise(byte)
-    return at.select(F.floor(F.col("at") / cols).alias("i"), (F.col("at") % cols).alias("j"), signed.cast("long").alias("v"))
+    """(i, j, v) of a raw row-major int8 file, read as records of one matrix row each."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            step = max(1, (1 << 20) // cols)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int8)
+                i = np.repeat(part.column(0).to_numpy(), cols)
+                j = np.tile(np.arange(cols), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(values.astype(np.int64))], names=["i", "j", "v"])
+
+    records = spark.sparkContext.binaryRecords(path, cols).zipWithIndex().map(lambda x: (x[1], x[0]))
+    return spark.createDataFrame(records, "i long, row binary").mapInArrow(run, "i long, j long, v long")
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """Write one small file, on any file system that Arrow opens by its URI."""
+    from pyarrow import fs
+
+    place, inside = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    place.create_dir(inside.rsplit("/", 1)[0], recursive=True)
+    with place.open_output_stream(inside) as out:
+        out.write(data)

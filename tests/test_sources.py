@@ -53,6 +53,53 @@ def test_raw_int8(spark, tmp_path):
     assert rows(graph_files.read_int8_matrix(spark, f"file://{tmp_path / 'a.bin'}", 2)) == [(0, 0, 1), (0, 1, -1), (1, 0, -128), (1, 1, 127)]
 
 
+def test_larger_binary_files(spark, tmp_path):
+    import numpy as np
+
+    values = np.random.default_rng(1).integers(-128, 128, (20_000, 64), np.int8)
+    (tmp_path / "m.bin").write_bytes(values.tobytes())
+    found = graph_files.read_int8_matrix(spark, f"file://{tmp_path / 'm.bin'}", 64)
+    weighted = found.selectExpr("sum(v * (i % 101 + 1) * (j + 1)) as s", "count(*) as n", "max(i) as i", "max(j) as j").first()
+    i, j = np.indices(values.shape)
+    assert tuple(weighted) == (int((values.astype(np.int64) * (i % 101 + 1) * (j + 1)).sum()), values.size, 19_999, 63)
+    records = [(k, k % 5, 3 * k, k % 7) for k in range(250_000)]
+    (tmp_path / "v.bin").write_bytes(graph_files.record_image(records, graph_files.VERTEX))
+    read = graph_files.read_record_image(spark, f"file://{tmp_path / 'v.bin'}", graph_files.VERTEX, rows=1000)
+    assert tuple(read.selectExpr("count(*)", "sum(id * (type + 1))", "max(start)").first()) == (250_000, sum(a * (t + 1) for a, _, _, t in records), 3 * 249_999)
+
+
+def test_unsupported_matrix_files_are_refused(spark, tmp_path):
+    import pytest
+
+    for n, kind in enumerate(("coordinate complex general", "coordinate real skew-symmetric", "array real general")):
+        with pytest.raises(ValueError):
+            graph_files.read_matrix(spark, put(tmp_path / f"{n}.mtx", f"%%MatrixMarket matrix {kind}\n1 1 1\n1 1 1\n"))
+
+
+def test_scratch_folders_are_removed(spark, tmp_path):
+    from loomgraph.plans import scratch
+
+    df = scratch.stored(spark.range(3).toDF("x"), "gone")
+    assert df.count() == 3
+    path = scratch._WRITTEN[-1]
+    assert path in scratch.clear() and path not in scratch._WRITTEN
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from loomgraph.plans import scratch
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        scratch.shared_folder(Session())
+
+
 def test_stats_tags_and_traces(spark, tmp_path):
     stats = telemetry_files.read_stats(spark, put(tmp_path / "stats.csv", "StatisticName,Sum.u64,SimTime\nADD_instruction,18446744073709551615,5\nLW_instruction,1,7\n"))
     tags = telemetry_files.read_tags(spark, put(tmp_path / "tags.csv", "SimTime,TagName\n5,a\n5,b\n"))
