@@ -2,10 +2,15 @@
 
 Every rolling word k-gram of a text is hashed and joined to the positions of
 the same k-gram in a library of templates. Each match votes for the diagonal
-``position in the text - position in the template``. Diagonals that lie close
-together are merged (inserted or missing words shift them), and a span stands
-if its k-grams, compared word by word, cover enough of the template. Short
-phrases must match in full on one diagonal.
+``position in the text - position in the template``. The diagonals from one on
+to ``DIAGONAL_GAP`` further are merged to a span (inserted or missing words
+shift them). A span stands if its matches are at enough distinct places of the
+template, and if enough of the template's words stand in the text on one of the
+span's diagonals each. Short phrases must match in full on one diagonal.
+
+``score`` is the best share of a template's k-grams in a standing span. Grams that
+no template has are left out before the join, by the set of the library's hashes;
+a library of more than ``MOST_GRAMS`` grams is refused.
 
 Defined results: a null or empty text has no words, no labels and score 0; rows
 are scanned one by one, so null or repeated doc_ids keep a row each; other
@@ -23,10 +28,12 @@ from pyspark.sql import functions as F
 SEPARATORS = "[\\x00-/:-@\\[-`{-\\x7F]+"
 K_PASSAGE = 4
 K_PHRASE = 2
-#: Diagonals of one template at most this far apart belong to one span.
+#: The diagonals of one span are at most this far apart.
 DIAGONAL_GAP = 3
-#: Share of a passage's k-grams that a span must cover.
+#: Share of a passage's k-grams, and of its words, that a span must cover.
 MIN_COVER = 0.6
+#: k-grams of a library that are compared inside expressions and broadcast, some 10 MB at most.
+MOST_GRAMS = 50_000
 
 
 @dataclass(frozen=True)
@@ -80,6 +87,8 @@ def gram_table(spark: SparkSession, library: tuple[Template, ...]) -> DataFrame:
         need = n if len(words) <= 2 * K_PASSAGE else -(-n * int(MIN_COVER * 100) // 100)
         for i in range(n):
             rows.append((t, template.label, template.base, n, need, i, words[i : i + k]))
+    if len(rows) > MOST_GRAMS:
+        raise ValueError(f"a library of {len(rows)} k-grams; at most {MOST_GRAMS} are scanned for")
     made = spark.createDataFrame(rows, "template int, label string, base boolean, n_grams int, need int, t_pos int, t_words array<string>")
     hashes = F.transform("t_words", lambda w: F.xxhash64(w))
     grams = F.when(F.size("t_words") == K_PASSAGE, gram(hashes, F.lit(0), K_PASSAGE)).otherwise(gram(hashes, F.lit(0), K_PHRASE))
@@ -110,39 +119,54 @@ def scan(docs: DataFrame, library: tuple[Template, ...] = LIBRARY) -> DataFrame:
         made = F.transform("starts", lambda i: F.struct(i.alias("pos"), F.lit(k).alias("k"), gram(F.col("hashes"), i, k).alias("gram")))
         return F.filter(made, lambda x: (x["pos"] + k <= F.col("n_words")) & x["gram"].isin(known))
 
+    # Each hit takes along the words that its template would cover, wherever the hit stands in it.
+    longest = max((len(t.text.split()) for t in library), default=0)
+    begin = lambda pos: F.greatest(pos - longest, F.lit(0))
     found = placed.select("doc_id", "row", "n_words", "words", F.concat(grams(K_PHRASE), grams(K_PASSAGE)).alias("hits"))
-    seen = F.transform("hits", lambda x: F.struct(x["pos"].alias("pos"), x["gram"].alias("gram"), F.slice(F.col("words"), x["pos"] + 1, x["k"]).alias("text")))
+    seen = F.transform(
+        "hits",
+        lambda x: F.struct(
+            x["pos"].alias("pos"),
+            x["gram"].alias("gram"),
+            F.slice(F.col("words"), x["pos"] + 1, x["k"]).alias("text"),
+            F.when(x["k"] == K_PASSAGE, F.slice(F.col("words"), begin(x["pos"]) + 1, F.lit(2 * longest + DIAGONAL_GAP))).alias("around"),
+        ),
+    )
     hits = found.select("doc_id", "row", "n_words", F.explode_outer(seen).alias("hit"))
     voted = hits.join(F.broadcast(table), (F.col("hit.gram") == table["gram"]) & (F.col("hit.text") == table["t_words"]), "left")
     # From here all steps are within a row of documents; one exchange serves them.
+    of_row = ("doc_id", "row", "n_words", "template", "label", "base", "n_grams", "need")
     votes = (
-        voted.select("doc_id", "row", "n_words", "template", "label", "base", "n_grams", "need", (F.col("hit.pos") - F.col("t_pos")).alias("diagonal"))
+        voted.select(*of_row, (F.col("hit.pos") - F.col("t_pos")).alias("diagonal"), "t_pos", F.struct(begin(F.col("hit.pos")).alias("begin"), F.col("hit.around").alias("words")).alias("around"))
         .repartition("row")
-        .groupBy("doc_id", "row", "n_words", "template", "label", "base", "n_grams", "need", "diagonal")
-        .agg(F.count("template").alias("votes"))
+        .groupBy(*of_row, "diagonal")
+        .agg(F.collect_set("t_pos").alias("places"), F.min("around").alias("around"))
     )
-    in_order = Window.partitionBy("row", "template").orderBy("diagonal")
     phrase = F.col("n_grams") == F.col("need")
-    gap = F.col("diagonal") - F.lag("diagonal").over(in_order) > F.when(phrase, 0).otherwise(DIAGONAL_GAP)
-    merged = (
-        votes.withColumn("new", F.coalesce(gap, F.lit(True)).cast("int"))
-        .withColumn("span", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("doc_id", "row", "n_words", "template", "label", "base", "n_grams", "need", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"))
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, DIAGONAL_GAP)
+    spans = votes.withColumn("places", F.when(phrase, F.col("places")).otherwise(F.array_distinct(F.flatten(F.collect_list("places").over(near)))))
+    texts = F.array(*[F.array(*[F.lit(w) for w in t.text.split()]) for t in library])
+    in_text = lambda w, i: F.exists(
+        F.array(*[F.lit(j) for j in range(DIAGONAL_GAP + 1)]),
+        lambda j: F.coalesce(F.get(F.col("around.words"), (F.col("diagonal") + i + j - F.col("around.begin")).cast("int")) == w, F.lit(False)),
     )
-    stands = F.col("votes") >= F.col("need")
-    base = stands & F.col("base")
+    template = F.get(texts, F.col("template"))
+    there = F.size(F.filter(template, in_text))
+    votes_reach = F.size("places") >= F.col("need")
+    stands = votes_reach & F.when(phrase | ~votes_reach, True).otherwise(there >= F.ceil(F.size(template) * int(MIN_COVER * 100) / 100))
+    judged = spans.select("doc_id", "row", "n_words", "label", F.col("diagonal").alias("start"), F.coalesce(stands, F.lit(False)).alias("stands"), "base", (F.size("places") / F.col("n_grams")).alias("share"))
+    base = F.col("stands") & F.col("base")
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     start = F.when(base, F.col("start")).cast("long")
     return (
-        merged.groupBy("row", "doc_id", "n_words")
+        judged.groupBy("row", "doc_id", "n_words")
         .agg(
             F.count(start).alias("n_base"),
             F.min(start).alias("first_word"),
             F.max(start).alias("last_word"),
             names(base).alias("base_labels"),
-            names(stands).alias("labels"),
-            F.coalesce(F.max(F.when(stands, F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))), F.lit(0.0)).alias("score"),
+            names(F.col("stands")).alias("labels"),
+            F.coalesce(F.max(F.when(F.col("stands"), F.col("share"))), F.lit(0.0)).alias("score"),
         )
         .drop("row")
     )
