@@ -315,6 +315,53 @@ def test_license_passages_with_gaps(spark):
     assert 0.6 <= found[1].score < 1
 
 
+def licenses(text: str) -> tuple[str, float]:
+    """Labels and score of a text by comparing every template with every place."""
+    from loomgraph.llm import license_scan as scan
+
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+    labels, score = set(), 0.0
+    for template in scan.LIBRARY:
+        t = template.text.split()
+        k = scan.K_PASSAGE if len(t) > 2 * scan.K_PASSAGE else min(scan.K_PHRASE, len(t))
+        grams = len(t) - k + 1
+        passage = len(t) > 2 * scan.K_PASSAGE
+        gap = scan.DIAGONAL_GAP if passage else 0
+        for d in range(-len(t), len(w)):
+            same = lambda i, j: 0 <= i + j < len(w) and w[i + j] == t[i]  # noqa: B023, E731
+            on = [{p for p in range(grams) if all(same(p + x, e) for x in range(k))} for e in range(d, d + gap + 1)]
+            places = set.union(*on)
+            words = sum(any(same(i, e) for e in range(d, d + gap + 1)) for i in range(len(t)))
+            share = 60 if passage else 100
+            if on[0] and 100 * len(places) >= share * grams and 100 * words >= share * len(t):
+                labels.add(template.label)
+                score = max(score, len(places) / grams)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_against_brute_force(spark, sf, docs):
+    import random
+
+    from loomgraph.llm import license_scan
+
+    rng = random.Random(4)
+    passages = [t.text.split() for t in license_scan.PASSAGES]
+    rows = [(i, t) for i, (_, t, *_) in enumerate(docs) if len(t or "") < 3000]
+    gpl = next(t.text.split() for t in license_scan.PASSAGES if t.label == "gpl")
+    rows.append((1000, " ".join(gpl[:6] * 4 + gpl[21:27] * 3)))  # few places of the template, often
+    for i in range(150):
+        w = list(rng.choice(passages))
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 2)] = rng.choice(([], ["other"], ["two", "more"], w[:4], w[at : at + 6]))
+        before = rng.choice((["some", "words"], [], w[:5] * 3))
+        rows.append((2000 + i, " ".join(before + w[rng.randint(0, 8) :] + rng.choice(passages)[: rng.randint(0, 20)])))
+    found = {r.doc_id: (r.labels, round(r.score, 9)) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = {i: licenses(t) for i, t in rows}
+    assert found == {i: (a, round(b, 9)) for i, (a, b) in expected.items()}
+    assert found[1000][0] == "" and len(set(found.values())) > 20
+
+
 def test_mixing(spark, sf, docs):
     found = run(spark, "op7_source_mixing", sf)
     a, b = table(found), table(run(spark, "op7_source_mixing", sf))
@@ -432,6 +479,23 @@ def test_rule_order_does_not_change_the_verdict(spark, sf):
     assert kept.count() == quality_rules.score_rules(d, quality_rules.RULES[::-1]).where("kept").count()
 
 
+def test_cheap_and_selective_rules_go_first(spark):
+    """The costliest rule does not go before one that rejects more, and words are cut once."""
+    from loomgraph.llm import quality_rules
+
+    prose = " ".join(f"word{i}" for i in range(800))
+    rows = [(i, "too few" if i % 2 else prose) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    order = quality_rules.rule_order(d)
+    names = [x["rule"].name for x in order]
+    assert names[0] == "too_few_words" and sorted(names) == sorted(r.name for r in quality_rules.RULES)
+    by_name = {x["rule"].name: x for x in order}
+    assert abs(by_name["too_few_words"]["selectivity"] - 0.5) < 0.1 and by_name["repeated_windows"]["selectivity"] == 0
+    assert by_name["repeated_windows"]["cost_s"] > by_name["too_few_words"]["cost_s"]
+    plan = quality_rules.keep_good(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2  # words and lines
+
+
 def test_pipeline_stages(spark, sf, docs):
     import corpus_pipeline
     from loomgraph.plans.scratch import stored
