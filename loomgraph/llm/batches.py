@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not every C library has it
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system: idle workers stay, next to the others of their executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 #: Bytes of text that a Python worker turns over at once; a longer single text stands alone.
 BATCH_BYTES = 8 << 20
 #: Rows of one Arrow batch. Texts differ in length, so bytes are bounded by ``sliced`` as well.
@@ -28,6 +44,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         _, offsets = text_buffer(batch.column(batch.schema.get_field_index(column)))
         for a, b in chunks(offsets, limit):
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,8 @@ place; the first compatible one is stored, and back-pointers give the ids.
 In a vocabulary with an end-of-word mark, a word's last symbol carries the mark
 and is a symbol of its own.
 
-Memory: some 100 MB for the tables of 50,000 tokens, 20 MB for pair tests at
-most, and some 20 bytes for each byte of the word in hand.
+Memory: some 50 MB for the tables of 50,000 tokens, 40 MB for pair tests and
+what they look up at most, and some 20 bytes for each byte of the word in hand.
 """
 
 from __future__ import annotations
@@ -52,14 +52,14 @@ def visible(word: str) -> str:
 
 class PrefixBpe:
     def __init__(self, model: dict):
-        self.vocab: dict[str, int] = model["vocab"]
+        vocab: dict[str, int] = model["vocab"]
         self.mark: str = model.get("end_of_word_suffix") or ""
-        self.strings = {i: t for t, i in self.vocab.items()}
+        self.strings = {i: t for t, i in vocab.items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merged: dict[int, tuple[int, int]] = {}  # (left, right) packed -> (rank, token)
         self.parts: dict[int, tuple[int, int, int]] = {}  # token -> (left, right, rank)
         for rank, (a, b) in enumerate(merges):
-            left, right, token = self.vocab[a], self.vocab[b], self.vocab[a.removesuffix(self.mark) + b if self.mark else a + b]
+            left, right, token = vocab[a], vocab[b], vocab[a.removesuffix(self.mark) + b if self.mark else a + b]
             self.merged[left << 32 | right] = (rank, token)
             self.parts.setdefault(token, (left, right, rank))
         self._left: dict[int, list] = {}
@@ -67,11 +67,13 @@ class PrefixBpe:
         self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
-        for text, token in self.vocab.items():
+        for text, token in vocab.items():
             if self.whole(token):  # others stand in no encoding
                 symbols = self._symbols(text)
                 self.automaton.add_word(symbols, (token, len(symbols)))
         self.automaton.make_automaton()
+        for table in (self._whole, self._left, self._right):  # few of them are asked for again
+            table.clear()
 
     def _symbols(self, text: str) -> str:
         if self.mark and text.endswith(self.mark) and len(text) > len(self.mark):

@@ -124,7 +124,10 @@ class PreTokens:
         self.words = split.get("type") == "Split" and split["invert"] and split["behavior"] == "Removed" and level["type"] == "ByteLevel" and not level["use_regex"]
         if not (plain or self.words):
             raise ValueError("only byte-level BPE files and word-level ones that drop white space are supported")
-        self.spec = spec
+        self.model = spec["model"]
+        self.has_decoder = spec.get("decoder") is not None
+        if self.words:  # the library only cuts for such files, for which it needs no vocabulary
+            text = json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []})
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -225,7 +228,7 @@ class Ids:
         from loomgraph.llm.prefix_bpe import PrefixBpe, visible
 
         if self._bpe is None:
-            self._bpe = PrefixBpe(self.pre.spec["model"])
+            self._bpe = PrefixBpe(self.pre.model)
         return np.array(self._bpe.encode(visible(word)), "<i4").tobytes()
 
     def _joined(self, words: list[str], before: str, borders: np.ndarray) -> list[bytes]:

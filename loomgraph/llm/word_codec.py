@@ -6,7 +6,7 @@ and the decoded text of a document are then gathered by number. No token spans
 white space or two words in such a file, so words do not depend on each other.
 
 Memory of a worker: ``prefix_bpe``'s tables, ``2 * HELD`` kept words of 64
-characters at most (some 80 MB), and some twenty times a batch of ``BATCH``
+characters at most (some 40 MB), and some twenty times a batch of ``BATCH``
 bytes; a longer single text is a batch of its own.
 
 Defined results: a null or empty text has no ids and decodes to the empty
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from loomgraph.llm.batches import Recent, bounded_batches, gathered
 
 #: Words in one generation of those that a worker keeps from task to task.
-HELD = 200_000
-BATCH = 8 << 20
+HELD = 70_000
+BATCH = 2 << 20
 
 
 class WordCodec:
@@ -38,9 +38,10 @@ class WordCodec:
         from loomgraph.llm.pretokens import PreTokens
 
         self.pre = PreTokens(path)
-        if not self.pre.words or self.pre.spec.get("decoder") is not None:
+        if not self.pre.words or self.pre.has_decoder:
             raise ValueError("only word-level BPE files without a decoder are supported")
-        self.bpe = PrefixBpe(self.pre.spec["model"])
+        self.bpe = PrefixBpe(self.pre.model)
+        self.pre.model = None  # its tables are the encoder's now
         self.special = self.pre.special
         self.strings = self.bpe.strings | {i: s for s, i in self.special.items()}
         every = range(max(self.strings) + 1)
