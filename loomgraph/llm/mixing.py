@@ -33,6 +33,8 @@ MOST = 2
 ONE = 1 << 40
 #: Documents that meet in one block, on average.
 BLOCK = 128
+#: Parts in which rows that agree in doc_id, source and size are numbered.
+SALTS = 256
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -147,8 +149,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def repeat(docs: DataFrame, **how) -> DataFrame:
     """Rows of ``docs``, all columns, as often as the mix takes them.
 
-    Copies are matched by doc_id, source and size; rows that agree in all three
-    get their copies in order of a hash of their texts.
+    Copies are matched by doc_id, source and size. Rows that agree in all three
+    are numbered in ``SALTS`` parts, by a hash of text and place, and the parts one
+    after another; the first of them get the most copies.
     """
     names = docs.columns
     size = F.regexp_count(F.coalesce(docs["text"], F.lit("")), F.lit(WORD)).cast("long")
@@ -163,8 +166,18 @@ def repeat(docs: DataFrame, **how) -> DataFrame:
     several = stored(counted.where("rows > 1").select(*key), "several")
     if not several.limit(1).count():
         return taken
-    same = Window.partitionBy(*key).orderBy(F.col("copies").desc())
-    parts = mixed.join(several.withColumnsRenamed({c: f"s_{c}" for c in key}), mixed["doc_id"].eqNullSafe(F.col("s_doc_id")) & mixed["source"].eqNullSafe(F.col("s_source")) & (mixed["size"] == F.col("s_size")))
-    parts = parts.select(*key, "copies", F.row_number().over(same).alias("nth")).where("copies > 0")
-    rows = keyed.join(several, on(several), "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy("_hash")))
-    return taken.union(rows.join(parts, on(parts) & (F.col("_nth") == parts["nth"])).select("_row", again).select("_row.*"))
+    # How many of the rows of a key get so many copies, most copies first, as running counts.
+    hit = mixed.join(several.withColumnsRenamed({c: f"s_{c}" for c in key}), mixed["doc_id"].eqNullSafe(F.col("s_doc_id")) & mixed["source"].eqNullSafe(F.col("s_source")) & (mixed["size"] == F.col("s_size")))
+    grades = hit.groupBy(*key, "copies").count()
+    up_to = Window.partitionBy(*key).orderBy(F.col("copies").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    steps = grades.withColumn("upto", F.sum("count").over(up_to)).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("upto", "copies"))).alias("steps"))
+    salt = F.pmod(F.xxhash64("_hash", F.monotonically_increasing_id()), F.lit(SALTS))
+    rows = stored(keyed.join(several, on(several), "left_semi").withColumn("_salt", salt), "equal-rows")
+    own = ["_id", "_source", "_size"]
+    parts = rows.groupBy(*own, "_salt").agg(F.count("*").alias("n"))
+    parts = parts.withColumn("before", F.sum("n").over(Window.partitionBy(*own).orderBy("_salt")) - F.col("n"))
+    parts = parts.join(steps, on(steps)).select(*[F.col(c).alias(f"p{c}") for c in own], F.col("_salt").alias("p_salt"), "before", "steps")
+    nth = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*own, "_salt").orderBy("_hash")))
+    same = F.col("_id").eqNullSafe(F.col("p_id")) & F.col("_source").eqNullSafe(F.col("p_source")) & (F.col("_size") == F.col("p_size")) & (F.col("_salt") == F.col("p_salt"))
+    placed = nth.join(parts, same).withColumn("copies", F.filter("steps", lambda x: F.col("before") + F.col("_nth") <= x["upto"])[0]["copies"])
+    return taken.union(placed.where("copies > 0").select("_row", again).select("_row.*"))
