@@ -33,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.batches import bounded_batches
+from loomgraph.llm.batches import bounded_batches, give_back
+from loomgraph.llm.skew import join_one
 from loomgraph.operators.components import connected_components
 from loomgraph.plans.scratch import stored
 
@@ -85,6 +86,7 @@ def _classes(k: int):
                 table += np.bincount((values >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(table))
                 yield _row(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), np.diff(bounds), _sums(values, bounds).view(np.int64), b - a)
         yield _table_rows(table, task)
+        give_back()
 
     return run
 
@@ -168,6 +170,7 @@ def _postings(k: int, percent: int, shared):
                 if tokens:
                     cat = np.concatenate
                     yield pa.RecordBatch.from_arrays([pa.array(cat(tokens).view(np.int64)), pa.array(cat(own)), pa.array(cat(facts))], names=["token", "class", "facts"])
+        give_back()
 
     return run
 
@@ -188,6 +191,7 @@ def _verify(k: int, percent: int):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
                 yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+        give_back()
 
     return run
 
@@ -287,12 +291,12 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> Da
     links = links.union(linked(pairs))
     parts = connected_components(links)
 
+    parts = stored(parts, "parts")
     lowest = parts.join(classes, parts["node"] == classes["class"]).groupBy("root").agg(F.min("low").alias("component_id"))
-    named = parts.join(lowest, "root").select(F.col("node").alias("class"), "root", "component_id")
-    whole = classes.join(named, "class", "left").select(F.col("class").alias("own"), F.coalesce("root", "class").alias("group"), F.coalesce("component_id", "low").alias("component_id"))
+    named = join_one(parts, lowest, "root").select(F.col("node").alias("class"), "root", "component_id")
+    whole = stored(classes.join(named, "class", "left").select("class", F.coalesce("root", "class").alias("group"), F.coalesce("component_id", "low").alias("component_id")), "class-groups")
     shown = ("doc_id", "n_shingles", "component_id", *more)
-    full = rows.where("n_shingles > 0")
-    full = full.join(whole, full["class"] == whole["own"]).select(*shown)
+    full = join_one(rows.where("n_shingles > 0"), whole, "class").select(*shown)
     empty = rows.where("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("group", F.lit(None).cast("long"))
     return full.union(empty.select(*shown))
 
@@ -307,7 +311,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = duplicates(docs.select("doc_id", "text"), k, percent, "group", "hash").where("n_shingles > 0")
     keys = stored(found.groupBy("group", "doc_id", "hash").count(), "keys")
     one = keys.groupBy("group").agg(F.min(F.struct("doc_id", "hash")).alias("one"))
-    marked = keys.join(one, "group").withColumn("stays", F.struct("doc_id", "hash").eqNullSafe(F.col("one")))
+    marked = join_one(keys, one, "group").withColumn("stays", F.struct("doc_id", "hash").eqNullSafe(F.col("one")))
     drop = stored(marked.where("not stays or count > 1").select("doc_id", "hash", "stays"), "drop")
     small = drop.count() <= BROADCAST_ROWS
     near = lambda df: F.broadcast(df) if small else df

@@ -408,6 +408,34 @@ def test_rows_are_repeated_as_the_mix_takes_them(spark, sf):
     assert got == +want
 
 
+def test_equal_rows_are_repeated_as_the_mix_takes_them(spark):
+    """A third of all rows are equal; others share doc_id and size only."""
+    from loomgraph.llm import mixing
+
+    rows = [(7, "one and the same text", "a")] * 1000 + [(8, f"word{i} two three", "b") for i in range(300)] + [(100 + i, "w " * (1 + i % 50), "ab"[i % 2]) for i in range(1700)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixing.repeat(d).collect())
+    want = Counter()
+    for r in mixing.mix(d).collect():
+        want[(r.doc_id, r.source, r["size"])] += r.copies
+    assert got == +want
+
+
+def test_hot_classes_are_dealt(spark):
+    """One class holds nearly all rows; every row gets its group, in tasks of like size."""
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm.skew import join_one
+
+    many = spark.range(200_000, numPartitions=4).select("id", F.when(F.col("id") % 50 > 0, 3).otherwise(F.col("id")).alias("class"))
+    one = many.select("class").distinct().select("class", (F.col("class") * 2).alias("group"))
+    found = join_one(many, one, "class")
+    assert found.columns == ["class", "id", "group"]
+    assert found.where(F.col("group") == F.col("class") * 2).count() == 200_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
+
+
 def test_codec(spark, sf, docs):
     t = library("word_bpe_49k.json")
     t.no_truncation()
