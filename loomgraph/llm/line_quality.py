@@ -13,7 +13,9 @@ The field is fitted on a bounded sample: the ``TRAIN_DOCS`` labelled documents
 with the smallest hashes of their ids, of each the ``ROWS_PER_DOC`` distinct texts
 with the smallest hashes, and of a longer text ``TRAIN_LINES`` lines in ``WINDOWS``
 windows, one at a hashed place of each equal part of the text. All lines of all
-documents are scored.
+documents are scored, in parts whose messages are carried on from one to the
+next; a worker holds some 60 bytes for each line of the text in hand beside the
+text. Only the texts that are learned from hold all their features at once.
 
 Defined results: a null or empty text has one empty line and is scored by it;
 without learnable labels of both kinds, the share of good labels (or 0.5) is
@@ -40,8 +42,9 @@ TRAIN_LINES = 100
 WINDOWS = 4
 ROWS_PER_DOC = 2
 ROUNDS = 120
-#: Bytes of lines whose statistics are made at once.
+#: Bytes and lines whose statistics and messages are made at once.
 PART = 2 << 20
+PART_LINES = 1 << 13
 
 LOWER, UPPER, DIGIT, SPACE, MARK, BAR, BANG, OTHER, HIGH = range(9)
 KINDS = 9
@@ -88,6 +91,7 @@ def _part_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     x = np.zeros((n, OWN), np.float32)
     hashes = np.zeros(n, np.uint64)
     if not len(part):
+        x[:, KINDS + 6] = 1
         return x, hashes
     nexts = np.concatenate([starts[1:], [len(part)]])
     line = np.repeat(np.arange(n), nexts - starts)
@@ -115,36 +119,63 @@ def _part_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return x, hashes
 
 
+class _Lines:
+    """The lines of a batch: places, and features of any run of them, made when they are asked for."""
+
+    def __init__(self, texts: pa.Array):
+        from loomgraph.llm.bytetext import text_buffer
+
+        self.buf, offsets = text_buffer(texts)
+        self.starts, self.ends, self.bounds = lines_of(self.buf, offsets)
+        total = len(self.starts)
+        self.first, self.last = np.zeros(total, bool), np.zeros(total, bool)
+        self.first[self.bounds[:-1]] = self.last[self.bounds[1:] - 1] = True
+        self.parts, at = [], 0
+        while at < total:
+            to = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + PART, side="right")))
+            self.parts.append((at, min(to, at + PART_LINES)))
+            at = self.parts[-1][1]
+        made = [_part_features(self.buf, self.starts[a:b], self.ends[a:b]) for a, b in self.parts[:1]]
+        self._whole = made[0][0] if len(self.parts) == 1 else None
+        hashes = [h for _, h in made] + [_part_features(self.buf, self.starts[a:b], self.ends[a:b])[1] for a, b in self.parts[1:]]
+        self.again = self._repeats(np.concatenate(hashes) if hashes else np.empty(0, np.uint64))
+
+    def _repeats(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether the same line stands earlier in its document."""
+        again = np.zeros(len(hashes), bool)
+        if len(self.bounds) == 2:  # one document, perhaps a very long one
+            order = np.argsort(hashes, kind="stable")
+            again[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
+        else:
+            doc = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+            order = np.lexsort((np.arange(len(hashes)), hashes, doc))
+            again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+        return again & (self.ends > self.starts)
+
+    def rows(self, a: int, b: int) -> np.ndarray:
+        """Features of lines ``a`` to ``b`` with their neighbours'."""
+        lo, hi = max(a - 1, 0), min(b + 1, len(self.starts))
+        own = np.empty((hi - lo + 2, OWN + 1), np.float32)  # a row more at both ends
+        own[1:-1, :OWN] = self._whole[lo:hi] if self._whole is not None else _part_features(self.buf, self.starts[lo:hi], self.ends[lo:hi])[0]
+        own[1:-1, OWN] = self.again[lo:hi]
+        own[0] = own[-1] = 0
+        at, n = 1 + a - lo, b - a
+        before, after = own[at - 1 : at - 1 + n].copy(), own[at + 1 : at + 1 + n].copy()
+        first, last = self.first[a:b], self.last[a:b]
+        before[first] = 0
+        after[last] = 0
+        return np.hstack([own[at : at + n], before, after, first[:, None].astype(np.float32), last[:, None].astype(np.float32)])
+
+    @property
+    def length(self) -> np.ndarray:
+        return (self.ends - self.starts).astype(np.float64)
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines of a batch with their neighbours', line lengths, and line bounds per document."""
-    from loomgraph.llm.bytetext import text_buffer
-
-    buf, offsets = text_buffer(texts)
-    starts, ends, bounds = lines_of(buf, offsets)
-    total = len(starts)
-    own = np.zeros((total, OWN + 1), np.float32)
-    hashes = np.zeros(total, np.uint64)
-    at = 0
-    while at < total:
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + PART, side="right")))
-        own[at:to, :OWN], hashes[at:to] = _part_features(buf, starts[at:to], ends[at:to])
-        at = to
-    # Whether the same line stands earlier in its document.
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((np.arange(total), hashes, doc))
-    again = np.zeros(total, bool)
-    again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-    own[:, OWN] = again & (ends > starts)
-    before = np.zeros_like(own)
-    before[1:] = own[:-1]
-    before[bounds[:-1]] = 0
-    after = np.zeros_like(own)
-    after[:-1] = own[1:]
-    after[bounds[1:] - 1] = 0
-    edge = np.zeros((total, 2), np.float32)
-    edge[bounds[:-1], 0] = 1
-    edge[bounds[1:] - 1, 1] = 1
-    return np.hstack([own, before, after, edge]), (ends - starts).astype(np.float64), bounds
+    lines = _Lines(texts)
+    made = [lines.rows(a, b) for a, b in lines.parts]
+    return np.concatenate(made) if made else np.empty((0, 3 * (OWN + 1) + 2), np.float32), lines.length, lines.bounds
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,40 +183,91 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return c / c.sum((1, 2), keepdims=True)
 
 
-def marginals(unary: np.ndarray, trans: np.ndarray, bounds: np.ndarray, pairs: bool = False):
-    """P(good) of each line; with ``pairs``, also the expected transition counts and the log-likelihood's normaliser is left out."""
-    n = len(unary)
+def _emit(unary: np.ndarray) -> np.ndarray:
     good = np.exp(np.clip(unary, -30, 30))
-    emit = np.stack([np.ones(n), good], 1) / (1 + good)[:, None]
-    step = np.exp(trans)
+    return np.stack([np.ones(len(unary)), good], 1) / (1 + good)[:, None]
+
+
+def _factors(emit: np.ndarray, step: np.ndarray, starts: np.ndarray, come: np.ndarray | None) -> np.ndarray:
+    """A 2 x 2 matrix for each line; ``come`` is the message to the first line, if its document began before."""
     m = step[None] * emit[:, None, :]
-    first, last = bounds[:-1], bounds[1:] - 1
-    m[first] = emit[first][:, None, :]  # equal rows forget what came before
-    fore = m / m.sum((1, 2), keepdims=True)
-    back = np.full_like(m, 0.25)
+    m[starts] = emit[starts][:, None, :]  # equal rows forget what came before
+    if come is not None:
+        m[0] = (come @ step * emit[0])[None, :]
+    return m
+
+
+def _forward(m: np.ndarray, longest: int) -> np.ndarray:
+    fore, d = m / m.sum((1, 2), keepdims=True), 1
+    while d < longest:
+        fore[d:] = _times(fore[:-d], fore[d:])
+        d *= 2
+    return fore[:, 0] / fore[:, 0].sum(1, keepdims=True)
+
+
+def _backward(m: np.ndarray, ends: np.ndarray, go: np.ndarray | None, longest: int) -> np.ndarray:
+    """Messages back to each line; ``go`` is that to the last line, if its document goes on."""
+    back, d = np.full_like(m, 0.25), 1
     back[:-1] = m[1:]
-    back[last] = 0.25
+    back[ends] = 0.25
+    if go is not None:
+        back[-1] = go[:, None]
     back /= back.sum((1, 2), keepdims=True)
-    d, longest = 1, int(np.diff(bounds).max(initial=0))
     while d < longest:
-        fore[d:] = _times(fore[:-d], fore[d:])
         back[:-d] = _times(back[:-d], back[d:])
         d *= 2
-    alpha = fore[:, 0] / fore[:, 0].sum(1, keepdims=True)
     beta = back.sum(2)
-    beta /= beta.sum(1, keepdims=True)
+    return beta / beta.sum(1, keepdims=True)
+
+
+def marginals(unary: np.ndarray, trans: np.ndarray, bounds: np.ndarray, pairs: bool = False):
+    """P(good) of each line; with ``pairs``, also the expected transition counts and the log-likelihood's normaliser is left out.
+
+    Without ``pairs``, lines are taken in parts of ``PART_LINES``: the messages at
+    a part's ends are carried on, so memory hardly depends on a document's length.
+    """
+    n, step = len(unary), np.exp(trans)
+    if not pairs:
+        return _marginals_in_parts(unary, step, bounds)
+    longest = int(np.diff(bounds).max(initial=0))
+    m = _factors(_emit(unary), step, bounds[:-1], None)
+    alpha, beta = _forward(m, longest), _backward(m, bounds[1:] - 1, None, longest)
     p = alpha * beta
     p /= p.sum(1, keepdims=True)
-    if not pairs:
-        return p[:, 1]
     inner = np.ones(n, bool)
-    inner[first] = False
+    inner[bounds[:-1]] = False
     t = np.flatnonzero(inner)
     joint = alpha[t - 1][:, :, None] * m[t] * beta[t][:, None, :]
     joint /= joint.sum((1, 2), keepdims=True)
     return p[:, 1], joint.sum(0)
 
 
+def _marginals_in_parts(unary: np.ndarray, step: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    n = len(unary)
+    alpha, out = np.empty((n, 2)), np.empty(n)
+    parts = [(a, min(a + PART_LINES, n)) for a in range(0, n, PART_LINES)]
+
+    def part(a: int, b: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Starts of documents in a part, ends of documents in it, and its longest run."""
+        starts, ends = (bounds[np.searchsorted(bounds, x) : np.searchsorted(bounds, x + b - a)] - x for x in (a, a + 1))
+        runs = np.diff(np.concatenate([[0], starts, [b - a]]))
+        return starts, ends, int(runs.max(initial=0))
+
+    for a, b in parts:
+        starts, _, longest = part(a, b)
+        come = None if len(starts) and starts[0] == 0 else alpha[a - 1]
+        alpha[a:b] = _forward(_factors(_emit(unary[a:b]), step, starts, come), longest)
+    go = None
+    for a, b in reversed(parts):
+        starts, ends, longest = part(a, b)
+        emit = _emit(unary[a:b])
+        beta = _backward(_factors(emit, step, starts, None), ends, go, longest)
+        p = alpha[a:b] * beta
+        out[a:b] = p[:, 1] / p.sum(1)
+        go = None if len(starts) and starts[0] == 0 else step @ (emit[0] * beta[0])
+    return out
+
+
 @dataclass
 class Field:
     """A trained field: line weights, transition scores and the curve from line marginals to a score."""
@@ -197,14 +279,22 @@ class Field:
     trans: np.ndarray | None = None
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def lines(self, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def unary(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return marginals(z @ self.weights[:-1] + self.weights[-1], self.trans, bounds)
+        return z @ self.weights[:-1] + self.weights[-1]
+
+    def lines(self, x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return marginals(self.unary(x), self.trans, bounds)
 
-    def scores(self, x: np.ndarray, length: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
-            return np.full(len(bounds) - 1, self.prior)
-        return _curve(share_good(self.lines(x, bounds), length, bounds), *self.curve)
+            return np.full(len(texts), self.prior)
+        lines = _Lines(texts)
+        unary = [np.empty(0)]
+        for a, b in lines.parts:
+            unary.append(self.unary(lines.rows(a, b)))
+        p = marginals(np.concatenate(unary), self.trans, lines.bounds)
+        return _curve(share_good(p, lines.length, lines.bounds), *self.curve)
 
 
 def share_good(p: np.ndarray, length: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -342,7 +432,7 @@ def _score(shared):
 
         field: Field = shared.value
         for batch in sliced(batches, limit=1 << 20):
-            scores = field.scores(*features(batch.column(batch.num_columns - 1)))
+            scores = field.scores(batch.column(batch.num_columns - 1))
             columns = [*batch.columns[:-1], pa.array(np.clip(scores, 0, 1), pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "score"])
 
@@ -380,7 +470,7 @@ def _score_rows(shared):
 
         field: Field = shared.value
         for batch in sliced(batches, column="_text", limit=1 << 20):
-            scores = field.scores(*features(batch.column(1)))
+            scores = field.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(scores, 0, 1), pa.float64())], names=["_row", "score"])
 
     return run

@@ -100,6 +100,43 @@ def test_marginals_against_enumeration():
     assert np.allclose(pairs, total)
 
 
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from loomgraph.llm import line_quality
+
+    rng = np.random.default_rng(5)
+    width = 3 * (line_quality.OWN + 1) + 2
+    field = line_quality.Field(0.5, np.zeros(width), np.ones(width), rng.normal(size=width + 1), rng.normal(size=(2, 2)))
+    texts = ["", None, "\n", "\n" * 30, "a b\nA! #\n\na b\n1 2 3\na b", "x" * 300, *("\n".join(rng.choice(["a b c", "", "A!", "# | 9"], n)) for n in (1, 7, 60, 200))]
+    x, length, bounds = line_quality.features(pa.array(texts))
+    whole = field.scores(pa.array(texts))
+    assert len(field.scores(pa.array([], pa.string()))) == 0
+    for n, size in ((1, 40), (7, 1 << 20), (64, 100)):
+        monkeypatch.setattr(line_quality, "PART_LINES", n)
+        monkeypatch.setattr(line_quality, "PART", size)
+        assert (line_quality.features(pa.array(texts))[0] == x).all()
+        assert np.allclose(field.scores(pa.array(texts)), whole, atol=1e-12)
+        assert np.allclose([field.scores(pa.array([t], pa.string()))[0] for t in texts], whole, atol=1e-12)
+    # Scores by plain forward and backward messages, line after line.
+    u, step, share = field.unary(x), np.exp(field.trans), []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        emit = np.stack([np.ones(b - a), np.exp(u[a:b])], 1)
+        fore, back = [emit[0] / emit[0].sum()], [np.ones(2)]
+        for e in emit[1:]:
+            v = fore[-1] @ step * e
+            fore.append(v / v.sum())
+        for e in emit[:0:-1]:
+            v = step @ (e * back[-1])
+            back.append(v / v.sum())
+        p = np.array(fore) * np.array(back[::-1])
+        weight = length[a:b] + 1e-3
+        share.append((p[:, 1] / p.sum(1) * weight).sum() / weight.sum())
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    assert np.allclose(whole, 1 / (1 + np.exp(-np.log(share / (1 - share)))), atol=1e-9)
+
+
 def test_near_duplicates(spark, sf, docs):
     sets = []
     for _, text, *_ in docs:
