@@ -3,10 +3,14 @@
 Rows are dealt evenly to shards of bounded size. Each shard is one KD-tree:
 median splits along the widest side, with the tight bounding box and the
 smallest id of every node. Queries go in blocks of bounded size, each first to
-one shard, then with the k-th scores found there to all others. In a shard,
+one shard, then with the k-th scores found there to all others. Some blocks
+of queries meet a shard's tree in one task, which opens it once. In a shard,
 nodes are taken best first by the largest inner product that their box allows;
 a node is left out for every query whose k-th score its bound cannot reach.
 
+Memory of a task: one shard and one set of blocks, both bounded by rows and by
+bytes at eight bytes a component, and their results.
+
 Defined results: vectors that are null, or hold a null or non-finite component,
 and rows without vec_id take no part; vectors of unequal lengths are padded with
 zeros; repeated rows are separate candidates and separate queries, and only the
@@ -18,7 +22,6 @@ from __future__ import annotations
 
 import heapq
 import io
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,9 @@ from loomgraph.plans.scratch import stored
 SHARD_ROWS = 1 << 16
 BLOCK_ROWS = 512
 LEAF_ROWS = 256
+#: Bytes of a shard's vectors, and of the queries that meet it in one task.
+SHARD_BYTES = 64 << 20
+SET_BYTES = 32 << 20
 SCALE = 256
 
 
@@ -170,35 +176,33 @@ def _block(table: pa.Table) -> pa.Table:
 
 
 RESULT = "query_row long, query_id long, vec_id long, score long, block long, shard long, kth binary"
+_SCHEMA = pa.schema([(c, pa.int64()) for c in ("query_row", "query_id", "vec_id", "score", "block", "shard")] + [("kth", pa.binary())])
+_EMPTY = _SCHEMA.empty_table()
 _NONE = -(2.0**200)
 
 
 def _run(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, shard, queries, kth or null, tree): result rows, and one row with the k-th scores reached."""
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block, shard, queries, known, packed = (batch.column(c)[row].as_py() for c in range(5))
-                q, tree = _unpack(queries), _unpack(packed)
-                m = len(q["ids"])
-                kth, kth_id = np.full(m, _NONE), np.full(m, np.iinfo(np.int64).max)
-                if known is not None:
-                    before = _unpack(known)
-                    kth, kth_id = before["kth"], before["kth_id"]
-                qs, s, ids, kth, kth_id = search(tree, q["q"], q["rows"], k, kth, kth_id)
-                big = np.iinfo(np.int64)
-                s = np.array([min(max(int(x), big.min), big.max) for x in s], np.int64)
-                state = _pack(kth=kth.astype(np.float64), kth_id=kth_id) if kth.dtype == np.float64 else None  # exact as doubles
-                n = len(qs)
-                put = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(1, kind)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        put(q["rows"][qs], pa.int64()), put(q["ids"][qs], pa.int64()), put(ids, pa.int64()), put(s, pa.int64()),
-                        pa.array([block] * (n + 1), pa.int64()), pa.array([shard] * (n + 1), pa.int64()),
-                        pa.array([None] * n + [state], pa.binary()),
-                    ],
-                    names=["query_row", "query_id", "vec_id", "score", "block", "shard", "kth"],
-                )
+    def run(asked: pa.Table, shard: pa.Table) -> pa.Table:
+        """Blocks (block, shard, queries, kth or null) and their shard's tree: result rows, and for each block one row with the k-th scores reached."""
+        if not shard.num_rows or not asked.num_rows:
+            return _EMPTY
+        tree, big, out = _unpack(shard.column("tree")[0].as_py()), np.iinfo(np.int64), []
+        for row in range(asked.num_rows):
+            block, number, queries, known = (asked.column(c)[row].as_py() for c in ("block", "shard", "queries", "kth"))
+            q = _unpack(queries)
+            m = len(q["ids"])
+            kth, kth_id = np.full(m, _NONE), np.full(m, big.max)
+            if known is not None:
+                before = _unpack(known)
+                kth, kth_id = before["kth"], before["kth_id"]
+            qs, s, ids, kth, kth_id = search(tree, q["q"], q["rows"], k, kth, kth_id)
+            s = np.array([min(max(int(x), big.min), big.max) for x in s], np.int64)
+            state = _pack(kth=kth.astype(np.float64), kth_id=kth_id) if kth.dtype == np.float64 else None  # exact as doubles
+            n = len(qs)
+            put = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(1, kind)])
+            found = [put(x, pa.int64()) for x in (q["rows"][qs], q["ids"][qs], ids, s)]
+            out.append(pa.Table.from_arrays([*found, pa.array([block] * (n + 1), pa.int64()), pa.array([number] * (n + 1), pa.int64()), pa.array([None] * n + [state], pa.binary())], schema=_SCHEMA))
+        return pa.concat_tables(out).combine_chunks()
 
     return run
 
@@ -212,16 +216,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.where(F.coalesce(sound, F.lit(False))).select("vec_id", is_query.alias("asks"), whole.alias("v"), F.monotonically_increasing_id().alias("row"))
     rows = stored(rows, "vectors")
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("asks").cast("int")), F.lit(0)).alias("asks")).first()
-    n_shards, n_blocks = -(-size["n"] // SHARD_ROWS) or 1, -(-size["asks"] // BLOCK_ROWS) or 1
+    count = F.coalesce(F.sum(F.col("asks").cast("int")), F.lit(0))
+    size = rows.agg(F.count("*").alias("n"), count.alias("asks"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first()
+    wide = 8 * max(1, size["width"])
+    shard_rows, block_rows = max(1, min(SHARD_ROWS, SHARD_BYTES // wide)), max(1, min(BLOCK_ROWS, SET_BYTES // wide))
+    n_shards, n_blocks = -(-size["n"] // shard_rows) or 1, -(-size["asks"] // block_rows) or 1
+    in_set = max(1, SET_BYTES // (wide * block_rows))
     deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
     shards = rows.withColumn("shard", deal(n_shards)).groupBy("shard").applyInArrow(_build, "shard long, tree binary")
     shards = stored(shards, "shards")
     blocks = stored(rows.where("asks").withColumn("block", deal(n_blocks)).groupBy("block").applyInArrow(_block, "block long, queries binary"), "query-blocks")
 
     def ask(asked: DataFrame) -> DataFrame:
-        pairs = asked.join(shards, "shard").select("block", "shard", "queries", "kth", "tree")
-        return pairs.mapInArrow(_run(k), RESULT)
+        asked = asked.select("block", "shard", "queries", "kth", F.floor(F.col("block") / in_set).alias("set"))
+        keys = asked.select(F.col("shard").alias("met"), F.col("set").alias("by")).distinct()
+        met = shards.join(keys, F.col("shard") == F.col("met")).select("met", "by", "tree")
+        return asked.groupBy("shard", "set").cogroup(met.groupBy("met", "by")).applyInArrow(_run(k), RESULT)
 
     home = F.pmod("block", F.lit(n_shards))
     first = stored(ask(blocks.select("block", "queries", home.alias("shard"), F.lit(None).cast("binary").alias("kth"))), "first-shards")

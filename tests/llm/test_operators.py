@@ -282,13 +282,20 @@ def test_top_k(spark, sf):
     assert table(run(spark, "op4_topk_search", sf)) == sorted(expected, key=repr)
     from loomgraph.llm import topk_search
 
-    shards, leaves = topk_search.SHARD_ROWS, topk_search.LEAF_ROWS
-    try:
-        topk_search.SHARD_ROWS, topk_search.build_tree.__defaults__ = 40, (4,)
-        again = topk_search.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
-        assert table(again) == sorted(expected, key=repr)
-    finally:
-        topk_search.SHARD_ROWS, topk_search.build_tree.__defaults__ = shards, (leaves,)
+    kept = {c: getattr(topk_search, c) for c in ("SHARD_ROWS", "SHARD_BYTES", "BLOCK_ROWS", "SET_BYTES")}
+    leaves = topk_search.build_tree.__defaults__
+    # By rows; then by bytes, with blocks of one or two queries and one or more blocks in a task.
+    for smaller in ({"SHARD_ROWS": 40}, {"SHARD_BYTES": 40_000, "BLOCK_ROWS": 2, "SET_BYTES": 4000}, {"SHARD_ROWS": 60, "BLOCK_ROWS": 1}):
+        try:
+            for c, x in smaller.items():
+                setattr(topk_search, c, x)
+            topk_search.build_tree.__defaults__ = (4,)
+            again = topk_search.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+            assert table(again) == sorted(expected, key=repr)
+        finally:
+            for c, x in kept.items():
+                setattr(topk_search, c, x)
+            topk_search.build_tree.__defaults__ = leaves
 
 
 def test_languages(spark, sf, docs):
