@@ -459,17 +459,22 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     names = docs.columns
-    wide = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs["text"].alias("_text"))
-    made = wide.mapInArrow(_score_rows(shared), wide.select("_row", F.lit(0.0).alias("score")).schema)
+    place = [c.lower() for c in names].index("text")
+    wide = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"))
+    made = wide.mapInArrow(_score_rows(shared, place), wide.select("_row", F.lit(0.0).alias("score")).schema)
     return made.where("score >= 0.5").select("_row.*")
 
 
-def _score_rows(shared):
+def _score_rows(shared, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from loomgraph.llm.batches import sliced
 
         field: Field = shared.value
-        for batch in sliced(batches, column="_text", limit=1 << 20):
+        def with_text() -> Iterator[pa.RecordBatch]:
+            for batch in batches:  # the text is a view of the row's own
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(place)], names=["_row", "_text"])
+
+        for batch in sliced(with_text(), column="_text", limit=1 << 20):
             scores = field.scores(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(scores, 0, 1), pa.float64())], names=["_row", "score"])
 

@@ -60,7 +60,7 @@ def _sets(texts: pa.Array, k: int):
     from loomgraph.llm.bytetext import chunks, distinct_per_doc, shingles, span_hashes, text_buffer, word_spans
 
     buf, offsets = text_buffer(texts)
-    for a, b in chunks(offsets, 2 << 20):
+    for a, b in chunks(offsets, 1 << 20):
         part, inner = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, bounds = word_spans(part, inner)
         values, at = shingles(span_hashes(part, starts, ends), bounds, k)

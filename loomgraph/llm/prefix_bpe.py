@@ -10,7 +10,7 @@ place; the first compatible one is stored, and back-pointers give the ids.
 In a vocabulary with an end-of-word mark, a word's last symbol carries the mark
 and is a symbol of its own.
 
-Memory: some 50 MB for the tables of 50,000 tokens, 40 MB for pair tests and
+Memory: some 50 MB for the tables of 50,000 tokens, 20 MB for pair tests and
 what they look up at most, and some 20 bytes for each byte of the word in hand.
 """
 
@@ -24,8 +24,9 @@ import ahocorasick
 _NEVER = 1 << 60
 #: Moves a character that carries the end-of-word mark out of the way of all others.
 _MARKED = 0x100000
-#: Pair tests that are kept.
-PAIRS = 150_000
+#: Pair tests that are kept, and spines of tokens on either side.
+PAIRS = 100_000
+SPINES = 15_000
 
 
 def _visible_bytes() -> list[str]:
@@ -56,11 +57,11 @@ class PrefixBpe:
         self.mark: str = model.get("end_of_word_suffix") or ""
         self.strings = {i: t for t, i in vocab.items()}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merged: dict[int, tuple[int, int]] = {}  # (left, right) packed -> (rank, token)
+        self.merged: dict[int, int] = {}  # (left, right) packed -> rank
         self.parts: dict[int, tuple[int, int, int]] = {}  # token -> (left, right, rank)
         for rank, (a, b) in enumerate(merges):
             left, right, token = vocab[a], vocab[b], vocab[a.removesuffix(self.mark) + b if self.mark else a + b]
-            self.merged[left << 32 | right] = (rank, token)
+            self.merged[left << 32 | right] = rank
             self.parts.setdefault(token, (left, right, rank))
         self._left: dict[int, list] = {}
         self._right: dict[int, list] = {}
@@ -72,7 +73,12 @@ class PrefixBpe:
                 symbols = self._symbols(text)
                 self.automaton.add_word(symbols, (token, len(symbols)))
         self.automaton.make_automaton()
-        for table in (self._whole, self._left, self._right):  # few of them are asked for again
+        self._whole.clear()
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the pair tests and spines that are kept."""
+        for table in (self._fits, self._left, self._right):
             table.clear()
 
     def _symbols(self, text: str) -> str:
@@ -94,8 +100,12 @@ class PrefixBpe:
         """Rank of the first merge across the border of two tokens that grow side by side."""
         left, right = self._right.get(a), self._left.get(b)
         if left is None:
+            if len(self._right) >= SPINES:
+                self._right.clear()
             left = self._right[a] = self._spine(a, 1)
         if right is None:
+            if len(self._left) >= SPINES:
+                self._left.clear()
             right = self._left[b] = self._spine(b, 0)
         first = _NEVER
         merged = self.merged
@@ -103,8 +113,8 @@ class PrefixBpe:
             for y, y_ends in right:
                 found = merged.get(x << 32 | y)
                 # Of equal merges the one further left goes first: x must still stand, y may just be about to go.
-                if found is not None and found[0] < x_ends and found[0] <= y_ends and found[0] < first:
-                    first = found[0]
+                if found is not None and found < x_ends and found <= y_ends and found < first:
+                    first = found
         return first
 
     def whole(self, token: int) -> bool:

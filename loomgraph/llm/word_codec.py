@@ -6,8 +6,8 @@ and the decoded text of a document are then gathered by number. No token spans
 white space or two words in such a file, so words do not depend on each other.
 
 Memory of a worker: ``prefix_bpe``'s tables, ``2 * HELD`` kept words of 64
-characters at most (some 40 MB), and some twenty times a batch of ``BATCH``
-bytes; a longer single text is a batch of its own.
+characters at most (some 25 MB, dropped at the end of a task), and some twenty
+times a batch of ``BATCH`` bytes; a longer single text is a batch of its own.
 
 Defined results: a null or empty text has no ids and decodes to the empty
 string; special strings inside texts become their ids, as the library has it by
@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.batches import Recent, bounded_batches, gathered
+from loomgraph.llm.batches import Recent, bounded_batches, gathered, give_back
 
-#: Words in one generation of those that a worker keeps from task to task.
-HELD = 70_000
-BATCH = 2 << 20
+#: Words in one generation of those that a task keeps.
+HELD = 40_000
+BATCH = 1 << 20
 
 
 class WordCodec:
@@ -59,6 +59,12 @@ class WordCodec:
     def _make(self, words: list[str]) -> dict[str, bytes]:
         return {w: array("i", self._word(w)).tobytes() for w in words}
 
+    def forget(self) -> None:
+        """Drop what is kept of earlier texts: a worker may be idle for long, next to others."""
+        self.known = Recent(HELD)
+        self.bpe.forget()
+        give_back()
+
     def encode(self, texts: pa.Array) -> pa.LargeListArray:
         """Ids of each text, as the library gives them without added special tokens."""
         cut = self.pre.cut(texts)
@@ -109,6 +115,8 @@ def _code(path: str):
             ids = codec.encode(batch.column(1))
             hashed = [pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()) for parts in codec.written(ids)]
             yield pa.RecordBatch.from_arrays([batch.column(0), ids.value_lengths(), *hashed], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            del ids, hashed
+        codec.forget()
 
     return run
 
@@ -124,6 +132,7 @@ def _ids(path: str):
         codec = _codec(path)
         for batch in gathered(batches, limit=BATCH):
             yield pa.RecordBatch.from_arrays([batch.column(0), codec.encode(batch.column(1)).cast(pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        codec.forget()
 
     return run
 
