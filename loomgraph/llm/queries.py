@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import language_id, license_scan, line_quality, mixing, near_duplicates, quality_rules, token_counts, token_files, topk_search, word_codec
+from loomgraph.llm import language_id, license_scan, line_quality, line_runs, mixing, near_duplicates, quality_rules, token_counts, token_files, topk_search, word_codec
 
 
 def tokenizer_file(name: str) -> str:
@@ -65,6 +65,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_rules(documents(spark, sf_dir)).drop("failed_rule")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_runs.dedup_lines(documents(spark, sf_dir), least_docs=10, least_length=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_line_quality": op1_line_quality,
     "op2_near_duplicates": op2_near_duplicates,
@@ -76,6 +81,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality_rules": op10_quality_rules,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -124,4 +130,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT (base_failed OR 10 * n_symbols > n_words OR (10 * n_dup_lines > 5 * n_lines AND n_lines >= 4)
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_capitals > word_chars) AS kept
 FROM b""",
+    "op11_line_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+k AS (SELECT doc_id, r, ls, list_transform(ls, lambda x: translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ks FROM d),
+c AS (SELECT x FROM (SELECT r, unnest(list_distinct(ks)) AS x FROM k) WHERE length(x) >= 1 GROUP BY x HAVING count(*) >= 10),
+m AS (SELECT r, unnest(ls) AS l, unnest(ks) AS x, generate_subscripts(ls, 1) AS i FROM k),
+f AS (SELECT m.r, m.l, m.i, m.x IN (SELECT x FROM c) AS gone FROM m)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM f JOIN d USING (r) GROUP BY r, doc_id""",
 }
