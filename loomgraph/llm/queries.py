@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import language_id, license_scan, line_quality, line_runs, mixing, near_duplicates, quality_rules, token_counts, token_files, topk_search, word_codec
+from loomgraph.llm import language_id, license_scan, line_quality, line_runs, mixing, near_duplicates, phrases, quality_rules, token_counts, token_files, topk_search, word_codec
 
 
 def tokenizer_file(name: str) -> str:
@@ -70,6 +70,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir), least=30, longest=4, top=2000, cover=80)
+
+
 QUERIES = {
     "op1_line_quality": op1_line_quality,
     "op2_near_duplicates": op2_near_duplicates,
@@ -82,6 +86,7 @@ QUERIES = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality_rules": op10_quality_rules,
     "op11_line_dedup": op11_line_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -139,4 +144,20 @@ f AS (SELECT m.r, m.l, m.i, m.x IN (SELECT x FROM c) AS gone FROM m)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM f JOIN d USING (r) GROUP BY r, doc_id""",
+    "op13_collocations": r"""
+WITH p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest(range(1, 5)) AS m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2 AND f >= 30),
+k AS (SELECT lang, phrase, m, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM c, (SELECT unnest(range(1, 4)) AS k) WHERE k < m),
+s AS (SELECT k.*, l.f AS l, r.f AS r, (2000000 * a::HUGEINT) // (l.f + r.f) AS score FROM k JOIN f l ON l.lang = k.lang AND l.phrase = x JOIN f r ON r.lang = k.lang AND r.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(ws[i:i + z - 1], ' ') AS phrase, max(a) AS longer FROM c, (SELECT unnest(range(1, 4)) AS i), (SELECT unnest(range(2, 4)) AS z) WHERE z < m AND i + z - 1 <= m GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score::BIGINT AS score
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE i.longer IS NULL OR 100 * i.longer < 80 * a
+) JOIN n USING (lang) WHERE rank <= 2000""",
 }
