@@ -114,15 +114,16 @@ class PreTokens:
     goes before them, and runs of white space are words; see ``bare``.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """``plain``: special strings inside texts are ordinary text."""
         with open(path, encoding="utf-8") as f:
             text = f.read()
         spec = json.loads(text)
         pre = spec.get("pre_tokenizer") or {}
-        plain = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        bytewise = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         split, level = pre["pretokenizers"] if pre.get("type") == "Sequence" and len(pre["pretokenizers"]) == 2 else ({}, {})
         self.words = split.get("type") == "Split" and split["invert"] and split["behavior"] == "Removed" and level["type"] == "ByteLevel" and not level["use_regex"]
-        if not (plain or self.words):
+        if not (bytewise or self.words):
             raise ValueError("only byte-level BPE files and word-level ones that drop white space are supported")
         self.model = spec["model"]
         self.has_decoder = spec.get("decoder") is not None
@@ -131,7 +132,8 @@ class PreTokens:
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.tokenizer.encode_special_tokens = plain
+        self.special = {} if plain else {x["content"]: x["id"] for x in spec["added_tokens"]}
         if any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or " " in x["content"] for x in spec["added_tokens"]):
             raise ValueError("only plain special strings are supported")
         self._apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import language_id, license_scan, line_quality, line_runs, mixing, near_duplicates, phrases, quality_rules, token_counts, token_files, topk_search, word_codec
+from loomgraph.llm import alignment, language_id, license_scan, line_quality, line_runs, mixing, near_duplicates, phrases, quality_rules, token_counts, token_files, topk_search, word_codec
 
 
 def tokenizer_file(name: str) -> str:
@@ -70,6 +70,10 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir), least=30, longest=4, top=2000, cover=80)
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality_rules": op10_quality_rules,
     "op11_line_dedup": op11_line_dedup,
+    "op12_token_alignment": op12_token_alignment,
     "op13_collocations": op13_collocations,
 }
 
