@@ -98,10 +98,10 @@ SELECT id AS src, ((r + dr) * 25 + c + dc)::BIGINT AS dst FROM c, m WHERE r + dr
     "features_round_trip": """WITH e AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS node, embedding FROM embeddings WHERE embedding IS NOT NULL)
 SELECT node, unnest(range(0, len(embedding))) AS k, unnest(embedding)::FLOAT::DOUBLE AS x FROM e""",
     "vertex_records_round_trip": "SELECT c_custkey AS id, c_custkey % 7 AS edges, c_custkey * 3 AS start, c_nationkey::INTEGER AS type FROM customer",
-    "edge_image_round_trip": """SELECT n_nationkey::BIGINT AS src, n_regionkey::BIGINT AS dst, 1::INTEGER AS type, 2::INTEGER AS src_type, 3::INTEGER AS dst_type,
-  n_nationkey::BIGINT * 1099511627776 AS src_glbid, -n_regionkey::BIGINT AS dst_glbid FROM nation""",
-    "int8_matrix_round_trip": """WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS i, [n_nationkey, -n_nationkey, n_regionkey, 10 * n_regionkey - 20] AS vs FROM nation)
-SELECT i, unnest(range(0, 4)) AS j, unnest(vs)::BIGINT AS v FROM n""",
+    "edge_records_round_trip": "SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber AS type, 1::INTEGER AS src_type, 2::INTEGER AS dst_type, l_partkey * 4294967296 AS src_glbid, -l_suppkey AS dst_glbid FROM lineitem",
+    "edge_image_round_trip": "SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber AS type, 2::INTEGER AS src_type, 3::INTEGER AS dst_type, l_partkey * 4294967296 AS src_glbid, -l_suppkey AS dst_glbid FROM lineitem",
+    "int8_matrix_round_trip": """WITH n AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount) - 1 AS i, [l_quantity::BIGINT, -l_linenumber, round(l_discount * 100)::BIGINT, l_partkey % 256 - 128] AS vs FROM lineitem)
+SELECT i, j - 1 AS j, vs[j] AS v FROM (SELECT i, vs, unnest(range(1, 5)) AS j FROM n)""",
     "edge_list_round_trip": f"WITH {SUPPLY} SELECT src, dst FROM supply",
     "bfs_levels": f"WITH RECURSIVE {BOTH}, {_bfs('both_ways', ROOT)} SELECT dist, count(*) AS vertices FROM bfs GROUP BY dist",
     "bfs_push_distances": f"WITH RECURSIVE {SUPPLY_BOTH}, {_bfs('ways', SUPPLY_ROOT)} SELECT v, dist FROM bfs",

@@ -128,25 +128,33 @@ def vertex_records_round_trip(spark, sf):
     return graph_files.read_records(spark, path, graph_files.VERTEX)
 
 
-def _nations(spark, sf) -> list:
-    """The nations, whose number does not depend on the size of the tables."""
-    return d.table(spark, sf, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()
+@query
+def edge_records_round_trip(spark, sf):
+    path = new_path(spark, "edge-records")
+    columns = ["l_orderkey", "l_partkey", "l_linenumber", F.lit(1), F.lit(2), F.col("l_partkey") * 4294967296, -F.col("l_suppkey")]
+    d.table(spark, sf, "lineitem").select(F.concat_ws(" ", *columns).alias("value")).write.text(path)
+    return graph_files.read_records(spark, path, graph_files.EDGE)
 
 
 @query
 def edge_image_round_trip(spark, sf):
-    path = new_path(spark, "image") + "/edges.bin"
-    rows = [(n, r, 1, 2, 3, n << 40, -r) for n, r in _nations(spark, sf)]
-    graph_files.write_bytes(path, graph_files.record_image(rows, graph_files.EDGE))
-    return graph_files.read_record_image(spark, path, graph_files.EDGE)
+    path = new_path(spark, "image")
+    items = d.table(spark, sf, "lineitem")
+    made = items.select(
+        F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_linenumber").alias("type"), F.lit(2).alias("src_type"), F.lit(3).alias("dst_type"),
+        (F.col("l_partkey") * 4294967296).alias("src_glbid"), (-F.col("l_suppkey")).alias("dst_glbid"),
+    )
+    graph_files.write_record_image(made, path, graph_files.EDGE)
+    return graph_files.read_record_image(spark, path, graph_files.EDGE, range_bytes=1 << 20)
 
 
 @query
 def int8_matrix_round_trip(spark, sf):
-    path = new_path(spark, "int8") + "/matrix.bin"
-    values = [v for n, r in _nations(spark, sf) for v in (n, -n, r, 10 * r - 20)]
-    graph_files.write_bytes(path, bytes(v & 0xFF for v in values))
-    return graph_files.read_int8_matrix(spark, path, 4)
+    path = new_path(spark, "int8")
+    items = d.table(spark, sf, "lineitem").repartitionByRange("l_orderkey", "l_linenumber").sortWithinPartitions("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    matrix = items.select(F.col("l_quantity").cast("int"), -F.col("l_linenumber"), F.round(F.col("l_discount") * 100).cast("int"), (F.col("l_partkey") % 256 - 128).cast("int"))
+    graph_files.write_int8_matrix(matrix, path)
+    return graph_files.read_int8_matrix(spark, path, 4, range_bytes=1 << 20)
 
 
 # Algorithms

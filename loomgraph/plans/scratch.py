@@ -9,6 +9,8 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local applications that name none, by application.
+_OWN: dict[str, str] = {}
 #: Folders that this process wrote and has not removed.
 _WRITTEN: list[str] = []
 
@@ -23,8 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.conf.get("spark.master", "local")
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        folder = _OWN[application]
     return folder.rstrip("/")
 
 

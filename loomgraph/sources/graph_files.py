@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.plans.scratch import stored
+from loomgraph.sources import binary_files
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -107,70 +108,35 @@ def read_records(spark: SparkSession, path: str, fields: tuple) -> DataFrame:
     return spark.read.schema(schema).option("sep", " ").csv(path)
 
 
-def _record_type(fields: tuple):
-    """The numpy type of a record: little-endian, with C alignment."""
-    import numpy as np
-
-    kinds = {"long": "<i8", "int": "<i4"}
-    return np.dtype([(n, kinds[t]) for n, t in fields], align=True)
-
-
-def read_record_image(spark: SparkSession, path: str, fields: tuple, rows: int = 100_000) -> DataFrame:
-    """Records of a binary image: a 64-bit count, then little-endian structs with C alignment.
-
-    An image is one row of Spark's binary source, so it may hold 2 GB at most.
-    """
-    schema = ", ".join(f"{n} {t}" for n, t in fields)
+def read_record_image(spark: SparkSession, path: str, fields: tuple, range_bytes: int = binary_files.RANGE_BYTES) -> DataFrame:
+    """Records of a binary image, or of a folder of images, of any size: each range of ``range_bytes`` is a task."""
+    binary_files.register(spark)
+    named = ",".join(f"{n}:{t}" for n, t in fields)
+    return spark.read.format("record_image").option("fields", named).option("range_bytes", range_bytes).load(path)
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        kind = _record_type(fields)
-        for batch in batches:
-            for content in batch.column(0):
-                data = content.as_buffer()
-                n = int(np.frombuffer(data, "<i8", 1)[0]) if data.size >= 8 else 0
-                records = np.frombuffer(data, kind, n, 8)
-                for at in range(0, n, rows):
-                    part = records[at : at + rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[name])) for name, _ in fields], names=[name for name, _ in fields])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+def write_record_image(records: DataFrame, path: str, fields: tuple, range_bytes: int = binary_files.RANGE_BYTES) -> None:
+    """Write records as a folder of images, by tasks."""
+    binary_files.register(records.sparkSession)
+    named = ",".join(f"{n}:{t}" for n, t in fields)
+    typed = records.select(*[F.col(n).cast(t) for n, t in fields])
+    typed.write.format("record_image").option("fields", named).option("range_bytes", range_bytes).mode("append").save(path)
 
 
 def record_image(rows: list[tuple], fields: tuple) -> bytes:
     """The image of a small number of records."""
     import numpy as np
 
-    return len(rows).to_bytes(8, "little") + np.array(rows, _record_type(fields)).tobytes()
-
-
-def read_int8_matrix(spark: SparkSession, path: str, cols: int) -> DataFrame:
-    """(i, j, v) of a raw row-major int8 file, read as records of one matrix row each."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            step = max(1, (1 << 20) // cols)
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int8)
-                i = np.repeat(part.column(0).to_numpy(), cols)
-                j = np.tile(np.arange(cols), part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(values.astype(np.int64))], names=["i", "j", "v"])
+    return len(rows).to_bytes(8, "little") + np.array(rows, binary_files.record_type(fields)).tobytes()
 
-    records = spark.sparkContext.binaryRecords(path, cols).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return spark.createDataFrame(records, "i long, row binary").mapInArrow(run, "i long, j long, v long")
 
+def read_int8_matrix(spark: SparkSession, path: str, cols: int, range_bytes: int = binary_files.RANGE_BYTES) -> DataFrame:
+    """(i, j, v) of a raw row-major int8 file, or of a folder of such files in order of their names."""
+    binary_files.register(spark)
+    return spark.read.format("int8_matrix").option("cols", cols).option("range_bytes", range_bytes).load(path)
 
-def write_bytes(path: str, data: bytes) -> None:
-    """Write one small file, on any file system that Arrow opens by its URI."""
-    from pyarrow import fs
 
-    place, inside = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    place.create_dir(inside.rsplit("/", 1)[0], recursive=True)
-    with place.open_output_stream(inside) as out:
-        out.write(data)
+def write_int8_matrix(rows: DataFrame, path: str, range_bytes: int = binary_files.RANGE_BYTES) -> None:
+    """Write numeric columns as matrix rows, in the order of the partitions and of the rows in them."""
+    binary_files.register(rows.sparkSession)
+    rows.write.format("int8_matrix").option("range_bytes", range_bytes).mode("append").save(path)

@@ -64,10 +64,61 @@ def test_larger_binary_files(spark, tmp_path):
     assert tuple(weighted) == (int((values.astype(np.int64) * (i % 101 + 1) * (j + 1)).sum()), values.size, 19_999, 63)
     records = [(k, k % 5, 3 * k, k % 7) for k in range(250_000)]
     (tmp_path / "v.bin").write_bytes(graph_files.record_image(records, graph_files.VERTEX))
-    read = graph_files.read_record_image(spark, f"file://{tmp_path / 'v.bin'}", graph_files.VERTEX, rows=1000)
+    read = graph_files.read_record_image(spark, f"file://{tmp_path / 'v.bin'}", graph_files.VERTEX, range_bytes=32_000)
     assert tuple(read.selectExpr("count(*)", "sum(id * (type + 1))", "max(start)").first()) == (250_000, sum(a * (t + 1) for a, _, _, t in records), 3 * 249_999)
 
 
+def test_binary_files_are_split_between_records(spark, tmp_path):
+    from loomgraph.sources.binary_files import Int8Matrix, RecordImage
+
+    records = [(k, k % 5, 3 * k, k % 7) for k in range(1000)]
+    (tmp_path / "v.bin").write_bytes(graph_files.record_image(records, graph_files.VERTEX) + b"beyond the count" * 4)
+    path = f"file://{tmp_path / 'v.bin'}"
+    ranges = RecordImage({"path": path, "fields": "id:long,edges:long,start:long,type:int", "range_bytes": "1000"}).reader(None).partitions()
+    assert [(r.first, r.last) for r in ranges[:2]] == [(0, 31), (31, 62)] and max(r.last - r.first for r in ranges) == 31
+    read = graph_files.read_record_image(spark, path, graph_files.VERTEX, range_bytes=1000)
+    assert read.rdd.getNumPartitions() == len(ranges) and rows(read) == sorted(records, key=repr)
+    for name, n in (("b.bin", 6), ("a.bin", 4), ("_hidden.bin", 2)):
+        (tmp_path / "rows").mkdir(exist_ok=True)
+        (tmp_path / "rows" / name).write_bytes(bytes(range(n)))
+    folder = f"file://{tmp_path / 'rows'}"
+    assert len(Int8Matrix({"path": folder, "cols": "2", "range_bytes": "2"}).reader(None).partitions()) == 5
+    assert rows(graph_files.read_int8_matrix(spark, folder, 2, range_bytes=2)) == [(i, j, v) for i, j, v in [(0, 0, 0), (0, 1, 1), (1, 0, 2), (1, 1, 3), (2, 0, 0), (2, 1, 1), (3, 0, 2), (3, 1, 3), (4, 0, 4), (4, 1, 5)]]
+
+
+def test_images_beyond_two_gigabytes(spark, tmp_path):
+    n = (9 << 28) // 48  # 2.25 GB of records, all zero but the last; the file has holes
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.write(n.to_bytes(8, "little"))
+        f.seek(8 + (n - 1) * 48)
+        f.write(struct.pack("<qqiii4xqq", 1, 2, 3, 4, 5, 6, 7))
+    read = graph_files.read_record_image(spark, f"file://{tmp_path / 'large.bin'}", graph_files.EDGE)
+    assert read.rdd.getNumPartitions() > 30
+    assert tuple(read.selectExpr("count(*)", "sum(src)", "max(dst_glbid)").first()) == (n, 1, 7)
+
+
+def test_images_are_written_by_tasks(spark, tmp_path):
+    made = spark.range(10_000).selectExpr("id", "id % 7 AS edges", "id * 3 AS start", "id % 4 AS type").repartition(3)
+    path = f"file://{tmp_path / 'image'}"
+    graph_files.write_record_image(made, path, graph_files.VERTEX, range_bytes=32_000)
+    files = [x.name for x in (tmp_path / "image").iterdir()]
+    assert len(files) >= 10 and all(x.startswith("part-") for x in files)  # whole files, none hidden
+    assert max((tmp_path / "image" / x).stat().st_size for x in files) <= 32_008
+    assert rows(graph_files.read_record_image(spark, path, graph_files.VERTEX)) == sorted(((k, k % 7, 3 * k, k % 4) for k in range(10_000)), key=repr)
+    none = f"file://{tmp_path / 'none'}"
+    graph_files.write_record_image(made.limit(0), none, graph_files.VERTEX)
+    assert graph_files.read_record_image(spark, none, graph_files.VERTEX).count() == 0
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    import pytest
+
+    bad = spark.range(2000).selectExpr("id", "CASE WHEN id < 1999 THEN id ELSE assert_true(false) END AS b")
+    with pytest.raises(Exception, match="not true"):
+        graph_files.write_int8_matrix(bad.selectExpr("id % 100", "CAST(b AS INT) % 100"), f"file://{tmp_path / 'bad'}", range_bytes=200)
+    assert not (tmp_path / "bad").exists() or all(x.name.startswith("_") for x in (tmp_path / "bad").iterdir())
+
+
 def test_unsupported_matrix_files_are_refused(spark, tmp_path):
     import pytest
 
@@ -90,16 +141,34 @@ def test_a_cluster_needs_a_shared_folder():
 
     from loomgraph.plans import scratch
 
-    class Conf(dict):
-        set = dict.__setitem__
-
     class Session:
-        conf = Conf({"spark.master": "spark://host:7077"})
+        conf = {"spark.master": "spark://host:7077"}
 
     with pytest.raises(ValueError):
         scratch.shared_folder(Session())
 
 
+def test_scratch_without_a_named_folder(tmp_path):
+    """The README's first example, in a session of its own that names no folder."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+from loomgraph.plans.session import local_session
+from loomgraph.plans import scratch
+from loomgraph.operators import graph, traverse
+spark = local_session(2)
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+found = traverse.bfs(graph.grid(spark, 5, 4), root=0)
+assert found.distances.count() == 20 and scratch.stored(found.levels, "levels").count() > 0
+assert scratch.shared_folder(spark) == scratch.shared_folder(spark) and len(scratch.clear()) > 0
+"""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parent.parent), "SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], env=env, check=True, timeout=300, cwd=tmp_path)
+
+
 def test_stats_tags_and_traces(spark, tmp_path):
     stats = telemetry_files.read_stats(spark, put(tmp_path / "stats.csv", "StatisticName,Sum.u64,SimTime\nADD_instruction,18446744073709551615,5\nLW_instruction,1,7\n"))
     tags = telemetry_files.read_tags(spark, put(tmp_path / "tags.csv", "SimTime,TagName\n5,a\n5,b\n"))
