@@ -87,6 +87,21 @@ def exp_q16(x: Column) -> Column:
     return F.greatest(y, F.lit(0).cast("long"))
 
 
+def i32_array(x):
+    """``i32`` of a numpy array."""
+    return ((x + (1 << 31)) & MASK32) - (1 << 31)
+
+
+def exp_q16_array(x):
+    """``exp_q16`` of a numpy array."""
+    x = x.clip(-8 * ONE, 0)
+    x2 = (x * x) >> FRACTION
+    x3 = (x2 * x) >> FRACTION
+    x4 = (x3 * x) >> FRACTION
+    y = ONE + x + ((ONE // 2 * x2) >> FRACTION) + ((ONE // 6 * x3) >> FRACTION) + ((ONE // 24 * x4) >> FRACTION)
+    return y.clip(0)
+
+
 def xorshift_step(x: Column) -> Column:
     """One step of the 64-bit xorshift generator whose middle shift takes the complement."""
     x = x.bitwiseXOR(F.shiftleft(x, 13))

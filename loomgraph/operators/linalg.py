@@ -39,21 +39,27 @@ def gemm_tiled(a: DataFrame, b: DataFrame, tile: int = 256) -> DataFrame:
 
     def run(batches):
         import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            for ti, tj, ea, eb in pdf.itertuples(index=False):
-                left, right = np.zeros((tile, tile), np.int64), np.zeros((tile, tile), np.int64)
-                for e in ea:
-                    left[e["i"] % tile, e["k"] % tile] += e["v"]
-                for e in eb:
-                    right[e["k"] % tile, e["j"] % tile] += e["v"]
-                out = left @ right
-                rows, cols = sorted({e["i"] for e in ea}), sorted({e["j"] for e in eb})
-                part = out[np.ix_([r % tile for r in rows], [c % tile for c in cols])]
-                yield pd.DataFrame({"i": np.repeat(rows, len(cols)), "j": np.tile(cols, len(rows)), "p": part.ravel()})
-
-    parts = ta.join(tb, "tk").select("ti", "tj", "ea", "eb").mapInPandas(run, "i long, j long, p long")
+        import pyarrow as pa
+
+        def matrix(entries) -> tuple:
+            """Rows, columns, the matrix of one tile's entries, and where there are any."""
+            x, y, v = (entries.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            rows, r = np.unique(x, return_inverse=True)
+            columns, c = np.unique(y, return_inverse=True)
+            m, seen = (np.zeros((len(rows), len(columns)), np.int64) for _ in range(2))
+            np.add.at(m, (r, c), v)
+            seen[r, c] = 1
+            return rows, columns, m, seen
+
+        for batch in batches:
+            for ea, eb in zip(batch.column(0), batch.column(1), strict=True):
+                (i, ka, left, has_left), (kb, j, right, has_right) = matrix(ea), matrix(eb)
+                _, a, b = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+                out = left[:, a] @ right[b]
+                r, c = np.nonzero(has_left[:, a] @ has_right[b])
+                yield pa.RecordBatch.from_arrays([pa.array(i[r]), pa.array(j[c]), pa.array(out[r, c])], names=["i", "j", "p"])
+
+    parts = ta.join(tb, "tk").select("ea", "eb").mapInArrow(run, "i long, j long, p long")
     return parts.groupBy("i", "j").agg(F.sum("p").alias("v"))
 
 
@@ -99,29 +105,3 @@ def stream(df: DataFrame, kernel: str, scalar: float | Column = 3.0) -> DataFram
     made = {"copy": ("c", F.col("a")), "scale": ("b", s * F.col("c")), "add": ("c", F.col("a") + F.col("b")), "triad": ("a", F.col("b") + s * F.col("c"))}
     name, value = made[kernel]
     return df.withColumn(name, value)
-
-
-def attention(q: DataFrame, k: DataFrame, v: DataFrame, dim: int, causal: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Float attention: (i, j, p) probabilities and (i, d, o) outputs, of long-form q (i, d, v), k (j, d, v), v (j, d, v).
-
-    ``causal`` keeps keys j <= i. An extension: real exponentials, row by row.
-    """
-    scores = gemm(q.select("i", F.col("d").alias("k"), "v"), k.select(F.col("d").alias("k"), "j", "v")).withColumn("s", F.col("v") / dim**0.5)
-    kept = scores.where("j <= i") if causal else scores
-    row = Window.partitionBy("i")
-    e = kept.withColumn("e", F.exp(F.col("s") - F.max("s").over(row)))
-    p = e.select("i", "j", (F.col("e") / F.sum("e").over(row)).alias("p"))
-    o = gemm(p.select("i", F.col("j").alias("k"), F.col("p").alias("v")), v.select(F.col("j").alias("k"), F.col("d").alias("j"), "v"))
-    return p, o.select("i", F.col("j").alias("d"), F.col("v").alias("o"))
-
-
-def attention_gradients(q: DataFrame, k: DataFrame, v: DataFrame, probs: DataFrame, grad: DataFrame, dim: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Gradients (id, d, g) of q, k and v for an output gradient (i, d, g) and the probabilities of ``attention``."""
-    dv = gemm(probs.select(F.col("j").alias("i"), F.col("i").alias("k"), F.col("p").alias("v")), grad.select(F.col("i").alias("k"), F.col("d").alias("j"), F.col("g").alias("v")))
-    dp = gemm(grad.select("i", F.col("d").alias("k"), F.col("g").alias("v")), v.select(F.col("d").alias("k"), "j", "v"))
-    both = probs.join(dp.withColumnRenamed("v", "dp"), ["i", "j"])
-    inner = F.sum(F.col("p") * F.col("dp")).over(Window.partitionBy("i"))
-    ds = both.select("i", "j", (F.col("p") * (F.col("dp") - inner) / dim**0.5).alias("v"))
-    dq = gemm(ds.select("i", F.col("j").alias("k"), "v"), k.select(F.col("j").alias("k"), F.col("d").alias("j"), "v"))
-    dk = gemm(ds.select(F.col("j").alias("i"), F.col("i").alias("k"), "v"), q.select(F.col("i").alias("k"), F.col("d").alias("j"), "v"))
-    return tuple(x.select(F.col("i").alias("id"), F.col("j").alias("d"), F.col("v").alias("g")) for x in (dq, dk, dv))

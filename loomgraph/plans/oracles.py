@@ -40,6 +40,9 @@ ROOT = "(SELECT min(src) FROM both_ways)"
 SUPPLY_ROOT = "(SELECT min(src) FROM supply)"
 VECTORS = "SELECT l_orderkey, l_linenumber, l_quantity AS a, l_extendedprice AS b, l_discount AS c FROM lineitem"
 QUANT = "q AS (SELECT vec_id AS i, k - 1 AS k, floor(embedding[k]::DOUBLE * 127)::BIGINT AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings))"
+CAUSAL = QUANT.replace("* 127", "* 4") + """, s AS (SELECT a.i, b.i AS j, sum(a.v * b.v)::DOUBLE / 8 AS s FROM q a JOIN q b ON a.k = b.k WHERE b.i <= a.i GROUP BY a.i, b.i),
+  e AS (SELECT i, j, exp(s - max(s) OVER (PARTITION BY i)) AS e FROM s), p AS (SELECT i, j, e / sum(e) OVER (PARTITION BY i) AS p FROM e),
+  o AS (SELECT p.i, q.k AS d, sum(p.p * q.v) AS o FROM p JOIN q ON q.i = p.j GROUP BY p.i, q.k)"""
 NAMES = "[" + ", ".join(f"'{n}'" for n in opcode_names()) + "]"
 STATS = f"""stats AS (SELECT ({NAMES})[(l_partkey % {len(opcode_names())} + 1)::INT] || CASE WHEN l_linestatus = 'O' THEN '{SUFFIX}' ELSE '_cycles' END AS StatisticName,
   l_quantity::BIGINT AS sum_u64, l_orderkey AS SimTime FROM lineitem)"""
@@ -152,9 +155,19 @@ SELECT row, 0::INTEGER AS k, x AS s FROM z UNION ALL SELECT row, 1::INTEGER, y F
   p AS (SELECT i, j, CASE WHEN sum(e) OVER (PARTITION BY i) <= 0 THEN 65536 // count(*) OVER (PARTITION BY i) ELSE (e * 65536) // (sum(e) OVER (PARTITION BY i))::BIGINT END AS p FROM e),
   t AS (SELECT p.i, q.k AS d, p.j // 64 AS t, sum(p.p * q.v)::BIGINT AS acc FROM p JOIN q ON q.i = p.j GROUP BY ALL)
 SELECT i, d, sum(floor(acc / 65536.0)::BIGINT)::BIGINT AS o FROM t GROUP BY i, d""",
-    "attention_float": f"""WITH {QUANT.replace('* 127', '* 4')}, s AS (SELECT a.i, b.i AS j, sum(a.v * b.v)::DOUBLE / 8 AS s FROM q a JOIN q b ON a.k = b.k WHERE b.i <= a.i GROUP BY a.i, b.i),
-  e AS (SELECT i, j, exp(s - max(s) OVER (PARTITION BY i)) AS e FROM s), p AS (SELECT i, j, e / sum(e) OVER (PARTITION BY i) AS p FROM e)
-SELECT p.i, q.k AS d, round(sum(p.p * q.v) * 1e6)::BIGINT AS o_e6 FROM p JOIN q ON q.i = p.j GROUP BY p.i, q.k""",
+    "attention_float": f"WITH {CAUSAL} SELECT i, d, round(o * 1e6)::BIGINT AS o_e6 FROM o",
+    "attention_gradients": f"""WITH {CAUSAL}, g AS (SELECT i, k AS d, (i + k) % 5 - 2 AS g FROM q),
+  inner_sums AS (SELECT i, sum(g * o) AS s FROM g JOIN o USING (i, d) GROUP BY i),
+  dp AS (SELECT g.i, q.i AS j, sum(g * v) AS dp FROM g JOIN q ON q.k = g.d WHERE q.i <= g.i GROUP BY g.i, q.i),
+  ds AS (SELECT i, j, p, p * (dp - inner_sums.s) / 8 AS ds FROM p JOIN dp USING (i, j) JOIN inner_sums USING (i)),
+  every AS (SELECT 'q' AS part, ds.i AS id, q.k AS d, sum(ds * q.v) AS g FROM ds JOIN q ON q.i = ds.j GROUP BY ALL
+    UNION ALL SELECT 'k', ds.j, q.k, sum(ds * q.v) FROM ds JOIN q ON q.i = ds.i GROUP BY ds.j, q.k
+    UNION ALL SELECT 'v', ds.j, g.d, sum(p * g) FROM ds JOIN g ON g.i = ds.i GROUP BY ds.j, g.d)
+SELECT part AS "of", id, d, round(g * 1e6)::BIGINT AS g_e6 FROM every""",
+    "attention_heads": f"""WITH {QUANT.replace('* 127', '* 4')}, c AS (SELECT i // 32 AS b, i % 32 AS n, k // 20 AS part, k // 10 % 2 AS h, k % 10 AS d, v FROM q WHERE k < 60),
+  s AS (SELECT x.b, x.h, x.n AS i, y.n AS j, sum(x.v * y.v)::DOUBLE / sqrt(10) AS s FROM c x JOIN c y ON x.b = y.b AND x.h = y.h AND x.d = y.d AND x.part = 0 AND y.part = 1 AND y.n <= x.n GROUP BY ALL),
+  e AS (SELECT b, h, i, j, exp(s - max(s) OVER (PARTITION BY b, h, i)) AS e FROM s), p AS (SELECT b, h, i, j, e / sum(e) OVER (PARTITION BY b, h, i) AS p FROM e)
+SELECT p.b, p.i AS n, p.h * 10 + c.d AS c, round(sum(p.p * c.v) * 1e6)::BIGINT AS o_e6 FROM p JOIN c ON c.b = p.b AND c.h = p.h AND c.n = p.j AND c.part = 2 GROUP BY ALL""",
     "stream_copy": f"SELECT l_orderkey, l_linenumber, a, b, a AS c FROM ({VECTORS})",
     "stream_scale": f"SELECT l_orderkey, l_linenumber, a, 3.0::DOUBLE * c AS b, c FROM ({VECTORS})",
     "stream_add": f"SELECT l_orderkey, l_linenumber, a, b, a + b AS c FROM ({VECTORS})",

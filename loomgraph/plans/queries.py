@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.intmath import mix32, splitmix32
-from loomgraph.operators import address, community, graph, irregular, linalg, rank, sampling, telemetry, traverse, triangles
+from loomgraph.operators import address, attention, community, graph, irregular, linalg, rank, sampling, telemetry, traverse, triangles
 from loomgraph.plans import derived as d
 from loomgraph.plans.scratch import new_path, stored
 from loomgraph.sources import graph_files, telemetry_files
@@ -329,20 +329,41 @@ def gemm_checksum(spark, sf):
     return linalg.checksum(gemm_int8(spark, sf))
 
 
+def _qkv(spark, sf, scale: int = 127, kind: str = "long"):
+    """Quantised embeddings as queries, keys and values."""
+    q = d.quantised(spark, sf, scale).select("i", F.col("k").alias("d"), F.col("v").cast(kind).alias("v"))
+    k = q.withColumnRenamed("i", "j")
+    return q, k, k
+
+
 @query
 def attention_q16(spark, sf):
-    e = d.quantised(spark, sf)
-    k = e.select("k", F.col("i").alias("j"), "v")
-    probs = linalg.softmax_q16(linalg.scores_q16(e, k, dim=64))
-    return linalg.apply_probs_q16(probs, e.select(F.col("i").alias("j"), F.col("k").alias("d"), "v"), tile=64)
+    return attention.attention_q16(*_qkv(spark, sf), dim=64, tile=64)
 
 
 @query
 def attention_float(spark, sf):
-    e = d.quantised(spark, sf, 4).select("i", F.col("k").alias("d"), F.col("v").cast("double").alias("v"))
-    k = e.withColumnRenamed("i", "j")
-    _, out = linalg.attention(e, k, k, dim=64)
-    return out.select("i", "d", F.round(F.col("o") * 1e6).cast("long").alias("o_e6"))
+    found = attention.outputs(attention.forward(*_qkv(spark, sf, 4, "double"), dim=64))
+    return found.select("i", "d", F.round(F.col("o") * 1e6).cast("long").alias("o_e6"))
+
+
+@query
+def attention_gradients(spark, sf):
+    q, k, v = _qkv(spark, sf, 4, "double")
+    grad = q.select("i", "d", ((F.col("i") + F.col("d")) % 5 - 2).cast("double").alias("g"))
+    found = attention.gradients(q, k, v, grad, dim=64)
+    parts = [x.select(F.lit(name).alias("of"), "id", "d", F.round(F.col("g") * 1e6).cast("long").alias("g_e6")) for name, x in zip("qkv", found, strict=True)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query
+def attention_heads(spark, sf):
+    """Sequences of 32 vectors, whose first 60 values are the queries, keys and values of two heads."""
+    e = d.quantised(spark, sf, 4).where("k < 60")
+    packed = e.select(F.floor(F.col("i") / 32).alias("b"), (F.col("i") % 32).alias("n"), F.col("k").alias("c"), F.col("v").cast("double").alias("v"))
+    by = ("b", "h")
+    found = attention.outputs(attention.forward(*attention.split_heads(packed, heads=2, dim=10), dim=10, block=16, by=by), by=by)
+    return attention.join_heads(found, dim=10).select("b", "n", "c", F.round(F.col("o") * 1e6).cast("long").alias("o_e6"))
 
 
 def _vectors(spark, sf):

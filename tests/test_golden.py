@@ -94,32 +94,6 @@ def test_softmax_modes(spark):
     assert all(abs(exact[j] / 65536 - math.exp(-j) / total) < 1e-4 for j in range(3))
 
 
-def test_attention_gradients_against_differences(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    q, k, v, g = (rng.normal(size=(4, 3)) for _ in range(4))
-
-    def forward(q, k, v):
-        s = np.where(np.tril(np.ones((4, 4))), q @ k.T / 3**0.5, -np.inf)
-        p = np.exp(s - s.max(1, keepdims=True))
-        return p / p.sum(1, keepdims=True) @ v
-
-    frame = lambda m, i, x: spark.createDataFrame([(a, b, float(m[a, b])) for a in range(4) for b in range(3)], f"{i} long, d long, {x} double")
-    fq, fk, fv = frame(q, "i", "v"), frame(k, "j", "v"), frame(v, "j", "v")
-    p, out = linalg.attention(fq, fk, fv, 3)
-    assert all(math.isclose(r.o, forward(q, k, v)[r.i, r.d], abs_tol=1e-9) for r in out.collect())
-    found = linalg.attention_gradients(fq, fk, fv, p, frame(g, "i", "g"), 3)
-    for n, df in enumerate(found):
-        for r in df.collect():
-            up, down = [q, k, v], [q, k, v]
-            up[n], down[n] = up[n].copy(), down[n].copy()
-            up[n][r.id, r.d] += 1e-6
-            down[n][r.id, r.d] -= 1e-6
-            slope = ((forward(*up) - forward(*down)) * g).sum() / 2e-6
-            assert math.isclose(r.g, slope, abs_tol=1e-6)
-
-
 def test_series_of_exp(spark):
     xs = spark.createDataFrame([(-1,), (-2,), (-4,), (-8,)], "x long")
     got = [r.y / 65536 for r in xs.select(intmath.exp_q16(F.col("x") * 65536).alias("y")).collect()]
