@@ -40,13 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.batches import bounded_batches, gathered
+from loomgraph.llm.batches import Recent, bounded_batches, gathered
 from loomgraph.llm.bytetext import text_buffer
 from loomgraph.plans.scratch import stored
 
 BATCH = 4 << 20
 #: Pairs joined by broadcast: 17 bytes each on the driver and each worker.
 HEAD = 1 << 20
+#: Pre-tokens of A and stretches for B, of 64 characters at most, in one generation of those that a worker keeps with their ids.
+KEPT = 60_000
 #: Stretches in one call of a tokenizer.
 TOGETHER = 5_000
 #: What one DuckDB holds before it writes to its task's temporary folder.
@@ -96,7 +98,8 @@ class Tokenizers:
         self.pre = PreTokens(path_a, plain=True)
         if self.pre.words:
             raise ValueError("only byte-level BPE files are supported for A")
-        self.a, self.long = self.pre.tokenizer, Ids(self.pre)
+        self.of_a = Ids(self.pre)
+        self.kept_a, self.kept_b = Recent(KEPT), Recent(KEPT)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         normal = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
@@ -104,32 +107,35 @@ class Tokenizers:
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in normal) or self.b.is_unknown(self.space):
             raise ValueError("pieces of B must not span a space or line break")
         of_byte = {c: b for b, c in enumerate(_byte_letters())}
-        vocab = self.a.get_vocab()
+        vocab = self.pre.tokenizer.get_vocab()
         raw = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             raw[i] = bytes(of_byte[c] for c in token) if all(c in of_byte for c in token) else token.encode()
         self.bytes_a = pa.array(raw, pa.large_binary())
         self.bytes_b = pa.array([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)], pa.large_binary())
 
-    def ids_a(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for part in _parts(texts):
-            found = self.a.encode_batch_fast([x if len(x) <= self.long.LONG else "" for x in part], add_special_tokens=False)
-            out += [x.ids for x in found]
-        for i, x in enumerate(texts):
-            if len(x) > self.long.LONG:
-                words = self.pre.by_library(x)
-                known = self.long.of(list(dict.fromkeys(words)))
-                out[i] = [j for w in words for j in np.frombuffer(known[w], "<i4").tolist()]
-        return out
-
-    def ids_b(self, texts: list[str]) -> list[list[int]]:
-        """Ids of stretches; the library writes a space before a text, which stands for theirs."""
-        out: list[list[int]] = []
+    def ids_a(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has."""
+        cut = self.pre.cut(texts)
+        known = pa.array(self.kept_a.all_of(cut.words, self.of_a.of), pa.large_binary())
+        _, off, _ = known.buffers()
+        counts = np.diff(np.frombuffer(off, np.int64, len(known) + 1))[cut.index] // 4
+        data, _ = text_buffer(known.take(pa.array(cut.index)).view(pa.large_string()))
+        return data.view("<i4"), np.diff(np.concatenate([[0], np.cumsum(counts)])[cut.bounds])
+
+    def _new_b(self, texts: list[str]) -> dict[str, bytes]:
+        made: dict[str, bytes] = {}
         for part in _parts(texts):
             found = self.b.encode([x[1:] if x[0] == " " else x for x in part], num_threads=1)
-            out += [([self.space] if x == " " else ids) if x[0] == " " else ids[1:] for x, ids in zip(part, found, strict=True)]
-        return out
+            for x, ids in zip(part, found, strict=True):
+                ids = ([self.space] if x == " " else ids) if x[0] == " " else ids[1:]
+                made[x] = np.array(ids, "<i4").tobytes()
+        return made
+
+    def ids_b(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for stretches; the library writes a space before a text, which stands for theirs."""
+        found = self.kept_b.all_of(texts.to_pylist(), self._new_b)
+        return np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
 
 def _parts(texts: list[str]) -> Iterator[list[str]]:
@@ -206,11 +212,8 @@ def _batch(tools: Tokenizers, con, doc_id: pa.Array, texts: pa.Array, row: int)
     places, k = np.searchsorted(offsets, starts, "right") - 1, named.indices.to_numpy()
     seg_buf, seg_offsets = text_buffer(named.dictionary)
     sizes = np.diff(seg_offsets)
-    distinct = named.dictionary.to_pylist()
-    made, valid = [], np.ones(len(distinct), bool)
-    for pieces, found in ((tools.bytes_a, tools.ids_a(distinct)), (tools.bytes_b, tools.ids_b(distinct))):
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.int64, int(counts.sum()))
+    made, valid = [], np.ones(len(sizes), bool)
+    for pieces, (ids, counts) in ((tools.bytes_a, tools.ids_a(named.dictionary)), (tools.bytes_b, tools.ids_b(named.dictionary))):
         valid &= _same(pieces, ids, counts, seg_buf, sizes)
         made.append((pieces, ids, counts))
     broken = np.zeros(n, bool)
@@ -218,7 +221,7 @@ def _batch(tools: Tokenizers, con, doc_id: pa.Array, texts: pa.Array, row: int)
     for name, (pieces, ids, counts) in zip("ab", made, strict=True):
         good = np.repeat(valid, counts)
         con.register(name, _intervals(pieces, ids[good], np.repeat(np.arange(len(counts)), counts)[good]))
-    con.register("sizes", pa.table({"k": np.arange(len(distinct)), "n_a": made[0][2], "n_b": made[1][2]}))
+    con.register("sizes", pa.table({"k": np.arange(len(sizes)), "n_a": made[0][2], "n_b": made[1][2]}))
     whole = ~broken[places]
     con.register("places", pa.table({"doc": places[whole], "pos": np.flatnonzero(whole), "k": k[whole]}))
     for statement in ALIGN:
@@ -230,7 +233,7 @@ def _batch(tools: Tokenizers, con, doc_id: pa.Array, texts: pa.Array, row: int)
         all_of = np.zeros(n, np.int64)
         all_of[at] = found.column(c).to_numpy()
         columns.append(pa.array(all_of))
-    digest = _digests(con, len(distinct), places[whole], k[whole], n)
+    digest = _digests(con, len(sizes), places[whole], k[whole], n)
     pairs = con.sql(PAIRS).to_arrow_table().combine_chunks()
     bounds = pa.array(np.searchsorted(pairs.column("doc").to_numpy(), np.arange(n + 1)).astype(np.int32))
     lists = [pa.ListArray.from_arrays(bounds, _one(pairs, c)) for c in "abn"]
