@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.intmath import ONE, exp_q16, i32, inv_sqrt_q16
+from loomgraph.operators.spread import join_one
+from loomgraph.plans.scratch import stored
 
 
 def spmm(matrix: DataFrame, features: DataFrame, rows: DataFrame | None = None) -> DataFrame:
@@ -23,6 +25,61 @@ def spmm(matrix: DataFrame, features: DataFrame, rows: DataFrame | None = None)
     return rows.select("row").distinct().join(packed, "row", "left").select("row", F.coalesce("out", F.array_repeat(F.lit(0.0), width)).alias("out"))
 
 
+def entry_parts(matrix: DataFrame, per_part: int, block: int = 1 << 16) -> DataFrame:
+    """``matrix`` with the ``part`` of each entry: parts hold about ``per_part`` entries of consecutive rows.
+
+    Rows get the running count of entries before them, in blocks of row ids, then over
+    the blocks. The entries of a row lie from there on, each at a place drawn by hash,
+    so a row of many entries spans as many parts as it fills and is never ordered.
+    """
+    counts = stored(matrix.groupBy("row").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("row") / block)), "row-counts")
+    sums = counts.groupBy("block").agg(F.sum("n").alias("total"))
+    bases = sums.select("block", (F.sum("total").over(Window.orderBy("block")) - F.col("total")).alias("base"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("row")) - F.col("n")
+    firsts = stored(counts.withColumn("inside", inside).join(bases, "block").select("row", "n", (F.col("base") + F.col("inside")).alias("first")), "row-starts")
+    placed = join_one(matrix, firsts, "row")
+    place = F.col("first") + F.pmod(F.xxhash64("row", "col"), F.col("n"))
+    return placed.select(*matrix.columns, F.floor(place / per_part).cast("long").alias("part"))
+
+
+def spmm_balanced(matrix: DataFrame, features: DataFrame, per_part: int = 1 << 16) -> DataFrame:
+    """(row, out) as ``spmm``, with entries, not rows, dealt evenly: each part sums its rows, and rows that lie in several parts are put together.
+
+    For matrices in which a few rows hold most entries. Each task sums the rows of
+    its parts in order and writes one partial sum for each row and part.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        now, held = None, None
+        for batch in batches:
+            part, row, val, feat = batch.columns
+            keys = np.stack([part.to_numpy(), row.to_numpy()])
+            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)])
+            width = len(feat[0])
+            sums = np.add.reduceat(val.to_numpy()[:, None] * feat.flatten().to_numpy().reshape(-1, width), starts)
+            if now is not None and now == (keys[0, 0], keys[1, 0]):
+                sums[0] += held
+            elif now is not None:
+                yield _partial([now[1]], held[None])
+            if len(starts) > 1:
+                yield _partial(keys[1, starts[:-1]], sums[:-1])
+            now, held = (keys[0, -1], keys[1, -1]), sums[-1]
+        if now is not None:
+            yield _partial([now[1]], held[None])
+
+    def _partial(rows, sums) -> pa.RecordBatch:
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(sums).ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(rows, np.int64)), lists], names=["row", "s"])
+
+    feats = features.select(F.col("node").alias("col"), F.transform("feat", lambda x: x.cast("double")).alias("feat"))
+    met = entry_parts(matrix, per_part).join(feats, "col").select("part", F.col("row").cast("long").alias("row"), F.col("val").cast("double").alias("val"), "feat")
+    partial = met.repartition("part").sortWithinPartitions("part", "row").mapInArrow(run, "row long, s array<double>")
+    sums = partial.select("row", F.posexplode("s").alias("k", "x")).groupBy("row", "k").agg(F.sum("x").alias("s"))
+    return sums.groupBy("row").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "s"))), lambda p: p["s"]).alias("out"))
+
+
 def gemm(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j, v): product of sparse or dense (i, k, v) and (k, j, v) in 64-bit integers. Zero results are present wherever entries meet."""
     left = a.select("i", "k", F.col("v").alias("x"))

@@ -76,6 +76,24 @@ def tier_counts(accesses: DataFrame) -> DataFrame:
     return keyed.groupBy("thread").pivot("counter", TIER_COUNTERS).count().na.fill(0)
 
 
+def tier_sets(accesses: DataFrame) -> DataFrame:
+    """(node, thread, level, counts...) of accesses (node, thread, op, tier): counts of each thread, each node and all, in one pass.
+
+    ``level`` is thread, node or all; columns that a level adds up are null. Null
+    nodes and threads keep rows of their own, which ``level`` tells from totals.
+    """
+    keyed = accesses.select("node", "thread", F.concat_ws("_", "op", "tier").alias("counter"))
+    counts = [F.count_if(F.col("counter") == c).alias(c) for c in TIER_COUNTERS]
+    level = F.element_at(F.array(F.lit("thread"), F.lit("node"), F.lit("all")), (F.grouping("node") + F.grouping("thread")).cast("int") + 1)
+    made = keyed.rollup("node", "thread").agg(level.alias("level"), *counts)
+    return made.select("node", "thread", "level", *TIER_COUNTERS)
+
+
+def class_cube(stats: DataFrame, parts: list[str]) -> DataFrame:
+    """(parts..., grouped, total, n) of counters over every combination of ``parts``; ``grouped`` has a bit for each part that is added up."""
+    return stats.cube(*parts).agg(F.grouping_id(*parts).alias("grouped"), F.sum("sum_u64").alias("total"), F.count("*").alias("n"))
+
+
 # Names and units of the counters in statistics files.
 STAT_CATALOGUE = [(f"{op}_{tier}".upper(), "instructions") for tier in ("local_l1sp", "remote_l1sp", "l2sp", "dram", "remote_pxn") for op in ("load", "store", "atomic")] + [
     ("STALL_CYCLES", "cycles"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.operators.telemetry import STAT_CATALOGUE, SUFFIX, opcode_classes
+from loomgraph.operators.telemetry import SUFFIX
 from loomgraph.plans.derived import opcode_names
 
 PAIRS = "pairs AS (SELECT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)"
@@ -46,7 +46,15 @@ CAUSAL = QUANT.replace("* 127", "* 4") + """, s AS (SELECT a.i, b.i AS j, sum(a.
 NAMES = "[" + ", ".join(f"'{n}'" for n in opcode_names()) + "]"
 STATS = f"""stats AS (SELECT ({NAMES})[(l_partkey % {len(opcode_names())} + 1)::INT] || CASE WHEN l_linestatus = 'O' THEN '{SUFFIX}' ELSE '_cycles' END AS StatisticName,
   l_quantity::BIGINT AS sum_u64, l_orderkey AS SimTime FROM lineitem)"""
-CLASSES = "classes AS (SELECT unnest([" + ", ".join(f"{{'op': '{o}{SUFFIX}', 'kind': '{k}'}}" for o, k in opcode_classes().items()) + "], recursive := true))"
+# The classes of opcodes, as patterns of their names without the suffix. LRW_RL has none.
+KINDS = {
+    "memory": "LB|LH|LW|LBU|LHU|SB|SH|SW|LWU|LD|SD|LRW(_AQ|_RL_AQ)?|(LRD|SCW|SCD|AMO(SWAP|ADD|XOR|AND|OR|MIN|MAX|MINU|MAXU|CAS)[WD])(_RL|_AQ|_RL_AQ)?",
+    "integer": "LUI|AUIPC|FENCE|FENCE_I|ECALL|EBREAK|MRET|(ADD|SLT|XOR|OR|AND)I?|SLTI?U|SUB|S(LL|RL|RA)I?W?|ADDI?W|SUBW|CSRR[WSC]I?|MUL|MULH|MULHS?U|MULW|(DIV|REM)U?W?",
+    "branch": "JALR?|BEQ|BNE|BLTU?|BGEU?",
+    "float": "F[LS][WD]|FMV_(X_[WD]|[WD]_X)|(FMADD|FMSUB|FNMSUB|FNMADD|FADD|FSUB|FMUL|FDIV|FSQRT)_[SD]_(RNE|RTZ|RDN|RUP|RMM|DYN)|(FSGNJ|FSGNJN|FSGNJX|FMIN|FMAX|FEQ|FLE|FLT|FCLASS)_[SD]|FCVT_([SD]_(WU?|LU?)|(WU?|LU?)_[SD]|S_D|D_S)_(RNE|RTZ|RDN|RUP|RMM|DYN)",
+}
+KIND = "CASE " + " ".join(f"WHEN regexp_full_match(op, '({p})_instruction') THEN '{k}'" for k, p in KINDS.items()) + " END"
+CLASSES = f"classes AS (SELECT op, {KIND} AS kind FROM (SELECT DISTINCT StatisticName AS op FROM stats))"
 MIX = STATS + ", " + CLASSES + f""", mix AS (SELECT sum(sum_u64) AS total, """ + ", ".join(
     f"coalesce(sum(sum_u64) FILTER (kind = '{k}'), 0) AS {k}" for k in ("memory", "integer", "branch", "float")
 ) + f" FROM stats LEFT JOIN classes ON op = StatisticName WHERE StatisticName LIKE '%\\_instruction' ESCAPE '\\')"
@@ -209,6 +217,32 @@ SELECT thread, """ + ", ".join(f"count(*) FILTER (c = '{op}_{t}') AS {op}_{t}" f
     "tag_histogram": "SELECT (l_linenumber - 1)::BIGINT AS bin, count(*) AS n, sum(l_quantity::BIGINT)::BIGINT AS cycles FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL",
     "cycle_counters": "SELECT l_suppkey AS thread, sum(l_quantity::BIGINT)::BIGINT AS busy, sum(l_linenumber)::BIGINT AS stall, sum(l_linenumber % 2)::BIGINT AS icache_miss FROM lineitem GROUP BY l_suppkey",
     "tagged_snapshot": f"WITH {STATS} SELECT StatisticName, sum(sum_u64)::BIGINT AS sum_u64, 'end' AS TagName FROM stats GROUP BY StatisticName",
-    "stat_catalogue": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{u}')" for n, u in STAT_CATALOGUE) + ") t(name, units)",
+    "stat_catalogue": """SELECT upper(op || '_' || tier) AS name, 'instructions' AS units FROM (VALUES ('load'), ('store'), ('atomic')) o(op), (VALUES ('local_l1sp'), ('remote_l1sp'), ('l2sp'), ('dram'), ('remote_pxn')) t(tier)
+UNION ALL VALUES ('STALL_CYCLES', 'cycles'), ('BUSY_CYCLES', 'cycles')""",
     "sweep_parameters": "SELECT p_partkey, p_size::BIGINT AS pod_cores, p_partkey AS threads FROM part",
+    "spmm_balanced": f"""WITH {SUPPLY}, s AS (SELECT dst - 1000000000 AS row, sum(p_size)::BIGINT AS x, count(*) AS y FROM supply JOIN part ON p_partkey = src GROUP BY dst)
+SELECT row, 0::INTEGER AS k, x AS s FROM s UNION ALL SELECT row, 1::INTEGER, y FROM s""",
+    "triangle_bitmaps": f"WITH {SIMPLE} SELECT count(*) AS triangles FROM simple a JOIN simple b ON b.src = a.dst JOIN simple c ON c.src = a.src AND c.dst = b.dst",
+    "stats_tags_as_of": """WITH e AS (SELECT epoch_us(ts) // 60000000 AS SimTime, event_id, event_type FROM events),
+  t AS (SELECT SimTime AS m, max(event_id) AS tag_id FROM e WHERE event_type = 'signup' GROUP BY ALL)
+SELECT s.SimTime, s.event_id AS stat_id, t.m AS "tag_SimTime", t.tag_id FROM (SELECT * FROM e WHERE event_type <> 'signup') s ASOF LEFT JOIN t ON s.SimTime >= t.m""",
+    "sessions_overlapping": """WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_type, value FROM events),
+  n AS (SELECT user_id, t, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) >= 21600000000, true) AS new FROM e),
+  g AS (SELECT user_id, t, sum(new::INT) OVER (PARTITION BY user_id ORDER BY t) AS g FROM n),
+  s AS (SELECT user_id, min(t) AS s_from, max(t) + 21600000000 AS s_to FROM g GROUP BY user_id, g),
+  p AS (SELECT t AS p_from, t + floor(value)::BIGINT * 60000000 AS p_to FROM e WHERE event_type = 'purchase')
+SELECT user_id, s_from, count(*) AS n, sum(least(s_to, p_to) - greatest(s_from, p_from))::BIGINT AS micros FROM s JOIN p ON s_from < p_to AND p_from < s_to AND p_from < p_to GROUP BY ALL""",
+    "balances_above": "SELECT s_nationkey, count(*) AS pairs, sum(c_custkey)::BIGINT AS keys FROM supplier JOIN customer ON s_acctbal > c_acctbal + 100 AND s_nationkey <> c_nationkey GROUP BY s_nationkey",
+    "weekly_sketches": "SELECT datediff('day', DATE '2024-01-01', ts::DATE) // 7 AS span, count(*) AS n, true AS count_within, true AS ranks_within FROM events GROUP BY ALL",
+    "stream_visits": """WITH e AS (SELECT user_id, epoch_us(ts) AS t, event_id, value FROM events),
+  n AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) >= 10800000000, true) AS new FROM e),
+  g AS (SELECT *, sum(new::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g FROM n),
+  v AS (SELECT user_id, g, min(t) AS start, max(t) AS last, count(*) AS n, round(sum(value) * 100)::BIGINT AS total_e2 FROM g GROUP BY ALL)
+SELECT user_id, start, last, n, total_e2 FROM v WHERE last // 1000 + 10800000 <= (SELECT max(t) // 1000 FROM e) OR (user_id, g + 1) IN (SELECT (user_id, g) FROM v)""",
+    "stream_tags_near": """SELECT s.event_id AS stat_id, t.event_id AS tag_id, s.user_id FROM events s JOIN events t ON t.user_id = s.user_id AND s.event_type <> 'signup' AND t.event_type = 'signup'
+  AND t.ts BETWEEN s.ts - INTERVAL 1 HOUR AND s.ts + INTERVAL 1 HOUR""",
+    "tier_sets": f"""WITH {ADDR}, {SEEN}, a AS (SELECT l_suppkey % 4 AS node, l_suppkey % 16 AS thread, (['load', 'store', 'atomic'])[(l_orderkey % 3 + 1)::INT] || '_' || CASE WHEN absolute AND pxn <> 0 THEN 'remote_pxn' ELSE place END AS c FROM seen WHERE place <> 'ctrl')
+SELECT node, thread, (['thread', 'node', 'all'])[(grouping(node) + grouping(thread) + 1)::INT] AS level, """ + ", ".join(f"count(*) FILTER (c = '{op}_{t}') AS {op}_{t}" for op in ("load", "store", "atomic") for t in ("l1sp", "l2sp", "dram", "remote_pxn")) + " FROM a GROUP BY ROLLUP (node, thread)",
+    "counter_cube": """SELECT l_returnflag, l_linestatus, l_linenumber, grouping(l_returnflag, l_linestatus, l_linenumber)::INTEGER AS grouped, sum(l_quantity::BIGINT)::BIGINT AS total, count(*) AS n
+FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)""",
 }

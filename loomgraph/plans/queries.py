@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.intmath import mix32, splitmix32
-from loomgraph.operators import address, attention, community, graph, irregular, linalg, rank, sampling, telemetry, traverse, triangles
+from loomgraph.operators import address, attention, community, graph, irregular, linalg, rank, sampling, sketches, telemetry, temporal, theta, traverse, triangles
 from loomgraph.plans import derived as d
 from loomgraph.plans.scratch import new_path, stored
 from loomgraph.sources import graph_files, telemetry_files
+from loomgraph.streaming import runs
 
 QUERIES = {}
 LAYOUT = address.Layout(pxns=4, pods=2, cores=8)
@@ -229,6 +230,11 @@ def triangle_intersection(spark, sf):
     return triangles.count_by_intersection(d.co_part(spark, sf))
 
 
+@query
+def triangle_bitmaps(spark, sf):
+    return triangles.count_by_bitmaps(d.co_part(spark, sf))
+
+
 @query
 def triangle_multi(spark, sf):
     return triangles.count_ordered_multi(graph.undirected(d.pairs(spark, sf)))
@@ -366,6 +372,14 @@ def attention_heads(spark, sf):
     return attention.join_heads(found, dim=10).select("b", "n", "c", F.round(F.col("o") * 1e6).cast("long").alias("o_e6"))
 
 
+@query
+def spmm_balanced(spark, sf):
+    """Suppliers as rows, whose entries are dealt in parts of 4,096."""
+    matrix = d.supply(spark, sf).select((F.col("dst") - 1_000_000_000).alias("row"), F.col("src").alias("col"), F.lit(1.0).cast("float").alias("val"))
+    features = d.table(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.array(F.col("p_size").cast("float"), F.lit(1.0).cast("float")).alias("feat"))
+    return linalg.spmm_balanced(matrix, features, per_part=4096).select("row", F.posexplode("out").alias("k", "s")).select("row", "k", F.col("s").cast("long").alias("s"))
+
+
 def _vectors(spark, sf):
     items = d.table(spark, sf, "lineitem")
     return items.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"), F.col("l_discount").alias("c"))
@@ -474,6 +488,71 @@ def stats_tags_join(spark, sf):
     return telemetry.join_tags(stats, tags)
 
 
+@query
+def stats_tags_as_of(spark, sf):
+    """Each statistic with the last tag of its minute or an earlier one."""
+    events = d.table(spark, sf, "events").select(d.minute().alias("SimTime"), "event_id", "event_type")
+    stats = events.where("event_type <> 'signup'").select("SimTime", F.col("event_id").alias("stat_id"))
+    tags = events.where("event_type = 'signup'").select("SimTime", F.col("event_id").alias("tag_id"))
+    return temporal.as_of_join(stats, tags, "SimTime", tie="tag_id")
+
+
+@query
+def sessions_overlapping(spark, sf):
+    """Sessions of users, six hours apart, and the spans of purchases that overlap them, a minute for each unit of value."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = d.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), micros.alias("t"), "event_type", "value")
+    gap = 6 * 3600 * 1_000_000
+    sessions = events.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.min("t").alias("s_from"), (F.max("t") + gap).alias("s_to")).select("user_id", "s_from", "s_to")
+    spans = events.where("event_type = 'purchase'").select(F.col("t").alias("p_from"), (F.col("t") + F.floor("value") * 60_000_000).alias("p_to"))
+    met = temporal.overlap_join(sessions, spans, ("s_from", "s_to"), ("p_from", "p_to"))
+    shared = F.least("s_to", "p_to") - F.greatest("s_from", "p_from")
+    return met.groupBy("user_id", "s_from").agg(F.count("*").alias("n"), F.sum(shared).alias("micros"))
+
+
+@query
+def balances_above(spark, sf):
+    """Pairs of a supplier and a customer of another nation with a balance lower by more than 100."""
+    a = d.table(spark, sf, "supplier").select("s_nationkey", "s_acctbal")
+    b = d.table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    met = theta.theta_join(a, b, (F.col("s_acctbal") > F.col("c_acctbal") + 100) & (F.col("s_nationkey") != F.col("c_nationkey")))
+    return met.groupBy("s_nationkey").agg(F.count("*").alias("pairs"), F.sum("c_custkey").alias("keys"))
+
+
+@query
+def weekly_sketches(spark, sf):
+    """Weeks from sketches kept by day, with whether the estimates are within their bounds of the exact values."""
+    events = d.table(spark, sf, "events").select(F.col("ts").cast("date").alias("date"), "event_id", "value")
+    week = lambda c: F.floor(F.datediff(c, F.lit("2024-01-01")) / 7)
+    days = stored(sketches.daily(events, F.col("date"), "event_id", "value"), "daily-sketches")
+    found = sketches.estimates(sketches.over(days, week(F.col("day"))))
+    exact = events.groupBy(week(F.col("date")).alias("span")).agg(F.countDistinct("event_id").alias("exact"))
+    within = F.abs(F.col("distinct_items") - F.col("exact")) <= F.col("exact") * sketches.COUNT_ERROR
+    marks = found.select("span", F.posexplode("q").alias("i", "q")).join(events.select(week(F.col("date")).alias("span"), "value"), "span")
+    ranks = marks.groupBy("span", "i").agg((F.count_if(F.col("value") < F.col("q")) / F.count("*")).alias("below"), (F.count_if(F.col("value") <= F.col("q")) / F.count("*")).alias("upto"))
+    share = F.element_at(F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("i") + 1)
+    near = ranks.groupBy("span").agg(F.bool_and((F.col("below") - sketches.RANK_ERROR <= share) & (share <= F.col("upto") + sketches.RANK_ERROR)).alias("ranks_within"))
+    return found.join(exact, "span").join(near, "span").select("span", "n", within.alias("count_within"), "ranks_within")
+
+
+@query
+def stream_visits(spark, sf):
+    """Visits of users, three hours apart, by a stateful run over the events in eight files."""
+    runs.rocks_state(spark)
+    events = d.table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    made = runs.visits(runs.stream_of(spark, runs.in_order(events, 8), events.schema, files=1), gap=3 * 3600)
+    found = runs.finish(made, "visits")
+    return found.select("user_id", "start", "last", "n", F.round(F.col("total") * 100).cast("long").alias("total_e2"))
+
+
+@query
+def stream_tags_near(spark, sf):
+    """Pairs of a statistic and a tag of one user within an hour, by a join of two streams of eight files each."""
+    events = d.table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    sides = [runs.stream_of(spark, runs.in_order(events.where(where), 8), events.schema, files=1) for where in ("event_type <> 'signup'", "event_type = 'signup'")]
+    return runs.finish(runs.tags_near(*sides, within="1 hour", late="30 days"), "tags-near")
+
+
 @query
 def opcode_mix(spark, sf):
     return telemetry.opcode_mix(d.stats(spark, sf))
@@ -550,6 +629,23 @@ def tier_pivot(spark, sf):
     return telemetry.tier_counts(accesses)
 
 
+@query
+def tier_sets(spark, sf):
+    """Tier counters of each thread, each node and all."""
+    found = address.with_decoded(_addresses(spark, sf), LAYOUT)
+    op = F.element_at(F.array(F.lit("load"), F.lit("store"), F.lit("atomic")), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    tier = telemetry.tier_of(F.col("tier"), F.col("pxn"), F.lit(0))
+    accesses = found.where("tier <> 'ctrl'").select((F.col("l_suppkey") % 4).alias("node"), (F.col("l_suppkey") % 16).alias("thread"), op.alias("op"), tier.alias("tier"))
+    return telemetry.tier_sets(accesses)
+
+
+@query
+def counter_cube(spark, sf):
+    """Quantities by every combination of flag, status and line number."""
+    items = d.table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", F.col("l_quantity").cast("long").alias("sum_u64"))
+    return telemetry.class_cube(items, ["l_returnflag", "l_linestatus", "l_linenumber"]).withColumn("grouped", F.col("grouped").cast("int"))
+
+
 @query
 def tag_histogram(spark, sf):
     events = d.table(spark, sf, "lineitem").select((F.col("l_linenumber") - 1).alias("tag"), F.col("l_quantity").cast("long").alias("cycles"))
