@@ -4,8 +4,8 @@
    batch by batch, then by a distributed count.
 2. The tokenizer counts the pieces of each distinct pre-token once.
 3. Per-document pre-token frequencies are joined to these counts and summed.
-   The most frequent pre-tokens, a fixed number at most, are joined by broadcast in the
-   pass over the texts; all others are joined by a shuffle.
+   The most frequent pre-tokens, a fixed number of bounded length, are joined by
+   broadcast in the pass over the texts; all others are joined by a shuffle.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings
 inside texts count one token each, as the library has it by default; each row
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from loomgraph.llm.batches import bounded_batches, gathered
 from loomgraph.plans.scratch import stored
 
-#: Pre-tokens joined by broadcast: at most some 20 MB on each worker, whatever the input.
+#: Pre-tokens joined by broadcast, of ``LONGEST`` characters at most: some 30 MB on the driver and each worker, whatever the input.
 HEAD = 1 << 18
+LONGEST = 64
 BATCH = 8 << 20
 
 
@@ -106,13 +107,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, head: int = HEAD
     pieces = stored(distinct.mapInArrow(_count_pieces(path), "pretoken string, n long, pieces long"), "pieces")
     # Classes of frequency, from the highest down, as long as all their pre-tokens fit into the head.
     level = F.floor(F.log2("n") * 8).cast("int")
+    short = pieces.where(F.length("pretoken") <= LONGEST)
     room, lowest = head, None
-    for r in sorted(pieces.groupBy(level.alias("level")).count().collect(), reverse=True):
+    for r in sorted(short.groupBy(level.alias("level")).count().collect(), reverse=True):
         room -= r["count"]
         if room < 0:
             break
         lowest = r["level"]
-    top = [] if lowest is None else pieces.where(level >= lowest).select("pretoken", "pieces").collect()
+    top = [] if lowest is None else short.where(level >= lowest).select("pretoken", "pieces").collect()
     shared = spark.sparkContext.broadcast({r["pretoken"]: r["pieces"] for r in top})
     made = docs.select("doc_id", "text").mapInArrow(_join_head(path, shared), ROWS)
     made = stored(made, "token-counts")

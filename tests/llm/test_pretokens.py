@@ -120,3 +120,30 @@ def test_long_pretokens_are_encoded_as_by_the_library():
     for word in (" " + "".join(rng.choice("abcdéß") for _ in range(3000)), "\n" * 3000, "é" * 1001, " " * 2000, "#" * 999):
         assert ids._long(word) == np.array(t.encode(word).ids, "<i4").tobytes()
     assert zlib.crc32(ids.of(["a"])["a"]) == zlib.crc32(ids._long("a"))
+
+
+def test_long_pretokens_stay_out_of_the_head(tmp_path):
+    """Incompressible unbroken texts, in a session whose driver takes less than they hold."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import random, sys
+from pyspark.sql import SparkSession
+from tokenizers import Tokenizer
+import public_tokenizers
+from loomgraph.llm.token_counts import count_tokens
+spark = SparkSession.builder.master("local[2]").config("spark.driver.maxResultSize", "1m").config("spark.sql.autoBroadcastJoinThreshold", "256k").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+rng = random.Random(1)
+letters = "".join(chr(c) for c in [*range(97, 123), *range(0x100, 0x17F)])
+texts = ["".join(rng.choices(letters, k=n)) for n in [100_000] * 12 + [64, 65, 66]] + ["a few short words"]
+path = public_tokenizers.path("byte_bpe_50k.json")
+spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(sys.argv[1])
+found = {r.doc_id: r.n_tokens for r in count_tokens(spark.read.parquet(sys.argv[1]), path).collect()}
+library = Tokenizer.from_file(path)
+assert found == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+"""
+    root = Path(__file__).resolve().parent.parent.parent
+    subprocess.run([sys.executable, "-c", code, f"file://{tmp_path / 'long'}"], env=os.environ | {"PYTHONPATH": str(root)}, check=True, timeout=600, cwd=tmp_path)
