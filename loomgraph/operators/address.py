@@ -71,28 +71,29 @@ class Layout:
         pattern = sum(1 << b for b in form.flags)
         return long(pattern - (1 << 64) if pattern >> 63 else pattern)
 
-    def decode(self, addr: Column, my_pxn=0, my_pod=0, my_core=0) -> Column:
-        """struct(absolute, tier, pxn, pod, core, offset); fields that a tier has not are 0, relative ones are the reader's."""
+    def form_of(self, word: Column) -> Column:
+        """The number of the form of an address."""
+        chosen = None
+        for i, form in enumerate(self.forms):
+            hit = word.bitwiseAND(self._flags(form)) == self._flags(form)
+            chosen = F.when(hit, i) if chosen is None else chosen.when(hit, i)
+        return chosen
+
+    def parts_of(self, word: Column, form: Column, my_pxn=0, my_pod=0, my_core=0) -> list[Column]:
+        """absolute, tier, pxn, pod, core and offset of an address of a form; fields that a tier has not are 0, relative ones are the reader's."""
         mine = {"pxn": my_pxn, "pod": my_pod, "core": my_core}
+        of_form = lambda value: F.get(F.array(*[F.lit(value(f)) for f in self.forms]), form)
+        absolute = of_form(lambda f: f.absolute)
+        place = []
+        for name, (low, mask) in self.fields.items():
+            here = F.when(absolute, F.shiftrightunsigned(word, low).bitwiseAND(long(mask))).otherwise(long(mine[name]))
+            place.append(F.when(of_form(lambda f: name in PLACES[f.tier]), here).otherwise(long(0)).alias(name))  # noqa: B023
+        offset = word.bitwiseAND(F.get(F.array(*[long((1 << f.offset_bits) - 1) for f in self.forms]), form))
+        return [absolute.alias("absolute"), of_form(lambda f: f.tier).alias("tier"), *place, offset.alias("offset")]
 
-        def which(word: Column) -> Column:
-            chosen = None
-            for i, form in enumerate(self.forms):
-                hit = word.bitwiseAND(self._flags(form)) == self._flags(form)
-                chosen = F.when(hit, i) if chosen is None else chosen.when(hit, i)
-            return chosen
-
-        def parts(word: Column, i: Column) -> Column:
-            of_form = lambda value: F.get(F.array(*[F.lit(value(f)) for f in self.forms]), i)
-            absolute = of_form(lambda f: f.absolute)
-            place = []
-            for name, (low, mask) in self.fields.items():
-                here = F.when(absolute, F.shiftrightunsigned(word, low).bitwiseAND(long(mask))).otherwise(long(mine[name]))
-                place.append(F.when(of_form(lambda f: name in PLACES[f.tier]), here).otherwise(long(0)).alias(name))  # noqa: B023
-            offset = word.bitwiseAND(F.get(F.array(*[long((1 << f.offset_bits) - 1) for f in self.forms]), i))
-            return F.struct(absolute.alias("absolute"), of_form(lambda f: f.tier).alias("tier"), *place, offset.alias("offset"))
-
-        return _named(addr, lambda word: _named(which(word), lambda i: parts(word, i)))
+    def decode(self, addr: Column, my_pxn=0, my_pod=0, my_core=0) -> Column:
+        """The parts of an address as a struct."""
+        return _named(addr, lambda word: _named(self.form_of(word), lambda form: F.struct(*self.parts_of(word, form, my_pxn, my_pod, my_core))))
 
     def encode(self, info: Column) -> Column:
         """The address of such a struct; fields too wide for their bits lose the upper ones."""
@@ -120,7 +121,9 @@ class Layout:
 
 
 def with_decoded(df: DataFrame, layout: Layout, addr: str = "addr") -> DataFrame:
-    return df.withColumn("_d", layout.decode(F.col(addr))).select(*df.columns, "_d.*")
+    """``df`` with the parts of its addresses; the form is a column of its own, so that all of it runs in generated code."""
+    formed = df.withColumn("_form", layout.form_of(F.col(addr)))
+    return formed.select(*df.columns, *layout.parts_of(F.col(addr), F.col("_form")))
 
 
 def banks(interleave_size: int, interleave_step: int) -> int:

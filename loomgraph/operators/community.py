@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.components import connected_components
+from loomgraph.operators.graph import symmetrize_both
+from loomgraph.plans.scratch import stored
 
 
-def _move(pairs: list[tuple[int, int]], max_passes: int, gain: str, order: list[int] | None) -> dict[int, int]:
+def _move(pairs: list[tuple[int, int]], max_passes: int, gain: str, order: list[int] | None, groups: list[list[int]] | None = None) -> dict[int, int]:
+    """Communities after serial moves in ``order``; vertices of one of ``groups`` move in turn by what held when the group began."""
     near: dict[int, list[int]] = {}
     for a, b in pairs:
         near.setdefault(a, []).append(b)
@@ -17,29 +20,35 @@ def _move(pairs: list[tuple[int, int]], max_passes: int, gain: str, order: list[
     total = {v: len(n) for v, n in near.items()}
     m2 = sum(total.values())
     nodes = sorted(near) if order is None else [v for v in order if v in near]
+
+    def turn(u: int, own_then: dict[int, int], total_then: dict[int, int]) -> bool:
+        """Move ``u`` by the communities and totals that it sees."""
+        k, here = len(near[u]), own_then[u]
+        links: dict[int, int] = {}
+        for v in sorted(near[u]):
+            links[own_then[v]] = links.get(own_then[v], 0) + 1
+        rest = total_then[here] - k
+        best, most = here, 0
+        for there, inside in links.items():
+            if there == here:
+                continue
+            won = inside * m2 - k * total_then[there] + k * rest
+            if gain == "standard":  # what leaving costs
+                won -= links.get(here, 0) * m2
+            if won > most:
+                best, most = there, won
+        if best != here:
+            total[here] -= k
+            total[best] += k
+            own[u] = best
+        return best != here
+
     for _ in range(max_passes):
-        moved = False
-        for u in nodes:
-            k, here = len(near[u]), own[u]
-            links: dict[int, int] = {}
-            for v in sorted(near[u]):
-                links[own[v]] = links.get(own[v], 0) + 1
-            rest = total[here] - k
-            best, most = here, 0
-            for there, inside in links.items():
-                if there == here:
-                    continue
-                won = inside * m2 - k * total[there] + k * rest
-                if gain == "standard":  # what leaving costs
-                    won -= links.get(here, 0) * m2
-                if won > most:
-                    best, most = there, won
-            if best != here:
-                total[here] -= k
-                total[best] += k
-                own[u] = best
-                moved = True
-        if not moved:
+        if groups is None:
+            moved = [turn(u, own, total) for u in nodes]
+        else:
+            moved = [turn(u, *seen) for group in groups for seen in [(own.copy(), total.copy())] for u in group]
+        if not any(moved):
             break
     return own
 
@@ -93,6 +102,72 @@ def parallel_moving(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return now.select("v", "comm")
 
 
+def colours(edges: DataFrame) -> DataFrame:
+    """(v, colour): colours from 0 such that no edge joins two vertices of one colour.
+
+    In each round the vertices whose hash is larger than that of all neighbours
+    without a colour take the smallest colour that no neighbour has. The result
+    depends on the graph alone; rounds grow about with the logarithm of its size,
+    and no vertex has a colour above its degree.
+    """
+    e = stored(symmetrize_both(edges), "graph")
+    left = stored(e.select(F.col("src").alias("v")).distinct().withColumn("p", F.xxhash64("v")), "uncoloured")
+    done = None
+    while left.limit(1).count():
+        near = e.join(left.select(F.col("v").alias("dst"), "p"), "dst").groupBy("src").agg(F.max(F.struct("p", "dst")).alias("top"))
+        free = left.join(near, left["v"] == near["src"], "left").where(F.col("top").isNull() | (F.struct("p", F.col("v").alias("dst")) > F.col("top"))).select("v")
+        used = e.join(free.select(F.col("v").alias("src")), "src")
+        if done is None:
+            chosen = free.withColumn("colour", F.lit(0))
+        else:
+            taken = used.join(done.select(F.col("v").alias("dst"), "colour"), "dst").groupBy("src").agg(F.collect_set("colour").alias("c"))
+            lowest = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("c")), "c"))
+            chosen = free.join(taken, free["v"] == taken["src"], "left").select("v", F.coalesce(lowest, F.lit(0)).alias("colour"))
+        chosen = stored(chosen, "coloured")
+        done = chosen if done is None else stored(done.union(chosen), "coloured")
+        left = stored(left.join(chosen, "v", "left_anti"), "uncoloured")
+    return edges.sparkSession.createDataFrame([], "v long, colour int") if done is None else done
+
+
+def moving_by_colours(edges: DataFrame, max_passes: int = 10, gain: str = "reference", coloured: DataFrame | None = None) -> DataFrame:
+    """(v, comm): the moves of ``local_moving`` for large graphs, colour by colour.
+
+    The vertices of a colour move together. None is a neighbour of another, so
+    each sees its neighbours as in any serial order of them; totals of communities
+    are those at the start of the colour. So a serial run that takes vertices in order
+    of colour and totals once a colour gives the same communities, and a run can be
+    replayed. Each colour of each pass is one job; passes end when none moves.
+    """
+    e = stored(edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")), "graph")
+    coloured = stored(colours(edges) if coloured is None else coloured, "colours")
+    degrees = e.groupBy("src").agg(F.count("*").alias("k"))
+    now = stored(degrees.select(F.col("src").alias("v"), "k", F.col("src").alias("comm")).join(coloured, "v"), "communities")
+    m2 = now.agg(F.sum("k")).first()[0] or 1
+    numbers = sorted(r["colour"] for r in now.select("colour").distinct().collect())  # no more than the largest degree and one
+    for _ in range(max_passes):
+        moved = 0
+        for colour in numbers:
+            totals = now.groupBy("comm").agg(F.sum("k").alias("total"))
+            mine = now.where(F.col("colour") == colour).select(F.col("v").alias("src"), "k", F.col("comm").alias("here"))
+            there = now.select(F.col("v").alias("dst"), F.col("comm").alias("there"))
+            links = e.join(mine, "src").join(there, "dst").groupBy("src", "k", "here", "there").agg(F.count("*").alias("inside"), F.min("dst").alias("first"))
+            stay = links.where("there = here").select(F.col("src").alias("s"), F.col("inside").alias("stay"))
+            rest = totals.select(F.col("comm").alias("here"), F.col("total").alias("total_here"))
+            offers = links.where("there <> here").join(totals.withColumnRenamed("comm", "there"), "there").join(rest, "here").join(stay, F.col("src") == F.col("s"), "left")
+            won = F.col("inside") * m2 - F.col("k") * F.col("total") + F.col("k") * (F.col("total_here") - F.col("k"))
+            if gain == "standard":
+                won = won - F.coalesce("stay", F.lit(0)) * m2
+            best = offers.withColumn("won", won).where("won > 0").groupBy("src").agg(F.max_by("there", F.struct("won", -F.col("first"))).alias("to"))
+            best = stored(best, "moves")
+            n = best.count()
+            if n:
+                moved += n
+                now = stored(now.join(best, now["v"] == best["src"], "left").select("v", "k", F.coalesce("to", "comm").alias("comm"), "colour"), "communities")
+        if not moved:
+            break
+    return now.select("v", "comm")
+
+
 def refine(edges: DataFrame, parts: DataFrame) -> DataFrame:
     """(v, comm): each community split into connected pieces, numbered from 0 by smallest member."""
     a = parts.select(F.col("v").alias("src"), F.col("comm").alias("ca"))

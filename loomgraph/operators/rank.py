@@ -8,23 +8,41 @@ from pyspark.sql import functions as F
 from loomgraph.plans.scratch import cut
 
 
-def pagerank(edges: DataFrame, iterations: int = 50, damping: float = 0.85) -> DataFrame:
-    """(v, rank) after ``iterations`` rounds of (1 - d)/N + d * sum(rank[u] / degree[u]). Sinks pass nothing on; there is no early stop."""
+def pagerank(edges: DataFrame, iterations: int = 50, damping: float = 0.85, start: DataFrame | None = None) -> DataFrame:
+    """(v, rank) after ``iterations`` rounds of (1 - d)/N + d * sum(rank[u] / degree[u]), from equal ranks or from ``start`` (v, rank).
+
+    Sinks pass nothing on; there is no early stop.
+    """
+    for found in _rounds(edges, damping, start, range(iterations), lambda i: i % 5 == 4 or i == iterations - 1):
+        pass
+    return found
+
+
+def pagerank_rounds(edges: DataFrame, iterations: int = 50, damping: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """(v, rank) after all rounds, and (round, l1, total): how much each round moved ranks, and their sum after it."""
+    changes, before = [], None
+    for i, ranks in enumerate(_rounds(edges, damping, None, range(iterations), lambda _: True)):
+        if before is not None:
+            changes.append((i, *l1_change(before, ranks).first()))
+        before = ranks
+    return before, edges.sparkSession.createDataFrame(changes, "round int, l1 double, total double")
+
+
+def _rounds(edges: DataFrame, damping: float, start: DataFrame | None, rounds: range, keep):
+    """The ranks before the first round and after each one; ``keep(i)`` says which rounds are checkpointed."""
     e = edges.select("src", "dst")
     degrees = e.groupBy("src").agg(F.count("*").alias("degree"))
     weighted = e.join(degrees, "src").select("src", "dst", "degree").repartition("src").persist()
     vertices = cut(e.select(F.col("src").alias("v")).union(e.select(F.col("dst").alias("v"))).distinct())
     n = vertices.count()
-    if not n:
-        return vertices.withColumn("rank", F.lit(0.0))
-    ranks = vertices.withColumn("rank", F.lit(1.0) / n)
-    for i in range(iterations):
+    ranks = start.select("v", "rank") if start is not None else vertices.withColumn("rank", F.lit(1.0) / max(n, 1))
+    yield ranks
+    for i in rounds if n else ():
         sent = weighted.join(ranks, weighted["src"] == ranks["v"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         ranks = vertices.join(sent, vertices["v"] == sent["dst"], "left").select("v", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if i % 5 == 4 or i == iterations - 1:
-            ranks = cut(ranks)
+        ranks = cut(ranks) if keep(i) else ranks
+        yield ranks
     weighted.unpersist()
-    return ranks
 
 
 def l1_change(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.intmath import mix32
-from loomgraph.plans.scratch import cut
+from loomgraph.operators.spread import join_one
+from loomgraph.plans.scratch import cut, stored
 
 # Edges taken of each vertex, level by level.
 FAN_OUT = (5, 3, 2, 1, 0)
@@ -44,10 +45,32 @@ def first_k(edges: DataFrame, roots: DataFrame, fan_out: tuple[int, ...] = FAN_O
     return _grow(edges, roots, fan_out, pick)
 
 
+#: Edges of a vertex that one window orders.
+PLACES = 4096
+
+
+def numbered_edges(edges: DataFrame, per_block: int = PLACES) -> DataFrame:
+    """(src, dst, pos): each vertex's edges numbered from 0, in blocks.
+
+    The edges of a vertex are dealt by hash into as many blocks as hold about
+    ``per_block`` each; running counts over a vertex's blocks and places inside a
+    block give the numbers. So the order is by block, then by dst, and no window holds
+    a hub's whole list. Edges of a hub meet its degree in several tasks.
+    """
+    edges = edges.select("src", "dst")
+    degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    block = F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / per_block)).alias("block")
+    blocked = stored(join_one(edges, stored(degrees, "degrees"), "src").select("src", "dst", block), "blocked-edges")
+    sizes = blocked.groupBy("src", "block").agg(F.count("*").alias("n"))
+    bases = sizes.select("src", "block", (F.sum("n").over(Window.partitionBy("src").orderBy("block")) - F.col("n")).alias("base"))
+    inside = blocked.withColumn("place", F.row_number().over(Window.partitionBy("src", "block").orderBy("dst")) - 1)
+    return inside.join(bases, ["src", "block"]).select("src", "dst", (F.col("base") + F.col("place")).cast("int").alias("pos"))
+
+
 def random_k(edges: DataFrame, roots: DataFrame, fan_out: tuple[int, ...] = FAN_OUT, seed: int = 1) -> DataFrame:
-    """Samples with replacement: draw i of a vertex takes edge number hash(seed, root, vertex, level, i) mod degree."""
+    """Samples with replacement: draw i of a vertex takes edge number hash(seed, root, vertex, level, i) mod degree; see ``numbered_edges``."""
     degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    numbered = cut(edges.select("src", "dst").withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1))
+    numbered = stored(numbered_edges(edges), "numbered-edges")
 
     def pick(frontier: DataFrame, k: int, level: int) -> DataFrame:
         draws = frontier.join(degrees, frontier["v"] == degrees["src"]).select("root", "v", "degree", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))

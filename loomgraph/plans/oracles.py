@@ -245,4 +245,13 @@ SELECT user_id, start, last, n, total_e2 FROM v WHERE last // 1000 + 10800000 <=
 SELECT node, thread, (['thread', 'node', 'all'])[(grouping(node) + grouping(thread) + 1)::INT] AS level, """ + ", ".join(f"count(*) FILTER (c = '{op}_{t}') AS {op}_{t}" for op in ("load", "store", "atomic") for t in ("l1sp", "l2sp", "dram", "remote_pxn")) + " FROM a GROUP BY ROLLUP (node, thread)",
     "counter_cube": """SELECT l_returnflag, l_linestatus, l_linenumber, grouping(l_returnflag, l_linestatus, l_linenumber)::INTEGER AS grouped, sum(l_quantity::BIGINT)::BIGINT AS total, count(*) AS n
 FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)""",
+    "pagerank_rounds": f"WITH {BOTH}, {_ranks(50).replace(' AS (', ' AS MATERIALIZED (')} " + " UNION ALL ".join(
+        f"SELECT {i}::INTEGER AS round, round(sum(abs(r{i}.rank - r{i - 1}.rank)) * 1e7)::BIGINT AS l1_e7, round(sum(r{i}.rank) * 1e6)::BIGINT AS total_e6 FROM r{i} JOIN r{i - 1} USING (v)" for i in range(1, 51)
+    ),
+    "atomic_replay": """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY addr ORDER BY t, op, val) AS n FROM (
+    SELECT l_suppkey AS addr, (['add', 'or', 'swap', 'max', 'cas'])[l_partkey % 5 + 1] AS op, l_quantity::BIGINT AS val, l_orderkey * 8 + l_linenumber AS t FROM lineitem)),
+  r(addr, n, t, op, val, old, new) AS (SELECT addr, 0::BIGINT, 0::BIGINT, '', 0::BIGINT, 0::BIGINT, 0::BIGINT FROM o GROUP BY addr
+    UNION ALL SELECT o.addr, o.n, o.t, o.op, o.val, r.new, CASE o.op WHEN 'add' THEN r.new + o.val WHEN 'or' THEN r.new | o.val WHEN 'max' THEN greatest(r.new, o.val) WHEN 'swap' THEN o.val ELSE CASE WHEN r.new = 0 THEN o.val ELSE r.new END END
+      FROM r JOIN o ON o.addr = r.addr AND o.n = r.n + 1)
+SELECT addr, t, op, val, old, new FROM r WHERE n > 0""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.intmath import mix32, splitmix32
-from loomgraph.operators import address, attention, community, graph, irregular, linalg, rank, sampling, sketches, telemetry, temporal, theta, traverse, triangles
+from loomgraph.operators import address, attention, community, graph, irregular, linalg, rank, replay, sampling, sketches, telemetry, temporal, theta, traverse, triangles
 from loomgraph.plans import derived as d
 from loomgraph.plans.scratch import new_path, stored
 from loomgraph.sources import graph_files, telemetry_files
@@ -211,10 +211,18 @@ def pagerank_5(spark, sf):
 def pagerank_change(spark, sf):
     """How much the sixth round moves ranks, and their sum."""
     edges = _stored_graph(spark, sf)
-    found = rank.l1_change(rank.pagerank(edges, iterations=5), rank.pagerank(edges, iterations=6))
+    fifth = rank.pagerank(edges, iterations=5)
+    found = rank.l1_change(fifth, rank.pagerank(edges, iterations=1, start=fifth))
     return found.select(F.round(F.col("l1") * 1e9).cast("long").alias("l1_e9"), F.round(F.col("total") * 1e6).cast("long").alias("total_e6"))
 
 
+@query
+def pagerank_rounds(spark, sf):
+    """How much each of 50 rounds moves ranks, in 1e-7, and their sum."""
+    _, changes = rank.pagerank_rounds(_stored_graph(spark, sf), iterations=50)
+    return changes.select("round", F.round(F.col("l1") * 1e7).cast("long").alias("l1_e7"), F.round(F.col("total") * 1e6).cast("long").alias("total_e6"))
+
+
 @query
 def triangle_list(spark, sf):
     return triangles.list_triangles(d.co_part(spark, sf))
@@ -261,6 +269,12 @@ def parallel_moving(spark, sf):
     return community.parallel_moving(d.co_part(spark, sf))
 
 
+@query
+def moving_by_colours(spark, sf):
+    """Communities of parts and suppliers after two passes of moves by colour."""
+    return community.moving_by_colours(d.supply(spark, sf), max_passes=2, gain="standard")
+
+
 @query
 def partition_members(spark, sf):
     parts = d.table(spark, sf, "part").select(F.col("p_partkey").alias("v"), F.col("p_size").cast("long").alias("comm"))
@@ -466,6 +480,15 @@ def atomic_ops(spark, sf):
     return irregular.atomics(ops)
 
 
+@query
+def atomic_replay(spark, sf):
+    """What each atomic finds and leaves, address by address."""
+    items = d.table(spark, sf, "lineitem")
+    op = F.element_at(F.array(F.lit("add"), F.lit("or"), F.lit("swap"), F.lit("max"), F.lit("cas")), (F.col("l_partkey") % 5 + 1).cast("int"))
+    ops = items.select(F.col("l_suppkey").alias("addr"), op.alias("op"), F.col("l_quantity").cast("long").alias("val"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("t"))
+    return replay.replay(ops)
+
+
 @query
 def compare_and_swap(spark, sf):
     items = d.table(spark, sf, "lineitem")

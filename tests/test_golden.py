@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from loomgraph.functions import intmath
-from loomgraph.operators import address, community, graph, irregular, linalg, rank, sampling, telemetry, traverse, triangles
+from loomgraph.operators import address, community, graph, irregular, linalg, rank, replay, sampling, telemetry, traverse, triangles
 
 # The built-in graph of 12 vertices.
 EDGES12 = [(1, 2), (2, 3), (3, 1), (2, 4), (3, 4), (5, 6), (6, 7), (7, 5), (6, 8), (7, 8), (9, 10), (10, 11), (11, 9), (11, 12)]
@@ -78,6 +80,51 @@ def test_parallel_moving_keeps_components_apart(spark):
     assert not {own[v] for v in (1, 2, 3, 4)} & {own[v] for v in (5, 6, 7, 8)}
 
 
+@pytest.mark.parametrize("gain", ("reference", "standard"))
+def test_moves_by_colour_equal_serial_moves(spark, gain):
+    from loomgraph.plans import derived
+
+    sf = "/root/testdata/sf0.001"
+    graph12 = edges(spark, EDGES12 + [(1, 12), (12, 12), (1, 2)])
+    sparse = derived.supply(spark, sf).where("src % 5 = 0")
+    for graph_edges, passes in ((graph12, 10), (sparse, 2)):
+        coloured = community.colours(graph_edges)
+        of = {r.v: r.colour for r in coloured.collect()}
+        pairs = [tuple(r) for r in graph_edges.collect() if r.src != r.dst]
+        assert all(of[a] != of[b] for a, b in pairs) and set(of) == {v for p in pairs for v in p}
+        groups = [[v for v in sorted(of) if of[v] == c] for c in sorted(set(of.values()))]
+        found = {r.v: r.comm for r in community.moving_by_colours(graph_edges, passes, gain, coloured).collect()}
+        assert found == community._move(pairs, passes, gain, None, groups)
+    assert community.moving_by_colours(graph12.limit(0)).count() == 0
+
+
+def test_numbered_edges_of_a_hub(spark):
+    hub = [(0, i) for i in range(500)] + [(1, 7), (1, 7), (2, 0)]
+    found = sampling.numbered_edges(edges(spark, hub), per_block=20)
+    assert rows(found, "src", "pos") == sorted(((v, i) for v, n in ((0, 500), (1, 2), (2, 1)) for i in range(n)), key=repr)
+    assert rows(found, "src", "dst") == sorted(hub, key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "[src" in plan and sampling.numbered_edges(edges(spark, hub), per_block=20).where("src = 0").count() == 500
+
+
+def test_atomics_are_replayed(spark):
+    ops = [(1, "add", 5, 0), (1, "cas", 9, 1), (1, "max", 3, 2), (1, "or", 8, 3), (1, "swap", -1, 4), (2, "cas", 7, 0), (2, "cas", 8, 1), (2, "add", 1, 2), (3, "max", 2**63 - 1, 0), (3, "add", 1, 1), (3, "max", 4, 1)]
+    found = replay.replay(spark.createDataFrame(ops[::-1], "addr long, op string, val long, t long"))
+    expected = [(1, 0, "add", 5, 0, 5), (1, 1, "cas", 9, 5, 5), (1, 2, "max", 3, 5, 5), (1, 3, "or", 8, 5, 13), (1, 4, "swap", -1, 13, -1), (2, 0, "cas", 7, 0, 7), (2, 1, "cas", 8, 7, 7), (2, 2, "add", 1, 7, 8), (3, 0, "max", 2**63 - 1, 0, 2**63 - 1), (3, 1, "add", 1, 2**63 - 1, -(2**63)), (3, 1, "max", 4, -(2**63), 4)]
+    assert rows(found) == expected
+
+
+def test_ranks_go_on_from_where_they_were(spark):
+    e = edges(spark, EDGES12 + [(b, a) for a, b in EDGES12])
+    last, changes = rank.pagerank_rounds(e, 7)
+    plain = {r.v: r.rank for r in rank.pagerank(e, 7).collect()}
+    again = {r.v: r.rank for r in rank.pagerank(e, 4, start=rank.pagerank(e, 3)).collect()}
+    assert all(math.isclose(plain[r.v], r.rank) and math.isclose(plain[r.v], again[r.v]) for r in last.collect())
+    l1 = [r.l1 for r in changes.orderBy("round").collect()]
+    assert len(l1) == 7 and l1 == sorted(l1, reverse=True)
+    assert rank.pagerank(e.limit(0), 3).count() == 0
+
+
 def test_counter_generator(spark):
     state, first = 123, []
     for _ in range(5):
