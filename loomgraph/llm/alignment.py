@@ -40,11 +40,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.batches import Recent, bounded_batches, gathered
+from loomgraph.llm.batches import Recent, bounded_batches, gathered, give_back
 from loomgraph.llm.bytetext import text_buffer
 from loomgraph.plans.scratch import stored
 
-BATCH = 4 << 20
+BATCH = 3 << 20
 #: Pairs joined by broadcast: 17 bytes each on the driver and each worker.
 HEAD = 1 << 20
 #: Pre-tokens of A and stretches for B, of 64 characters at most, in one generation of those that a worker keeps with their ids.
@@ -52,7 +52,7 @@ KEPT = 60_000
 #: Stretches in one call of a tokenizer.
 TOGETHER = 5_000
 #: What one DuckDB holds before it writes to its task's temporary folder.
-MEMORY = "1GB"
+MEMORY = "512MB"
 SPACE = "▁"
 
 #: Statements over the tables a and b (k, s, e, id: stretch, bytes, token), sizes (k, n_a, n_b) and places (doc, pos, k).
@@ -61,26 +61,25 @@ ALIGN = (
 CREATE OR REPLACE TEMP TABLE links AS
   SELECT a.k, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.s >= b.s
   UNION ALL
-  SELECT a.k, a.id, b.id FROM a JOIN b ON b.s > a.s AND b.s < a.e""",
+  SELECT a.k, a.id, b.id FROM a JOIN (SELECT * FROM b ANTI JOIN a USING (s)) b ON b.s > a.s AND b.s < a.e""",
     """
 CREATE OR REPLACE TEMP TABLE grouped AS
-  WITH g AS (SELECT k, s, id, sum((s IN (SELECT s FROM b))::INT) OVER (ORDER BY s) AS g FROM a),
-  x AS (SELECT g, min(s) AS s FROM g GROUP BY g)
-  SELECT k, g, 0 AS side, s, id FROM g UNION ALL SELECT b.k, x.g, 1, b.s, b.id FROM b ASOF JOIN x ON b.s >= x.s""",
+  WITH c AS (SELECT k, s, id, s IN (SELECT s FROM b) AS first FROM a),
+  g AS (SELECT *, sum(first::INT) OVER (ORDER BY s) AS g FROM c),
+  x AS (SELECT g, s FROM g WHERE first)
+  SELECT k, g, 0 AS side, s, id, first FROM g UNION ALL SELECT b.k, x.g, 1, b.s, b.id, b.s = x.s FROM b ASOF JOIN x ON b.s >= x.s""",
     """
 CREATE OR REPLACE TEMP TABLE pairs AS
   WITH p AS (SELECT k, a, b, count(*) AS n FROM links GROUP BY ALL)
   SELECT doc, a, b, sum(n)::INT AS n FROM places JOIN p USING (k) GROUP BY doc, a, b""",
 )
 #: Each token with the mark that goes before it: the texts of a stretch, one after another, are ``;a1,a2|b1;...``.
-WRITTEN = """
-SELECT k, CASE WHEN side = 0 AND before = 0 THEN ',' WHEN side = 0 THEN ';' WHEN before = 1 THEN ',' ELSE '|' END || id AS text
-FROM (SELECT *, lag(side) OVER (PARTITION BY g ORDER BY side, s) AS before FROM grouped) ORDER BY g, side, s"""
+WRITTEN = "SELECT k, CASE WHEN NOT first THEN ',' WHEN side = 0 THEN ';' ELSE '|' END || id AS text FROM grouped ORDER BY g, side, s"
 DOCS = """
-WITH l AS (SELECT k, count(*) AS n_links FROM links GROUP BY k), g AS (SELECT k, count(DISTINCT g) AS n_groups FROM grouped GROUP BY k)
+WITH l AS (SELECT k, count(*) AS n_links FROM links GROUP BY k), g AS (SELECT k, count(*) AS n_groups FROM grouped WHERE first AND side = 0 GROUP BY k)
 SELECT doc, sum(n_a)::BIGINT AS n_a, sum(n_b)::BIGINT AS n_b, sum(n_groups)::BIGINT AS n_groups, sum(n_links)::BIGINT AS n_links
 FROM places JOIN sizes USING (k) JOIN l USING (k) JOIN g USING (k) GROUP BY doc ORDER BY doc"""
-PAIRS = "SELECT doc, a, b, n FROM pairs ORDER BY doc, a, b"
+PAIRS = "SELECT doc, a, b, n FROM pairs ORDER BY doc"
 COUNTS = "SELECT a, b, count(*)::INT AS n FROM pairs GROUP BY a, b"
 
 OUT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, digest string, a array<int>, b array<int>, n array<int>"
@@ -194,10 +193,13 @@ def _align(path_a: str, path_b: str):
 
         tools = _tokenizers(path_a, path_b)
         row = TaskContext.get().partitionId() << 40
-        with tempfile.TemporaryDirectory() as folder, duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": folder, "preserve_insertion_order": False}) as con:
+        with tempfile.TemporaryDirectory() as folder, duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": folder, "preserve_insertion_order": False, "allocator_flush_threshold": "16MB"}) as con:
             for batch in gathered(batches, limit=BATCH):
                 yield from _batch(tools, con, batch.column(0), batch.column(1), row)
                 row += batch.num_rows
+                for table in ("links", "grouped", "pairs"):
+                    con.execute(f"DROP TABLE {table}")
+                give_back()
 
     return run
 
@@ -264,7 +266,7 @@ def _one(table: pa.Table, column: str) -> pa.Array:
     return found.chunk(0) if found.num_chunks == 1 else pa.concat_arrays(found.chunks) if found.num_chunks else pa.array([], pa.int32())
 
 
-def _sliced(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _sliced(batch: pa.RecordBatch, rows: int = 100) -> Iterator[pa.RecordBatch]:
     for a in range(0, batch.num_rows, rows):
         yield batch.slice(a, rows)
 
