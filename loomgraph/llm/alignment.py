@@ -48,7 +48,7 @@ BATCH = 3 << 20
 #: Pairs joined by broadcast: 17 bytes each on the driver and each worker.
 HEAD = 1 << 20
 #: Pre-tokens of A and stretches for B, of 64 characters at most, in one generation of those that a worker keeps with their ids.
-KEPT = 60_000
+KEPT = 150_000
 #: Stretches in one call of a tokenizer.
 TOGETHER = 5_000
 #: What one DuckDB holds before it writes to its task's temporary folder.
