@@ -20,16 +20,18 @@ def pagerank(edges: DataFrame, iterations: int = 50, damping: float = 0.85, star
 
 def pagerank_rounds(edges: DataFrame, iterations: int = 50, damping: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """(v, rank) after all rounds, and (round, l1, total): how much each round moved ranks, and their sum after it."""
-    changes, before = [], None
-    for i, ranks in enumerate(_rounds(edges, damping, None, range(iterations), lambda _: True)):
-        if before is not None:
-            changes.append((i, *l1_change(before, ranks).first()))
-        before = ranks
-    return before, edges.sparkSession.createDataFrame(changes, "round int, l1 double, total double")
+    changes, found = [], None
+    for i, found in enumerate(_rounds(edges, damping, None, range(iterations), lambda _: True, trace=True)):
+        if i:
+            changes.append((i, *found.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), F.sum("rank")).first()))
+    return found.select("v", "rank"), edges.sparkSession.createDataFrame(changes, "round int, l1 double, total double")
 
 
-def _rounds(edges: DataFrame, damping: float, start: DataFrame | None, rounds: range, keep):
-    """The ranks before the first round and after each one; ``keep(i)`` says which rounds are checkpointed."""
+def _rounds(edges: DataFrame, damping: float, start: DataFrame | None, rounds: range, keep, trace: bool = False):
+    """The ranks before the first round and after each one; ``keep(i)`` says which rounds are checkpointed.
+
+    ``trace`` adds the rank ``before`` each round, for which every round must be kept.
+    """
     e = edges.select("src", "dst")
     degrees = e.groupBy("src").agg(F.count("*").alias("degree"))
     weighted = e.join(degrees, "src").select("src", "dst", "degree").repartition("src").persist()
@@ -39,7 +41,9 @@ def _rounds(edges: DataFrame, damping: float, start: DataFrame | None, rounds: r
     yield ranks
     for i in rounds if n else ():
         sent = weighted.join(ranks, weighted["src"] == ranks["v"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        ranks = vertices.join(sent, vertices["v"] == sent["dst"], "left").select("v", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        rank = (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")
+        every = ranks.select("v", F.col("rank").alias("before")) if trace else vertices
+        ranks = every.join(sent, every["v"] == sent["dst"], "left").select("v", rank, *(["before"] if trace else []))
         ranks = cut(ranks) if keep(i) else ranks
         yield ranks
     weighted.unpersist()
