@@ -15,7 +15,7 @@ with the smallest hashes, and of a longer text ``TRAIN_LINES`` lines in ``WINDOW
 windows, one at a hashed place of each equal part of the text. All lines of all
 documents are scored, in parts whose messages are carried on from one to the
 next; a worker holds some 60 bytes for each line of the text in hand beside the
-text. Only the texts that are learned from hold all their features at once.
+text. Of a text that is learned from, only the features of its windows are made.
 
 Defined results: a null or empty text has one empty line and is scored by it;
 without learnable labels of both kinds, the share of good labels (or 0.5) is
@@ -361,13 +361,13 @@ def train(x: np.ndarray, length: np.ndarray, bounds: np.ndarray, quality: np.nda
     return field
 
 
-def _windows(n: int, seed: int) -> np.ndarray:
-    """The lines of a text of ``n`` that are learned: all, or a window at a hashed place of each equal part."""
+def _windows(n: int, seed: int) -> list[tuple[int, int]]:
+    """The runs of lines of a text of ``n`` that are learned: all, or a window at a hashed place of each equal part."""
     if n <= TRAIN_LINES:
-        return np.arange(n)
+        return [(0, n)]
     rng, size = np.random.default_rng(seed), TRAIN_LINES // WINDOWS
     parts = [(n * i // WINDOWS, n * (i + 1) // WINDOWS) for i in range(WINDOWS)]
-    return np.concatenate([np.arange(size) + rng.integers(a, b - size + 1) for a, b in parts])
+    return [(at, at + size) for at in (int(rng.integers(a, b - size + 1)) for a, b in parts)]
 
 
 def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,18 +384,17 @@ def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         if not keep:
             continue
         batch = batch.take(pa.array(keep, pa.int64()))
-        x, length, bounds = features(batch.column(0))
-        hashes = batch.column(3).to_pylist()
-        lines = [bounds[d] + _windows(int(bounds[d + 1] - bounds[d]), hashes[d] % (1 << 63)) for d in range(batch.num_rows)]
-        chain = [TRAIN_LINES // WINDOWS if bounds[d + 1] - bounds[d] > TRAIN_LINES else len(at) for d, at in enumerate(lines)]
+        lines, hashes = _Lines(batch.column(0)), batch.column(3).to_pylist()
+        first, count = lines.bounds[:-1].tolist(), np.diff(lines.bounds).tolist()
+        runs = [[(f + a, f + b) for a, b in _windows(n, h % (1 << 63))] for f, n, h in zip(first, count, hashes, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(2),
                 batch.column(3),
                 batch.column(1),
-                pa.array(chain, pa.int32()),
-                pa.array([x[at].tobytes() for at in lines], pa.binary()),
-                pa.array([length[at].tobytes() for at in lines], pa.binary()),
+                pa.array([own[0][1] - own[0][0] for own in runs], pa.int32()),
+                pa.array([b"".join(lines.rows(a, b).tobytes() for a, b in own) for own in runs], pa.binary()),
+                pa.array([b"".join((lines.ends[a:b] - lines.starts[a:b]).astype(np.float64).tobytes() for a, b in own) for own in runs], pa.binary()),
             ],
             names=["doc_id", "h", "quality", "chain", "x", "length"],
         )
