@@ -13,6 +13,12 @@
 5. Then every pair of one list that lies in different components, has the
    sizes, places and number of matches that a link needs, is verified. So copies
    are not expanded into all pairs, and no link between components is lost.
+6. In lists of more than ``LIST`` sets, each set is first measured against one
+   reference set of its family. Two sets share in the reference at most what the
+   lesser of them shares with it; where that is too little for a link, they must
+   share a shingle that the reference has not, so they are paired by prefixes of
+   such shingles instead. Sets that changed a common text each in its own way
+   have none in common, so they are not paired with each other.
 
 Defined results: null, empty and blank texts have an empty set and are linked
 with nothing; a text shorter than a shingle is one shingle; repeated rows share
@@ -51,6 +57,8 @@ CHANCE = 0.1
 DECAY = 0.25
 #: Rounds in which sets are compared with hubs before all pairs between components are.
 HUB_ROUNDS = 3
+#: In lists of at most so many sets, all are compared; in longer ones, by what they have beside a reference.
+LIST = 32
 #: Classes whose keys are broadcast to fetch their texts (some 20 MB); more are fetched by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -130,15 +138,24 @@ def _frequency_table(parts: DataFrame, tasks: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def _order(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places of sorted shingles from rare to frequent, in one order for all sets."""
+    key = (count.astype(np.uint64) << np.uint64(32)) | (values & np.uint64(0xFFFFFFFF))
+    return np.argsort(key, kind="stable")  # values are sorted, so equal keys keep one order everywhere
+
+
+def _slots(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def prefix(values: np.ndarray, table: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
     """The rarest shingles of a set, in order, and the number of matches that they guarantee."""
     n = len(values)
     need = -(-percent * n // 100)
-    count = table[(values >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    count = table[_slots(values)]
     most = min(MOST_MATCHES, need)
     longest = n - need + most
-    key = (count.astype(np.uint64) << np.uint64(32)) | (values & np.uint64(0xFFFFFFFF))
-    order = np.argsort(key, kind="stable")[:longest]  # values are sorted, so equal keys keep one order everywhere
+    order = _order(values, count)[:longest]
     others = np.cumsum(np.maximum(count[order] - noise, 0.0) + CHANCE)
     sizes = n - need + np.arange(1, most + 1)
     scanned = others[sizes - 1]
@@ -175,33 +192,78 @@ def _postings(k: int, percent: int, shared):
     return run
 
 
+def _sides(batches: Iterator[pa.RecordBatch], k: int):
+    """Small batches of pairs (a, b, text_a, text_b), each with the sets of both texts."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 200):
+            batch, sides = whole.slice(at, 200), []
+            for column in (2, 3):
+                sides.append([values[bounds[d] : bounds[d + 1]] for a, b, values, bounds in _sets(batch.column(column), k) for d in range(b - a)])
+            yield batch, zip(*sides, strict=True)
+
+
 def _verify(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                sides = []
-                for column in (2, 3):
-                    sets: list = []
-                    for a, b, values, bounds in _sets(batch.column(column), k):
-                        sets += [values[bounds[d] : bounds[d + 1]] for d in range(b - a)]
-                    sides.append(sets)
-                ok = []
-                for x, y in zip(*sides, strict=True):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-                yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+        for batch, sets in _sides(batches, k):
+            ok = []
+            for x, y in sets:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+        give_back()
+
+    return run
+
+
+def beside(values: np.ndarray, reference: np.ndarray, table: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """How many shingles a set shares with a reference, and the prefix of the others.
+
+    If two sets must share one of the others, their prefixes share one: two sets
+    that need ``o`` in common and can share ``c`` in the reference need ``o - c``
+    more of ``n - c`` or fewer others, so ``n - o + 1`` of them are prefix enough.
+    """
+    own = np.setdiff1d(values, reference, assume_unique=True)
+    own = own[_order(own, table[_slots(own)])]
+    return len(values) - len(own), own[: len(values) + percent * len(values) // -100 + 1]
+
+
+BESIDE = "class long, ref long, common long, own array<long>"
+
+
+def _beside(k: int, percent: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sides(batches, k):
+            made = [beside(x, r, shared.value, percent) for x, r in sets]
+            common, own = pa.array([c for c, _ in made], pa.int64()), pa.array([o.view(np.int64) for _, o in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), common, own], names=["class", "ref", "common", "own"])
         give_back()
 
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
+def _lists(placed: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components: the component with most sets, the list's size, its earliest set."""
+    counts = placed.groupBy("token", "part").agg(F.count("*").alias("count"), F.min(F.struct("place", "class")).alias("first"))
+    most = F.max(F.struct("count", "part"))["part"].alias("major")
+    lists = counts.groupBy("token").agg(most, F.sum("count").alias("sets"), F.min("first")["class"].alias("hub"), F.count("*").alias("parts"))
+    return placed.join(lists.where("parts > 1").drop("parts"), "token")
+
+
+def _across(lists: DataFrame, may) -> DataFrame:
+    """Pairs (a, b, need) of sets of one list in different components that ``may`` link; of the largest, none with its own."""
+    minor = lists.where("part <> major").withColumn("to", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).alias("x")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    once = (y("part") == y("major")) | (x("class") < y("class"))
+    pairs = minor.join(lists.alias("y"), (x("token") == y("token")) & (x("to") == y("band")) & (x("part") != y("part")) & once & may(x, y))
+    # Which side is minor may differ between the shingles of one pair, so it is named in one order.
+    return pairs.select(F.least(x("class"), y("class")).alias("a"), F.greatest(x("class"), y("class")).alias("b"), F.least(x("matches"), y("matches")).alias("need"))
+
+
+def _paired(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with their texts."""
     left = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    wide = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return wide.mapInArrow(_verify(k, percent), "a long, b long")
+    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
 
 
 def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> DataFrame:
@@ -237,14 +299,18 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> Da
         after = F.least(x("n") - x("place"), y("n") - y("place"))
         return (before + after) * (100 + percent) >= (x("n") + y("n")) * percent
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def fetched(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs.select("a", "b"), "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes, "class").select("class", "sample.hash", "sample.doc_id")
         wanted = stored(wanted, "wanted")
         if wanted.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
         texts = hashed.join(wanted, (hashed["hash"] == wanted["hash"]) & hashed["doc_id"].eqNullSafe(wanted["doc_id"])).select("class", "text")
-        return stored(_linked(pairs, stored(texts, "texts"), k, percent), "links")
+        return _paired(pairs, stored(texts, "texts"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes whose sets are similar enough."""
+        return stored(fetched(pairs).mapInArrow(_verify(k, percent), "a long, b long"), "links")
 
     hubs = shown.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("place", "class", "n", "matches", "rank")).alias("hub")).where("sets > 1").select(F.col("token").alias("t"), "hub")
     beside = shown.join(hubs, shown["token"] == hubs["t"]).where((F.col("class") != F.col("hub.class")) & near(F.col("n"), F.col("hub.n")) & reach(F.col, lambda c: F.col(f"hub.{c}")))
@@ -270,23 +336,24 @@ def duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *more: str) -> Da
 
     placed = shown.join(parts, shown["class"] == parts["node"], "left").select(shown["*"], F.coalesce("root", "class").alias("part"))
     placed = stored(placed.withColumn("band", F.floor(F.log("n") / -math.log(percent / 100 - 0.01)).cast("int")), "placed")
-    counts = placed.groupBy("token", "part").count()
-    major = counts.groupBy("token").agg(F.max(F.struct("count", "part"))["part"].alias("major"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    marked = placed.join(major, "token")
-    minor = marked.where("part <> major").withColumn("to", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)]))).alias("x")
-    every = marked.alias("y")
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    pairs = minor.join(
-        every,
-        (x("token") == y("token"))
-        & (x("to") == y("band"))
-        & (x("part") != y("part"))
-        & ((y("part") == y("major")) | (x("class") < y("class")))
-        & near(x("n"), y("n"))
-        & reach(x, y),
-    )
-    # Which side is minor may differ between the shingles of one pair, so it is named in one order.
-    pairs = pairs.select(F.least(x("class"), y("class")).alias("a"), F.greatest(x("class"), y("class")).alias("b"), F.least(x("matches"), y("matches")).alias("need"))
+    lists = stored(_lists(placed), "lists")
+    fits = lambda x, y: near(x("n"), y("n")) & reach(x, y)
+    long = lists.where(F.col("sets") > LIST)
+    pairs = _across(lists.where(F.col("sets") <= LIST), fits)
+    if long.limit(1).count():
+        # The reference of a family: of the earliest sets of its lists, the one of most rows.
+        refs = long.groupBy("major", "hub").count().groupBy("major").agg(F.max(F.struct("count", "hub"))["hub"].alias("ref"))
+        long = stored(join_one(long, stored(refs, "references"), "major"), "long-lists")
+        measured = fetched(long.select(F.col("class").alias("a"), F.col("ref").alias("b")).distinct())
+        measured = stored(measured.mapInArrow(_beside(k, percent, shared), BESIDE), "beside-references")
+        # Whether two sets could link by what they share within the reference.
+        inside = lambda x, y: F.least(x("common"), y("common")) * (100 + percent) >= (x("n") + y("n")) * percent
+        within = long.join(measured.drop("own"), ["class", "ref"])
+        others = long.select("class", "ref", "part", "n", "band").distinct().join(measured, ["class", "ref"])
+        others = others.select("class", "part", "n", "band", "common", "ref", F.posexplode("own").alias("place", "shingle"))
+        others = others.select("class", "part", "n", "band", "common", "place", F.xxhash64("ref", "shingle").alias("token"), F.lit(1).cast("long").alias("matches"))
+        pairs = pairs.union(_across(within, lambda x, y: fits(x, y) & inside(x, y)))
+        pairs = pairs.union(_across(stored(_lists(others), "other-lists"), lambda x, y: near(x("n"), y("n")) & ~inside(x, y)))
     pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("got"), F.min("need").alias("need")).where("got >= need")
     links = links.union(linked(pairs))
     parts = connected_components(links)

@@ -181,6 +181,82 @@ def test_near_duplicates_in_large_families(spark, percent):
     assert {r.doc_id: r.component_id for r in found.collect()} == {i: low[group[i]] for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("percent", (60, 80))
+def test_families_that_link_beside_a_reference(spark, monkeypatch, percent):
+    """Copies of one text with shared and own changes, every list compared by its reference: the links of brute force."""
+    import random
+
+    from loomgraph.llm import near_duplicates
+
+    rng, rows = random.Random(percent), []
+    for family in range(2):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(80)]
+        shared = [(rng.randrange(80), f"s{i}") for i in range(14)]
+        for _ in range(110):
+            w = base.copy()
+            for place, word in rng.sample(shared, rng.randint(1, 9 if percent == 60 else 3)):
+                w[place] = word
+            if rng.random() < 0.3:
+                w[rng.randrange(80)] = f"x{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(w[: rng.choice((80, 80, 72))])))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    low = {g: min(i for i in range(len(rows)) if group[i] == g) for g in set(group)}
+    assert len(low) > 2
+    monkeypatch.setattr(near_duplicates, "LIST", 1)
+    monkeypatch.setattr(near_duplicates, "HUB_ROUNDS", 1)
+    found = near_duplicates.duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, percent)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: low[group[i]] for i in range(len(rows))}
+
+
+def test_sets_that_need_a_shingle_beside_the_reference_share_one_in_their_prefixes():
+    import numpy as np
+
+    from loomgraph.llm.near_duplicates import SLOT_BITS, beside
+
+    rng = np.random.default_rng(4)
+    table = rng.integers(0, 5, 1 << SLOT_BITS)
+    pool = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2))
+    needed = 0
+    for _ in range(3000):
+        r, x, y = (np.sort(rng.choice(pool, int(rng.integers(20, 50)), replace=False)) for _ in range(3))
+        both, percent = len(np.intersect1d(x, y)), int(rng.integers(20, 60))
+        (c, own_x), (d, own_y) = beside(x, r, table, percent), beside(y, r, table, percent)
+        assert c == len(np.intersect1d(x, r)) and not np.isin(own_x, r).any()
+        if 100 * both >= percent * (len(x) + len(y) - both) and min(c, d) * (100 + percent) < percent * (len(x) + len(y)):
+            needed += 1
+            assert len(np.intersect1d(own_x, own_y))
+    assert needed > 100
+
+
+def test_learning_makes_features_of_windows_only(monkeypatch):
+    """A labelled text of line breaks alone: as many rows of features as it is learned by, equal to those of the whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomgraph.llm import line_quality as lq
+
+    texts = ["\n" * 300_000, "a b\nc d\n\na b", "\n".join(f"line {i % 70} of it" for i in range(500))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0, 1, 1]), pa.array([1, 2, 3]), pa.array([5, 6, 7])], names=["text", "quality", "doc_id", "h"])
+    asked, rows = [], lq._Lines.rows
+
+    def counted(self, a, b):
+        asked.append(b - a)
+        return rows(self, a, b)
+
+    monkeypatch.setattr(lq._Lines, "rows", counted)
+    made = {r["doc_id"]: r for got in lq._collect_features(iter([batch])) for r in got.to_pylist()}
+    assert sum(asked) == 100 + 4 + 100 and max(asked) == 25
+    for i, text in enumerate(texts[1:], 2):
+        x, length, bounds = lq.features(pa.array([text]))
+        at = np.concatenate([np.arange(a, b) for a, b in lq._windows(int(bounds[-1]), i + 4)])
+        assert made[i]["x"] == x[at].tobytes() and made[i]["length"] == length[at].tobytes()
+
+
 def test_links_found_by_shingles_of_either_family(spark):
     """Two families joined by one borderline pair whose two shared prefix shingles stand mostly in one family each."""
     from loomgraph.llm.near_duplicates import duplicates
