@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.scratch import stored
@@ -10,7 +10,34 @@ from loomgraph.sources import binary_files
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("n"))
+    """(line, block, n): trimmed lines of a file, or of a folder's files in order of their names.
+
+    Spark gives the largest files to the first tasks, so ``n`` rises only inside a
+    ``block``, the part of a file that one task reads; ``AT`` orders all lines.
+    """
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return spark.read.text(path).select(F.trim("value").alias("line"), block.alias("block"), F.monotonically_increasing_id().alias("n"))
+
+
+#: The place of a line among all lines of ``_lines``.
+AT = ("block", "n")
+
+
+def _first(lines: DataFrame):
+    """The first of ``lines`` with its place, or None."""
+    return lines.agg(F.min_by(F.struct("line", "block", "n"), F.struct(*AT)).alias("first")).first()["first"]
+
+
+def _others(lines: DataFrame, one) -> DataFrame:
+    """``lines`` without the line at the place of ``one``."""
+    return lines.where((F.col("block.file") != one["block"]["file"]) | (F.col("n") != one["n"]))
+
+
+def _with_bases(lines: DataFrame, size: Column) -> DataFrame:
+    """``lines`` with ``base``, the sum of ``size`` over all blocks before their own; one window orders the blocks."""
+    totals = lines.groupBy("block").agg(F.sum(size).alias("total"))
+    bases = totals.select("block", (F.sum("total").over(Window.orderBy("block")) - F.col("total")).alias("base"))
+    return lines.join(F.broadcast(bases), "block")
 
 
 def _parts(df: DataFrame) -> DataFrame:
@@ -20,21 +47,23 @@ def _parts(df: DataFrame) -> DataFrame:
 def banner(spark: SparkSession, path: str) -> dict:
     """Field (real, integer, pattern) and symmetry of a Matrix-Market file, and its size line."""
     head = _lines(spark, path).where("line <> ''")
-    first = head.orderBy("n").first()
+    first = _first(head)
     words = first["line"].lower().split() if first else []
     if len(words) != 5 or words[0] != "%%matrixmarket" or words[1] != "matrix" or words[2] != "coordinate":
         raise ValueError(f"{path} is not a Matrix-Market coordinate file")
     if words[3] not in ("real", "integer", "pattern") or words[4] not in ("general", "symmetric"):
         raise ValueError(f"unsupported Matrix-Market field or symmetry: {words[3]} {words[4]}")
-    size = head.where(~F.col("line").startswith("%")).orderBy("n").first()
+    size = _first(head.where(~F.col("line").startswith("%")))
+    if size is None:
+        raise ValueError(f"{path} has no size line")
     rows, cols, entries = (int(x) for x in size["line"].split())
-    return {"field": words[3], "symmetry": words[4], "rows": rows, "cols": cols, "entries": entries, "size_line": size["n"]}
+    return {"field": words[3], "symmetry": words[4], "rows": rows, "cols": cols, "entries": entries, "size_line": size}
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, val) with ids from 0. Symmetric files give every entry in both directions, entries on the diagonal too."""
     about = banner(spark, path)
-    body = _parts(_lines(spark, path).where((F.col("n") != about["size_line"]) & (F.col("line") != "") & ~F.col("line").startswith("%")))
+    body = _parts(_others(_lines(spark, path), about["size_line"]).where((F.col("line") != "") & ~F.col("line").startswith("%")))
     val = F.lit(1.0).cast("float") if about["field"] == "pattern" else F.col("p")[2].cast("float")
     made = body.select((F.col("p")[0].cast("long") - 1).alias("row"), (F.col("p")[1].cast("long") - 1).alias("col"), val.alias("val"))
     if about["symmetry"] == "symmetric":
@@ -68,24 +97,20 @@ def write_matrix(matrix: DataFrame, path: str, rows: int, cols: int, field: str
 def read_coo(spark: SparkSession, path: str) -> DataFrame:
     """(row, col, val = 1) of a file whose first line is ``rows cols entries`` and whose ids start at 0."""
     lines = _lines(spark, path).where("line <> ''")
-    first = lines.agg(F.min("n")).first()[0]
-    body = _parts(lines.where(F.col("n") != first))
+    first = _first(lines)
+    body = _parts(lines if first is None else _others(lines, first))
     return body.select(F.col("p")[0].cast("long").alias("row"), F.col("p")[1].cast("long").alias("col"), F.lit(1.0).cast("float").alias("val"))
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     """(node, feat) of a file whose first line is ``rows width``; values may be broken over lines at will."""
     lines = _lines(spark, path).where("line <> ''")
-    first = lines.orderBy("n").first()
+    first = _first(lines)
     width = int(first["line"].split()[1])
-    # A running count gives each value its place: per file part first, then over the parts.
-    parts = _parts(lines.where(F.col("n") != first["n"])).select("n", "p", F.size("p").alias("k"), F.shiftright("n", 33).alias("part"))
-    from pyspark.sql import Window
-
-    inside = parts.withColumn("before", F.sum("k").over(Window.partitionBy("part").orderBy("n")) - F.col("k"))
-    totals = parts.groupBy("part").agg(F.sum("k").alias("total"))
-    bases = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    each = inside.join(bases, "part").select((F.col("base") + F.col("before")).alias("at"), F.posexplode("p").alias("i", "x"))
+    # A running count gives each value its place: per part of a file first, then over the parts.
+    parts = _parts(_others(lines, first)).select("block", "n", "p", F.size("p").alias("k"))
+    inside = _with_bases(parts, F.col("k")).withColumn("before", F.sum("k").over(Window.partitionBy("block").orderBy("n")) - F.col("k"))
+    each = inside.select((F.col("base") + F.col("before")).alias("at"), F.posexplode("p").alias("i", "x"))
     place = F.col("at") + F.col("i")
     each = each.select(F.floor(place / width).alias("node"), (place % width).alias("k"), F.col("x").cast("float").alias("x"))
     return each.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("feat"))
@@ -94,7 +119,11 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, ord) of an edge list; blank lines, ``#`` lines and lines without exactly two fields are skipped."""
     lines = _parts(_lines(spark, path).where((F.col("line") != "") & ~F.col("line").startswith("#"))).where(F.size("p") == 2)
-    return lines.select(F.col("p")[0].cast("long").alias("src"), F.col("p")[1].cast("long").alias("dst"), F.col("n").alias("ord"))
+    # Places among the lines of a block follow from its first one, so no window orders a block's lines.
+    starts = lines.groupBy("block").agg(F.min("n").alias("start"), F.max("n").alias("end"))
+    taken = F.col("end") - F.col("start") + 1
+    bases = starts.select("block", (F.sum(taken).over(Window.orderBy("block")) - taken - F.col("start")).alias("base"))
+    return lines.join(F.broadcast(bases), "block").select(F.col("p")[0].cast("long").alias("src"), F.col("p")[1].cast("long").alias("dst"), (F.col("base") + F.col("n")).alias("ord"))
 
 
 # Fields of vertex and edge records, in order.

@@ -32,6 +32,27 @@ def test_coo_and_features(spark, tmp_path):
     assert rows(graph_files.read_features(spark, feats)) == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
 
 
+def test_folders_whose_later_parts_are_larger(spark, tmp_path):
+    """Lines count in order of the parts' names, though Spark reads the largest file first."""
+
+    def folder(name, *parts):
+        (tmp_path / name).mkdir()
+        for i, text in enumerate(parts):
+            put(tmp_path / name / f"part-{i:05d}.txt", text)
+        return f"file://{tmp_path / name}"
+
+    lines = [f"{i} {i + 1}" for i in range(1, 2001)]
+    body = "\n".join(lines[1:]) + "\n"
+    expected = [(i, i + 1) for i in range(1, 2001)]
+    matrix = folder("m", "%%MatrixMarket matrix coordinate pattern general\n2002 2002 2000\n" + lines[0] + "\n", body)
+    assert sorted(map(tuple, graph_files.read_graph(spark, matrix).collect())) == [(a - 1, b - 1) for a, b in expected]
+    assert sorted(map(tuple, graph_files.read_coo(spark, folder("c", "2002 2002 2000\n" + lines[0] + "\n", body)).select("row", "col").collect())) == expected
+    feats = graph_files.read_features(spark, folder("f", "2000 2\n" + lines[0] + "\n", body))
+    assert sorted((r["node"], *r["feat"]) for r in feats.collect()) == [(a - 1, float(a), float(b)) for a, b in expected]
+    edges = graph_files.read_edges(spark, folder("e", lines[0] + "\n", body)).orderBy("ord")
+    assert [tuple(r) for r in edges.select("src", "dst").collect()] == expected
+
+
 def test_edge_lists_skip_what_is_no_edge(spark, tmp_path):
     path = put(tmp_path / "e.txt", "# head\n1 2\n\n3 4 5\n 6 7 \n")
     assert rows(graph_files.read_edges(spark, path), "src", "dst") == [(1, 2), (6, 7)]
