@@ -1,52 +1,226 @@
-"""Triangles as joins on oriented edges."""
+"""Triangles: the lists of oriented edges meet the edges that close them, in blocks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import relabel_by_degree, symmetrize_both, symmetrize_simple
-from loomgraph.plans.scratch import cut, stored
+from loomgraph.operators.graph import symmetrize_simple, transpose
+from loomgraph.plans.scratch import stored
+
+#: Closing edges, and edges of lists, that one task is given at most (but for the longest list).
+BLOCK_EDGES = 1 << 24
+#: Blocks of fewer edges are not made to keep more tasks busy.
+FEWEST_EDGES = 1 << 20
+#: Pairs of a closing edge's possible ends that a task looks up at once.
+PAIRS = 1 << 21
 
 
-def _oriented(edges: DataFrame) -> DataFrame:
-    """Undirected edges from the end of lower (degree, id) to the other, so that no vertex has a large fan-out."""
-    simple = cut(symmetrize_simple(edges))
-    degrees = symmetrize_both(simple).groupBy("src").agg(F.count("*").alias("d"))
+def _oriented(simple: DataFrame) -> DataFrame:
+    """Undirected edges, each once, from the end of lower (degree, id) to the other, so that no vertex has a large fan-out."""
+    ends = simple.select("src", "dst")
+    degrees = ends.union(transpose(ends)).groupBy("src").agg(F.count("*").alias("d"))
     a = degrees.select(F.col("src").alias("a"), F.col("d").alias("da"))
     b = degrees.select(F.col("src").alias("b"), F.col("d").alias("db"))
     wide = simple.join(a, simple["src"] == a["a"]).join(b, simple["dst"] == b["b"])
     low = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("src") < F.col("dst")))
-    return wide.select(F.when(low, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("dst"))
-
-
-def _wedges(edges: DataFrame) -> DataFrame:
-    """(x, y, z): a triangle's vertices, each triangle once, in no order."""
-    o = cut(_oriented(edges))  # three joins read it
-    first, second = o.select(F.col("src").alias("x"), F.col("dst").alias("y")), o.select(F.col("src").alias("x"), F.col("dst").alias("z"))
-    pairs = first.join(second, "x").where("y < z")
-    closing = o.select(F.least("src", "dst").alias("y"), F.greatest("src", "dst").alias("z"))
-    return pairs.join(closing, ["y", "z"], "left_semi")
+    rest = [c for c in simple.columns if c not in ("src", "dst")]
+    return wide.select(F.when(low, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("dst"), *rest)
+
+
+def _range_of(value: Column, bounds: list[int], first: int = 0) -> Column:
+    """How many of the ordered ``bounds`` lie below ``value``, and ``first``, by halving."""
+    if not bounds:
+        return F.lit(first)
+    middle = len(bounds) // 2
+    return F.when(value <= bounds[middle], _range_of(value, bounds[:middle], first)).otherwise(_range_of(value, bounds[middle + 1 :], first + middle + 1))
+
+
+class _Closing:
+    """The closing edges of a block: (y, z) with a weight, or 64 neighbouring z of a y as bits, found by a table of bits and then exactly."""
+
+    def __init__(self, src, dst, weight, words: bool):
+        import numpy as np
+
+        place = dst >> 6 if words else dst
+        self.y, yi = np.unique(src, return_inverse=True)
+        self.z, zi = np.unique(place, return_inverse=True)
+        keys = yi * len(self.z) + zi  # below the product of two counts of edges, so within 64 bits
+        order = np.argsort(keys)
+        self.keys, held = keys[order], weight[order]
+        if words:
+            bits = (np.uint64(1) << (dst & 63).astype(np.uint64))[order]
+            starts = np.flatnonzero(np.diff(self.keys, prepend=-1))
+            self.keys, held = self.keys[starts], np.bitwise_or.reduceat(bits, starts) if len(starts) else bits
+        self.held = held
+        self.shift = np.uint64(64 - max(10, int(4 * len(keys)).bit_length()))
+        self.table = np.zeros(1 << int(64 - self.shift), bool)
+        self.table[self._slot(self.keys)] = True
+
+    def _slot(self, keys):
+        import numpy as np
+
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    @staticmethod
+    def index(values, of):
+        """Places of ``values`` in the ordered ``of``, -1 where they are not."""
+        import numpy as np
+
+        if not len(of):
+            return np.full(len(values), -1)
+        at = np.minimum(np.searchsorted(of, values), len(of) - 1)
+        return np.where(of[at] == values, at, -1)
+
+    def held_at(self, keys):
+        """(places in ``keys``, places in ``held``) of the keys that are here."""
+        import numpy as np
+
+        maybe = np.flatnonzero(self.table[self._slot(keys)])
+        at = np.searchsorted(self.keys, keys[maybe])
+        at[at == len(self.keys)] = 0
+        right = self.keys[at] == keys[maybe]
+        return maybe[right], at[right]
+
+
+def _words(values, rows):
+    """(place of a 64-bit word, bits, row): the values of each row as words."""
+    import numpy as np
+
+    order = np.lexsort((values, rows))
+    place, row, bits = values[order] >> 6, rows[order], np.uint64(1) << (values[order] & 63).astype(np.uint64)
+    starts = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+    return place[starts], np.bitwise_or.reduceat(bits, starts) if len(starts) else bits, row[starts]
+
+
+def _met(closing: _Closing, x, counts, flat, weight, words: bool):
+    """(x, y, z, product of weights, or number of z) of what ``closing`` closes in lists, some million pairs at a time."""
+    import numpy as np
+
+    rows = np.repeat(np.arange(len(x)), counts)
+    y_at = closing.index(flat, closing.y)
+    firsts = np.flatnonzero(y_at >= 0)
+    place, given, z_row = _words(flat, rows) if words else (flat, weight, rows)
+    z_at = closing.index(place, closing.z)
+    kept = z_at >= 0
+    z_at, given, z_row, place = z_at[kept], given[kept], z_row[kept], place[kept]
+    begin = np.searchsorted(z_row, np.arange(len(x) + 1))
+    begin, many = begin[rows[firsts]], np.diff(begin)[rows[firsts]]
+    ends = np.cumsum(many)
+    low = 0
+    while low < len(firsts):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        n = many[low:high]
+        one = np.repeat(np.arange(low, high), n)
+        other = np.repeat(begin[low:high] - (ends[low:high] - n - done), n) + np.arange(len(one))
+        hit, at = closing.held_at(y_at[firsts[one]] * len(closing.z) + z_at[other])
+        first, other = firsts[one[hit]], other[hit]
+        if words:
+            both = closing.held[at] & given[other]
+            yield x[rows[first]], flat[first], place[other], np.bitwise_count(both).astype(np.int64)
+        else:
+            yield x[rows[first]], flat[first], place[other], closing.held[at] * given[other] * weight[first]
+        low = high
+
+
+def _joined(listed: bool, words: bool):
+    """The task of ``_triangles``: for each block its closing edges (kind 0), then the lists that may be closed there (kind 1)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        now, held, closing = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.column("part").to_numpy() * 2 + batch.column("kind").to_numpy()
+            starts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
+            for low, high in zip(starts[:-1], starts[1:], strict=True):
+                some = batch.slice(low, high - low)
+                block, kind = divmod(int(part[low]), 2)
+                if block != now:
+                    now, held, closing = block, [], None
+                lists = some.column("adj")
+                x, flat = some.column("src").to_numpy(), lists.flatten().to_numpy()
+                counts = np.diff(lists.offsets.to_numpy())
+                weight = some.column("k").flatten().to_numpy() if "k" in some.schema.names else np.ones(len(flat), np.int64)
+                if kind == 0:
+                    held.append((np.repeat(x, counts), flat, weight))
+                    continue
+                if closing is None:
+                    if not held:
+                        continue
+                    closing = _Closing(*(np.concatenate(c) for c in zip(*held, strict=True)), words)
+                    held = []
+                total = 0
+                for a, b, c, n in _met(closing, x, counts, flat, weight, words):
+                    if listed and len(a):
+                        yield pa.record_batch([pa.array(v.astype(np.int64)) for v in (a, b, c)], names=["x", "y", "z"])
+                    total += int(n.sum())
+                if not listed and total:
+                    yield pa.record_batch([pa.array([total], pa.int64())], names=["n"])
+
+    return run
+
+
+def _triangles(simple: DataFrame, listed: bool = False, words: bool = False, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    """(x, y, z) of each triangle, or numbers (n) whose sum is the count, weighted by the product of ``k`` if edges have one.
+
+    ``simple`` has each undirected edge once. A triangle is an oriented edge from y to z
+    that closes the list of an x. The sources of edges are cut into ranges of about
+    ``block_edges`` edges each, and the list of an x goes once to each range that holds one
+    of its ends, not once for each pair of ends. A range to which more than ``block_edges``
+    edges of lists go is shared by several tasks, each with its closing edges. Wedges are
+    made in a task and never shuffled.
+    """
+    spark = simple.sparkSession
+    weighted = "k" in simple.columns
+    pair = F.struct("dst", "k") if weighted else F.struct("dst")
+    made = _oriented(simple).groupBy("src").agg(F.collect_list(pair).alias("l")).select("src", F.col("l.dst").alias("adj"), *([F.col("l.k").alias("k")] if weighted else []))
+    lists = stored(made, "lists")
+    m = lists.agg(F.coalesce(F.sum(F.size("adj")), F.lit(0))).first()[0]
+    blocks = max(math.ceil(m / block_edges), min(math.ceil(m / FEWEST_EDGES), 2 * spark.sparkContext.defaultParallelism), 1)
+    bounds = []
+    if blocks > 1:
+        shares = [i / blocks for i in range(1, blocks)]
+        bounds = sorted(set(lists.select("src", F.explode("adj")).agg(F.percentile_approx("src", shares, 10_000)).first()[0]))
+    blocks = len(bounds) + 1
+    to = F.array_distinct(F.transform("adj", lambda y: _range_of(y, bounds)))
+    sent = lists.where(F.size("adj") > 1).select("*", F.explode(to).alias("block"))
+    load = {r["block"]: r["edges"] for r in sent.groupBy("block").agg(F.sum(F.size("adj")).alias("edges")).collect()}
+    parts = [math.ceil(load.get(i, 0) / block_edges) for i in range(blocks)]
+    bases = [sum(parts[:i]) for i in range(blocks)]
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("block") + 1)
+    columns = [c for c in lists.columns]
+    closing = lists.withColumn("block", _range_of(F.col("src"), bounds)).where(of(parts) > 0)
+    closing = closing.select(F.explode(F.sequence(of(bases), of(bases) + of(parts) - 1)).alias("part"), F.lit(0).alias("kind"), *columns)
+    wanted = sent.select((of(bases) + F.pmod(F.xxhash64("src"), of(parts))).cast("int").alias("part"), F.lit(1).alias("kind"), *columns)
+    dealt = closing.union(wanted).repartitionById(max(sum(parts), 1), "part").sortWithinPartitions("part", "kind")
+    return dealt.mapInArrow(_joined(listed, words), "x long, y long, z long" if listed else "n long")
+
+
+def _sum(found: DataFrame) -> DataFrame:
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("triangles"))
 
 
 def list_triangles(edges: DataFrame) -> DataFrame:
     """(u, v, w) with u < v < w, each triangle once."""
     t = F.sort_array(F.array("x", "y", "z"))
-    return _wedges(edges).select(t[0].alias("u"), t[1].alias("v"), t[2].alias("w"))
+    return _triangles(symmetrize_simple(edges), listed=True).select(t[0].alias("u"), t[1].alias("v"), t[2].alias("w"))
 
 
 def count_triangles(edges: DataFrame) -> DataFrame:
-    return _wedges(edges).agg(F.count("*").alias("triangles"))
+    return _sum(_triangles(symmetrize_simple(edges)))
 
 
 def count_by_intersection(edges: DataFrame) -> DataFrame:
-    """Triangles by intersecting the ordered adjacency of both ends of each oriented edge."""
-    o = cut(_oriented(edges))
-    adj = o.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("adj"))
-    a = adj.select(F.col("src").alias("a"), F.col("adj").alias("adj_a"))
-    b = adj.select(F.col("src").alias("b"), F.col("adj").alias("adj_b"))
-    both = o.join(a, o["src"] == a["a"]).join(b, o["dst"] == b["b"])
-    return both.agg(F.coalesce(F.sum(F.size(F.array_intersect("adj_a", "adj_b"))), F.lit(0)).cast("long").alias("triangles"))
+    """Triangles by intersecting the adjacency of both ends of each oriented edge."""
+    return _sum(_triangles(symmetrize_simple(edges)))
 
 
 def adjacency_bitmaps(oriented: DataFrame) -> DataFrame:
@@ -56,25 +230,15 @@ def adjacency_bitmaps(oriented: DataFrame) -> DataFrame:
 
 
 def count_by_bitmaps(edges: DataFrame) -> DataFrame:
-    """Triangles by AND and bit_count of the bitmaps of both ends of each oriented edge, block by block.
-
-    Vertices are numbered by falling degree and edges run to the smaller number, so
-    no vertex has more than about the root of twice all edges to go from, and the
-    vertices that most edges go to share few blocks.
-    """
-    numbered = relabel_by_degree(symmetrize_simple(edges))
-    o = cut(numbered.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")))
-    bitmaps = stored(adjacency_bitmaps(o), "bitmaps")
-    mine = bitmaps.select("src", "block", F.col("bits").alias("mine"))
-    theirs = bitmaps.select(F.col("src").alias("dst"), "block", F.col("bits").alias("theirs"))
-    met = o.join(mine, "src").join(theirs, ["dst", "block"])
-    return met.agg(F.coalesce(F.sum(F.bit_count(F.col("mine").bitwiseAND(F.col("theirs")))), F.lit(0)).cast("long").alias("triangles"))
+    """Triangles by AND and bit_count of the bitmaps of both ends of each oriented edge, 64 neighbouring ids at a time."""
+    return _sum(_triangles(symmetrize_simple(edges), words=True))
 
 
 def count_ordered_multi(edges: DataFrame) -> DataFrame:
-    """Ordered count n > v > vv over directed adjacency as given: parallel edges count for each way they close a triangle."""
-    e = edges.select("src", "dst")
-    nv = e.where("src > dst").groupBy(F.col("src").alias("n"), F.col("dst").alias("v")).agg(F.count("*").alias("k1"))
-    vw = nv.select(F.col("n").alias("v"), F.col("v").alias("vv"), F.col("k1").alias("k2"))
-    nw = nv.select(F.col("n"), F.col("v").alias("vv"), F.col("k1").alias("k3"))
-    return nv.join(vw, "v").join(nw, ["n", "vv"]).agg(F.coalesce(F.sum(F.col("k1") * F.col("k2") * F.col("k3")), F.lit(0)).cast("long").alias("triangles"))
+    """Ordered count n > v > vv over directed adjacency as given: parallel edges count for each way they close a triangle.
+
+    Three vertices have one such order, so the product of the numbers of parallel
+    edges is counted once for each triangle, whatever way its edges are oriented.
+    """
+    e = edges.where("src > dst").groupBy("src", "dst").agg(F.count("*").alias("k"))
+    return _sum(_triangles(e))
