@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators import prefix
 from loomgraph.operators.spread import join_one
 from loomgraph.plans.scratch import stored
 
@@ -116,3 +117,27 @@ def overlap_join(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tu
         return x.join(y, ["level", "bin"]).where(meets).drop("level", "bin")
 
     return met(True, True).unionByName(met(True, False)).unionByName(met(False, True))
+
+
+def overlap_sums(a: DataFrame, b: DataFrame, a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
+    """Rows of ``a`` that overlap a row of ``b``, with their number (n) and the time shared with all of them (shared), without making the pairs.
+
+    Of intervals [start, end) those overlap [s, e) that start before e and do not end
+    by s. The time shared is what they cover before e less what they cover before s.
+    Empty intervals overlap nothing; sums are exact decimals inside.
+    """
+    left, right = (df.where(F.col(s) < F.col(e)) for df, (s, e) in ((a, a_span), (b, b_span)))
+    one, exact = F.lit(1).cast("long"), lambda c: F.col(c).cast("decimal(20,0)")
+    starts = right.select(F.col(b_span[0]).cast("long").alias("_t"), one.alias("_starts"), F.lit(0).cast("long").alias("_ends"), exact(b_span[0]).alias("_moment"))
+    ends = right.select(F.col(b_span[1]).cast("long").alias("_t"), F.lit(0).cast("long").alias("_starts"), one.alias("_ends"), (-exact(b_span[1])).cast("decimal(20,0)").alias("_moment"))
+    asked = left.select(F.explode(F.array(*[F.col(c).cast("long") for c in a_span])).alias("_t")).distinct()
+    # Ends at s itself are over by s, and add nothing to what is covered before it; so all below s + 1 count.
+    upto = prefix.sums_below(starts.union(ends), asked.union(asked.select(F.col("_t") + 1)).distinct(), "_t", ["_starts", "_ends", "_moment"])
+    before = upto.withColumn("_covered", (F.col("_starts") - F.col("_ends")) * F.col("_t").cast("decimal(20,0)") - F.col("_moment"))
+    at_end = before.select(F.col("_t").alias("_e"), F.col("_starts").alias("_started"), F.col("_covered").alias("_to"))
+    at_start = before.select((F.col("_t") - 1).alias("_s"), F.col("_ends").alias("_over"))
+    from_start = before.select(F.col("_t").alias("_f"), F.col("_covered").alias("_from"))
+    s, e = (F.col(c).cast("long") for c in a_span)
+    met = left.withColumn("_s", s).withColumn("_f", s).withColumn("_e", e).join(at_start, "_s").join(from_start, "_f").join(at_end, "_e")
+    n = F.col("_started") - F.col("_over")
+    return met.where(n > 0).select(*a.columns, n.alias("n"), (F.col("_to") - F.col("_from")).cast("long").alias("shared"))

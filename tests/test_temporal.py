@@ -126,6 +126,19 @@ def test_bitmap_triangles(spark, seed):
     assert triangles.count_by_bitmaps(edges.limit(0)).first()[0] == 0
 
 
+def test_overlap_sums_without_pairs(spark):
+    rng = random.Random(7)
+    spans = lambda n: [(i, s, s + rng.choice([-3, 0, 1, 2, 40, 500])) for i, s in enumerate(rng.randrange(-100, 400) for _ in range(n))] + [(n, None, 5), (n + 1, 5, None)]
+    a, b = spans(150), spans(200)
+    expected = []
+    for i, s, e in a:
+        if s is not None and e is not None and s < e:
+            met = [min(e, u) - max(s, t) for _, t, u in b if t is not None and u is not None and t < u and s < u and t < e]
+            expected += [(i, len(met), sum(met))] if met else []
+    found = temporal.overlap_sums(spark.createDataFrame(a, "i long, s long, e long"), spark.createDataFrame(b, "j long, t long, u long"), ("s", "e"), ("t", "u"))
+    assert sorted(map(tuple, found.select("i", "n", "shared").collect())) == sorted(expected)
+
+
 @pytest.mark.parametrize("block_edges", (40, 1 << 24))
 def test_triangles_in_blocks(spark, block_edges):
     """Lists meet closing edges in blocks, whose tasks are shared where many lists come; no wedge is a row of a join."""

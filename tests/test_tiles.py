@@ -100,3 +100,17 @@ def test_theta_tiles_are_even_and_nothing_is_broadcast(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     with pytest.raises(ValueError, match="both sides"):
         theta.theta_join(hot, hot, F.lit(True))
+
+
+def test_sums_above_without_pairs(spark):
+    """Counts and sums of the pairs of an inequality equal those of the pairs, with ties, repeats and nulls."""
+    a = [(i, i * 7 % 30 / 2, i % 3) for i in range(60)] + [(60, None, 1), (61, 3.0, None), (62, -50.0, 1), (63, 1e9, 9)]
+    b = [(i * 11 % 31 / 2, i % 4, 1, i) for i in range(80)] + [(None, 1, 1, 500), (2.0, None, 1, 700)]
+    left, right = spark.createDataFrame(a, "i long, x double, g long"), spark.createDataFrame(b, "y double, h long, n long, total long")
+    found = theta.sums_above(left, right, ("x", "y"), ("g", "h"), ["n", "total"])
+    expected = []
+    for i, x, g in a:
+        if x is not None and g is not None:
+            met = [t for y, h, _, t in b if y is not None and h is not None and y < x and h != g]
+            expected.append((i, len(met), sum(met)))
+    assert sorted(map(tuple, found.select("i", "n", "total").collect())) == sorted(expected)
