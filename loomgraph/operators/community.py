@@ -10,22 +10,29 @@ from loomgraph.operators.graph import symmetrize_both
 from loomgraph.plans.scratch import stored
 
 
-def _move(pairs: list[tuple[int, int]], max_passes: int, gain: str, order: list[int] | None, groups: list[list[int]] | None = None) -> dict[int, int]:
-    """Communities after serial moves in ``order``; vertices of one of ``groups`` move in turn by what held when the group began."""
-    near: dict[int, list[int]] = {}
-    for a, b in pairs:
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
+def _move(pairs, max_passes: int, gain: str, order: list[int] | None, groups: list[list[int]] | None = None, m2: int | None = None) -> dict[int, int]:
+    """Communities after serial moves in ``order``; vertices of one of ``groups`` move in turn by what held when the group began.
+
+    ``pairs`` are edges, as an array or list; ``m2`` is twice the edges of the whole graph, if they are a part of it.
+    """
+    import numpy as np
+
+    given = np.asarray(pairs, np.int64).reshape(-1, 2)
+    ends = np.concatenate([given, given[:, ::-1]])
+    ends = ends[np.lexsort((ends[:, 1], ends[:, 0]))]
+    ids, starts = np.unique(ends[:, 0], return_index=True)
+    near = dict(zip(ids.tolist(), np.split(ends[:, 1].copy(), starts[1:]), strict=False))  # neighbours in order
+    del given, ends
     own = {v: v for v in near}
     total = {v: len(n) for v, n in near.items()}
-    m2 = sum(total.values())
+    m2 = sum(total.values()) if m2 is None else m2
     nodes = sorted(near) if order is None else [v for v in order if v in near]
 
     def turn(u: int, own_then: dict[int, int], total_then: dict[int, int]) -> bool:
         """Move ``u`` by the communities and totals that it sees."""
         k, here = len(near[u]), own_then[u]
         links: dict[int, int] = {}
-        for v in sorted(near[u]):
+        for v in near[u].tolist():
             links[own_then[v]] = links.get(own_then[v], 0) + 1
         rest = total_then[here] - k
         best, most = here, 0
@@ -58,18 +65,24 @@ def local_moving(edges: DataFrame, max_passes: int = 10, gain: str = "reference"
 
     ``gain`` is "reference" (links into the own community are not subtracted, so
     it may oscillate until ``max_passes``) or "standard". Vertices move in
-    ``order``, ascending by default. Moves depend on each other across the whole
-    graph, so one task runs them; see ``parallel_moving`` for large graphs.
+    ``order``, ascending by default. Moves depend on each other across a connected
+    component and on nothing outside it but the number of all edges, and passes over a
+    component at rest change nothing; so each component is moved by a
+    task of its own, with the same result. A component is held by one task; see
+    ``parallel_moving`` for one that is too large for that.
     """
-    simple = edges.where("src <> dst").select(F.lit(0).alias("g"), "src", "dst")
+    simple = stored(edges.where("src <> dst").select("src", "dst"), "graph")
+    m2 = 2 * simple.count()
+    roots = connected_components(simple)
+    each = simple.join(roots, simple["src"] == roots["node"]).select("root", "src", "dst")
 
     def run(pdf):
         import pandas as pd
 
-        found = _move(list(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)), max_passes, gain, order)
+        found = _move(pdf[["src", "dst"]].to_numpy(), max_passes, gain, order, None, m2)
         return pd.DataFrame({"v": list(found), "comm": list(found.values())}, columns=["v", "comm"]).astype("int64")
 
-    return simple.groupBy("g").applyInPandas(run, "v long, comm long")
+    return each.groupBy("root").applyInPandas(run, "v long, comm long")
 
 
 def parallel_moving(edges: DataFrame, rounds: int = 5) -> DataFrame:

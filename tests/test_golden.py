@@ -75,6 +75,15 @@ def test_leiden_like_in_ascending_order(spark):
     assert groups == [(1, 2, 3, 4), (5, 6, 7, 8), (9, 11, 12), (10,)]
 
 
+def test_components_move_apart_with_the_same_result(spark):
+    """Each component is moved by itself, and as in one run over the whole graph."""
+    pairs = EDGES12 + [(a + 100, b + 100) for a, b in EDGES12[:9]] + [(200, 201), (201, 202), (5, 5)]
+    for gain, order in (("reference", None), ("standard", None), ("reference", list(range(300, -1, -1)))):
+        made = community.local_moving(edges(spark, pairs), 10, gain, order)
+        assert dict(map(tuple, made.collect())) == community._move([p for p in pairs if p[0] != p[1]], 10, gain, order)
+    assert "FlatMapGroupsInPandas [root" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_parallel_moving_keeps_components_apart(spark):
     own = {r.v: r.comm for r in community.parallel_moving(edges(spark, EDGES12)).collect()}
     assert not {own[v] for v in (1, 2, 3, 4)} & {own[v] for v in (5, 6, 7, 8)}
