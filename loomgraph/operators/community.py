@@ -142,20 +142,79 @@ def colours(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([], "v long, colour int") if done is None else done
 
 
-def moving_by_colours(edges: DataFrame, max_passes: int = 10, gain: str = "reference", coloured: DataFrame | None = None) -> DataFrame:
+def _lowest_colours(pairs, priority: dict[int, int]) -> dict[int, int]:
+    """The colours of ``colours``: vertices by falling hash, then id, take the smallest colour that no neighbour has."""
+    import numpy as np
+
+    ends = np.concatenate([pairs, pairs[:, ::-1]])
+    ids, at = np.unique(ends, return_inverse=True)
+    at = at.reshape(ends.shape)
+    at = at[np.argsort(at[:, 0], kind="stable")]
+    near = np.split(at[:, 1], np.searchsorted(at[:, 0], np.arange(1, len(ids))))
+    found = np.full(len(ids), -1)
+    for i in np.lexsort((ids, [priority[v] for v in ids.tolist()]))[::-1].tolist():
+        taken = np.unique(found[near[i]])
+        taken = taken[taken >= 0]
+        gaps = np.flatnonzero(taken != np.arange(len(taken)))
+        found[i] = gaps[0] if len(gaps) else len(taken)
+    return dict(zip(ids.tolist(), found.tolist(), strict=True))
+
+
+#: Edges of a component that one task moves by itself.
+TASK_EDGES = 1 << 22
+
+
+def moving_by_colours(edges: DataFrame, max_passes: int = 10, gain: str = "reference", coloured: DataFrame | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(v, comm): the moves of ``local_moving`` for large graphs, colour by colour.
 
     The vertices of a colour move together. None is a neighbour of another, so
     each sees its neighbours as in any serial order of them; totals of communities
     are those at the start of the colour. So a serial run that takes vertices in order
     of colour and totals once a colour gives the same communities, and a run can be
-    replayed. Each colour of each pass is one job; passes end when none moves.
+    replayed. Moves and colours depend on nothing outside a connected component but the number
+    of all edges, so a component of at most ``task_edges`` edges is coloured and moved by one
+    task; in larger ones each colour of each pass is one job, and passes end when none moves.
     """
-    e = stored(edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")), "graph")
+    simple = stored(edges.where("src <> dst").select("src", "dst"), "graph")
+    m2 = 2 * simple.count() or 1
+    roots = stored(connected_components(simple), "roots")
+    each = simple.join(roots, simple["src"] == roots["node"]).select("root", "src", "dst")
+    large = stored(each.groupBy("root").count().where(F.col("count") > task_edges).select("root"), "large")
+    some = large.limit(1).count() > 0
+    vertices = roots.select(F.col("root").alias("of"), F.col("node").alias("v"), F.xxhash64("node").alias("p"))
+    vertices = vertices.withColumn("colour", F.lit(None).cast("int")) if coloured is None else vertices.join(coloured.select("v", "colour"), "v")
+    sides = each, vertices
+    if some:
+        sides = each.join(large, "root", "left_anti"), vertices.join(large.select(F.col("root").alias("of")), "of", "left_anti")
+
+    def run(edges_of, vertices_of):
+        import pandas as pd
+
+        pairs = edges_of[["src", "dst"]].to_numpy()
+        if coloured is None:
+            of = _lowest_colours(pairs, dict(zip(vertices_of["v"].tolist(), vertices_of["p"].tolist(), strict=True)))
+        else:
+            of = dict(zip(vertices_of["v"].tolist(), vertices_of["colour"].tolist(), strict=True))
+        groups: dict[int, list[int]] = {}
+        for v in sorted(of):
+            groups.setdefault(of[v], []).append(v)
+        found = _move(pairs, max_passes, gain, None, [groups[c] for c in sorted(groups)], m2)
+        return pd.DataFrame({"v": list(found), "comm": list(found.values())}, columns=["v", "comm"]).astype("int64")
+
+    found = sides[0].groupBy("root").cogroup(sides[1].groupBy("of")).applyInPandas(run, "v long, comm long")
+    if not some:
+        return found
+    wide = each.join(large, "root", "left_semi").select("src", "dst")
+    return found.union(_moving_jobs(wide, max_passes, gain, coloured, m2))
+
+
+def _moving_jobs(edges: DataFrame, max_passes: int, gain: str, coloured: DataFrame | None, m2: int) -> DataFrame:
+    """(v, comm) by a job for each colour of each pass."""
+    edges = stored(edges, "graph")
+    e = stored(edges.union(edges.select("dst", "src")), "graph")
     coloured = stored(colours(edges) if coloured is None else coloured, "colours")
     degrees = e.groupBy("src").agg(F.count("*").alias("k"))
     now = stored(degrees.select(F.col("src").alias("v"), "k", F.col("src").alias("comm")).join(coloured, "v"), "communities")
-    m2 = now.agg(F.sum("k")).first()[0] or 1
     numbers = sorted(r["colour"] for r in now.select("colour").distinct().collect())  # no more than the largest degree and one
     for _ in range(max_passes):
         moved = 0

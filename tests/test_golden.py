@@ -107,6 +107,14 @@ def test_moves_by_colour_equal_serial_moves(spark, gain):
     assert community.moving_by_colours(graph12.limit(0)).count() == 0
 
 
+def test_components_are_coloured_and_moved_by_tasks(spark, monkeypatch):
+    """Small components take no job for each colour; the result is that of the jobs."""
+    pairs = EDGES12 + [(200, 201), (1, 2), (5, 5)]
+    some = dict(map(tuple, community.moving_by_colours(edges(spark, pairs), 1, "standard", None, 4).collect()))
+    monkeypatch.setattr(community, "_moving_jobs", None)
+    assert dict(map(tuple, community.moving_by_colours(edges(spark, pairs), 1, "standard").collect())) == some
+
+
 def test_numbered_edges_of_a_hub(spark):
     hub = [(0, i) for i in range(500)] + [(1, 7), (1, 7), (2, 0)]
     found = sampling.numbered_edges(edges(spark, hub), per_block=20)
