@@ -37,9 +37,10 @@ def transpose(edges: DataFrame) -> DataFrame:
 
 
 def symmetrize_both(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
-    """Every edge and its reverse, once."""
-    kept = edges.select("src", "dst") if keep_loops else drop_loops(edges.select("src", "dst"))
-    return kept.union(transpose(kept)).distinct()
+    """Every edge and its reverse, once; edges are told apart before they are turned round, so each is exchanged once."""
+    once = symmetrize_simple(edges.select("src", "dst"), keep_loops)
+    to = F.when(F.col("src") == F.col("dst"), F.array(F.struct("src", "dst"))).otherwise(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    return once.select(F.explode(to).alias("e")).select("e.src", "e.dst")
 
 
 def symmetrize_simple(edges: DataFrame, keep_loops: bool = False) -> DataFrame:

@@ -2,45 +2,54 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.intmath import mix32
 from loomgraph.operators.spread import join_one
-from loomgraph.plans.scratch import cut, stored
+from loomgraph.plans.scratch import stored
 
 # Edges taken of each vertex, level by level.
 FAN_OUT = (5, 3, 2, 1, 0)
 
 
 def _grow(edges: DataFrame, roots: DataFrame, fan_out: tuple[int, ...], pick) -> DataFrame:
-    """(root, level, src, dst): edges drawn at each level; a vertex of a root's sample is expanded once."""
+    """(root, level, src, dst): edges drawn at each level; a vertex of a root's sample is expanded once.
+
+    Each level's edges are written once; what the last level reaches is not looked up, for nothing is drawn from it.
+    """
+    used = list(fan_out[: fan_out.index(0)] if 0 in fan_out else fan_out)
     seen = roots.select(F.col("v").alias("root"), F.col("v"))
-    frontier, taken = seen, None
-    for level, k in enumerate(fan_out):
-        if not k:
-            break
-        drawn = pick(frontier, k, level).withColumn("level", F.lit(level))
-        taken = drawn if taken is None else taken.union(drawn)
-        reached = drawn.select("root", F.col("dst").alias("v")).distinct()
-        frontier = cut(reached.join(seen, ["root", "v"], "left_anti"))
-        seen = seen.union(frontier)
-    return taken.select("root", "level", "src", "dst")
+    frontier, taken = seen, []
+    for level, k in enumerate(used):
+        last = level == len(used) - 1
+        drawn = pick(frontier, k, level).select("root", F.lit(level).alias("level"), "src", "dst")
+        taken.append(drawn if last else stored(drawn, "drawn"))
+        if not last:
+            reached = taken[-1].select("root", F.col("dst").alias("v"), F.lit(True).alias("new"))
+            met = seen.select("root", "v", F.lit(False).alias("new")).union(reached)
+            frontier = stored(met.groupBy("root", "v").agg(F.min("new").alias("new")).where("new").select("root", "v"), "frontier")
+            seen = seen.union(frontier)
+    return reduce(DataFrame.union, taken)
 
 
 def first_k(edges: DataFrame, roots: DataFrame, fan_out: tuple[int, ...] = FAN_OUT) -> DataFrame:
-    """Deterministic samples: each vertex gives its first k edges by ``pos`` (or dst, if edges have none)."""
+    """Deterministic samples: each vertex gives its first k edges by ``pos`` (or dst, if edges have none).
+
+    The limit on places is applied in each task before the exchange, so a hub's edges are not ordered by one task.
+    """
     by = "pos" if "pos" in edges.columns else "dst"
     most = max(fan_out)
-    # The first edges of each vertex, kept apart in salted parts first, so that a hub is not ordered by one task.
-    salt = F.pmod(F.xxhash64("dst", by), F.lit(32))
-    some = edges.select("src", "dst", F.col(by).alias("at")).withColumn("salt", salt)
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("src", "salt").orderBy("at", "dst"))).where(F.col("r") <= most)
+    some = edges.select("src", "dst", F.col(by).alias("at"))
     place = F.row_number().over(Window.partitionBy("src").orderBy("at", "dst"))
-    heads = cut(some.withColumn("place", place).where(F.col("place") <= most).select("src", "dst", "place"))
+    some = some.withColumn("place", place).where(F.col("place") <= most)
+    heads = stored(some.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("place", "dst"))).alias("heads")), "heads")
 
     def pick(frontier: DataFrame, k: int, level: int) -> DataFrame:
-        return frontier.join(heads, frontier["v"] == heads["src"]).where(F.col("place") <= k).select("root", "src", "dst")
+        met = frontier.join(heads, frontier["v"] == heads["src"])
+        return met.select("root", "src", F.explode(F.slice(F.col("heads.dst"), 1, k)).alias("dst"))
 
     return _grow(edges, roots, fan_out, pick)
 
