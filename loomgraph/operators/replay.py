@@ -4,33 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 
-@udtf(returnType="addr long, t long, op string, val long, old long, new long")
+@arrow_udtf(returnType="addr long, t long, op string, val long, old long, new long")
 class ReplayAtomics:
-    """What each atomic finds and leaves. Rows of one address come together and in order; the state is the word at that address."""
+    """What each atomic finds and leaves. Rows of one address come together and in order, a batch at a time; the state is the word at that address."""
 
     def __init__(self):
         self.word: int | None = None
 
-    def eval(self, row) -> Iterator[tuple]:
-        old = row["start"] if self.word is None else self.word
-        op, val = row["op"], row["val"]
-        if op == "add":
-            new = (old + val + (1 << 63)) % (1 << 64) - (1 << 63)
-        elif op == "or":
-            new = old | val
-        elif op == "max":
-            new = max(old, val)
-        elif op == "swap":
-            new = val
-        else:  # cas: the value goes in where the word is still as at the start
-            new = val if old == row["start"] else old
-        self.word = new
-        yield row["addr"], row["t"], op, val, old, new
+    def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+        start = rows["start"].to_pylist()
+        word = start[0] if self.word is None and start else self.word
+        words = []
+        for op, val, first in zip(rows["op"].to_pylist(), rows["val"].to_pylist(), start, strict=True):
+            if op == "add":
+                word = (word + val + (1 << 63)) % (1 << 64) - (1 << 63)
+            elif op == "or":
+                word |= val
+            elif op == "max":
+                word = max(word, val)
+            elif op == "swap" or word == first:  # cas: the value goes in where the word is still as at the start
+                word = val
+            words.append(word)
+        if words:
+            old = [start[0] if self.word is None else self.word, *words[:-1]]
+            self.word = word
+            yield pa.table([*(rows[c] for c in ("addr", "t", "op", "val")), pa.array(old, pa.int64()), pa.array(words, pa.int64())], names=["addr", "t", "op", "val", "old", "new"])
 
 
 def replay(ops: DataFrame, start: int = 0) -> DataFrame:
@@ -39,7 +43,7 @@ def replay(ops: DataFrame, start: int = 0) -> DataFrame:
     Additions wrap at 64 bits. Each address starts with ``start``; cas succeeds where
     the word is ``start``. Other operations count as cas; null values are refused.
     An address is replayed by one task, for each step needs the one before; it
-    holds one row and the word.
+    holds one Arrow batch and the word.
     """
     spark = ops.sparkSession
     spark.udtf.register("replay_atomics", ReplayAtomics)

@@ -239,3 +239,39 @@ def test_samples_with_replacement_take_existing_edges(spark):
     per_slot = sampling.cache_hits(spark.createDataFrame([(1, 1), (1, 2), (9, 3), (1, 4)], "id long, t long"), 8)
     assert rows(per_slot) == [(1, 4, 1)]
     assert sampling.hit_rate(per_slot).first().percent == 25.0
+
+
+def test_ranks_by_small_blocks_of_a_directed_graph(spark):
+    """Several blocks, sinks, sources and repeated edges; a round is exchanged by pairs of blocks, not by edges."""
+    from loomgraph.operators.rank import _blocks, _ranks
+
+    pairs = [(i, (i * 7 + j) % 40) for i in range(30) for j in range(1 + i % 4)] + [(3, 99), (3, 99), (-5, 3)]
+    ids = sorted({v for p in pairs for v in p})
+    out = {v: sum(a == v for a, _ in pairs) for v in ids}
+    expected = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(6):
+        got = dict.fromkeys(ids, 0.0)
+        for a, b in pairs:
+            got[b] += expected[a] / out[a]
+        expected = {v: 0.15 / len(ids) + 0.85 * got[v] for v in ids}
+    e = edges(spark, pairs)
+    found = {r.v: r["rank"] for r in _ranks(e, 6, 0.85, None, False, 10)[0].collect()}
+    assert found.keys() == expected.keys() and all(math.isclose(found[v], expected[v]) for v in ids)
+    read = _blocks(e, 10)
+    assert read.count() > 4 and read.select(F.explode("idx").alias("x")).agg(F.sum(F.octet_length("x") / 4)).first()[0] < len(pairs)
+
+
+def test_replay_goes_on_over_batches(spark):
+    ops = [(1, ("add", "or", "max", "cas", "swap")[i * 3 % 5], i * 5 % 7, i) for i in range(50)]
+    word, expected = 0, []
+    for addr, op, val, t in ops:
+        new = {"add": word + val, "or": word | val, "max": max(word, val), "swap": val, "cas": val if word == 0 else word}[op]
+        expected.append((addr, t, op, val, word, new))
+        word = new
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = replay.replay(spark.createDataFrame(ops, "addr long, op string, val long, t long"))
+        assert rows(found) == sorted(expected, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "ArrowEvalPythonUDTF" in found._jdf.queryExecution().executedPlan().toString()
