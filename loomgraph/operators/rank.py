@@ -1,52 +1,167 @@
-"""PageRank by a fixed number of pull rounds."""
+"""PageRank by a fixed number of pull rounds over blocks of vertices."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.scratch import cut
+from loomgraph.plans.scratch import cut, stored
+
+#: Edges of one block, about; a vertex's edges lie in one block.
+BLOCK_EDGES = 1 << 20
+
+STATE = "block long, part long, x binary, l1 double, total double"
+
+
+def _raw(table: pa.Table, column: str, i: int, kind: str = "<i8") -> np.ndarray:
+    value = table.column(column)[i]
+    return np.frombuffer(value.as_buffer(), kind) if value.is_valid else np.zeros(0, kind)
+
+
+def _blocks(edges: DataFrame, per_block: int) -> DataFrame:
+    """(block, v, degree, near, at, into, to, idx): one row for each range of ids.
+
+    ``v`` are its vertices in order and ``degree`` their edges out; edge j leads from ``near[at[j]]`` to ``v[into[j]]``.
+    ``idx[i]`` are the places in ``v`` of the vertices that block ``to[i]`` reads, in order.
+    """
+    spark = edges.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
+    n = max(partitions, -(-e.count() // per_block))
+    bounds = np.unique(np.asarray(e.agg(F.percentile_approx("dst", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or [], np.int64))
+
+    def placed(batches):
+        for b in batches:
+            dst = b.column("dst").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, dst)), b.column("src"), b.column("dst")], names=["block", "src", "dst"])
+
+    def packed(table: pa.Table) -> pa.Table:
+        near, at = np.unique(table.column("src").to_numpy(), return_inverse=True)
+        v, into = np.unique(table.column("dst").to_numpy(), return_inverse=True)
+        made = [v, near, at.astype(np.int32), into.astype(np.int32)]
+        return pa.table([pa.array([table.column("block")[0].as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in made)], names=["block", "v", "near", "at", "into"])
+
+    def asked(batches):
+        """What each block reads of another: ids and how many edges leave them; part -1 holds its own vertices."""
+        for b in batches:
+            for i in range(b.num_rows):
+                block, near = b.column("block")[i].as_py(), _raw(b, "near", i)
+                many = np.bincount(_raw(b, "at", i, "<i4"), minlength=len(near)).astype(np.int64)
+                of = np.searchsorted(bounds, near)
+                blocks, starts = np.unique(of, return_index=True)
+                ids, counts = np.split(near, starts[1:]), np.split(many, starts[1:])
+                rows = [(block, -1, _raw(b, "v", i).tobytes(), b""), *((int(x), block, y.tobytes(), z.tobytes()) for x, y, z in zip(blocks, ids, counts, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["block", "to", "ids", "many"])
+
+    def answered(table: pa.Table) -> pa.Table:
+        ids = [_raw(table, "ids", i) for i in range(table.num_rows)]
+        v = np.unique(np.concatenate(ids))
+        degree, to, idx = np.zeros(len(v), np.int64), [], []
+        for i, part in enumerate(table.column("to").to_pylist()):
+            if part >= 0:
+                at = np.searchsorted(v, ids[i])
+                degree[at] += _raw(table, "many", i)
+                to.append(part)
+                idx.append(at.astype(np.int32).tobytes())
+        columns = [pa.array([table.column("block")[0].as_py()]), pa.array([v.tobytes()], pa.binary()), pa.array([degree.tobytes()], pa.binary()), pa.array([to], pa.list_(pa.int64())), pa.array([idx], pa.list_(pa.binary()))]
+        return pa.table(columns, names=["block", "v", "degree", "to", "idx"])
+
+    inward = stored(e.mapInArrow(placed, "block long, src long, dst long").groupBy("block").applyInArrow(packed, "block long, v binary, near binary, at binary, into binary"), "blocks")
+    outward = inward.mapInArrow(asked, "block long, to long, ids binary, many binary").groupBy("block").applyInArrow(answered, "block long, v binary, degree binary, to array<long>, idx array<binary>")
+    return outward.join(inward.withColumnRenamed("v", "own"), "block", "left").repartition(partitions, "block").persist()
+
+
+def _sent(graph: pa.Table, ranks: np.ndarray, l1: float) -> pa.Table:
+    """The ranks of a block, and what each block that reads them adds up."""
+    block, to = graph.column("block")[0].as_py(), graph.column("to")[0].as_py()
+    share = ranks / np.maximum(_raw(graph, "degree", 0), 1)
+    data = [share[np.frombuffer(x, "<i4")].tobytes() for x in graph.column("idx")[0].as_py()]
+    none = [None] * len(to)
+    columns = [pa.array([block, *to]), pa.array([-1] + [block] * len(to)), pa.array([ranks.tobytes(), *data], pa.binary()), pa.array([l1, *none], pa.float64()), pa.array([float(ranks.sum()), *none], pa.float64())]
+    return pa.table(columns, names=["block", "part", "x", "l1", "total"])
+
+
+def _round(n: int, damping: float):
+    def run(graph: pa.Table, state: pa.Table) -> pa.Table:
+        state = state.sort_by("part")
+        before = _raw(state, "x", 0, "<f8")
+        read = np.concatenate([np.zeros(0), *(_raw(state, "x", i, "<f8") for i in range(1, state.num_rows))])
+        v, own = _raw(graph, "v", 0), _raw(graph, "own", 0)
+        got = np.zeros(len(v))
+        if len(own):
+            got[np.searchsorted(v, own)] = np.bincount(_raw(graph, "into", 0, "<i4"), weights=read[_raw(graph, "at", 0, "<i4")], minlength=len(own))
+        ranks = (1 - damping) / n + damping * got
+        return _sent(graph, ranks, float(np.abs(ranks - before).sum()))
+
+    return run
+
+
+def _started(n: int):
+    def run(graph: pa.Table, start: pa.Table) -> pa.Table:
+        v = _raw(graph, "v", 0)
+        ranks = np.full(len(v), 1.0 / n)
+        if start.num_rows:
+            ranks[np.searchsorted(v, start.column("v").to_numpy())] = start.column("rank").to_numpy()
+        return _sent(graph, ranks, 0.0)
+
+    return run
+
+
+def _unpacked(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield pa.RecordBatch.from_arrays([pa.array(_raw(b, "v", i)), pa.array(_raw(b, "x", i, "<f8"))], names=["v", "rank"])
 
 
 def pagerank(edges: DataFrame, iterations: int = 50, damping: float = 0.85, start: DataFrame | None = None) -> DataFrame:
     """(v, rank) after ``iterations`` rounds of (1 - d)/N + d * sum(rank[u] / degree[u]), from equal ranks or from ``start`` (v, rank).
 
-    Sinks pass nothing on; there is no early stop.
+    Sinks pass nothing on; there is no early stop. Edges with a null end take no part.
     """
-    for found in _rounds(edges, damping, start, range(iterations), lambda i: i % 5 == 4 or i == iterations - 1):
-        pass
-    return found
+    return _ranks(edges, iterations, damping, start, False)[0]
 
 
 def pagerank_rounds(edges: DataFrame, iterations: int = 50, damping: float = 0.85) -> tuple[DataFrame, DataFrame]:
     """(v, rank) after all rounds, and (round, l1, total): how much each round moved ranks, and their sum after it."""
-    changes, found = [], None
-    for i, found in enumerate(_rounds(edges, damping, None, range(iterations), lambda _: True, trace=True)):
-        if i:
-            changes.append((i, *found.agg(F.sum(F.abs(F.col("rank") - F.col("before"))), F.sum("rank")).first()))
-    return found.select("v", "rank"), edges.sparkSession.createDataFrame(changes, "round int, l1 double, total double")
+    found, changes = _ranks(edges, iterations, damping, None, True)
+    return found, edges.sparkSession.createDataFrame(changes, "round int, l1 double, total double")
 
 
-def _rounds(edges: DataFrame, damping: float, start: DataFrame | None, rounds: range, keep, trace: bool = False):
-    """The ranks before the first round and after each one; ``keep(i)`` says which rounds are checkpointed.
+def _ranks(edges: DataFrame, iterations: int, damping: float, start: DataFrame | None, trace: bool, per_block: int = BLOCK_EDGES) -> tuple[DataFrame, list[tuple]]:
+    """The ranks after all rounds, and the change and sum of each, if ``trace``.
 
-    ``trace`` adds the rank ``before`` each round, for which every round must be kept.
+    Edges stay in their blocks. A round exchanges, for each pair of blocks, the shares of
+    the vertices that one reads of the other, once however many edges they have; where
+    ids near each other are neighbours, that is a few times the vertices.
     """
-    e = edges.select("src", "dst")
-    degrees = e.groupBy("src").agg(F.count("*").alias("degree"))
-    weighted = e.join(degrees, "src").select("src", "dst", "degree").repartition("src").persist()
-    vertices = cut(e.select(F.col("src").alias("v")).union(e.select(F.col("dst").alias("v"))).distinct())
-    n = vertices.count()
-    ranks = start.select("v", "rank") if start is not None else vertices.withColumn("rank", F.lit(1.0) / max(n, 1))
-    yield ranks
-    for i in rounds if n else ():
-        sent = weighted.join(ranks, weighted["src"] == ranks["v"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        rank = (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")
-        every = ranks.select("v", F.col("rank").alias("before")) if trace else vertices
-        ranks = every.join(sent, every["v"] == sent["dst"], "left").select("v", rank, *(["before"] if trace else []))
-        ranks = cut(ranks) if keep(i) else ranks
-        yield ranks
-    weighted.unpersist()
+    kind = dict(edges.dtypes)["src"]
+    graph = _blocks(edges, per_block)
+    n = graph.agg(F.coalesce(F.sum(F.octet_length("v") / 8), F.lit(0)).cast("long")).first()[0]
+    if start is None:
+        first = edges.sparkSession.createDataFrame([], "block long, v long, rank double")
+    else:
+        ids = graph.select("block", "v").mapInArrow(_ids, "block long, v long")
+        first = ids.join(start.select(F.col("v").cast("long").alias("v"), "rank"), "v").select("block", "v", "rank")
+    by_block = lambda state: graph.groupBy("block").cogroup(state.groupBy("block"))
+    state, changes = by_block(first).applyInArrow(_started(max(n, 1)), STATE), []
+    for i in range(iterations if n else 0):
+        state = by_block(state).applyInArrow(_round(n, damping), STATE)
+        if trace or i % 5 == 4 or i == iterations - 1:
+            state = cut(state)
+        if trace:
+            changes.append((i + 1, *state.agg(F.sum("l1"), F.sum("total")).first()))
+    whole = cut(graph.select("block", "v").join(state.where("part = -1").select("block", "x"), "block").mapInArrow(_unpacked, "v long, rank double"))
+    graph.unpersist()
+    return whole.select(F.col("v").cast(kind).alias("v"), "rank"), changes
+
+
+def _ids(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            v = _raw(b, "v", i)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), b.column("block")[i].as_py())), pa.array(v)], names=["block", "v"])
 
 
 def l1_change(before: DataFrame, after: DataFrame) -> DataFrame:
