@@ -45,60 +45,85 @@ def finish(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: Groups of users that share a state and a timer.
+GROUPS = 256
+
+
 class Visits(StatefulProcessor):
-    """Visits of each user: a visit ends ``gap`` seconds after its last event, told by a timer on event time.
+    """Visits of the users of a group: a visit ends ``gap`` seconds after its last event, told by a timer on event time.
 
     State is one open visit for each user, whatever the number of events. Events of a
     batch come in any order, so they are ordered first; a visit that they close is
-    given out at once, one that stays open when its timer fires.
+    given out at once, one that stays open when the group's timer has passed its end.
+    A group's users are taken together, for each call and each timer costs a message
+    between Python and Spark.
     """
 
     gap = 3600
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start long, last long, n long, total double")
+        self.open = handle.getListState("open", "known boolean, user_id long, start long, last long, n long, total double")
 
-    def _given(self, key: Any, visit: tuple):
+    def _held(self):
         import pandas as pd
 
-        return pd.DataFrame([(key[0], *visit)], columns=["user_id", "start", "last", "n", "total"])
+        kinds = {"known": bool, "user_id": "int64", "start": "int64", "last": "int64", "n": "int64", "total": float}
+        return pd.DataFrame([tuple(r) for r in self.open.get()] if self.open.exists() else [], columns=list(kinds)).astype(kinds)
+
+    def _keep(self, visits) -> None:
+        if not len(visits):
+            return self.open.clear()
+        self.open.put(list(visits.itertuples(index=False, name=None)))
+        self.handle.registerTimer(int(visits["last"].min()) // 1000 + self.gap * 1000)
 
-    def _timer(self, last: int) -> None:
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(last // 1000 + self.gap * 1000)
+    def _given(self, visits):
+        made = visits[["user_id", "start", "last", "n", "total"]].astype({"user_id": "Int64"})
+        made["user_id"] = made["user_id"].where(visits["known"])
+        return made
 
     def handleInputRows(self, key: Any, rows: Iterator, timerValues: Any) -> Iterator:
+        import numpy as np
         import pandas as pd
 
-        visit = tuple(self.open.get()) if self.open.exists() else None
-        found = pd.concat(list(rows)).sort_values(["t", "event_id"])
-        for t, value in zip(found["t"].tolist(), found["value"].tolist(), strict=True):
-            if visit is not None and t - visit[1] >= self.gap * 1_000_000:
-                yield self._given(key, visit)
-                visit = None
-            visit = (t, t, 1, value) if visit is None else (visit[0], t, visit[2] + 1, visit[3] + value)
-        self.open.update(visit)
-        self._timer(visit[1])
+        found = pd.concat(list(rows))
+        events = pd.DataFrame({"known": found["known"], "user_id": found["user_id"], "start": found["t"], "last": found["t"], "n": 1, "total": found["value"].astype(float), "event_id": found["event_id"], "event": True})
+        every = pd.concat([self._held().assign(event_id=0, event=False), events]).sort_values(["known", "user_id", "event", "start", "event_id"], ignore_index=True)
+        user, known, start, last = (every[c].to_numpy() for c in ("user_id", "known", "start", "last"))
+        other = np.append(True, (user[1:] != user[:-1]) | (known[1:] != known[:-1]))
+        firsts = np.flatnonzero(other | np.append(True, start[1:] - last[:-1] >= self.gap * 1_000_000))
+        ends = np.append(firsts[1:], len(every)) - 1
+        of = np.repeat(np.arange(len(firsts)), ends - firsts + 1)
+        # Added in order, an open visit's total first.
+        sums = {"n": np.add.reduceat(every["n"].to_numpy(), firsts), "total": np.bincount(of, weights=every["total"].to_numpy())}
+        visits = pd.DataFrame({"known": known[firsts], "user_id": user[firsts], "start": start[firsts], "last": last[ends], **sums})
+        stays = np.append(other, True)[ends + 1]
+        self._keep(visits[stays])
+        if not stays.all():
+            yield self._given(visits[~stays])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator:
-        visit = tuple(self.open.get())
-        self.open.clear()
-        yield self._given(key, visit)
+        visits = self._held()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        over = (visits["last"] // 1000 + self.gap * 1000 <= now).to_numpy(bool)
+        if over.any():
+            self._keep(visits[~over])
+            yield self._given(visits[over])
 
     def close(self) -> None:
         pass
 
 
-def visits(events: DataFrame, gap: int = 3600, late: str = "0 seconds") -> DataFrame:
+def visits(events: DataFrame, gap: int = 3600, late: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
     """(user_id, start, last, n, total) of visits that are over when the stream ends; times are microseconds.
 
     Needs a state store that keeps timers: ``rocks_state`` sets it.
     """
     made = type("Visits", (Visits,), {"gap": gap})
-    timed = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
-    keyed = timed.withWatermark("ts", late).groupBy("user_id")
+    user = F.col("user_id")
+    group = F.pmod(F.xxhash64("user_id"), F.lit(groups)).alias("group")
+    timed = events.select(group, user.isNotNull().alias("known"), F.coalesce(user, F.lit(0)).cast("long").alias("user_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
+    keyed = timed.withWatermark("ts", late).groupBy("group")
     return keyed.transformWithStateInPandas(made(), VISITS, outputMode="Append", timeMode="EventTime")
 
 
