@@ -228,6 +228,17 @@ def test_visits_end_by_event_or_timer(spark):
     assert Counter((r.user_id, r.start, r.last, r.n) for r in found.collect()) == expected
 
 
+def test_users_of_a_group_keep_their_own_visits(spark):
+    """All users in one group, one of them unknown: late events of others do not close or join a visit."""
+    runs.rocks_state(spark)
+    made = [(1, 7, 100.0, "v", 1.5), (2, 8, 200.0, "v", 1.0), (3, None, 300.0, "v", 4.0), (4, 7, 900.0, "v", 2.0), (5, 8, 5_000.0, "v", 1.0), (6, 9, 50_000.0, "v", 1.0)]
+    events = events_of(spark, made)
+    found = runs.finish(runs.visits(runs.stream_of(spark, runs.in_order(events, 2), events.schema, 1), gap=3600, groups=1), "visits")
+    s = 10**6
+    expected = [(7, 100 * s, 900 * s, 2, 3.5), (8, 200 * s, 200 * s, 1, 1.0), (8, 5_000 * s, 5_000 * s, 1, 1.0), (None, 300 * s, 300 * s, 1, 4.0)]
+    assert rows(found) == sorted(expected, key=repr)
+
+
 def test_late_rows_meet_nothing(spark):
     stats = events_of(spark, [(1, 7, 100_000.0, "s", 0.0), (2, 7, 500_000.0, "s", 0.0), (3, 7, 600_000.0, "s", 0.0)])
     tags = events_of(spark, [(11, 7, 100_100.0, "t", 0.0), (12, 7, 500_100.0, "t", 0.0), (14, 7, 600_100.0, "t", 0.0)])
