@@ -275,3 +275,17 @@ def test_replay_goes_on_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "ArrowEvalPythonUDTF" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_last_level_of_samples_is_not_looked_up(spark, monkeypatch):
+    """Each level's edges are written once, and nothing is written of what the last one reaches."""
+    made, kept = [], sampling.stored
+    monkeypatch.setattr(sampling, "stored", lambda df, name: made.append(name) or kept(df, name))
+    e = edges(spark, [(1, 2), (1, 3), (2, 1), (2, 4), (3, 5), (4, 1)])
+    found = sampling.first_k(e, spark.createDataFrame([(1,)], "v long"), (2, 1))
+    assert rows(found, "root", "level", "src", "dst") == [(1, 0, 1, 2), (1, 0, 1, 3), (1, 1, 2, 1), (1, 1, 3, 5)]
+    assert made == ["heads", "drawn", "frontier"]
+
+
+def test_a_loop_is_kept_once(spark):
+    assert rows(graph.symmetrize_both(edges(spark, [(1, 1), (1, 2), (2, 1), (1, 1)]), keep_loops=True)) == [(1, 1), (1, 2), (2, 1)]
