@@ -68,6 +68,39 @@ def test_blocked_fixed_point_attention_equals_the_row_form(spark):
         assert rows(attention.attention_q16(q, k, k, 4, tile=4, wrap=wrap, mode=mode)) == rows(plain)
 
 
+@pytest.mark.parametrize("most", [3, 60, 40_000])
+def test_fixed_point_kernels_multiply_in_floats_and_add_far_keys_together(most):
+    """Few, most and all keys near the largest score, over blocks of several tiles, against 64-bit words throughout."""
+    import numpy as np
+
+    from loomgraph.functions.intmath import exp_q16_array, i32_array
+
+    rng = np.random.default_rng(most)
+    q, k = rng.integers(-most, most + 1, (23, 4)), rng.integers(-most, most + 1, (300, 4))
+    j = np.sort(rng.choice(1000, 300, replace=False))
+    largest, totals, applied = attention._q16_kernels(4, 8, True, "reference")
+    assert attention._whole_products(q, k.T)[0].dtype == (np.float32 if most < 1000 else np.float64)
+    assert attention._whole_products(q, k.T, 1 << 53)[0].dtype == np.int64
+    s = i32_array(q @ k.T * 32768)
+    e = exp_q16_array(i32_array(s - s.max(1, keepdims=True)))
+    p = (e << 16) // e.sum(1, keepdims=True)
+    expected = sum((p[:, j // 8 == t] @ k[j // 8 == t]) >> 16 for t in np.unique(j // 8))
+    n = int(np.searchsorted(j, 504))
+    tiles = [{"o_m": q, "o_ids": np.arange(23), "i_m": k[a:b], "i_v": k[a:b], "i_ids": j[a:b]} for a, b in ((0, n), (n, 300))]
+
+    def run(kernel, **more):
+        state = None
+        for t in tiles:
+            state = kernel(state, t | more)
+        return state
+
+    top = run(largest)[1]
+    assert (top == s.max(1)).all()
+    _, total, n = run(totals, o_top=top.tobytes())
+    assert (total == e.sum(1)).all() and (n == 300).all()
+    assert (run(applied, o_top=top.tobytes(), o_sums=np.stack([total, n], 1).tobytes())[1] == expected).all()
+
+
 def test_heads_are_split_and_joined(spark):
     packed = spark.createDataFrame([(b, n, c, float(100 * b + 10 * n + c)) for b in range(2) for n in range(3) for c in range(12)], "b long, n long, c long, v double")
     q, k, v = attention.split_heads(packed, heads=2, dim=2)
