@@ -101,6 +101,21 @@ def test_fixed_point_kernels_multiply_in_floats_and_add_far_keys_together(most):
     assert (run(applied, o_top=top.tobytes(), o_sums=np.stack([total, n], 1).tobytes())[1] == expected).all()
 
 
+def test_exponentials_of_whole_and_other_scores():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for q, k in ((rng.integers(-2, 2, (9, 4)) * 1.0, rng.integers(-2, 2, (17, 4)) * 1.0), (rng.normal(size=(9, 4)), rng.normal(size=(17, 4))), (np.full((9, 4), np.inf), np.zeros((17, 4)))):
+        with np.errstate(invalid="ignore"):
+            assert attention._products(q, k)[0].dtype == (np.float32 if abs(q[0, 0]) in (0, 1, 2) else np.float64)
+        for first in (0, 12, 30):
+            if np.isinf(q).any():
+                continue
+            top, e = attention._exponentials(q, k, np.arange(first, first + 9), np.arange(17), True)
+            s = np.where(np.arange(17) <= np.arange(first, first + 9)[:, None], q @ k.T / 2, -np.inf)
+            assert np.allclose(top, s.max(1)) and np.allclose(e, np.exp(s - s.max(1, keepdims=True)))
+
+
 def test_heads_are_split_and_joined(spark):
     packed = spark.createDataFrame([(b, n, c, float(100 * b + 10 * n + c)) for b in range(2) for n in range(3) for c in range(12)], "b long, n long, c long, v double")
     q, k, v = attention.split_heads(packed, heads=2, dim=2)
