@@ -85,34 +85,113 @@ def local_moving(edges: DataFrame, max_passes: int = 10, gain: str = "reference"
     return each.groupBy("root").applyInPandas(run, "v long, comm long")
 
 
-def parallel_moving(edges: DataFrame, rounds: int = 5) -> DataFrame:
+#: Directed edges of a block of ``parallel_moving``, about; a vertex's edges lie in one block.
+BLOCK_EDGES = 1 << 20
+
+
+def _raw(table, column: str, i: int, kind: str = "<i8"):
+    import numpy as np
+
+    return np.frombuffer(table.column(column)[i].as_buffer(), kind)
+
+
+def _packed_blocks(edges: DataFrame, n: int) -> DataFrame:
+    """(block, v, near, at, into): both directions of edges in about ``n`` ranges of ids; edge j leads from ``v[into[j]]`` to ``near[at[j]]``."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("v"))
+    found = ends.agg(F.percentile_approx("v", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
+    bounds = np.unique(np.asarray(found or [], np.int64))
+
+    def placed(batches):
+        for b in batches:
+            ends = b.column("src").to_numpy(), b.column("dst").to_numpy()
+            for x, y in (ends, ends[::-1]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, x)), pa.array(x), pa.array(y)], names=["block", "src", "dst"])
+
+    def packed(table):
+        v, into = np.unique(table.column("src").to_numpy(), return_inverse=True)
+        near, at = np.unique(table.column("dst").to_numpy(), return_inverse=True)
+        made = [v, near, at.astype(np.int32), into.astype(np.int32)]
+        return pa.table([pa.array([table.column("block")[0].as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in made)], names=["block", "v", "near", "at", "into"])
+
+    return edges.mapInArrow(placed, "block long, src long, dst long").groupBy("block").applyInArrow(packed, "block long, v binary, near binary, at binary, into binary")
+
+
+def _block_moves(m2: int):
+    """A round of one block, from what it is told of its vertices and their neighbours: (v, k, comm) afterwards."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(graph, told):
+        told = told.sort_by("v")
+        ids, comm, total, turn = (told.column(c).to_numpy() for c in ("v", "comm", "total", "turn"))
+        v, into = _raw(graph, "v", 0), _raw(graph, "into", 0, "<i4")
+        k, own = np.bincount(into, minlength=len(v)), np.searchsorted(ids, v)
+        here, rest = comm[own], total[own] - k
+        to = np.searchsorted(ids, _raw(graph, "near", 0))[_raw(graph, "at", 0, "<i4")]  # the neighbour's place, by edge
+        order = np.lexsort((comm[to], into))
+        u, there, total_there = into[order], comm[to][order], total[to][order]
+        first = np.flatnonzero((np.diff(u, prepend=-1) != 0) | (np.diff(there, prepend=there[0]) != 0))
+        inside = np.diff(first, append=len(u))
+        u, there, total_there = u[first], there[first], total_there[first]
+        stay = np.zeros(len(v), np.int64)
+        same = there == here[u]
+        stay[u[same]] = inside[same]
+        won = (inside - stay[u]) * m2 - k[u] * total_there + k[u] * rest[u]
+        good = np.flatnonzero(~same & (won > 0) & turn[own][u])
+        good = good[np.lexsort((there[good], -won[good], u[good]))]
+        best = good[np.diff(u[good], prepend=-1) != 0]
+        now = here.copy()
+        now[u[best]] = there[best]
+        return pa.table([pa.array(v), pa.array(k), pa.array(now)], names=["v", "k", "comm"])
+
+    return run
+
+
+def parallel_moving(edges: DataFrame, rounds: int = 5, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(v, comm) by synchronous moves to the neighbouring community of largest standard gain: an extension for large graphs.
 
     In each round only vertices of one parity of a hash move, which keeps
-    neighbours from swapping for ever.
+    neighbours from swapping for ever. Edges stay in blocks of ids; a round exchanges
+    vertices, and tells each block the communities of the vertices that its edges touch, once
+    however many edges they have.
     """
+    import numpy as np
+    import pyarrow as pa
+
     from loomgraph.plans.scratch import cut
 
-    e = edges.where("src <> dst").select("src", "dst")
-    e = e.union(e.select("dst", "src")).persist()
-    degrees = cut(e.groupBy("src").agg(F.count("*").alias("k")))
-    m2 = degrees.agg(F.sum("k")).first()[0] or 1
-    now = degrees.select(F.col("src").alias("v"), "k", F.col("src").alias("comm"))
+    kind = dict(edges.dtypes)["src"]
+    e = stored(edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), "graph")
+    count = e.count()
+    m2 = 2 * count or 1
+    partitions = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    graph = _packed_blocks(e, max(partitions, -(-2 * count // block_edges))).repartition(partitions, "block").persist()
+
+    def touched(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                own, near = _raw(b, "v", i), _raw(b, "near", i)
+                ids = np.union1d(own, near)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), b.column("block")[i].as_py()))], names=["v", "to"])
+
+    def begun(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                own = _raw(b, "v", i)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(_raw(b, "into", i, "<i4"), minlength=len(own))), pa.array(own)], names=["v", "k", "comm"])
+
+    reads = stored(graph.select("block", "v", "near").mapInArrow(touched, "v long, to long"), "reads")
+    now = cut(graph.select("v", "into").mapInArrow(begun, "v long, k long, comm long"))
     for i in range(rounds):
-        totals = now.groupBy("comm").agg(F.sum("k").alias("tot"))
-        there = now.select(F.col("v").alias("dst"), F.col("comm").alias("there"))
-        links = e.join(there, "dst").groupBy("src", "there").agg(F.count("*").alias("inside"))
-        offers = links.join(now, links["src"] == now["v"]).join(totals.select(F.col("comm").alias("there"), F.col("tot").alias("tot_there")), "there")
-        own = now.join(totals, "comm").select(F.col("v").alias("o"), (F.col("tot") - F.col("k")).alias("rest"))
-        staying = links.join(now, (links["src"] == now["v"]) & (links["there"] == now["comm"])).select(F.col("src").alias("s"), F.col("inside").alias("stay"))
-        scored = offers.where("there <> comm").join(own, F.col("v") == F.col("o")).join(staying, F.col("v") == F.col("s"), "left")
-        won = (F.col("inside") - F.coalesce("stay", F.lit(0))) * m2 - F.col("k") * F.col("tot_there") + F.col("k") * F.col("rest")
-        turn = F.pmod(F.xxhash64("v", F.lit(i // 2)), F.lit(2)) == i % 2
-        best = scored.where(turn).withColumn("gain", won).where("gain > 0").groupBy("v").agg(F.max(F.struct("gain", (-F.col("there")).alias("t"))).alias("b"))
-        moves = best.select(F.col("v").alias("w"), (-F.col("b.t")).alias("to"))
-        now = cut(now.join(moves, now["v"] == moves["w"], "left").select("v", "k", F.coalesce("to", "comm").alias("comm")))
-    e.unpersist()
-    return now.select("v", "comm")
+        totals = now.groupBy("comm").agg(F.sum("k").alias("total"))
+        turn = F.pmod(F.xxhash64(F.col("v").cast(kind), F.lit(i // 2)), F.lit(2)) == i % 2
+        told = now.join(totals, "comm").select("v", "comm", "total", turn.alias("turn")).join(reads, "v")
+        now = cut(graph.groupBy("block").cogroup(told.groupBy("to")).applyInArrow(_block_moves(m2), "v long, k long, comm long"))
+    graph.unpersist()
+    return now.select(F.col("v").cast(kind).alias("v"), F.col("comm").cast(kind).alias("comm"))
 
 
 def colours(edges: DataFrame) -> DataFrame:

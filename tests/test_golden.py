@@ -89,6 +89,38 @@ def test_parallel_moving_keeps_components_apart(spark):
     assert not {own[v] for v in (1, 2, 3, 4)} & {own[v] for v in (5, 6, 7, 8)}
 
 
+def test_parallel_moving_by_blocks_equals_plain_rounds(spark):
+    """Blocks of a few edges, and one for all, give what rounds over all edges give; repeated edges, loops and null ends too."""
+    import random
+
+    rng = random.Random(3)
+    pairs = [(rng.randint(0, 40) - 9, rng.randint(0, 40) - 9) for _ in range(150)] + [(None, 3), (7, 7), (10**12, 5)]
+    kept = [p for p in pairs if None not in p and p[0] != p[1]]
+    ids = sorted({v for p in kept for v in p})
+    near = {v: [b for a, b in kept if a == v] + [a for a, b in kept if b == v] for v in ids}
+    hashes = spark.createDataFrame([(v,) for v in ids], "v long").select("v", *[F.pmod(F.xxhash64("v", F.lit(i)), F.lit(2)) for i in range(3)]).collect()
+    parity = {r[0]: r[1:] for r in hashes}
+    own, m2 = {v: v for v in ids}, 2 * len(kept)
+    for i in range(5):
+        total = {}
+        for v in ids:
+            total[own[v]] = total.get(own[v], 0) + len(near[v])
+        then = dict(own)
+        for v in ids:
+            if parity[v][i // 2] != i % 2:
+                continue
+            there = [then[u] for u in near[v]]
+            k, stay, rest = len(there), there.count(then[v]), total[then[v]] - len(there)
+            offers = [((there.count(c) - stay) * m2 - k * total[c] + k * rest, -c) for c in set(there) - {then[v]}]
+            best = max(offers, default=(0, 0))
+            if best[0] > 0:
+                own[v] = -best[1]
+    given = spark.createDataFrame(pairs, "src long, dst long")
+    for size in (7, 1 << 20):
+        assert dict(map(tuple, community.parallel_moving(given, block_edges=size).collect())) == own
+    assert community.parallel_moving(given.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("gain", ("reference", "standard"))
 def test_moves_by_colour_equal_serial_moves(spark, gain):
     from loomgraph.plans import derived
