@@ -22,15 +22,17 @@ class Search:
 def bfs(edges: DataFrame, root: int, direction: str = "auto") -> Search:
     """Search from ``root``; ``direction`` is auto, push or pull. Direction changes cost, not distances.
 
-    Each level is one job: a join of the frontier with the edges, and an anti
-    join (push) or semi joins (pull) with the vertices not yet seen. What a
-    level adds is checkpointed, so lineage stays short.
+    Each level is one job: edges, which stay dealt by their source, are met by the
+    frontier where they lie; what they reach goes through an anti join with the vertices
+    seen (push), or the vertices not yet seen look for themselves in it (pull). So an edge
+    leaves its place once at most, in the level of its source. What a level adds is
+    checkpointed, so lineage stays short.
     """
     spark = edges.sparkSession
     e = edges.select("src", "dst").repartition("src").persist()
-    vertices = cut(e.select(F.col("src").alias("v")).union(e.select(F.col("dst").alias("v"))).distinct())
-    n_vertices = vertices.count()
     degrees = cut(e.groupBy("src").agg(F.count("*").alias("degree")))
+    vertices = cut(degrees.select(F.col("src").alias("v")).union(e.select(F.col("dst").alias("v")).distinct()).distinct())
+    n_vertices = vertices.count()
     unseen_degrees = degrees.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
     frontier = cut(spark.createDataFrame([(root,)], "v long"))
     seen = frontier.select("v", F.lit(0).alias("dist"))
@@ -44,17 +46,15 @@ def bfs(edges: DataFrame, root: int, direction: str = "auto") -> Search:
             pulling = direction == "pull"
         records.append((level, size, mf, unseen_degrees, "rev" if pulling else "fwd"))
         f = frontier.select(F.col("v").alias("src"))
+        reached = e.join(f, "src", "left_semi").select(F.col("dst").alias("v")).distinct()
         if pulling:
-            left = vertices.join(seen, "v", "left_anti").select(F.col("v").alias("dst"))
-            step = e.join(left, "dst", "left_semi").join(f, "src", "left_semi")
+            frontier = cut(vertices.join(seen, "v", "left_anti").join(reached, "v", "left_semi"))
         else:
-            step = e.join(f, "src", "left_semi")
-        reached = step.select(F.col("dst").alias("v")).distinct()
-        frontier = cut(reached if pulling else reached.join(seen, "v", "left_anti"))
+            frontier = cut(reached.join(seen, "v", "left_anti"))
         level += 1
         size = frontier.count()
         seen = cut(seen.union(frontier.select("v", F.lit(level).alias("dist")))) if level % 8 == 0 else seen.union(frontier.select("v", F.lit(level).alias("dist")))
-    every = cut(vertices.join(seen, "v", "left").select("v", F.coalesce("dist", F.lit(-1)).alias("dist")))
+    every = vertices.join(seen, "v", "left").select("v", F.coalesce("dist", F.lit(-1)).alias("dist"))
     e.unpersist()
     levels = spark.createDataFrame(records, "level int, frontier long, mf long, mu long, direction string")
     return Search(every, levels)

@@ -121,6 +121,15 @@ def test_parallel_moving_by_blocks_equals_plain_rounds(spark):
     assert community.parallel_moving(given.limit(0)).count() == 0
 
 
+def test_pulling_meets_the_frontier_before_edges_are_exchanged(spark, monkeypatch):
+    plans, real = [], traverse.cut
+    monkeypatch.setattr(traverse, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    path = edges(spark, [(i, i + 1) for i in range(12)] + [(3, 20), (20, 3), (30, 31), (5, 5)])
+    found = traverse.bfs(graph.symmetrize_both(path), 0, "pull")
+    assert dict(map(tuple, found.distances.collect())) == {i: i for i in range(13)} | {20: 4, 30: -1, 31: -1}
+    assert any("LeftSemi, (src" in p for p in plans) and not any("LeftSemi, (dst" in p for p in plans)
+
+
 @pytest.mark.parametrize("gain", ("reference", "standard"))
 def test_moves_by_colour_equal_serial_moves(spark, gain):
     from loomgraph.plans import derived
