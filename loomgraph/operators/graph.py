@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.scratch import stored
+
+#: Rows that one task sorts or tells apart, about.
+TASK_ROWS = 1 << 19
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Into how many partitions to deal ``rows``, so that a task's memory does not grow with them."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
 
 def csr(edges: DataFrame) -> DataFrame:
     """(src, adj): each vertex's neighbours in order."""
@@ -36,17 +46,18 @@ def transpose(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def symmetrize_both(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
+def symmetrize_both(edges: DataFrame, keep_loops: bool = False, parts: int | None = None) -> DataFrame:
     """Every edge and its reverse, once; edges are told apart before they are turned round, so each is exchanged once."""
-    once = symmetrize_simple(edges.select("src", "dst"), keep_loops)
+    once = symmetrize_simple(edges.select("src", "dst"), keep_loops, parts)
     to = F.when(F.col("src") == F.col("dst"), F.array(F.struct("src", "dst"))).otherwise(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     return once.select(F.explode(to).alias("e")).select("e.src", "e.dst")
 
 
-def symmetrize_simple(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
-    """Every undirected edge once, smaller id first."""
+def symmetrize_simple(edges: DataFrame, keep_loops: bool = False, parts: int | None = None) -> DataFrame:
+    """Every undirected edge once, smaller id first; told apart in ``parts`` tasks, or as many as the session has."""
     kept = edges if keep_loops else drop_loops(edges)
-    return kept.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    turned = kept.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    return (turned.repartition(parts, "src", "dst") if parts else turned).distinct()
 
 
 def drop_loops(edges: DataFrame) -> DataFrame:
@@ -66,23 +77,34 @@ def degree_order(edges: DataFrame, block: int = 1 << 14) -> DataFrame:
     """(src, degree, new_id): ids from 0 by falling degree, ties by falling id.
 
     Ranks are counted in degree classes first (one row per degree), then inside
-    a class in blocks of ids, so that no task orders all vertices.
+    a class in blocks of ids, so that no task orders all vertices. Degrees are
+    written, for they are read twice. There are at most about as many classes as
+    the root of twice the edges, so these are broadcast.
     """
-    deg = degree(edges).withColumn("block", F.floor(F.col("src") / block))
+    deg = stored(degree(edges), "degrees").withColumn("block", F.floor(F.col("src") / block))
     sizes = deg.groupBy("degree", "block").agg(F.count("*").alias("n"))
     classes = sizes.groupBy("degree").agg(F.sum("n").alias("n"))
     above = classes.select("degree", (F.sum("n").over(Window.orderBy(F.col("degree").desc())) - F.col("n")).alias("above"))
     inside = sizes.select("degree", "block", (F.sum("n").over(Window.partitionBy("degree").orderBy(F.col("block").desc())) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("degree", "block").orderBy(F.col("src").desc())) - 1
-    return deg.withColumn("place", place).join(inside, ["degree", "block"]).join(above, "degree").select("src", "degree", (F.col("above") + F.col("before") + F.col("place")).alias("new_id"))
+    return deg.withColumn("place", place).join(inside, ["degree", "block"]).join(F.broadcast(above), "degree").select("src", "degree", (F.col("above") + F.col("before") + F.col("place")).alias("new_id"))
+
 
+def relabel_by_degree(edges: DataFrame, order: DataFrame | None = None, simple: bool = False) -> DataFrame:
+    """Edges with ids replaced by their degree order; pass ``order`` to force or reuse one.
 
-def relabel_by_degree(edges: DataFrame, order: DataFrame | None = None) -> DataFrame:
-    """Edges with ids replaced by their degree order; pass ``order`` to force or reuse one."""
-    order = degree_order(symmetrize_both(edges)) if order is None else order
-    a = order.select(F.col("src").alias("a"), F.col("new_id").alias("na"))
-    b = order.select(F.col("src").alias("b"), F.col("new_id").alias("nb"))
-    return edges.join(a, edges["src"] == a["a"]).join(b, edges["dst"] == b["b"]).select(F.col("na").alias("src"), F.col("nb").alias("dst"))
+    Edges are written, for they are read twice, and counted, so that a task joins about
+    ``TASK_ROWS`` of them however many there are; those of one vertex meet its new id in one
+    task. ``simple`` says that each undirected edge comes once and that none is a loop.
+    """
+    edges = stored(edges.select("src", "dst"), "edges")
+    parts = tasks(edges.sparkSession, edges.count())
+    if order is None:
+        order = degree_order(edges.union(transpose(edges)) if simple else symmetrize_both(edges, parts=parts))
+    ids = order.select("src", "new_id").repartition(parts, "src")
+    a, b = ids.select(F.col("src").alias("a"), F.col("new_id").alias("na")), ids.select(F.col("src").alias("b"), F.col("new_id").alias("nb"))
+    half = edges.repartition(parts, "src").join(a, F.col("src") == F.col("a")).select("na", "dst").repartition(parts, "dst")
+    return half.join(b, F.col("dst") == F.col("b")).select(F.col("na").alias("src"), F.col("nb").alias("dst"))
 
 
 def grid(spark: SparkSession, rows: int, cols: int) -> DataFrame:

@@ -330,3 +330,25 @@ def test_last_level_of_samples_is_not_looked_up(spark, monkeypatch):
 
 def test_a_loop_is_kept_once(spark):
     assert rows(graph.symmetrize_both(edges(spark, [(1, 1), (1, 2), (2, 1), (1, 1)]), keep_loops=True)) == [(1, 1), (1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("simple", (True, False))
+def test_relabelling_takes_more_tasks_for_more_edges(spark, monkeypatch, simple):
+    monkeypatch.setattr(graph, "TASK_ROWS", 20, raising=False)
+    pairs = sorted({(min(a, b), max(a, b)) for a in range(100) for b in ((a * 7 + 1) % 100, a * a % 31) if a != b})
+    degree = {v: sum(v in p for p in pairs) for p in pairs for v in p}
+    ids = {v: i for i, v in enumerate(sorted(degree, key=lambda v: (degree[v], v), reverse=True))}
+    given = pairs if simple else pairs + [(b, a) for a, b in pairs[:30]] + [(5, 5), pairs[0]]
+    found = graph.relabel_by_degree(edges(spark, given), **({"simple": True} if simple else {}))
+    assert rows(found) == sorted(((ids[a], ids[b]) for a, b in given), key=repr)
+    assert found.rdd.getNumPartitions() == -(-len(given) // 20) > 4
+
+
+def test_pairs_of_lines_take_more_tasks_for_more_lines(spark, monkeypatch):
+    from loomgraph.plans import derived
+
+    monkeypatch.setattr(graph, "TASK_ROWS", 500, raising=False)
+    sf = "/root/testdata/sf0.001"
+    parts = -(-derived.table(spark, sf, "lineitem").count() // 500)
+    assert derived.pairs(spark, sf).rdd.getNumPartitions() == parts > 4
+    assert derived.co_part(spark, sf).rdd.getNumPartitions() == derived.co_part_both(spark, sf).rdd.getNumPartitions() == 2 * parts
