@@ -7,10 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.plans.scratch import cut, stored
+from loomgraph.plans.scratch import Rounds, stored, tidy
 
 #: Edges of one block, about; a vertex's edges lie in one block.
-BLOCK_EDGES = 1 << 20
+BLOCK_EDGES = 1 << 22
+#: Edges that are put into pieces for their blocks at once.
+PIECE_EDGES = 1 << 19
+#: Graphs of more edges write each round, smaller ones every fifth.
+OFTEN_EDGES = 1 << 24
 
 STATE = "block long, part long, x binary, l1 double, total double"
 
@@ -20,57 +24,105 @@ def _raw(table: pa.Table, column: str, i: int, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(value.as_buffer(), kind) if value.is_valid else np.zeros(0, kind)
 
 
-def _blocks(edges: DataFrame, per_block: int) -> DataFrame:
-    """(block, v, degree, near, at, into, to, idx): one row for each range of ids.
+def _short(ids: np.ndarray) -> tuple[int, bytes]:
+    """Ids as the least of them and how far each lies above it, in 32 bits if these hold it."""
+    low = int(ids.min())
+    return low, (ids - low).astype("<u4" if int(ids.max()) - low < 1 << 32 else "<i8").tobytes()
 
-    ``v`` are its vertices in order and ``degree`` their edges out; edge j leads from ``near[at[j]]`` to ``v[into[j]]``.
+
+def _long(low: int, data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<i8").astype(np.int64) + low
+
+
+def _pieces(bounds: np.ndarray):
+    """Edges as pieces (block, n, src, dst), so that no row stands for an edge on its way to its block."""
+
+    def piled(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append((b.column("src").to_numpy(), b.column("dst").to_numpy()))
+            n += b.num_rows
+            if n >= PIECE_EDGES:
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+    def run(batches):
+        for src, dst in piled(batches):
+            of = np.searchsorted(bounds, dst)
+            order = np.argsort(of, kind="stable")
+            blocks, starts = np.unique(of[order], return_index=True)
+            rows = [(int(block), len(a), *_short(a), *_short(b)) for block, a, b in zip(blocks, np.split(src[order], starts[1:]), np.split(dst[order], starts[1:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["block", "n", "src_low", "src", "dst_low", "dst"])
+
+    return run
+
+
+PIECE = "block long, n long, src_low long, src binary, dst_low long, dst binary"
+
+
+def _edges_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The sources and ends of a block's pieces."""
+    columns = {c: table.column(c).to_pylist() for c in table.column_names}
+    return tuple(np.concatenate([_long(low, data, n) for low, data, n in zip(columns[f"{c}_low"], columns[c], columns["n"], strict=True)]) for c in ("src", "dst"))
+
+
+def _blocks(e: DataFrame, per_block: int, count: int | None = None) -> DataFrame:
+    """(block, v, degree, to, idx, own, starts, at): one row for each range of ids.
+
+    ``v`` are its vertices in order and ``degree`` their edges out; ``own`` are those with edges in, of which those of the i-th
+    begin at ``starts[i]``; edge j comes from the place ``at[j]`` of all that the block reads, in order of ids.
     ``idx[i]`` are the places in ``v`` of the vertices that block ``to[i]`` reads, in order.
     """
-    spark = edges.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
-    n = max(partitions, -(-e.count() // per_block))
+    partitions = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(partitions, -(-(e.count() if count is None else count) // per_block))
     bounds = np.unique(np.asarray(e.agg(F.percentile_approx("dst", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or [], np.int64))
 
-    def placed(batches):
-        for b in batches:
-            dst = b.column("dst").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, dst)), b.column("src"), b.column("dst")], names=["block", "src", "dst"])
-
     def packed(table: pa.Table) -> pa.Table:
-        near, at = np.unique(table.column("src").to_numpy(), return_inverse=True)
-        v, into = np.unique(table.column("dst").to_numpy(), return_inverse=True)
-        made = [v, near, at.astype(np.int32), into.astype(np.int32)]
-        return pa.table([pa.array([table.column("block")[0].as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in made)], names=["block", "v", "near", "at", "into"])
+        src, dst = _edges_of(table)
+        near, at = np.unique(src, return_inverse=True)
+        order = np.argsort(dst, kind="stable")
+        own, starts = np.unique(dst[order], return_index=True)
+        made = [own, starts.astype(np.int32), at.astype(np.int32)[order], near]
+        return pa.table([pa.array([table.column("block")[0].as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in made)], names=["block", "own", "starts", "at", "near"])
 
     def asked(batches):
-        """What each block reads of another: ids and how many edges leave them; part -1 holds its own vertices."""
+        """What each block reads of another: ids and how many edges leave them; part -1 holds its own vertices and edges."""
         for b in batches:
             for i in range(b.num_rows):
                 block, near = b.column("block")[i].as_py(), _raw(b, "near", i)
-                many = np.bincount(_raw(b, "at", i, "<i4"), minlength=len(near)).astype(np.int64)
+                many = np.bincount(_raw(b, "at", i, "<i4"), minlength=len(near)).astype(np.int32)
                 of = np.searchsorted(bounds, near)
                 blocks, starts = np.unique(of, return_index=True)
                 ids, counts = np.split(near, starts[1:]), np.split(many, starts[1:])
-                rows = [(block, -1, _raw(b, "v", i).tobytes(), b""), *((int(x), block, y.tobytes(), z.tobytes()) for x, y, z in zip(blocks, ids, counts, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["block", "to", "ids", "many"])
+                own = [b.column(c)[i].as_py() for c in ("own", "starts", "at")]
+                rows = [(block, -1, 0, None, None, *own), *((int(x), block, *_short(y), z.tobytes(), None, None, None) for x, y, z in zip(blocks, ids, counts, strict=True))]
+                types = [pa.int64()] * 3 + [pa.binary()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "to", "low", "ids", "many", "own", "starts", "at"])
 
     def answered(table: pa.Table) -> pa.Table:
-        ids = [_raw(table, "ids", i) for i in range(table.num_rows)]
+        parts = table.column("to").to_pylist()
+        mine = next((i for i, part in enumerate(parts) if part < 0), None)
+        own = np.zeros(0, np.int64) if mine is None else _raw(table, "own", mine)
+        many = [_raw(table, "many", i, "<i4") for i in range(len(parts))]
+        ids = [own if i == mine else _long(table.column("low")[i].as_py(), table.column("ids")[i].as_py(), len(many[i])) for i in range(len(parts))]
         v = np.unique(np.concatenate(ids))
         degree, to, idx = np.zeros(len(v), np.int64), [], []
-        for i, part in enumerate(table.column("to").to_pylist()):
+        for i, part in enumerate(parts):
             if part >= 0:
                 at = np.searchsorted(v, ids[i])
-                degree[at] += _raw(table, "many", i)
+                degree[at] += many[i]
                 to.append(part)
                 idx.append(at.astype(np.int32).tobytes())
+        rest = [b"" if mine is None else table.column(c)[mine].as_py() for c in ("own", "starts", "at")]
         columns = [pa.array([table.column("block")[0].as_py()]), pa.array([v.tobytes()], pa.binary()), pa.array([degree.tobytes()], pa.binary()), pa.array([to], pa.list_(pa.int64())), pa.array([idx], pa.list_(pa.binary()))]
-        return pa.table(columns, names=["block", "v", "degree", "to", "idx"])
+        return pa.table([*columns, *(pa.array([x], pa.binary()) for x in rest)], names=["block", "v", "degree", "to", "idx", "own", "starts", "at"])
 
-    inward = stored(e.mapInArrow(placed, "block long, src long, dst long").groupBy("block").applyInArrow(packed, "block long, v binary, near binary, at binary, into binary"), "blocks")
-    outward = inward.mapInArrow(asked, "block long, to long, ids binary, many binary").groupBy("block").applyInArrow(answered, "block long, v binary, degree binary, to array<long>, idx array<binary>")
-    return outward.join(inward.withColumnRenamed("v", "own"), "block", "left").repartition(partitions, "block").persist()
+    inward = e.mapInArrow(_pieces(bounds), PIECE).groupBy("block").applyInArrow(packed, "block long, own binary, starts binary, at binary, near binary")
+    sent = inward.mapInArrow(asked, "block long, to long, low long, ids binary, many binary, own binary, starts binary, at binary")
+    made = sent.groupBy("block").applyInArrow(answered, "block long, v binary, degree binary, to array<long>, idx array<binary>, own binary, starts binary, at binary")
+    return stored(made, "blocks").repartition(partitions, "block").persist()
 
 
 def _sent(graph: pa.Table, ranks: np.ndarray, l1: float) -> pa.Table:
@@ -91,7 +143,7 @@ def _round(n: int, damping: float):
         v, own = _raw(graph, "v", 0), _raw(graph, "own", 0)
         got = np.zeros(len(v))
         if len(own):
-            got[np.searchsorted(v, own)] = np.bincount(_raw(graph, "into", 0, "<i4"), weights=read[_raw(graph, "at", 0, "<i4")], minlength=len(own))
+            got[np.searchsorted(v, own)] = np.add.reduceat(read[_raw(graph, "at", 0, "<i4")], _raw(graph, "starts", 0, "<i4"))
         ranks = (1 - damping) / n + damping * got
         return _sent(graph, ranks, float(np.abs(ranks - before).sum()))
 
@@ -134,26 +186,31 @@ def _ranks(edges: DataFrame, iterations: int, damping: float, start: DataFrame |
 
     Edges stay in their blocks. A round exchanges, for each pair of blocks, the shares of
     the vertices that one reads of the other, once however many edges they have; where
-    ids near each other are neighbours, that is a few times the vertices.
+    ids near each other are neighbours, that is a few times the vertices. The files of a
+    round go as soon as the next one is written.
     """
-    kind = dict(edges.dtypes)["src"]
-    graph = _blocks(edges, per_block)
-    n = graph.agg(F.coalesce(F.sum(F.octet_length("v") / 8), F.lit(0)).cast("long")).first()[0]
-    if start is None:
-        first = edges.sparkSession.createDataFrame([], "block long, v long, rank double")
-    else:
-        ids = graph.select("block", "v").mapInArrow(_ids, "block long, v long")
-        first = ids.join(start.select(F.col("v").cast("long").alias("v"), "rank"), "v").select("block", "v", "rank")
-    by_block = lambda state: graph.groupBy("block").cogroup(state.groupBy("block"))
-    state, changes = by_block(first).applyInArrow(_started(max(n, 1)), STATE), []
-    for i in range(iterations if n else 0):
-        state = by_block(state).applyInArrow(_round(n, damping), STATE)
-        if trace or i % 5 == 4 or i == iterations - 1:
-            state = cut(state)
-        if trace:
-            changes.append((i + 1, *state.agg(F.sum("l1"), F.sum("total")).first()))
-    whole = cut(graph.select("block", "v").join(state.where("part = -1").select("block", "x"), "block").mapInArrow(_unpacked, "v long, rank double"))
-    graph.unpersist()
+    kind, spark = dict(edges.dtypes)["src"], edges.sparkSession
+    e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
+    with tidy(spark):
+        count = e.count()
+        graph = _blocks(e, per_block, count)
+        n = graph.agg(F.coalesce(F.sum(F.octet_length("v") / 8), F.lit(0)).cast("long")).first()[0]
+        if start is None:
+            first = spark.createDataFrame([], "block long, v long, rank double")
+        else:
+            ids = graph.select("block", "v").mapInArrow(_ids, "block long, v long")
+            first = ids.join(start.select(F.col("v").cast("long").alias("v"), "rank"), "v").select("block", "v", "rank")
+        by_block = lambda state: graph.groupBy("block").cogroup(state.groupBy("block"))
+        state, changes, last = by_block(first).applyInArrow(_started(max(n, 1)), STATE), [], Rounds(spark, "ranks")
+        for i in range(iterations if n else 0):
+            state = by_block(state).applyInArrow(_round(n, damping), STATE)
+            if trace or count > OFTEN_EDGES or i % 5 == 4:
+                state = last.keep(state)
+            if trace:
+                changes.append((i + 1, *state.agg(F.sum("l1"), F.sum("total")).first()))
+        whole = stored(graph.select("block", "v").join(state.where("part = -1").select("block", "x"), "block").mapInArrow(_unpacked, "v long, rank double"), "ranks")
+        graph.unpersist()
+        last.drop()
     return whole.select(F.col("v").cast(kind).alias("v"), "rank"), changes
 
 

@@ -183,6 +183,23 @@ def test_ranks_go_on_from_where_they_were(spark):
     assert rank.pagerank(e.limit(0), 3).count() == 0
 
 
+def test_rounds_of_ranks_do_not_pile_up_on_disk(spark):
+    """The shared folder holds the last round only, and shuffle files go with the round that wrote them."""
+    from pathlib import Path
+
+    from loomgraph.plans.scratch import shared_folder
+
+    place, e = Path(shared_folder(spark).removeprefix("file://")), graph.grid(spark, 30, 40)
+    files = lambda: sum(1 for p in place.rglob("*") if p.is_file())
+    grown = []
+    for rounds in (2, 12):
+        before = files()
+        assert rank.pagerank_rounds(e, rounds)[1].count() == rounds
+        grown.append(files() - before)
+    assert grown[0] == grown[1]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
 def test_counter_generator(spark):
     state, first = 123, []
     for _ in range(5):
