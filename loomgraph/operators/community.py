@@ -2,62 +2,165 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.components import connected_components
+from loomgraph.operators.components import connected_components, forest
 from loomgraph.operators.graph import symmetrize_both
-from loomgraph.plans.scratch import stored
+from loomgraph.operators.pieces import PIECE, edges_of, long, pieces, short
+from loomgraph.plans.scratch import stored, tidy
+
+
+class _Graph:
+    """Neighbours by place: those of ``ids[i]`` are ``near[starts[i] : starts[i + 1]]``, in order; four bytes for each end of an edge."""
+
+    def __init__(self, ids: np.ndarray, starts: np.ndarray, near: np.ndarray):
+        self.ids, self.near, self.starts = ids, near, starts.tolist()
+
+    @classmethod
+    def of_pairs(cls, pairs) -> _Graph:
+        given = np.asarray(pairs, np.int64).reshape(-1, 2)
+        ends = np.concatenate([given, given[:, ::-1]])
+        ids, at = np.unique(ends, return_inverse=True)
+        at = at.reshape(ends.shape)
+        at = at[np.lexsort((at[:, 1], at[:, 0]))]
+        return cls(ids, np.searchsorted(at[:, 0], np.arange(len(ids) + 1)), at[:, 1].astype(np.int32))
+
+    @classmethod
+    def of_blocks(cls, blocks: list[tuple]) -> _Graph:
+        """From (v, number of neighbours, neighbours as ``short`` packs them) of ranges of ids in order; ``blocks`` is emptied."""
+        ids = np.concatenate([b[0] for b in blocks])
+        starts = np.concatenate([[0], np.cumsum(np.concatenate([b[1] for b in blocks]), dtype=np.int64)])
+        near, at = np.empty(starts[-1], np.int32), 0
+        blocks.reverse()
+        while blocks:
+            _, k, low, data = blocks.pop()
+            n = int(k.sum())
+            for first in range(0, n, 1 << 20):
+                m, width = min(1 << 20, n - first), len(data) // n
+                near[at : at + m] = np.searchsorted(ids, long(low, data[first * width : (first + m) * width], m))
+                at += m
+        return cls(ids, starts, near)
+
+    def neighbours(self, i: int) -> list[int]:
+        return self.near[self.starts[i] : self.starts[i + 1]].tolist()
+
+    def places(self, vertices) -> list[int]:
+        """The places of those of ``vertices`` that are here, in their order."""
+        given = np.asarray(vertices, np.int64)
+        at = np.searchsorted(self.ids, given)
+        at[at == len(self.ids)] = 0
+        return at[self.ids[at] == given].tolist() if len(self.ids) else []
+
+
+def _moves(graph: _Graph, max_passes: int, gain: str, order: list[int], groups: list[list[int]] | None, m2: int) -> np.ndarray:
+    """The community of each place after serial moves in ``order``; those of one of ``groups`` move in turn by what held when the group began."""
+    own = list(range(len(graph.ids)))
+    total = np.diff(graph.starts).tolist()
+    standard = gain == "standard"
+
+    def turns(places: list[int], own_then: list[int], total_then: list[int]) -> bool:
+        """Move ``places`` in turn by the communities and totals that they see."""
+        moved = False
+        for u in places:
+            near = graph.neighbours(u)
+            k, here = len(near), own_then[u]
+            links = Counter([own_then[v] for v in near])  # in order of the first neighbour
+            # A gain is inside * m2 - k * total + k * (total here - k), less what leaving costs; the last terms are the same for all.
+            stay = links.pop(here, 0)
+            most, best = (stay * m2 if standard else 0) - k * (total_then[here] - k), here
+            for there, inside in links.items():
+                won = inside * m2 - k * total_then[there]
+                if won > most:
+                    most, best = won, there
+            if best != here:
+                total[here] -= k
+                total[best] += k
+                own[u] = best
+                moved = True
+        return moved
+
+    for _ in range(max_passes):
+        if groups is None:
+            moved = turns(order, own, total)
+        else:
+            moved = any([turns(group, own.copy(), total.copy()) for group in groups])
+        if not moved:
+            break
+    return graph.ids[own]
 
 
 def _move(pairs, max_passes: int, gain: str, order: list[int] | None, groups: list[list[int]] | None = None, m2: int | None = None) -> dict[int, int]:
-    """Communities after serial moves in ``order``; vertices of one of ``groups`` move in turn by what held when the group began.
+    """Communities of edges ``pairs`` after serial moves of vertices in ``order``, or by ``groups``; ``m2`` is twice the edges of the whole graph, if they are a part of it."""
+    graph = _Graph.of_pairs(pairs)
+    found = _moves(graph, max_passes, gain, *_turns(graph, order, groups), len(graph.near) if m2 is None else m2)
+    return dict(zip(graph.ids.tolist(), found.tolist(), strict=True))
 
-    ``pairs`` are edges, as an array or list; ``m2`` is twice the edges of the whole graph, if they are a part of it.
-    """
-    import numpy as np
 
-    given = np.asarray(pairs, np.int64).reshape(-1, 2)
-    ends = np.concatenate([given, given[:, ::-1]])
-    ends = ends[np.lexsort((ends[:, 1], ends[:, 0]))]
-    ids, starts = np.unique(ends[:, 0], return_index=True)
-    near = dict(zip(ids.tolist(), np.split(ends[:, 1].copy(), starts[1:]), strict=False))  # neighbours in order
-    del given, ends
-    own = {v: v for v in near}
-    total = {v: len(n) for v, n in near.items()}
-    m2 = sum(total.values()) if m2 is None else m2
-    nodes = sorted(near) if order is None else [v for v in order if v in near]
-
-    def turn(u: int, own_then: dict[int, int], total_then: dict[int, int]) -> bool:
-        """Move ``u`` by the communities and totals that it sees."""
-        k, here = len(near[u]), own_then[u]
-        links: dict[int, int] = {}
-        for v in near[u].tolist():
-            links[own_then[v]] = links.get(own_then[v], 0) + 1
-        rest = total_then[here] - k
-        best, most = here, 0
-        for there, inside in links.items():
-            if there == here:
-                continue
-            won = inside * m2 - k * total_then[there] + k * rest
-            if gain == "standard":  # what leaving costs
-                won -= links.get(here, 0) * m2
-            if won > most:
-                best, most = there, won
-        if best != here:
-            total[here] -= k
-            total[best] += k
-            own[u] = best
-        return best != here
+def _turns(graph: _Graph, order: list[int] | None, groups: list[list[int]] | None):
+    """Vertices as places."""
+    return list(range(len(graph.ids))) if order is None else graph.places(order), None if groups is None else [graph.places(g) for g in groups]
 
-    for _ in range(max_passes):
-        if groups is None:
-            moved = [turn(u, own, total) for u in nodes]
-        else:
-            moved = [turn(u, *seen) for group in groups for seen in [(own.copy(), total.copy())] for u in group]
-        if not any(moved):
-            break
-    return own
+
+def _by_component(simple: DataFrame, vertices: DataFrame, move, per_block: int | None = None) -> DataFrame:
+    """(v, comm) by ``move(graph, tags)``, places to communities, of each component in a task of its own; ``vertices`` are (node, root, tag).
+
+    Edges come to their task in blocks of ids that other tasks have packed and put in order, so it holds
+    four bytes for each end of an edge and some for each vertex, and sorts none.
+    """
+    _small_batches(simple)
+    e = simple.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    bounds = _bounds(e, max(1, -(-2 * e.count() // (per_block or BLOCK_EDGES))))
+
+    def dealt(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, b.column("node").to_numpy())), *b.columns], names=["block", *b.schema.names])
+
+    def packed(edges: pa.Table, told: pa.Table) -> pa.Table:
+        near, v = edges_of(edges)
+        told = told.sort_by("node")
+        nodes, roots, tags = (told.column(c).to_numpy() for c in ("node", "root", "tag"))
+        at = np.searchsorted(nodes, v)
+        order = np.lexsort((near, at, roots[at]))
+        near, at = near[order], at[order]
+        firsts = np.flatnonzero(np.diff(at, prepend=-1))
+        own, k = at[firsts], np.diff(firsts, append=len(at)).astype(np.int32)
+        rows = []
+        starts = np.flatnonzero(np.diff(roots[own]) != 0) + 1
+        for low, high in zip([0, *starts], [*starts, len(own)], strict=True):
+            some = own[low:high]
+            data = short(near[firsts[low] : firsts[high] if high < len(own) else len(at)])
+            rows.append((int(roots[some[0]]), edges.column("block")[0].as_py(), nodes[some].tobytes(), tags[some].tobytes(), k[low:high].tobytes(), *data))
+        return pa.table([pa.array(x) for x in zip(*rows, strict=True)], names=["root", "block", "v", "tags", "k", "low", "near"])
+
+    def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = sorted((r for b in batches for r in zip(*[b[c] for c in ("block", "v", "tags", "k", "low", "near")], strict=True)), key=lambda r: r[0])
+        blocks = [(np.frombuffer(v, "<i8"), np.frombuffer(k, "<i4"), low, near) for _, v, _, k, low, near in rows]
+        tags = np.concatenate([np.frombuffer(r[2], "<i8") for r in rows])
+        del rows
+        graph = _Graph.of_blocks(blocks)
+        yield pd.DataFrame({"v": graph.ids, "comm": move(graph, tags)}, columns=["v", "comm"]).astype("int64")
+
+    told = vertices.select("node", "root", F.col("tag").cast("long").alias("tag")).mapInArrow(dealt, "block long, node long, root long, tag long")
+    blocks = e.mapInArrow(pieces(bounds, both=True), PIECE).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(packed, "root long, block long, v binary, tags binary, k binary, low long, near binary")
+    return stored(blocks, "blocks").groupBy("root").applyInPandas(moved, "v long, comm long")
+
+
+def _small_batches(df: DataFrame) -> None:
+    """A batch of blocks goes to Python by bytes, not by 10,000 rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def _bounds(e: DataFrame, n: int) -> np.ndarray:
+    """The ids that cut the ends of edges into about ``n`` ranges of as many each."""
+    found = e.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.percentile_approx("v", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] if n > 1 else None
+    return np.unique(np.asarray(found or [], np.int64))
 
 
 def local_moving(edges: DataFrame, max_passes: int = 10, gain: str = "reference", order: list[int] | None = None) -> DataFrame:
@@ -68,25 +171,24 @@ def local_moving(edges: DataFrame, max_passes: int = 10, gain: str = "reference"
     ``order``, ascending by default. Moves depend on each other across a connected
     component and on nothing outside it but the number of all edges, and passes over a
     component at rest change nothing; so each component is moved by a
-    task of its own, with the same result. A component is held by one task; see
-    ``parallel_moving`` for one that is too large for that.
+    task of its own, with the same result. A component is held by one task, in eight
+    bytes an edge; see ``parallel_moving`` for one that is too large for that.
     """
-    simple = stored(edges.where("src <> dst").select("src", "dst"), "graph")
-    m2 = 2 * simple.count()
-    roots = connected_components(simple)
-    each = simple.join(roots, simple["src"] == roots["node"]).select("root", "src", "dst")
-
-    def run(pdf):
-        import pandas as pd
+    with tidy(edges.sparkSession):
+        simple = stored(edges.where("src <> dst").select("src", "dst"), "graph")
+        m2 = 2 * simple.count()
+        vertices = stored(connected_components(forest(simple)).withColumn("tag", F.lit(0)), "roots")
 
-        found = _move(pdf[["src", "dst"]].to_numpy(), max_passes, gain, order, None, m2)
-        return pd.DataFrame({"v": list(found), "comm": list(found.values())}, columns=["v", "comm"]).astype("int64")
+        def move(graph, _):
+            return _moves(graph, max_passes, gain, *_turns(graph, order, None), m2)
 
-    return each.groupBy("root").applyInPandas(run, "v long, comm long")
+        return _by_component(simple, vertices, move)
 
 
+#: Bytes of one Arrow batch of blocks.
+BATCH_BYTES = 8 << 20
 #: Directed edges of a block of ``parallel_moving``, about; a vertex's edges lie in one block.
-BLOCK_EDGES = 1 << 20
+BLOCK_EDGES = 1 << 22
 
 
 def _raw(table, column: str, i: int, kind: str = "<i8"):
@@ -221,26 +323,19 @@ def colours(edges: DataFrame) -> DataFrame:
     return edges.sparkSession.createDataFrame([], "v long, colour int") if done is None else done
 
 
-def _lowest_colours(pairs, priority: dict[int, int]) -> dict[int, int]:
-    """The colours of ``colours``: vertices by falling hash, then id, take the smallest colour that no neighbour has."""
-    import numpy as np
-
-    ends = np.concatenate([pairs, pairs[:, ::-1]])
-    ids, at = np.unique(ends, return_inverse=True)
-    at = at.reshape(ends.shape)
-    at = at[np.argsort(at[:, 0], kind="stable")]
-    near = np.split(at[:, 1], np.searchsorted(at[:, 0], np.arange(1, len(ids))))
-    found = np.full(len(ids), -1)
-    for i in np.lexsort((ids, [priority[v] for v in ids.tolist()]))[::-1].tolist():
-        taken = np.unique(found[near[i]])
-        taken = taken[taken >= 0]
-        gaps = np.flatnonzero(taken != np.arange(len(taken)))
-        found[i] = gaps[0] if len(gaps) else len(taken)
-    return dict(zip(ids.tolist(), found.tolist(), strict=True))
+def _lowest_colours(graph: _Graph, priority: np.ndarray) -> np.ndarray:
+    """The colours of ``colours`` by place: vertices by falling hash, then id, take the smallest colour that no neighbour has."""
+    found = [-1] * len(graph.ids)
+    for i in np.lexsort((graph.ids, priority))[::-1].tolist():
+        taken, c = {found[v] for v in graph.neighbours(i)}, 0
+        while c in taken:
+            c += 1
+        found[i] = c
+    return np.asarray(found, np.int64)
 
 
-#: Edges of a component that one task moves by itself.
-TASK_EDGES = 1 << 22
+#: Edges of a component that one task moves by itself, in eight bytes each.
+TASK_EDGES = 1 << 28
 
 
 def moving_by_colours(edges: DataFrame, max_passes: int = 10, gain: str = "reference", coloured: DataFrame | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -254,37 +349,31 @@ def moving_by_colours(edges: DataFrame, max_passes: int = 10, gain: str = "refer
     of all edges, so a component of at most ``task_edges`` edges is coloured and moved by one
     task; in larger ones each colour of each pass is one job, and passes end when none moves.
     """
-    simple = stored(edges.where("src <> dst").select("src", "dst"), "graph")
-    m2 = 2 * simple.count() or 1
-    roots = stored(connected_components(simple), "roots")
-    each = simple.join(roots, simple["src"] == roots["node"]).select("root", "src", "dst")
-    large = stored(each.groupBy("root").count().where(F.col("count") > task_edges).select("root"), "large")
-    some = large.limit(1).count() > 0
-    vertices = roots.select(F.col("root").alias("of"), F.col("node").alias("v"), F.xxhash64("node").alias("p"))
-    vertices = vertices.withColumn("colour", F.lit(None).cast("int")) if coloured is None else vertices.join(coloured.select("v", "colour"), "v")
-    sides = each, vertices
-    if some:
-        sides = each.join(large, "root", "left_anti"), vertices.join(large.select(F.col("root").alias("of")), "of", "left_anti")
-
-    def run(edges_of, vertices_of):
-        import pandas as pd
-
-        pairs = edges_of[["src", "dst"]].to_numpy()
+    with tidy(edges.sparkSession):
+        simple = stored(edges.where("src <> dst").select("src", "dst"), "graph")
+        count = simple.count()
+        m2 = 2 * count or 1
+        roots = stored(connected_components(forest(simple)), "roots")
         if coloured is None:
-            of = _lowest_colours(pairs, dict(zip(vertices_of["v"].tolist(), vertices_of["p"].tolist(), strict=True)))
+            vertices = roots.withColumn("tag", F.xxhash64(F.col("node").cast(dict(simple.dtypes)["src"])))
         else:
-            of = dict(zip(vertices_of["v"].tolist(), vertices_of["colour"].tolist(), strict=True))
-        groups: dict[int, list[int]] = {}
-        for v in sorted(of):
-            groups.setdefault(of[v], []).append(v)
-        found = _move(pairs, max_passes, gain, None, [groups[c] for c in sorted(groups)], m2)
-        return pd.DataFrame({"v": list(found), "comm": list(found.values())}, columns=["v", "comm"]).astype("int64")
-
-    found = sides[0].groupBy("root").cogroup(sides[1].groupBy("of")).applyInPandas(run, "v long, comm long")
-    if not some:
-        return found
-    wide = each.join(large, "root", "left_semi").select("src", "dst")
-    return found.union(_moving_jobs(wide, max_passes, gain, coloured, m2))
+            vertices = roots.join(coloured.select(F.col("v").alias("node"), F.col("colour").alias("tag")), "node")
+        given = coloured is not None
+
+        def move(graph, tags):
+            of = tags if given else _lowest_colours(graph, tags)
+            order = np.argsort(of, kind="stable")
+            groups = np.split(order, np.flatnonzero(np.diff(of[order])) + 1)
+            return _moves(graph, max_passes, gain, [], [g.tolist() for g in groups], m2)
+
+        small, wide = simple, None
+        if count > task_edges:
+            each = simple.join(roots.withColumnRenamed("node", "src"), "src")
+            large = stored(each.groupBy("root").count().where(F.col("count") > task_edges).select("root"), "large")
+            small, wide = (each.join(large, "root", how).select("src", "dst") for how in ("left_anti", "left_semi"))
+            small, vertices = stored(small, "small"), vertices.join(large, "root", "left_anti")
+        found = _by_component(small, stored(vertices, "vertices"), move)
+    return found if wide is None or not wide.limit(1).count() else found.union(_moving_jobs(wide, max_passes, gain, coloured, m2))
 
 
 def _moving_jobs(edges: DataFrame, max_passes: int, gain: str, coloured: DataFrame | None, m2: int) -> DataFrame:

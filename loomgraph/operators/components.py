@@ -2,12 +2,61 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.plans.scratch import stored
 
 
+#: Edges of which ``forest`` keeps a spanning forest at once.
+FOREST_EDGES = 1 << 22
+
+
+def _piece_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest vertex of 0 to n - 1 that each is connected with by edges ``a`` to ``b``."""
+    parent = np.arange(n)
+    while len(a):
+        a, b = parent[a], parent[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent != (up := parent[parent])).any():
+            parent = up
+    return parent
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(u, v) with the components of ``edges`` (src, dst): of each few million edges, one from each vertex to the smallest it is connected with by them.
+
+    Where a task has many edges for each vertex that is much less than all; loops and edges with a null end go.
+    """
+
+    def run(batches):
+        held, n = [], 0
+
+        def spanned():
+            ends = np.concatenate(held, 1)
+            ids, at = np.unique(ends, return_inverse=True)
+            at = at.reshape(ends.shape)
+            roots = _piece_roots(at[0], at[1], len(ids))
+            moved = np.flatnonzero(roots != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[roots[moved]])], names=["u", "v"])
+
+        for b in batches:
+            held.append(np.stack([b.column(c).to_numpy() for c in (0, 1)]))
+            n += b.num_rows
+            if n >= FOREST_EDGES:
+                yield spanned()
+                held, n = [], 0
+        if n:
+            yield spanned()
+
+    kept = edges.where("src <> dst").select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"))
+    return kept.mapInArrow(run, "u long, v long")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))

@@ -7,12 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.pieces import PIECE, edges_of, long, pieces, short
 from loomgraph.plans.scratch import Rounds, stored, tidy
 
 #: Edges of one block, about; a vertex's edges lie in one block.
 BLOCK_EDGES = 1 << 22
-#: Edges that are put into pieces for their blocks at once.
-PIECE_EDGES = 1 << 19
 #: Graphs of more edges write each round, smaller ones every fifth.
 OFTEN_EDGES = 1 << 24
 
@@ -24,50 +23,6 @@ def _raw(table: pa.Table, column: str, i: int, kind: str = "<i8") -> np.ndarray:
     return np.frombuffer(value.as_buffer(), kind) if value.is_valid else np.zeros(0, kind)
 
 
-def _short(ids: np.ndarray) -> tuple[int, bytes]:
-    """Ids as the least of them and how far each lies above it, in 32 bits if these hold it."""
-    low = int(ids.min())
-    return low, (ids - low).astype("<u4" if int(ids.max()) - low < 1 << 32 else "<i8").tobytes()
-
-
-def _long(low: int, data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<i8").astype(np.int64) + low
-
-
-def _pieces(bounds: np.ndarray):
-    """Edges as pieces (block, n, src, dst), so that no row stands for an edge on its way to its block."""
-
-    def piled(batches):
-        held, n = [], 0
-        for b in batches:
-            held.append((b.column("src").to_numpy(), b.column("dst").to_numpy()))
-            n += b.num_rows
-            if n >= PIECE_EDGES:
-                yield tuple(map(np.concatenate, zip(*held, strict=True)))
-                held, n = [], 0
-        if n:
-            yield tuple(map(np.concatenate, zip(*held, strict=True)))
-
-    def run(batches):
-        for src, dst in piled(batches):
-            of = np.searchsorted(bounds, dst)
-            order = np.argsort(of, kind="stable")
-            blocks, starts = np.unique(of[order], return_index=True)
-            rows = [(int(block), len(a), *_short(a), *_short(b)) for block, a, b in zip(blocks, np.split(src[order], starts[1:]), np.split(dst[order], starts[1:]), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["block", "n", "src_low", "src", "dst_low", "dst"])
-
-    return run
-
-
-PIECE = "block long, n long, src_low long, src binary, dst_low long, dst binary"
-
-
-def _edges_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The sources and ends of a block's pieces."""
-    columns = {c: table.column(c).to_pylist() for c in table.column_names}
-    return tuple(np.concatenate([_long(low, data, n) for low, data, n in zip(columns[f"{c}_low"], columns[c], columns["n"], strict=True)]) for c in ("src", "dst"))
-
-
 def _blocks(e: DataFrame, per_block: int, count: int | None = None) -> DataFrame:
     """(block, v, degree, to, idx, own, starts, at): one row for each range of ids.
 
@@ -80,7 +35,7 @@ def _blocks(e: DataFrame, per_block: int, count: int | None = None) -> DataFrame
     bounds = np.unique(np.asarray(e.agg(F.percentile_approx("dst", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or [], np.int64))
 
     def packed(table: pa.Table) -> pa.Table:
-        src, dst = _edges_of(table)
+        src, dst = edges_of(table)
         near, at = np.unique(src, return_inverse=True)
         order = np.argsort(dst, kind="stable")
         own, starts = np.unique(dst[order], return_index=True)
@@ -97,7 +52,7 @@ def _blocks(e: DataFrame, per_block: int, count: int | None = None) -> DataFrame
                 blocks, starts = np.unique(of, return_index=True)
                 ids, counts = np.split(near, starts[1:]), np.split(many, starts[1:])
                 own = [b.column(c)[i].as_py() for c in ("own", "starts", "at")]
-                rows = [(block, -1, 0, None, None, *own), *((int(x), block, *_short(y), z.tobytes(), None, None, None) for x, y, z in zip(blocks, ids, counts, strict=True))]
+                rows = [(block, -1, 0, None, None, *own), *((int(x), block, *short(y), z.tobytes(), None, None, None) for x, y, z in zip(blocks, ids, counts, strict=True))]
                 types = [pa.int64()] * 3 + [pa.binary()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "to", "low", "ids", "many", "own", "starts", "at"])
 
@@ -106,7 +61,7 @@ def _blocks(e: DataFrame, per_block: int, count: int | None = None) -> DataFrame
         mine = next((i for i, part in enumerate(parts) if part < 0), None)
         own = np.zeros(0, np.int64) if mine is None else _raw(table, "own", mine)
         many = [_raw(table, "many", i, "<i4") for i in range(len(parts))]
-        ids = [own if i == mine else _long(table.column("low")[i].as_py(), table.column("ids")[i].as_py(), len(many[i])) for i in range(len(parts))]
+        ids = [own if i == mine else long(table.column("low")[i].as_py(), table.column("ids")[i].as_py(), len(many[i])) for i in range(len(parts))]
         v = np.unique(np.concatenate(ids))
         degree, to, idx = np.zeros(len(v), np.int64), [], []
         for i, part in enumerate(parts):
@@ -119,7 +74,7 @@ def _blocks(e: DataFrame, per_block: int, count: int | None = None) -> DataFrame
         columns = [pa.array([table.column("block")[0].as_py()]), pa.array([v.tobytes()], pa.binary()), pa.array([degree.tobytes()], pa.binary()), pa.array([to], pa.list_(pa.int64())), pa.array([idx], pa.list_(pa.binary()))]
         return pa.table([*columns, *(pa.array([x], pa.binary()) for x in rest)], names=["block", "v", "degree", "to", "idx", "own", "starts", "at"])
 
-    inward = e.mapInArrow(_pieces(bounds), PIECE).groupBy("block").applyInArrow(packed, "block long, own binary, starts binary, at binary, near binary")
+    inward = e.mapInArrow(pieces(bounds), PIECE).groupBy("block").applyInArrow(packed, "block long, own binary, starts binary, at binary, near binary")
     sent = inward.mapInArrow(asked, "block long, to long, low long, ids binary, many binary, own binary, starts binary, at binary")
     made = sent.groupBy("block").applyInArrow(answered, "block long, v binary, degree binary, to array<long>, idx array<binary>, own binary, starts binary, at binary")
     return stored(made, "blocks").repartition(partitions, "block").persist()
