@@ -5,46 +5,50 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import symmetrize_simple, transpose
-from loomgraph.plans.scratch import stored
+from loomgraph.operators.pieces import long, short
+from loomgraph.plans.scratch import Rounds, stored, tidy
 
-#: Closing edges, and edges of lists, that one task is given at most (but for the longest list).
+#: Closing edges that one task is given, about.
 BLOCK_EDGES = 1 << 24
+#: Pairs of ends that one task looks up, about.
+BLOCK_WEDGES = 1 << 31
+#: Ranges of ids at most.
+MOST_RANGES = 1 << 9
+#: Bytes of one Arrow batch of pieces.
+BATCH_BYTES = 8 << 20
 #: Blocks of fewer edges are not made to keep more tasks busy.
 FEWEST_EDGES = 1 << 20
 #: Pairs of a closing edge's possible ends that a task looks up at once.
 PAIRS = 1 << 21
 
 
-def _oriented(simple: DataFrame) -> DataFrame:
-    """Undirected edges, each once, from the end of lower (degree, id) to the other, so that no vertex has a large fan-out."""
+def _oriented(simple: DataFrame, last: Rounds) -> DataFrame:
+    """Undirected edges, each once, from the end of lower (degree, id) to the other, so that no vertex has a large fan-out.
+
+    Edges are written to ``last`` before each exchange and what was written before goes, so that the disk holds one exchange at a time.
+    """
+    simple = last.keep(simple)
     ends = simple.select("src", "dst")
-    degrees = ends.union(transpose(ends)).groupBy("src").agg(F.count("*").alias("d"))
+    degrees = stored(ends.union(transpose(ends)).groupBy("src").agg(F.count("*").alias("d")), "degrees")
     a = degrees.select(F.col("src").alias("a"), F.col("d").alias("da"))
     b = degrees.select(F.col("src").alias("b"), F.col("d").alias("db"))
-    wide = simple.join(a, simple["src"] == a["a"]).join(b, simple["dst"] == b["b"])
+    half = last.keep(simple.join(a, simple["src"] == a["a"]).drop("a"))
+    wide = half.join(b, half["dst"] == b["b"])
     low = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("src") < F.col("dst")))
     rest = [c for c in simple.columns if c not in ("src", "dst")]
-    return wide.select(F.when(low, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("dst"), *rest)
-
-
-def _range_of(value: Column, bounds: list[int], first: int = 0) -> Column:
-    """How many of the ordered ``bounds`` lie below ``value``, and ``first``, by halving."""
-    if not bounds:
-        return F.lit(first)
-    middle = len(bounds) // 2
-    return F.when(value <= bounds[middle], _range_of(value, bounds[:middle], first)).otherwise(_range_of(value, bounds[middle + 1 :], first + middle + 1))
+    return last.keep(wide.select(F.when(low, F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(low, F.col("dst")).otherwise(F.col("src")).alias("dst"), *rest))
 
 
 class _Closing:
     """The closing edges of a block: (y, z) with a weight, or 64 neighbouring z of a y as bits, found by a table of bits and then exactly."""
 
     def __init__(self, src, dst, weight, words: bool):
-        import numpy as np
-
         place = dst >> 6 if words else dst
         self.y, yi = np.unique(src, return_inverse=True)
         self.z, zi = np.unique(place, return_inverse=True)
@@ -61,15 +65,11 @@ class _Closing:
         self.table[self._slot(self.keys)] = True
 
     def _slot(self, keys):
-        import numpy as np
-
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     @staticmethod
     def index(values, of):
         """Places of ``values`` in the ordered ``of``, -1 where they are not."""
-        import numpy as np
-
         if not len(of):
             return np.full(len(values), -1)
         at = np.minimum(np.searchsorted(of, values), len(of) - 1)
@@ -77,8 +77,6 @@ class _Closing:
 
     def held_at(self, keys):
         """(places in ``keys``, places in ``held``) of the keys that are here."""
-        import numpy as np
-
         maybe = np.flatnonzero(self.table[self._slot(keys)])
         at = np.searchsorted(self.keys, keys[maybe])
         at[at == len(self.keys)] = 0
@@ -88,8 +86,6 @@ class _Closing:
 
 def _words(values, rows):
     """(place of a 64-bit word, bits, row): the values of each row as words."""
-    import numpy as np
-
     order = np.lexsort((values, rows))
     place, row, bits = values[order] >> 6, rows[order], np.uint64(1) << (values[order] & 63).astype(np.uint64)
     starts = np.flatnonzero((np.diff(place, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
@@ -98,8 +94,6 @@ def _words(values, rows):
 
 def _met(closing: _Closing, x, counts, flat, weight, words: bool):
     """(x, y, z, product of weights, or number of z) of what ``closing`` closes in lists, some million pairs at a time."""
-    import numpy as np
-
     rows = np.repeat(np.arange(len(x)), counts)
     y_at = closing.index(flat, closing.y)
     firsts = np.flatnonzero(y_at >= 0)
@@ -127,41 +121,126 @@ def _met(closing: _Closing, x, counts, flat, weight, words: bool):
         low = high
 
 
-def _joined(listed: bool, words: bool):
-    """The task of ``_triangles``: for each block its closing edges (kind 0), then the lists that may be closed there (kind 1)."""
+def _cells(matrix: np.ndarray, wedges: np.ndarray, block_edges: int, block_wedges: int) -> list[tuple[int, int, int, int, int]]:
+    """(i0, i1, j0, j1, tasks): squares of pairs of ranges, i before j or both the same, that hold every closing edge.
+
+    ``matrix`` and ``wedges`` count the closing edges of a pair of ranges and the pairs of ends of a list there. Squares are
+    quartered while they hold more than is given; one that cannot be is shared by several tasks.
+    """
+    found, left = [], [(0, len(matrix), 0, len(matrix))]
+    while left:
+        i0, i1, j0, j1 = left.pop()
+        closing, pairs = (int(x[i0:i1, j0:j1].sum()) for x in (matrix, wedges))
+        if not closing or not pairs:
+            continue
+        if i1 - i0 > 1 and (closing > block_edges or pairs > block_wedges):
+            i, j = (i0 + i1) // 2, (j0 + j1) // 2
+            left += [(i0, i, j0, j), (i0, i, j, j1), (i, i1, j, j1)] + ([] if i0 == j0 else [(i, i1, j0, j)])
+        else:
+            found.append((i0, i1, j0, j1, -(-pairs // block_wedges)))
+    return found
+
+
+def _lists_of(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(x, number of ends, ends, weights or None) of a batch of lists."""
+    adj = batch.column("adj")
+    weight = batch.column("k").flatten().to_numpy() if "k" in batch.schema.names else None
+    return batch.column("src").to_numpy(), np.diff(adj.offsets.to_numpy()), adj.flatten().to_numpy(), weight
+
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+def _counted(bounds: np.ndarray):
+    """The matrices of ``_cells`` over the lists of a task."""
+    n = len(bounds) + 1
 
-        now, held, closing = None, [], None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        closing, pairs = np.zeros((n, n), np.int64), np.zeros((n, n))
         for batch in batches:
-            if not batch.num_rows:
+            x, counts, flat, _ = _lists_of(batch)
+            if not len(flat):
                 continue
-            part = batch.column("part").to_numpy() * 2 + batch.column("kind").to_numpy()
-            starts = [*np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
-            for low, high in zip(starts[:-1], starts[1:], strict=True):
-                some = batch.slice(low, high - low)
-                block, kind = divmod(int(part[low]), 2)
-                if block != now:
-                    now, held, closing = block, [], None
-                lists = some.column("adj")
-                x, flat = some.column("src").to_numpy(), lists.flatten().to_numpy()
-                counts = np.diff(lists.offsets.to_numpy())
-                weight = some.column("k").flatten().to_numpy() if "k" in some.schema.names else np.ones(len(flat), np.int64)
-                if kind == 0:
-                    held.append((np.repeat(x, counts), flat, weight))
+            rows, of = np.repeat(np.arange(len(x)), counts), np.searchsorted(bounds, flat)
+            np.add.at(closing, (np.searchsorted(bounds, x)[rows], of), 1)
+            each = np.bincount(rows * n + of, minlength=len(x) * n).reshape(-1, n).astype(np.float64)
+            pairs += each.T @ each
+            pairs[np.arange(n), np.arange(n)] -= each.sum(0)
+        yield pa.record_batch([pa.array([m.astype(np.int64).tobytes()], pa.binary()) for m in (closing, pairs)], names=["closing", "pairs"])
+
+    return run
+
+
+PIECE = "part int, kind int, n long, x_low long, x binary, counts binary, flat_low long, flat binary, weight binary"
+
+
+def _dealt(bounds: np.ndarray, cells: list[tuple[int, int, int, int, int]]):
+    """Lists as pieces for the tasks of cells: closing edges from the first range of a cell to the second (kind 0) or back (kind 1), and what lists have in both (kind 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, counts, flat, weight = _lists_of(batch)
+            if not len(flat):
+                continue
+            rows, of, own = np.repeat(np.arange(len(x)), counts), np.searchsorted(bounds, flat), np.searchsorted(bounds, x)[:, None]
+            own = own[rows, 0]
+            ends = np.cumsum(np.bincount(rows * (len(bounds) + 1) + of, minlength=len(x) * (len(bounds) + 1)).reshape(len(x), -1), 1)
+            ends = np.concatenate([np.zeros((len(x), 1), np.int64), ends], 1)
+            share = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            made, part = [], 0
+
+            def piece(kind: int, places: np.ndarray, parts) -> None:
+                if not len(places):
+                    return
+                firsts = np.flatnonzero(np.diff(rows[places], prepend=-1))
+                size = np.diff(firsts, append=len(places)).astype("<i4").tobytes()
+                data = (kind, len(firsts), *short(x[rows[places[firsts]]]), size, *short(flat[places]), None if weight is None else weight[places].tobytes())  # noqa: B023
+                made.extend((p, *data) for p in parts)  # noqa: B023
+
+            for i0, i1, j0, j1, tasks in cells:
+                a, b = ends[:, i1] - ends[:, i0], ends[:, j1] - ends[:, j0]
+                good = a > 1 if i0 == j0 else (a > 0) & (b > 0)
+                first, second = (of >= i0) & (of < i1), (of >= j0) & (of < j1)
+                piece(0, np.flatnonzero((own >= i0) & (own < i1) & second), range(part, part + tasks))
+                if i0 != j0:
+                    piece(1, np.flatnonzero((own >= j0) & (own < j1) & first), range(part, part + tasks))
+                places = np.flatnonzero(good[rows] & (first | second))
+                if tasks == 1:
+                    piece(2, places, [part])
+                else:
+                    to = share[rows[places]] % np.uint64(tasks)
+                    for t in range(tasks):
+                        piece(2, places[to == t], [part + t])
+                part += tasks
+            if made:
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=[c.split()[0] for c in PIECE.split(", ")])
+
+    return run
+
+
+def _joined(listed: bool, words: bool):
+    """The task of ``_triangles``: for each cell its closing edges, then the lists that may be closed there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, closings = None, ([], []), None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, kind, n, x_low, x, counts, flat_low, flat, weight = (c[i].as_py() for c in batch.columns)
+                if part != now:
+                    now, held, closings = part, ([], []), None
+                counts = np.frombuffer(counts, "<i4")
+                x, flat = long(x_low, x, n), long(flat_low, flat, int(counts.sum()))
+                weight = np.ones(len(flat), np.int64) if weight is None else np.frombuffer(weight, "<i8")
+                if kind < 2:
+                    held[kind].append((np.repeat(x, counts), flat, weight))
                     continue
-                if closing is None:
-                    if not held:
-                        continue
-                    closing = _Closing(*(np.concatenate(c) for c in zip(*held, strict=True)), words)
-                    held = []
+                if closings is None:
+                    closings = [_Closing(*(np.concatenate(c) for c in zip(*h, strict=True)), words) for h in held if h]
+                    held = [], []
                 total = 0
-                for a, b, c, n in _met(closing, x, counts, flat, weight, words):
-                    if listed and len(a):
-                        yield pa.record_batch([pa.array(v.astype(np.int64)) for v in (a, b, c)], names=["x", "y", "z"])
-                    total += int(n.sum())
+                for closing in closings:
+                    for a, b, c, m in _met(closing, x, counts, flat, weight, words):
+                        if listed and len(a):
+                            yield pa.record_batch([pa.array(v.astype(np.int64)) for v in (a, b, c)], names=["x", "y", "z"])
+                        total += int(m.sum())
                 if not listed and total:
                     yield pa.record_batch([pa.array([total], pa.int64())], names=["n"])
 
@@ -172,35 +251,37 @@ def _triangles(simple: DataFrame, listed: bool = False, words: bool = False, blo
     """(x, y, z) of each triangle, or numbers (n) whose sum is the count, weighted by the product of ``k`` if edges have one.
 
     ``simple`` has each undirected edge once. A triangle is an oriented edge from y to z
-    that closes the list of an x. The sources of edges are cut into ranges of about
-    ``block_edges`` edges each, and the list of an x goes once to each range that holds one
-    of its ends, not once for each pair of ends. A range to which more than ``block_edges``
-    edges of lists go is shared by several tasks, each with its closing edges. Wedges are
-    made in a task and never shuffled.
+    that closes the list of an x. Ids are cut into ranges, and pairs of ranges make cells of about
+    ``block_edges`` closing edges at most; a list goes to each cell that holds two of its ends, and of it what
+    lies in the two ranges. So on a random graph an end is sent about as often as the root of twice the number of cells,
+    and where ids near each other are neighbours a few times. A cell to which too many pairs of ends go is shared by several
+    tasks, each with its closing edges. Wedges are made in a task and never shuffled. Each step
+    writes its rows, and those before it go with their shuffle files.
     """
     spark = simple.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     weighted = "k" in simple.columns
     pair = F.struct("dst", "k") if weighted else F.struct("dst")
-    made = _oriented(simple).groupBy("src").agg(F.collect_list(pair).alias("l")).select("src", F.col("l.dst").alias("adj"), *([F.col("l.k").alias("k")] if weighted else []))
-    lists = stored(made, "lists")
-    m = lists.agg(F.coalesce(F.sum(F.size("adj")), F.lit(0))).first()[0]
-    blocks = max(math.ceil(m / block_edges), min(math.ceil(m / FEWEST_EDGES), 2 * spark.sparkContext.defaultParallelism), 1)
-    bounds = []
-    if blocks > 1:
-        shares = [i / blocks for i in range(1, blocks)]
-        bounds = sorted(set(lists.select("src", F.explode("adj")).agg(F.percentile_approx("src", shares, 10_000)).first()[0]))
-    blocks = len(bounds) + 1
-    to = F.array_distinct(F.transform("adj", lambda y: _range_of(y, bounds)))
-    sent = lists.where(F.size("adj") > 1).select("*", F.explode(to).alias("block"))
-    load = {r["block"]: r["edges"] for r in sent.groupBy("block").agg(F.sum(F.size("adj")).alias("edges")).collect()}
-    parts = [math.ceil(load.get(i, 0) / block_edges) for i in range(blocks)]
-    bases = [sum(parts[:i]) for i in range(blocks)]
-    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("block") + 1)
-    columns = [c for c in lists.columns]
-    closing = lists.withColumn("block", _range_of(F.col("src"), bounds)).where(of(parts) > 0)
-    closing = closing.select(F.explode(F.sequence(of(bases), of(bases) + of(parts) - 1)).alias("part"), F.lit(0).alias("kind"), *columns)
-    wanted = sent.select((of(bases) + F.pmod(F.xxhash64("src"), of(parts))).cast("int").alias("part"), F.lit(1).alias("kind"), *columns)
-    dealt = closing.union(wanted).repartitionById(max(sum(parts), 1), "part").sortWithinPartitions("part", "kind")
+    with tidy(spark):
+        last = Rounds(spark, "oriented")
+        made = _oriented(simple, last).groupBy("src").agg(F.collect_list(pair).alias("l")).select("src", F.col("l.dst").alias("adj"), *([F.col("l.k").alias("k")] if weighted else []))
+        lists = stored(made.select(F.col("src").cast("long").alias("src"), F.col("adj").cast("array<long>").alias("adj"), *(["k"] if weighted else [])), "lists")
+        last.drop()
+        m = lists.agg(F.coalesce(F.sum(F.size("adj")), F.lit(0))).first()[0]
+        blocks = max(math.ceil(m / block_edges), min(math.ceil(m / FEWEST_EDGES), 2 * spark.sparkContext.defaultParallelism), 1)
+        ranges = min(1 << max(0, math.ceil(math.log2(2 * blocks))), MOST_RANGES) if blocks > 1 else 1
+        bounds = np.zeros(0, np.int64)
+        if ranges > 1:
+            ends = lists.select(F.explode(F.concat("adj", F.array_repeat("src", F.size("adj")))).alias("v"))
+            bounds = np.unique(np.asarray(ends.agg(F.percentile_approx("v", [i / ranges for i in range(1, ranges)], 10_000)).first()[0], np.int64))
+        closing, pairs = np.zeros((2, len(bounds) + 1, len(bounds) + 1), np.int64)
+        for row in lists.mapInArrow(_counted(bounds), "closing binary, pairs binary").toLocalIterator():
+            closing += np.frombuffer(row["closing"], "<i8").reshape(closing.shape)
+            pairs += np.frombuffer(row["pairs"], "<i8").reshape(pairs.shape)
+    closing = np.triu(closing) + np.tril(closing, -1).T
+    pairs = np.triu(pairs) * 2 - np.diag(np.diag(pairs))
+    cells = _cells(closing, pairs, min(block_edges, math.ceil(m / blocks)), BLOCK_WEDGES)
+    dealt = lists.mapInArrow(_dealt(bounds, cells), PIECE).repartitionById(max(sum(c[-1] for c in cells), 1), "part").sortWithinPartitions("part", "kind")
     return dealt.mapInArrow(_joined(listed, words), "x long, y long, z long" if listed else "n long")
 
 

@@ -163,6 +163,28 @@ def test_triangles_in_blocks(spark, block_edges):
     assert "LeftSemi" not in triangles.list_triangles(edges)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cells_hold_each_pair_of_ranges_once_and_send_ends_a_few_times(spark):
+    """A random graph's ends go about as often as the root of twice the cells, not once for each; and no edges stay on disk but the lists."""
+    from pathlib import Path
+
+    import numpy as np
+
+    from loomgraph.plans.scratch import shared_folder
+
+    closing = np.triu(np.full((64, 64), 100)) * 2 - np.diag(np.full(64, 100))
+    cells = triangles._cells(closing, closing * 50, closing.sum() // 23, 10**9)
+    seen = np.zeros((64, 64), int)
+    for i0, i1, j0, j1, tasks in cells:
+        seen[i0:i1, j0:j1] += 1
+        assert tasks == 1 and (closing[i0:i1, j0:j1].sum() <= closing.sum() // 23)
+    assert (np.triu(seen) == np.triu(np.ones((64, 64), int))).all() and len(cells) > 23
+    assert sum(i1 - i0 + (j1 - j0 if i0 != j0 else 0) for i0, i1, j0, j1, _ in cells) / 64 <= (2 * len(cells)) ** 0.5 < 10
+    edges = spark.createDataFrame([(i, (i * 7 + j) % 50) for i in range(50) for j in range(5)], "src long, dst long")
+    left = lambda: set(Path(shared_folder(spark).removeprefix("file://")).glob("oriented-*"))
+    before = left()
+    assert triangles.count_triangles(edges).first()[0] > 0 and left() == before
+
+
 def test_a_list_lies_in_blocks(spark):
     star = spark.createDataFrame([(0, i) for i in range(1, 1001)], "src long, dst long")
     found = triangles.adjacency_bitmaps(star)
