@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from loomgraph.operators.components import connected_components, forest
 from loomgraph.operators.graph import symmetrize_both
 from loomgraph.operators.pieces import PIECE, edges_of, long, pieces, short
-from loomgraph.plans.scratch import stored, tidy
+from loomgraph.operators.rank import _blocks as vertex_blocks
+from loomgraph.plans.scratch import Rounds, stored, tidy
 
 
 class _Graph:
@@ -187,112 +188,103 @@ def local_moving(edges: DataFrame, max_passes: int = 10, gain: str = "reference"
 
 #: Bytes of one Arrow batch of blocks.
 BATCH_BYTES = 8 << 20
-#: Directed edges of a block of ``parallel_moving``, about; a vertex's edges lie in one block.
+#: Ends of edges that one task packs for the tasks of components, about.
 BLOCK_EDGES = 1 << 22
+#: Directed edges of a block of ``parallel_moving``, about; a vertex's edges lie in one block.
+ROUND_EDGES = 1 << 21
 
 
 def _raw(table, column: str, i: int, kind: str = "<i8"):
-    import numpy as np
-
     return np.frombuffer(table.column(column)[i].as_buffer(), kind)
 
 
-def _packed_blocks(edges: DataFrame, n: int) -> DataFrame:
-    """(block, v, near, at, into): both directions of edges in about ``n`` ranges of ids; edge j leads from ``v[into[j]]`` to ``near[at[j]]``."""
-    import numpy as np
-    import pyarrow as pa
-
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("v"))
-    found = ends.agg(F.percentile_approx("v", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    bounds = np.unique(np.asarray(found or [], np.int64))
+TOLD = "block long, part long, n long, comm_low long, comm binary, total_low long, total binary, turn binary"
 
-    def placed(batches):
-        for b in batches:
-            ends = b.column("src").to_numpy(), b.column("dst").to_numpy()
-            for x, y in (ends, ends[::-1]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, x)), pa.array(x), pa.array(y)], names=["block", "src", "dst"])
-
-    def packed(table):
-        v, into = np.unique(table.column("src").to_numpy(), return_inverse=True)
-        near, at = np.unique(table.column("dst").to_numpy(), return_inverse=True)
-        made = [v, near, at.astype(np.int32), into.astype(np.int32)]
-        return pa.table([pa.array([table.column("block")[0].as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in made)], names=["block", "v", "near", "at", "into"])
 
-    return edges.mapInArrow(placed, "block long, src long, dst long").groupBy("block").applyInArrow(packed, "block long, v binary, near binary, at binary, into binary")
+def _told(graph: pa.Table, now: pa.Table) -> pa.Table:
+    """What a block's vertices are in, for itself (part -1) and, in packed form, for each block that reads some of them."""
+    now = now.sort_by("v")
+    comm, total, turn = (now.column(c).to_numpy() for c in ("comm", "total", "turn"))
+    block, to = graph.column("block")[0].as_py(), graph.column("to")[0].as_py()
+    rows = [(block, -1, len(comm), *short(comm), *short(total), turn.astype(np.uint8).tobytes())]
+    for reader, data in zip(to, graph.column("idx")[0].as_py(), strict=True):
+        at = np.frombuffer(data, "<i4")
+        rows.append((reader, block, len(at), *short(comm[at]), *short(total[at]), b""))
+    return pa.table([pa.array(x) for x in zip(*rows, strict=True)], names=[c.split()[0] for c in TOLD.split(", ")])
 
 
 def _block_moves(m2: int):
-    """A round of one block, from what it is told of its vertices and their neighbours: (v, k, comm) afterwards."""
-    import numpy as np
-    import pyarrow as pa
+    """A round of one block, from what it is told of its vertices and of those it reads: (block, v, k, comm) afterwards."""
 
     def run(graph, told):
-        told = told.sort_by("v")
-        ids, comm, total, turn = (told.column(c).to_numpy() for c in ("v", "comm", "total", "turn"))
-        v, into = _raw(graph, "v", 0), _raw(graph, "into", 0, "<i4")
-        k, own = np.bincount(into, minlength=len(v)), np.searchsorted(ids, v)
-        here, rest = comm[own], total[own] - k
-        to = np.searchsorted(ids, _raw(graph, "near", 0))[_raw(graph, "at", 0, "<i4")]  # the neighbour's place, by edge
-        order = np.lexsort((comm[to], into))
-        u, there, total_there = into[order], comm[to][order], total[to][order]
-        first = np.flatnonzero((np.diff(u, prepend=-1) != 0) | (np.diff(there, prepend=there[0]) != 0))
-        inside = np.diff(first, append=len(u))
-        u, there, total_there = u[first], there[first], total_there[first]
+        told = told.sort_by("part")
+        rows = [tuple(c[i].as_py() for c in told.columns) for i in range(told.num_rows)]
+        del told
+        here, total_here = long(*rows[0][3:5], rows[0][2]), long(*rows[0][5:7], rows[0][2])
+        turn = np.frombuffer(rows[0][7], np.uint8).astype(bool)
+        comm, total = (np.concatenate([long(r[c], r[c + 1], r[2]) for r in rows[1:]]) for c in (3, 5))
+        del rows
+        v, starts, at = _raw(graph, "own", 0), _raw(graph, "starts", 0, "<i4"), _raw(graph, "at", 0, "<i4")
+        k = np.diff(starts, append=len(at))
+        rest = total_here - k
+        # Communities by place in their order: smaller to sort, and a total for each.
+        names, place = np.unique(comm, return_inverse=True)
+        totals = np.zeros(len(names), np.int64)
+        totals[place] = total
+        keys = np.repeat(np.arange(len(v)), k) * len(names) + place[at]
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys, prepend=-1))
+        inside = np.diff(first, append=len(keys))
+        u, there = np.divmod(keys[first], len(names))
+        del keys, comm, total, place
         stay = np.zeros(len(v), np.int64)
-        same = there == here[u]
+        same = names[there] == here[u]
         stay[u[same]] = inside[same]
-        won = (inside - stay[u]) * m2 - k[u] * total_there + k[u] * rest[u]
-        good = np.flatnonzero(~same & (won > 0) & turn[own][u])
+        won = (inside - stay[u]) * m2 - k[u] * totals[there] + k[u] * rest[u]
+        good = np.flatnonzero(~same & (won > 0) & turn[u])
         good = good[np.lexsort((there[good], -won[good], u[good]))]
         best = good[np.diff(u[good], prepend=-1) != 0]
         now = here.copy()
-        now[u[best]] = there[best]
-        return pa.table([pa.array(v), pa.array(k), pa.array(now)], names=["v", "k", "comm"])
+        now[u[best]] = names[there[best]]
+        return pa.table([pa.array(np.full(len(v), graph.column("block")[0].as_py())), pa.array(v), pa.array(k), pa.array(now)], names=["block", "v", "k", "comm"])
 
     return run
 
 
-def parallel_moving(edges: DataFrame, rounds: int = 5, block_edges: int = BLOCK_EDGES) -> DataFrame:
+def parallel_moving(edges: DataFrame, rounds: int = 5, block_edges: int = ROUND_EDGES) -> DataFrame:
     """(v, comm) by synchronous moves to the neighbouring community of largest standard gain: an extension for large graphs.
 
     In each round only vertices of one parity of a hash move, which keeps
     neighbours from swapping for ever. Edges stay in blocks of ids; a round exchanges
     vertices, and tells each block the communities of the vertices that its edges touch, once
-    however many edges they have.
+    however many edges they have, in a packed row for each pair of blocks. The files of a round go
+    with the next.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    from loomgraph.plans.scratch import cut
-
-    kind = dict(edges.dtypes)["src"]
-    e = stored(edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), "graph")
-    count = e.count()
-    m2 = 2 * count or 1
-    partitions = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    graph = _packed_blocks(e, max(partitions, -(-2 * count // block_edges))).repartition(partitions, "block").persist()
-
-    def touched(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                own, near = _raw(b, "v", i), _raw(b, "near", i)
-                ids = np.union1d(own, near)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), b.column("block")[i].as_py()))], names=["v", "to"])
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
+    _small_batches(edges)
 
     def begun(batches):
         for b in batches:
             for i in range(b.num_rows):
-                own = _raw(b, "v", i)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(_raw(b, "into", i, "<i4"), minlength=len(own))), pa.array(own)], names=["v", "k", "comm"])
-
-    reads = stored(graph.select("block", "v", "near").mapInArrow(touched, "v long, to long"), "reads")
-    now = cut(graph.select("v", "into").mapInArrow(begun, "v long, k long, comm long"))
-    for i in range(rounds):
-        totals = now.groupBy("comm").agg(F.sum("k").alias("total"))
-        turn = F.pmod(F.xxhash64(F.col("v").cast(kind), F.lit(i // 2)), F.lit(2)) == i % 2
-        told = now.join(totals, "comm").select("v", "comm", "total", turn.alias("turn")).join(reads, "v")
-        now = cut(graph.groupBy("block").cogroup(told.groupBy("to")).applyInArrow(_block_moves(m2), "v long, k long, comm long"))
-    graph.unpersist()
+                own = _raw(b, "own", i)
+                k = np.diff(_raw(b, "starts", i, "<i4"), append=len(b.column("at")[i].as_buffer()) // 4)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), b.column("block")[i].as_py())), pa.array(own), pa.array(k), pa.array(own)], names=["block", "v", "k", "comm"])
+
+    with tidy(spark):
+        e = stored(edges.where("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")), "graph")
+        count = e.count()
+        m2 = 2 * count or 1
+        graph = vertex_blocks(e.union(e.select("dst", "src")), block_edges, 2 * count)
+        last = Rounds(spark, "communities")
+        now = last.keep(graph.select("block", "own", "starts", "at").mapInArrow(begun, "block long, v long, k long, comm long"))
+        for i in range(rounds):
+            totals = now.groupBy("comm").agg(F.sum("k").alias("total"))
+            turn = F.pmod(F.xxhash64(F.col("v").cast(kind), F.lit(i // 2)), F.lit(2)) == i % 2
+            told = now.join(totals, "comm").select("block", "v", "comm", "total", turn.alias("turn"))
+            sent = graph.select("block", "to", "idx").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_told, TOLD)
+            moved = graph.select("block", "own", "starts", "at").groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(_block_moves(m2), "block long, v long, k long, comm long")
+            now = last.keep(moved)
+        graph.unpersist()
     return now.select(F.col("v").cast(kind).alias("v"), F.col("comm").cast(kind).alias("comm"))
 
 

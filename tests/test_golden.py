@@ -121,6 +121,18 @@ def test_parallel_moving_by_blocks_equals_plain_rounds(spark):
     assert community.parallel_moving(given.limit(0)).count() == 0
 
 
+def test_a_round_of_moves_sends_packed_rows_of_pairs_of_blocks(spark, monkeypatch):
+    """No row stands for a vertex that a block reads; a round's files go with the next."""
+    from loomgraph.plans import scratch
+
+    plans, real = [], scratch.Rounds.keep
+    monkeypatch.setattr(scratch.Rounds, "keep", lambda self, df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(self, df))[1])
+    pairs = [(i, (i * 7 + j) % 60) for i in range(60) for j in range(4) if i != (i * 7 + j) % 60]
+    small, large = (dict(map(tuple, community.parallel_moving(edges(spark, pairs), 3, size).collect())) for size in (9, 1 << 20))
+    assert small == large and len(plans) == 8
+    assert all(p.count("FlatMapCoGroupsInArrow") == 2 and p.count("Join Inner") == 1 for p in plans[1:4])
+
+
 def test_pulling_meets_the_frontier_before_edges_are_exchanged(spark, monkeypatch):
     plans, real = [], traverse.cut
     monkeypatch.setattr(traverse, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
