@@ -101,6 +101,24 @@ def test_fixed_point_kernels_multiply_in_floats_and_add_far_keys_together(most):
     assert (run(applied, o_top=top.tobytes(), o_sums=np.stack([total, n], 1).tobytes())[1] == expected).all()
 
 
+def test_gradients_make_each_tile_again_once(spark, monkeypatch):
+    """One pass for the outputs, one for all gradients; those of queries are the same when a task writes them after each block of keys."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    frame = lambda x, n, v: spark.createDataFrame([(i, d, float(x[i, d])) for i in range(len(x)) for d in range(4)], f"{n} long, d long, {v} double")
+    q, k, v, g = (rng.integers(-3, 4, (40, 4)) for _ in range(4))
+    passes, real, found = [], attention.tiles, []
+    monkeypatch.setattr(attention, "tiles", lambda *a: (passes.append(1), real(*a))[1])
+    for most in (0, 256):
+        monkeypatch.setattr(attention, "QUERY_BLOCKS", most)
+        made = attention.gradients(frame(q, "i", "v"), frame(k, "j", "v"), frame(v, "j", "v"), frame(g, "i", "g"), 4, True, 8)
+        found.append([{(r.id, r.d): r.g for r in x.collect()} for x in made])
+    assert len(passes) == 4
+    for a, b in zip(*found, strict=True):
+        assert a.keys() == b.keys() and len(a) == 160 and all(abs(a[x] - b[x]) < 1e-9 for x in a)
+
+
 def test_exponentials_of_whole_and_other_scores():
     import numpy as np
 
