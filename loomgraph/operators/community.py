@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -62,17 +63,18 @@ class _Graph:
 
 def _moves(graph: _Graph, max_passes: int, gain: str, order: list[int], groups: list[list[int]] | None, m2: int) -> np.ndarray:
     """The community of each place after serial moves in ``order``; those of one of ``groups`` move in turn by what held when the group began."""
-    own = list(range(len(graph.ids)))
-    total = np.diff(graph.starts).tolist()
+    own = np.arange(len(graph.ids), dtype=np.int32)
+    total = array("q", np.diff(graph.starts).tolist())  # arrays, not lists, for what a vertex looks up lies all over them
+    near, starts = graph.near, graph.starts
     standard = gain == "standard"
 
-    def turns(places: list[int], own_then: list[int], total_then: list[int]) -> bool:
+    def turns(places: list[int], own_then: np.ndarray, total_then: array) -> bool:
         """Move ``places`` in turn by the communities and totals that they see."""
         moved = False
         for u in places:
-            near = graph.neighbours(u)
-            k, here = len(near), own_then[u]
-            links = Counter([own_then[v] for v in near])  # in order of the first neighbour
+            low, high = starts[u], starts[u + 1]
+            k, here = high - low, own_then.item(u)
+            links = Counter(own_then[near[low:high]].tolist())  # in order of the first neighbour
             # A gain is inside * m2 - k * total + k * (total here - k), less what leaving costs; the last terms are the same for all.
             stay = links.pop(here, 0)
             most, best = (stay * m2 if standard else 0) - k * (total_then[here] - k), here
@@ -91,7 +93,7 @@ def _moves(graph: _Graph, max_passes: int, gain: str, order: list[int], groups:
         if groups is None:
             moved = turns(order, own, total)
         else:
-            moved = any([turns(group, own.copy(), total.copy()) for group in groups])
+            moved = any([turns(group, own.copy(), total[:]) for group in groups])
         if not moved:
             break
     return graph.ids[own]
